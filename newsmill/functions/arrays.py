@@ -24,6 +24,15 @@ def lookup(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A lambda evaluates the expressions it refers to anew for every element; bound
+    through this, they are looked up instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     conditions = list(conditions)
     if not conditions:
@@ -39,7 +48,7 @@ def contains_any(text: Column | str, values: Iterable[str]) -> Column:
 
 def contains_any_of(text: Column, patterns: Column) -> Column:
     """True when ``text`` holds one of the substrings in an array column (case ignored)."""
-    return F.exists(patterns, lambda p: F.contains(text, F.lower(p)))
+    return let(text, lambda t: F.exists(patterns, lambda p: F.contains(t, F.lower(p))))
 
 
 def ends_with_any(text: Column | str, values: Iterable[str]) -> Column:
@@ -54,9 +63,12 @@ def first_present(*columns: Column) -> Column:
 
 def distinct_ignoring_case(values: Column) -> Column:
     """Keep the first of the elements that are equal when lower-cased."""
-    lowered = F.transform(values, F.lower)
-    return F.filter(
-        values, lambda v, i: F.array_position(lowered, F.lower(v)) == (i + 1).cast("long")
+    both = F.struct(values.alias("v"), F.transform(values, F.lower).alias("low"))
+    return let(
+        both,
+        lambda b: F.filter(
+            b["v"], lambda v, i: F.array_position(b["low"], F.lower(v)) == (i + 1).cast("long")
+        ),
     )
 
 

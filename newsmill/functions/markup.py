@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
-from newsmill.functions.arrays import col, first_present, squeeze
+from newsmill.functions.arrays import col, first_present, let, squeeze
 from newsmill.functions.urls import netloc, title_case
 
 _OPEN, _SHUT = "\x01", "\x02"
@@ -125,23 +125,23 @@ def with_sections(
     default: str = "General",
 ) -> Column:
     """W2 inside a page: every non-header block with the text of the last header before it."""
-    headers = F.filter(block_array, is_header)
-    body = F.filter(block_array, lambda b: ~is_header(b))
-
-    def section(b: Column) -> Column:
-        before = F.filter(headers, lambda h: h["pos"] < b["pos"])
-        return F.coalesce(F.try_element_at(before, F.lit(-1))["text"], F.lit(default))
+    def place(headers: Column) -> Column:
+        def section(b: Column) -> Column:
+            before = F.filter(headers, lambda h: h["pos"] < b["pos"])
+            return F.coalesce(F.try_element_at(before, F.lit(-1))["text"], F.lit(default))
+
+        return F.transform(
+            F.filter(block_array, lambda b: ~is_header(b)),
+            lambda b: F.struct(
+                b["pos"].alias("pos"),
+                b["tag"].alias("tag"),
+                b["body"].alias("body"),
+                b["text"].alias("text"),
+                section(b).alias("section"),
+            ),
+        )
 
-    return F.transform(
-        body,
-        lambda b: F.struct(
-            b["pos"].alias("pos"),
-            b["tag"].alias("tag"),
-            b["body"].alias("body"),
-            b["text"].alias("text"),
-            section(b).alias("section"),
-        ),
-    )
+    return let(F.filter(block_array, is_header), place)
 
 
 def is_heading(b: Column) -> Column:
@@ -157,7 +157,7 @@ def link_context(block_text: Column | str, cap: int = 200) -> Column:
 # --- F2, F3, F4 -------------------------------------------------------------
 
 def _content(html: Column, tags: Iterable[str]) -> Column:
-    return first_present(*[element(html, t) for t in tags], html)
+    return let(html, lambda h: first_present(*[element(h, t) for t in tags], h))
 
 
 def article_text(html: Column | str, cap: int | None = 10000) -> Column:

@@ -8,6 +8,9 @@ underscore; ``ascii_boundary`` restricts it to ASCII.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 UNICODE_WORD = r"[\p{L}\p{N}_]"
@@ -19,8 +22,27 @@ def _boundary(word: str) -> str:
 
 
 def bounded(pattern: str, ascii_boundary: bool = False) -> str:
+    """Rewrite every ``\\b`` of a pattern.
+
+    The patterns here only use ``\\b`` next to a word character.  It stands before
+    one when a letter, group or class follows in the pattern, else behind one, so a
+    single look at the other side is enough.
+    """
     word = ASCII_WORD if ascii_boundary else UNICODE_WORD
-    return pattern.replace(r"\b", _boundary(word))
+    opened = re.sub(r"\\b(?=[A-Za-z(\[])", lambda m: f"(?<!{word})", pattern)
+    return opened.replace(r"\b", f"(?!{word})")
+
+
+def any_word(terms: Iterable[str], ascii_boundary: bool = False) -> str:
+    """Alternation of literal terms as whole words, case ignored, in their order."""
+    word = ASCII_WORD if ascii_boundary else UNICODE_WORD
+    both = _boundary(word)
+    out = []
+    for t in terms:
+        left = f"(?<!{word})" if t[:1].isalnum() else both
+        right = f"(?!{word})" if t[-1:].isalnum() else both
+        out.append(left + r"\Q" + t + r"\E" + right)
+    return "(?i)(" + "|".join(out) + ")"
 
 
 def quoted(text: Column) -> Column:
@@ -28,6 +50,12 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def word_pattern(word: Column, ascii_boundary: bool = False) -> Column:
+    """Pattern of a literal whole word given by a column, case ignored."""
+    edge = _boundary(ASCII_WORD if ascii_boundary else UNICODE_WORD)
+    return F.concat(F.lit("(?i)" + edge), quoted(word), F.lit(edge))
+
+
 def has_word(text: Column, word: Column, ascii_boundary: bool = False) -> Column:
     """True when ``word`` stands in ``text`` between word boundaries.
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    any_of, col, contains_any, distinct_ignoring_case, ends_with_any, first_present, lookup,
-    present, squeeze, strings,
+    any_of, col, contains_any, distinct_ignoring_case, ends_with_any, first_present, let,
+    lookup, present, squeeze, strings,
 )
-from newsmill.functions.patterns import bounded, has_word
+from newsmill.functions.patterns import any_word, bounded, has_word
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -53,9 +53,15 @@ def keywords(text: Column | str, limit: int = fixed.KEYWORD_LIMIT, ascii_boundar
         lambda x: F.try_element_at(lookup(fixed.TICKER_NAMES), x),
     )
     later = distinct_ignoring_case(present(F.concat(mixed, aliases, leading, tickers)))
-    taken = F.transform(phrases, F.lower)
-    fresh = F.filter(later, lambda w: ~F.array_contains(taken, F.lower(w)))
-    return F.slice(F.concat(phrases, fresh), 1, limit)
+
+    def merge(p: Column) -> Column:
+        taken = F.transform(p, F.lower)
+        fresh = let(
+            taken, lambda low: F.filter(later, lambda w: ~F.array_contains(low, F.lower(w)))
+        )
+        return F.slice(F.concat(p, fresh), 1, limit)
+
+    return let(phrases, merge)
 
 
 # --- F9: match score --------------------------------------------------------
@@ -123,33 +129,32 @@ def mentioned_entities(
 
 def subject_first(entities: Column, subject: Column, limit: int = 8) -> Column:
     """Put the main subject at the front of the entity list."""
-    rest = F.filter(entities, lambda e: subject.isNull() | (e != subject))
-    front = F.when(subject.isNull(), strings([])).otherwise(F.array(subject))
-    return F.slice(F.concat(front, rest), 1, limit)
+    def place(s: Column) -> Column:
+        rest = F.filter(entities, lambda e: s.isNull() | (e != s))
+        front = F.when(s.isNull(), strings([])).otherwise(F.array(s))
+        return F.slice(F.concat(front, rest), 1, limit)
 
+    return let(subject, place)
 
-# --- J13, A3: terms ---------------------------------------------------------
-
-def term_pattern(terms: Iterable[str], ascii_boundary: bool = False) -> str:
-    """One alternation for many whole-word terms, in their order."""
-    body = "|".join(r"\Q" + t + r"\E" for t in terms)
-    return "(?i)" + bounded(rf"\b({body})\b", ascii_boundary)
 
+# --- J13, A3: terms ---------------------------------------------------------
 
 def term_hits(text: Column | str, terms: Iterable[str], ascii_boundary: bool = False) -> Column:
     """Every whole-word hit of the terms, capitalised, in text order."""
-    return F.transform(_all(col(text), term_pattern(terms, ascii_boundary)), F.initcap)
+    return F.transform(_all(col(text), any_word(terms, ascii_boundary)), F.initcap)
 
 
 def count_label(hits: Column) -> Column:
     """A3: ``Name (3x), Other (1x)`` by falling count, then first appearance."""
-    distinct = F.array_distinct(hits)
-    counted = F.transform(
-        distinct,
-        lambda h, i: F.struct(
-            F.negate(F.size(F.filter(hits, lambda x: x == h))).alias("n"),
-            i.alias("i"),
-            h.alias("h"),
+    counted = let(
+        hits,
+        lambda every: F.transform(
+            F.array_distinct(every),
+            lambda h, i: F.struct(
+                F.negate(F.size(F.filter(every, lambda x: x == h))).alias("n"),
+                i.alias("i"),
+                h.alias("h"),
+            ),
         ),
     )
     return F.array_join(
@@ -163,16 +168,62 @@ def count_label(hits: Column) -> Column:
 
 # --- F11, F12: comments -----------------------------------------------------
 
+def contexts(text: Column | str, term_regex: str, around: int = 100) -> Column:
+    """Stretches of text with up to ``around`` characters on both sides of a hit.
+
+    Stretches do not overlap and are taken from the left; a hit that starts within
+    ``around`` characters of the start of a stretch moves its end.  The text is split
+    at the hits once, so the cost grows with its length, not with ``around``.
+    """
+    t = col(text)
+    parts = F.arrays_zip(
+        F.split(t, term_regex, -1).alias("before"), _all(t, term_regex, 0).alias("hit")
+    )
+    none = F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda x: F.lit(False))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), F.lit(-1).alias("e"), none.alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        p = acc["at"] + F.length(part["before"])
+        e = p + F.length(part["hit"])
+        opened = acc["e"] >= 0
+        end = F.when(opened, acc["e"] + around).otherwise(0)
+        moved = opened & (p <= acc["s"] + around)
+        inside = opened & ~moved & (p < end)
+        closed = F.when(
+            opened & ~moved & ~inside,
+            F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))),
+        ).otherwise(acc["out"])
+        return F.struct(
+            e.alias("at"),
+            F.when(moved | inside, acc["s"]).otherwise(F.greatest(end, p - around)).alias("s"),
+            F.when(inside, acc["e"]).otherwise(e).alias("e"),
+            closed.alias("out"),
+        )
+
+    spans = F.reduce(
+        F.filter(parts, lambda x: x["hit"].isNotNull()),
+        start,
+        step,
+        lambda acc: F.when(
+            acc["e"] >= 0,
+            F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))),
+        ).otherwise(acc["out"]),
+    )
+    return F.transform(spans, lambda x: F.substr(t, x["s"] + 1, x["e"] + around - x["s"]))
+
+
 def support_note(text: Column | str, label: str, terms: Iterable[str], ascii_boundary: bool = False) -> Column:
     """quote the first context that suggests support, else say it is mentioned."""
-    body = "|".join(r"\Q" + t + r"\E" for t in terms)
-    context = "(?is)" + ".{0,100}" + bounded(rf"\b({body})\b", ascii_boundary) + ".{0,100}"
-    contexts = F.transform(_all(col(text), context, 0), F.trim)
-    backing = F.filter(contexts, lambda c: c.rlike("(?i)" + "|".join(fixed.SUPPORT_PATTERNS)))
-    quote = F.left(squeeze(F.get(backing, F.lit(0))), F.lit(150))
-    return (
-        F.when(F.size(backing) > 0, F.concat(F.lit(f'{label}: "'), quote, F.lit('..."')))
-        .when(F.size(contexts) > 0, f"{label}: mentioned (verify manually)")
+    pattern = any_word(terms, ascii_boundary)
+    backs = "(?i)" + "|".join(fixed.SUPPORT_PATTERNS)
+
+    def note(found: Column) -> Column:
+        first = F.get(F.filter(found, lambda c: c.rlike(backs)), F.lit(0))
+        quote = F.concat(F.lit(f'{label}: "'), F.left(squeeze(first), F.lit(150)), F.lit('..."'))
+        return F.coalesce(quote, F.lit(f"{label}: mentioned (verify manually)"))
+
+    return F.when(
+        col(text).rlike(pattern), let(F.transform(contexts(text, pattern), F.trim), note)
     )
 
 
@@ -232,7 +283,9 @@ def clean_transcript(text: Column | str, joiner: str = " ", ascii_boundary: bool
 
 def drop_repeats(lines: Column) -> Column:
     """Drop elements equal to the one before."""
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    return let(
+        lines, lambda every: F.filter(every, lambda x, i: (i == 0) | (x != F.get(every, i - 1)))
+    )
 
 
 def strip_fillers(text: Column | str, ascii_boundary: bool = False) -> Column:
@@ -290,13 +343,16 @@ def extractive_summary(text: Column | str, limit: int = fixed.SUMMARY_SENTENCES)
     for p in fixed.INTRO_PATTERNS:
         t = F.regexp_replace(t, "(?i)" + p, "")
     kept = F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 20)
-    joined = F.array_join(F.slice(kept, 1, limit), " ")
-    # Position of the last full stop, counted from the front.
-    last = F.length(joined) - F.locate(".", F.reverse(joined)) + 1
-    cut = F.contains(joined, F.lit(".")) & (last - 1 > F.floor(F.length(joined) / 2))
-    return F.when(
-        (joined != "") & ~joined.rlike(r"[.!?]$") & cut, F.left(joined, last.cast("int"))
-    ).otherwise(joined)
+
+    def whole(joined: Column) -> Column:
+        # Position of the last full stop, counted from the front.
+        last = F.length(joined) - F.locate(".", F.reverse(joined)) + 1
+        cut = F.contains(joined, F.lit(".")) & (last - 1 > F.floor(F.length(joined) / 2))
+        return F.when(
+            (joined != "") & ~joined.rlike(r"[.!?]$") & cut, F.left(joined, last.cast("int"))
+        ).otherwise(joined)
+
+    return let(F.array_join(F.slice(kept, 1, limit), " "), whole)
 
 
 def digest_seconds(text: Column | str) -> Column:

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsmill.functions.arrays import col
-from newsmill.functions.patterns import bounded, quoted
+from newsmill.functions.arrays import col, let
+from newsmill.functions.patterns import word_pattern
 from newsmill.session import small_rows
 
 GRAM = 3
@@ -256,9 +256,46 @@ def first_pattern(
 
 # --- terms in documents -----------------------------------------------------
 
+LONGEST_SHINGLE = 8
+
+
+def _word(ascii_boundary: bool) -> str:
+    return "A-Za-z0-9_" if ascii_boundary else r"\p{L}\p{N}_"
+
+
 def _tokens(text: Column, ascii_boundary: bool) -> Column:
-    word = r"([A-Za-z0-9_]+)" if ascii_boundary else r"([\p{L}\p{N}_]+)"
-    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"([{_word(ascii_boundary)}]+)"), F.lit(1))
+
+
+def _shingles(text: Column, sizes: Sequence[int], ascii_boundary: bool) -> Column:
+    """Runs of 1, 2, ... words of a lower-cased text with what stands between them."""
+    w = _word(ascii_boundary)
+    pair = F.arrays_zip(
+        _tokens(text, ascii_boundary).alias("t"),
+        F.regexp_extract_all(text, F.lit(f"[{w}]+([^{w}]*)"), F.lit(1)).alias("s"),
+    )
+
+    def runs(pairs: Column) -> Column:
+        joined = F.transform(pairs, lambda p: F.concat(p["t"], p["s"]))
+
+        def of_size(k: int) -> Column:
+            if k == 1:
+                return F.transform(pairs, lambda p: p["t"])
+            last = lambda i: F.get(pairs, i + (k - 1))["t"]
+            return let(
+                joined,
+                lambda j: F.filter(
+                    F.transform(
+                        pairs,
+                        lambda p, i: F.concat(F.array_join(F.slice(j, i + 1, F.lit(k - 1)), ""), last(i)),
+                    ),
+                    lambda x: x.isNotNull(),
+                ),
+            )
+
+        return F.concat(*[of_size(k) for k in sizes])
+
+    return let(pair, runs)
 
 
 def term_counts(
@@ -271,36 +308,59 @@ def term_counts(
 ) -> DataFrame:
     """How often each term stands in each document as whole words, case ignored.
 
-    Both term table and documents may be large.  Documents are joined to terms on
-    one token, the one of the term that fewest documents hold; a term of several
-    tokens is then counted in the text of its candidates.
+    Documents and terms may both be large: runs of words are joined to the terms by
+    equality and counted.  Terms that this cannot count right go another way, see
+    :func:`_counted_by_pattern`.
     """
     t = terms.select(F.col(term).alias("_term")).where("_term <> ''").distinct()
-    t = t.withColumn("_parts", F.array_distinct(_tokens(F.col("_term"), ascii_boundary)))
-    t = t.withColumn("_single", F.lower("_term") == F.get("_parts", F.lit(0)))
-    wanted = t.select(F.explode("_parts").alias("_token")).distinct()
-    in_docs = (
-        docs.select(key, F.explode(_tokens(F.col(text), ascii_boundary)).alias("_token"))
-        .groupBy(key, "_token")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(wanted, "_token", "left_semi")
+    t = t.withColumn("_low", F.lower("_term")).withColumn(
+        "_parts", _tokens(F.col("_low"), ascii_boundary)
+    )
+    w = _word(ascii_boundary)
+    # A run starts and ends with a word, and one whose words all differ cannot overlap itself.
+    plain = (
+        F.col("_low").rlike(f"^[{w}](?:.*[{w}])?$")
+        & (F.size("_parts") == F.size(F.array_distinct("_parts")))
+        & (F.size("_parts") <= LONGEST_SHINGLE)
     )
+    t = t.withColumn("_plain", plain)
+    # At most LONGEST_SHINGLE + 1 rows.
+    sizes = t.select(F.when(F.col("_plain"), F.size("_parts")).alias("k")).distinct().collect()
+    wanted = sorted(r.k for r in sizes if r.k is not None)
+    out = None
+    if wanted:
+        runs = docs.select(
+            key, F.explode(_shingles(F.lower(text), wanted, ascii_boundary)).alias("_low")
+        )
+        hits = skew_join(runs, t.where("_plain").select("_low", "_term"), "_low")
+        out = hits.groupBy(key, F.col("_term").alias(term)).agg(F.count(F.lit(1)).alias("n"))
+    if any(r.k is None for r in sizes):
+        rest = _counted_by_pattern(docs, t.where("not _plain"), key, text, term, ascii_boundary)
+        out = rest if out is None else out.unionByName(rest)
+    if out is None:
+        out = docs.select(key, F.lit("").alias(term), F.lit(0).cast("long").alias("n")).where("false")
+    return out
+
+
+def _counted_by_pattern(
+    docs: DataFrame, t: DataFrame, key: str, text: str, term: str, ascii_boundary: bool
+) -> DataFrame:
+    """Counts by regular expression in the documents that hold the rarest word of a term."""
+    words = t.select("_term", F.explode(F.array_distinct("_parts")).alias("_token"))
+    in_docs = docs.select(
+        key, F.explode(F.array_distinct(_tokens(F.lower(text), ascii_boundary))).alias("_token")
+    ).join(words.select("_token").distinct(), "_token", "left_semi")
     shares = in_docs.groupBy("_token").agg(F.count(F.lit(1)).alias("_docs"))
     chosen = (
-        t.select("_term", "_single", F.explode("_parts").alias("_token"))
-        .join(shares, "_token")
-        .groupBy("_term", "_single")
+        words.join(shares, "_token")
+        .groupBy("_term")
         .agg(F.min_by("_token", F.struct("_docs", "_token")).alias("_token"))
     )
-    hits = skew_join(in_docs, chosen, "_token")
-    single = hits.where("_single").select(key, F.col("_term").alias(term), F.col("_n").alias("n"))
-    edge = bounded(r"\b", ascii_boundary)
-    pattern = F.concat(F.lit("(?i)" + edge), quoted(F.col("_term")), F.lit(edge))
-    several = (
-        hits.where("not _single")
+    pattern = word_pattern(F.col("_term"), ascii_boundary)
+    return (
+        skew_join(in_docs, chosen, "_token")
         .select(key, "_term")
         .join(docs.select(key, text), key)
         .select(key, F.col("_term").alias(term), F.regexp_count(F.col(text), pattern).cast("long").alias("n"))
         .where("n > 0")
     )
-    return single.unionByName(several)

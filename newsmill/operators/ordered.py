@@ -29,11 +29,12 @@ def chunked(
 
 def _border_join(rows: DataFrame, borders: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the state at the start of each (key, chunk)."""
-    on = [rows[k].eqNullSafe(borders[k]) for k in keys] + [rows[CHUNK] == borders[CHUNK]]
-    joined = rows.join(borders, on, "left")
-    for name in [*keys, CHUNK]:
-        joined = joined.drop(borders[name])
-    return joined
+    on = [*keys, CHUNK]
+    named = borders.select(
+        *[F.col(k).alias(f"_at_{k}") for k in on], *[c for c in borders.columns if c not in on]
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys] + [F.col(CHUNK) == F.col(f"_at_{CHUNK}")]
+    return rows.join(named, same, "left").drop(*[f"_at_{k}" for k in on])
 
 
 def running_totals(

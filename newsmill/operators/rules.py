@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsmill.functions.arrays import col, contains_any_of, strings
+from newsmill.functions.arrays import col, contains_any_of, let, strings
 from newsmill.functions.urls import bare_host, netloc
 from newsmill.operators.joins import first_pattern
 
@@ -78,7 +78,7 @@ def reject_reason(
     combined = F.lower(F.concat_ws(" ", *[F.coalesce(col(x), F.lit("")) for x in (url, text, context)]))
     host = netloc(u)
     on = lambda name: F.size(rule[name]) > 0
-    in_host = lambda name: F.exists(rule[name], lambda d: F.contains(host, d))
+    in_host = lambda name: let(host, lambda h: F.exists(rule[name], lambda d: F.contains(h, d)))
     no_url = F.coalesce(F.trim(u), F.lit("")).isin("", "#")
     return (
         F.when(rule["require_url"] & no_url, "no_url")
@@ -98,8 +98,7 @@ def columns_of(df: DataFrame) -> dict[str, Column]:
 # --- shared predicates (P23, P19) -------------------------------------------
 
 def is_blocked(url: Column | str, domains: Column) -> Column:
-    host = bare_host(url)
-    return F.exists(domains, lambda d: F.contains(host, F.lower(d)))
+    return contains_any_of(bare_host(url), domains)
 
 
 def is_excluded(text: Column | str, patterns: Column) -> Column:
@@ -120,7 +119,7 @@ def is_trusted(href: Column | str, section: Column | str, allowed: Column, exemp
     h = F.lower(F.coalesce(col(href), F.lit("")))
     return (
         (F.size(allowed) == 0)
-        | F.exists(allowed, lambda d: F.contains(h, d))
+        | let(h, lambda x: F.exists(allowed, lambda d: F.contains(x, d)))
         | F.array_contains(exempt, F.lower(col(section)))
     )
 

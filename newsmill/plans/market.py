@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
-from newsmill.functions.arrays import any_of
+from newsmill.functions.arrays import any_of, let
 from newsmill.operators import rules as rl
 from newsmill.operators.dedup import keep_first, keep_first_prefix
 from newsmill.operators.joins import resolve_redirects
@@ -22,16 +22,19 @@ def _in_section(lines: Column, is_start, ends) -> Column:
 
     A line belongs to a section when the last marker line before it is a start.
     """
-    marks = F.filter(
+    found = F.filter(
         F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda m: is_start(m["x"]) | any_of(F.contains(m["x"], F.lit(e)) for e in ends),
     )
 
-    def inside(x: Column, i: Column) -> Column:
-        last = F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))
-        return ~is_start(x) & (last["i"] < i) & F.coalesce(is_start(last["x"]), F.lit(False))
+    def pick(marks: Column) -> Column:
+        def inside(x: Column, i: Column) -> Column:
+            last = F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))
+            return ~is_start(x) & (last["i"] < i) & F.coalesce(is_start(last["x"]), F.lit(False))
 
-    return F.filter(lines, inside)
+        return F.filter(lines, inside)
+
+    return let(found, pick)
 
 
 def section_lines(pages: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def title_sql(text: str) -> str:
     """Capitalise runs of letters."""
     return (
         f"array_to_string(list_transform(regexp_extract_all({text}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
-        "lambda w: upper(w[1:1]) || lower(w[2:])), '')"
+        "lambda w: replace(upper(w[1:1]), 'ẞ', 'Ss') || lower(w[2:])), '')"
     )
 
 
@@ -210,14 +210,15 @@ CALLS = """calls AS (
          CAST(floor(value * 1000) AS BIGINT) AS input_chars, CAST(floor(value * 100) AS BIGINT) AS output_chars
   FROM events)"""
 
-COST = """round(input_chars / 4.0::DOUBLE * (CASE WHEN contains(model, 'gemini-2.5-flash') THEN 0.15::DOUBLE
+_RAW_COST = """input_chars / 4.0::DOUBLE * (CASE WHEN contains(model, 'gemini-2.5-flash') THEN 0.15::DOUBLE
       WHEN contains(model, 'gemini-2.5-pro') THEN 1.25::DOUBLE WHEN contains(model, 'gemini-2.0-flash') THEN 0.10::DOUBLE
       WHEN contains(model, 'gemini-1.5-flash') THEN 0.075::DOUBLE WHEN contains(model, 'gemini-1.5-pro') THEN 1.25::DOUBLE
       ELSE 0.10::DOUBLE END) / 1000000
    + output_chars / 4.0::DOUBLE * (CASE WHEN contains(model, '2.5') THEN 5 ELSE 1 END)
      * (CASE WHEN contains(model, 'gemini-2.5-flash') THEN 0.60::DOUBLE WHEN contains(model, 'gemini-2.5-pro') THEN 10.0::DOUBLE
         WHEN contains(model, 'gemini-2.0-flash') THEN 0.40::DOUBLE WHEN contains(model, 'gemini-1.5-flash') THEN 0.30::DOUBLE
-        WHEN contains(model, 'gemini-1.5-pro') THEN 5.0::DOUBLE ELSE 0.40::DOUBLE END) / 1000000, 6)"""
+        WHEN contains(model, 'gemini-1.5-pro') THEN 5.0::DOUBLE ELSE 0.40::DOUBLE END) / 1000000"""
+COST = f"CAST(round(CAST(CAST({_RAW_COST} AS VARCHAR) AS DECIMAL(38,26)), 6) AS DOUBLE)"
 PRICED = f"{CALLS}, priced AS (SELECT *, {COST} AS cost FROM calls)"
 
 

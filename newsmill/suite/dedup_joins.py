@@ -1 +1,525 @@
-"""Queries."""
+"""J, W1-W2, W5, W7, W9-W13, O and U rows of the inventory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsmill import fixed
+from newsmill.functions import markup, urls
+from newsmill.functions.arrays import strings
+from newsmill.operators import dedup, digest as dg, entities as en, joins, load, ordered, rules as rl, schedule
+from newsmill.suite.base import (
+    LINKS, NEWS, case_of, clean_url_sql, has_any, links, lst, netloc_sql, news, no_comments_sql, plain_sql, q, query,
+    stamp, stamp_sql, table, title_sql,
+)
+from newsmill.suite.functions import keyword_ctes, score_sql
+from newsmill.suite.predicates import AS_OF, LINES, PAGE_ITEMS, SHEET, TASKS, doc_lines, page_items, sheet, tasks
+
+CLEAN = clean_url_sql("url", fixed.TRACKING_NAMES)
+
+
+# --- joins ------------------------------------------------------------------
+
+@query(
+    "j1_new_urls",
+    f"WITH {PAGE_ITEMS} SELECT page_id FROM page_items WHERE trim(url) NOT IN (SELECT trim(url) FROM page_items WHERE category IN ('en', 'de'))",
+)
+def j1(spark, sf):
+    items = page_items(spark, sf)
+    return joins.new_rows(items, items.where("category in ('en', 'de')")).select("page_id")
+
+
+@query(
+    "j2_rule_lookup",
+    f"""SELECT page_id, CASE WHEN contains(lower(url), 'blog.') THEN 'blogs' WHEN contains(lower(url), 'example.org') THEN 'orgs'
+      WHEN contains(lower(url), '/fr/') THEN 'french' END AS rule_name,
+      CASE WHEN contains(lower(url), 'blog.') THEN 1 WHEN contains(lower(url), 'example.org') THEN 2 ELSE 0 END AS patterns FROM pages""",
+)
+def j2(spark, sf):
+    return rl.attach_rules(table(spark, sf, "pages"), rule_table(spark)).select(
+        "page_id", "rule_name", F.size("exclude_patterns").alias("patterns")
+    )
+
+
+def rule_table(spark):
+    return spark.createDataFrame(
+        [
+            (1, "blogs", ["Blog."], ["spam"], True),
+            (2, "orgs", ["example.org"], ["spam", "pills"], False),
+            (3, "french", ["/fr/"], [], False),
+        ],
+        "rule_order int, name string, source_url_patterns array<string>, exclude_patterns array<string>, require_url boolean",
+    )
+
+
+@query(
+    "j2_rule_lookup_large",
+    """WITH hosts AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages)
+     SELECT p.page_id, arg_min(h.page_id, h.page_id) AS rule_page FROM pages p LEFT JOIN hosts h ON contains(lower(p.url), lower(h.host)) GROUP BY p.page_id""",
+)
+def j2b(spark, sf):
+    # As many rule sets as pages: the substring join runs on grams.
+    p = table(spark, sf, "pages")
+    patterns = p.select(urls.netloc("url").alias("pattern"), F.col("page_id").alias("priority"), F.col("page_id").alias("rule_page"))
+    return joins.first_pattern(p, "url", patterns, values=["rule_page"], inline_rows=0).select("page_id", "rule_page")
+
+
+# A catalogue of entities: the capitalised words of the benchmark passages, with pairs.
+CATALOGUE = """words AS (SELECT item_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{2,})\\b', 1)) AS w, unnest(range(len(regexp_extract_all(text, '\\b([A-Z][a-z]{2,})\\b', 1)))) AS pos FROM benchmark),
+  catalogue AS (SELECT 'e' || item_id || '-' || pos AS entity_id, ['profile', 'product', 'asset', 'entity'][1 + item_id % 4] AS type,
+     CASE WHEN pos % 3 = 0 THEN w WHEN pos % 3 = 1 THEN w || ' Token' ELSE 'New ' || w END AS name, 'About ' || w || ' of ' || item_id AS description, upper(w[1:3]) AS ticker FROM words)"""
+
+
+def catalogue(spark, sf):
+    from newsmill.functions.patterns import bounded
+
+    b = table(spark, sf, "benchmark").select(
+        "item_id", F.posexplode(F.regexp_extract_all("text", F.lit(bounded(r"\b([A-Z][a-z]{2,})\b", True)), F.lit(1))).alias("pos", "w")
+    )
+    iid, pos = F.col("item_id"), F.col("pos")
+    return b.select(
+        F.concat(F.lit("e"), iid.cast("string"), F.lit("-"), pos.cast("string")).alias("entity_id"),
+        F.get(strings(en.TYPES), (iid % 4).cast("int")).alias("type"),
+        F.when(pos % 3 == 0, F.col("w")).when(pos % 3 == 1, F.concat("w", F.lit(" Token")))
+        .otherwise(F.concat(F.lit("New "), "w")).alias("name"),
+        F.concat(F.lit("About "), "w", F.lit(" of "), iid.cast("string")).alias("description"),
+        F.upper(F.left("w", F.lit(3))).alias("ticker"),
+    )
+
+
+DOC_ITEMS = "doc_items AS (SELECT doc_id, text || ' ' || source AS full_text FROM documents)"
+
+
+def doc_items(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"), F.col("source").alias("description"))
+
+
+MATCHES = f"""{DOC_ITEMS}, {keyword_ctes('doc_items', 'doc_id', 'full_text')}, {CATALOGUE},
+  kx AS (SELECT doc_id, lower(t) AS t, unnest(kws) AS keyword, unnest(range(len(kws))) AS pos FROM kw),
+  cat AS (SELECT *, lower(name) AS n, list_position(['profile', 'product', 'asset', 'entity'], type) AS rank FROM catalogue),
+  cand AS (SELECT kx.doc_id, kx.t, keyword, pos, cat.* FROM kx JOIN cat ON contains(n, lower(keyword)) OR contains(lower(description), lower(keyword))),
+  scored AS (SELECT *, {score_sql('n', 'lower(keyword)', 't')} AS score FROM cand),
+  matches AS (SELECT * FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY pos, rank, entity_id) = 1)"""
+
+
+def doc_matches(spark, sf):
+    return en.match_entities(doc_items(spark, sf), catalogue(spark, sf), ["doc_id"], ascii_boundary=True)
+
+
+@query("j3_entity_match", f"WITH {MATCHES} SELECT doc_id, keyword, entity_id, name, score FROM matches")
+def j3(spark, sf):
+    return doc_matches(spark, sf).select("doc_id", "keyword", "entity_id", "name", "score")
+
+
+# Redirects: every page URL leads to the one of the page numbered half as high.
+REDIRECTS = """redirects AS (SELECT a.url, b.url AS target FROM pages a JOIN pages b ON b.page_id = a.page_id // 2 WHERE a.page_id % 2 = 0)"""
+
+
+def redirects(spark, sf):
+    p = table(spark, sf, "pages")
+    a = p.where("page_id % 2 = 0").select("url", F.floor(F.col("page_id") / 2).alias("to"))
+    return a.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").select("url", "target")
+
+
+@query(
+    "j4_redirects",
+    f"""WITH RECURSIVE {REDIRECTS}, r AS (SELECT url, min(target) AS target FROM redirects WHERE url <> target GROUP BY url),
+     walk(page_id, cur, hops) AS (SELECT page_id, url, 0 FROM pages UNION ALL SELECT w.page_id, r.target, hops + 1 FROM walk w JOIN r ON r.url = w.cur WHERE hops < 30),
+     ends AS (SELECT page_id, arg_max(cur, hops) AS cur, max(hops) AS hops FROM walk GROUP BY page_id)
+    SELECT page_id, CASE WHEN hops <= 8 THEN cur ELSE p.url END AS final_url FROM ends JOIN pages p USING (page_id)""",
+)
+def j4(spark, sf):
+    return joins.resolve_redirects(table(spark, sf, "pages").select("page_id", "url"), redirects(spark, sf)).select(
+        "page_id", "final_url"
+    )
+
+
+@query("j5_unseen_ids", "SELECT e.event_id FROM events e WHERE e.event_id NOT IN (SELECT doc_id FROM labels)")
+def j5(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("event_id").cast("string").alias("id"))
+    seen = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return joins.new_rows(e, seen, "id").select("event_id")
+
+
+@query(
+    "j6_uncovered_posts",
+    f"""WITH {NEWS}, c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_returnflag = 'R')
+     SELECT item_id FROM news WHERE published_date IS NULL OR CAST(published_date AS DATE) NOT IN (SELECT d FROM c)""",
+)
+def j6(spark, sf):
+    posts = news(spark, sf).select("item_id", F.to_date("published_date").alias("date"))
+    have = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.to_date("l_shipdate").alias("date"))
+    return joins.uncovered(posts, have).select("item_id")
+
+
+@query(
+    "j7_price_lookup",
+    "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 1.5 WHEN contains(lower(p_name), 'ring') THEN 2.5 WHEN contains(lower(p_name), 'e') THEN 3.5 ELSE 9.0 END AS price FROM part",
+)
+def j7(spark, sf):
+    prices = spark.createDataFrame([(1, "red", 1.5), (2, "Ring", 2.5), (3, "e", 3.5)], "priority int, model_pattern string, price double")
+    out = joins.first_pattern(table(spark, sf, "part"), "p_name", prices, "model_pattern", "priority", ["price"])
+    return out.select("p_partkey", F.coalesce("price", F.lit(9.0)).alias("price"))
+
+
+@query("j8_named_sources", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def j8(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("name"))
+    names = table(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("name"))
+    return joins.named_only(c, names).select("c_custkey")
+
+
+@query(
+    "j9_retitle",
+    f"""WITH {PAGE_ITEMS} SELECT page_id, CASE WHEN page_id % 3 = 0 THEN title ELSE title[1:10] || CASE WHEN page_id % 3 = 1 THEN '...' ELSE '' END END AS title FROM page_items
+     WHERE page_id % 3 <> 1 UNION ALL SELECT page_id, CASE WHEN title <> '' THEN title ELSE title[1:10] || '...' END FROM page_items WHERE page_id % 3 = 1""",
+)
+def j9(spark, sf):
+    items = page_items(spark, sf)
+    k = F.col("page_id") % 3
+    cut = F.left("title", F.lit(10))
+    target = items.select(
+        "page_id", "url",
+        F.when(k == 0, F.col("title")).when(k == 1, F.concat(cut, F.lit("..."))).otherwise(cut).alias("title"),
+    )
+    posts = items.select(F.concat(F.col("url"), F.lit(" ")).alias("url"), "title", F.col("page_id").alias("pos"))
+    return joins.update_titles(target, posts).select("page_id", "title")
+
+
+@query(
+    "j10_write_back",
+    f"WITH {SHEET} SELECT row_no, CASE WHEN l.quality = 0 THEN 'checked' ELSE s.title END AS title FROM sheet s LEFT JOIN labels l ON l.doc_id = s.row_no",
+)
+def j10(spark, sf):
+    updates = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("row_no"), F.lit("checked").alias("title"))
+    return joins.update_columns(sheet(spark, sf), updates, "row_no", ["title"]).select("row_no", "title")
+
+
+@query(
+    "j11_reconcile",
+    """SELECT coalesce(o.k, l.k) AS task_id, strftime(greatest(o.d, l.d), '%Y-%m-%d') AS last_run FROM (SELECT o_custkey AS k, max(o_orderdate) AS d FROM orders GROUP BY 1) o
+     FULL JOIN (SELECT l_suppkey AS k, max(l_shipdate) AS d FROM lineitem GROUP BY 1) l ON l.k = o.k""",
+)
+def j11(spark, sf):
+    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task_id")).agg(F.max("o_orderdate").alias("last_run"))
+    b = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("task_id")).agg(F.max("l_shipdate").alias("last_run"))
+    return joins.later_state(a, b).select("task_id", F.date_format("last_run", "yyyy-MM-dd").alias("last_run"))
+
+
+_HOST = f"replace(lower({netloc_sql('u')}), 'www.', '')"
+
+
+@query(
+    "j12_lookups",
+    f"""WITH s AS (SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'https://www.reuters.com/' || page_id WHEN contains(url, '/de/') THEN 'https://markets.ft.com/x' ELSE url END AS u FROM pages)
+    SELECT page_id, {case_of(_HOST, fixed.SOURCE_NAMES.items(), title_sql("split_part(" + _HOST + ", '.', 1)"))} AS display,
+      {case_of(_HOST, fixed.SOURCE_ABBREVIATIONS.items(), "upper(split_part(" + _HOST + ", '.', 1))[1:6]")} AS code,
+      CASE WHEN page_id % 2 = 0 THEN 'Bitcoin' END AS ticker, CASE WHEN page_id % 2 = 0 THEN 'bitcoin' END AS alias FROM s""",
+)
+def j12(spark, sf):
+    u = (
+        F.when(F.contains("url", F.lit("/en/")), F.concat(F.lit("https://www.reuters.com/"), F.col("page_id").cast("string")))
+        .when(F.contains("url", F.lit("/de/")), "https://markets.ft.com/x").otherwise(F.col("url"))
+    )
+    ticker = F.when(F.col("page_id") % 2 == 0, "BTC").otherwise("ZZZ")
+    return table(spark, sf, "pages").select(
+        "page_id", urls.source_display_name(u).alias("display"), urls.source_abbreviation(u).alias("code"),
+        urls.ticker_name(ticker).alias("ticker"), urls.alias_name(ticker).alias("alias"),
+    )
+
+
+TERMS = "terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+ [A-Za-z]+|[A-Za-z]+')) AS term FROM benchmark)"
+
+
+def terms(spark, sf):
+    return table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+ [A-Za-z]+|[A-Za-z]+)"), F.lit(1))).alias("term")
+    ).distinct()
+
+
+@query(
+    "j13_term_counts",
+    f"""WITH {TERMS}, pairs AS (SELECT d.doc_id, t.term, len(regexp_extract_all(d.text, '(?i)\\b' || t.term || '\\b')) AS n FROM documents d JOIN terms t ON contains(lower(d.text), lower(t.term)))
+    SELECT doc_id, term, n FROM pairs WHERE n > 0""",
+)
+def j13(spark, sf):
+    return joins.term_counts(table(spark, sf, "documents"), terms(spark, sf), ascii_boundary=True)
+
+
+@query("j14_contained_headlines")
+def j14(spark, sf):
+    heads = F.transform(F.filter(markup.text_lines("html"), lambda x: F.length(x) >= 15), lambda x: x)
+    p = table(spark, sf, "pages").select("page_id", dedup.drop_contained(heads).alias("h"))
+    return p.select("page_id", F.posexplode("h").alias("pos", "headline"))
+
+
+@query(
+    "j15_flags",
+    "SELECT d.doc_id, l.doc_id IS NOT NULL AS has_label FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id",
+)
+def j15(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return joins.flag_present(d, table(spark, sf, "labels"), ["doc_id"], "has_label")
+
+
+# --- W: keep first, carried state, ranges -----------------------------------
+
+@query(
+    "w1_keep_first",
+    f"""WITH {LINKS}, c AS (SELECT page_id, pos, href FROM links) SELECT page_id, pos, href FROM c
+    QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""",
+)
+def w1(spark, sf):
+    return dedup.keep_first(links(spark, sf), ["page_id", "href"], ["pos"]).select("page_id", "pos", "href")
+
+
+@query(
+    "w1_keep_first_text",
+    "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text[1:50]) ORDER BY doc_id) = 1",
+)
+def w1b(spark, sf):
+    return dedup.keep_first_prefix(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id")
+
+
+@query(
+    "w1_keep_missing_keys",
+    f"""WITH {SHEET} SELECT row_no FROM sheet WHERE url = '' UNION ALL (SELECT row_no FROM sheet WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY row_no) = 1)""",
+)
+def w1c(spark, sf):
+    return dedup.keep_first(sheet(spark, sf), ["url"], ["row_no"], keep_null_keys=True).select("row_no")
+
+
+@query(
+    "w2_carry_header",
+    f"""WITH {LINES} SELECT doc_id, pos, coalesce(last_value(CASE WHEN length(line) < 100 AND line <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), 'General') AS section FROM lines""",
+)
+def w2(spark, sf):
+    lines = doc_lines(spark, sf)
+    header = F.when((F.length("line") < 100) & (F.col("line") != ""), F.col("line"))
+    return ordered.carry_forward(lines, ["doc_id"], ["pos"], header, "section", "General").select("doc_id", "pos", "section")
+
+
+@query(
+    "w2_page_sections",
+    f"""WITH b AS (SELECT page_id, string_split(regexp_replace({no_comments_sql('html')}, '<(h1|p|li)(?:\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'gi'), chr(1))[2:] AS bs FROM pages),
+     x AS (SELECT page_id, unnest(range(len(bs))) AS pos, lower(split_part(unnest(bs), chr(2), 1)) AS tag, {plain_sql("regexp_replace(split_part(unnest(bs), chr(2), -1), '</(h1|p|li)\\s*>.*$', '', 'is')")} AS text FROM b),
+     y AS (SELECT *, tag = 'h1' AND text <> '' AND length(text) < 100 AS header FROM x),
+     z AS (SELECT *, coalesce(last_value(CASE WHEN header THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos), 'General') AS section FROM y)
+    SELECT page_id, pos, section, length(text) AS chars FROM z WHERE NOT header""",
+)
+def w2b(spark, sf):
+    b = table(spark, sf, "pages").select("page_id", markup.blocks("html", ("h1", "p", "li")).alias("b"))
+    b = b.select("page_id", F.explode(markup.with_sections(F.col("b"), markup.is_heading)).alias("x"))
+    return b.select("page_id", F.col("x.pos").alias("pos"), F.col("x.section").alias("section"), F.length("x.text").alias("chars"))
+
+
+@query(
+    "w5_per_source_cap",
+    "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
+)
+def w5(spark, sf):
+    return ordered.last_rows(table(spark, sf, "documents"), ["source"], [F.col("doc_id")], 10).select("doc_id", "source")
+
+
+@query(
+    "w7_blank_ranges",
+    f"""WITH {SHEET}, b AS (SELECT row_no, row_no - row_number() OVER (ORDER BY row_no) AS run FROM sheet WHERE url = '')
+    SELECT min(row_no) AS start, max(row_no) AS "end", count(*) AS size FROM b GROUP BY run""",
+)
+def w7(spark, sf):
+    return ordered.islands(sheet(spark, sf).where("url = ''"), [], "row_no")
+
+
+@query(
+    "w9_repeated_lines",
+    f"""WITH {LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM lines) SELECT doc_id, pos FROM p WHERE prev IS NULL OR line <> prev""",
+)
+def w9(spark, sf):
+    return ordered.drop_consecutive(doc_lines(spark, sf), ["doc_id"], ["pos"], "line").select("doc_id", "pos")
+
+
+@query(
+    "w10_section_ends",
+    f"""WITH {LINES}, m AS (SELECT doc_id, pos, line FROM lines WHERE length(line) < 60 AND line <> '') SELECT doc_id, pos,
+      lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS section_end FROM m""",
+)
+def w10(spark, sf):
+    lines = doc_lines(spark, sf)
+    marks = lines.where((F.length("line") < 60) & (F.col("line") != "")).withColumn("back", -F.col("pos"))
+    ends = ordered.lookback(marks, ["doc_id"], ["back"], F.col("pos"), 1, "next")
+    return ends.select("doc_id", "pos", F.get("next", F.lit(0)).alias("section_end"))
+
+
+@query(
+    "w11_missing_days",
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT'), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+     SELECT strftime(day, '%Y-%m-%d') AS day FROM s WHERE day NOT IN (SELECT day FROM d)""",
+)
+def w11(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return ordered.missing_days(o, F.to_date("o_orderdate")).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "w12_best_link",
+    f"""WITH {LINKS}, a AS (SELECT page_id, pos, href, (length(trim(href, '/')) > 8) AS art FROM links)
+    SELECT page_id, href FROM (SELECT page_id, 'https://x.example.com' || CASE WHEN art THEN '/a' ELSE '' END || href AS href, row_number() OVER (PARTITION BY page_id ORDER BY art DESC, pos DESC) AS r FROM a) t WHERE r = 1""",
+)
+def w12(spark, sf):
+    from newsmill.sources.pages import best_link
+
+    hrefs = F.transform(
+        markup.links("html"),
+        lambda a: F.concat(
+            F.lit("https://x.example.com"),
+            F.when(F.length(F.trim(a["href"], F.lit("/"))) > 8, "/a").otherwise(""), a["href"],
+        ),
+    )
+    return table(spark, sf, "pages").select("page_id", hrefs.alias("h")).select("page_id", best_link(F.col("h")).alias("href"))
+
+
+@query(
+    "w13_cursor",
+    """SELECT event_id, coalesce(value >= lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS stalled FROM events""",
+)
+def w13(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return ordered.not_decreasing(e, ["user_id"], ["ts", "event_id"], "value").select("event_id", "stalled")
+
+
+# --- O and U ----------------------------------------------------------------
+
+@query(
+    "o1_newest_first",
+    f"WITH {NEWS} SELECT row_number() OVER (ORDER BY published_date DESC NULLS LAST, item_id) AS place, item_id FROM news",
+)
+def o1(spark, sf):
+    # The order is checked through row numbers, which are counted without one big task.
+    n = news(spark, sf).withColumn(
+        "k", F.coalesce(F.negate(F.unix_micros("published_date")), F.lit(2**62))
+    )
+    return ordered.row_numbers(n.select("item_id", "k"), [], ["k", "item_id"], "place").select("place", "item_id")
+
+
+@query(
+    "o2_oldest_first",
+    f"WITH {NEWS} SELECT row_number() OVER (ORDER BY published_date ASC NULLS FIRST, item_id) AS place, item_id FROM news",
+)
+def o2(spark, sf):
+    n = news(spark, sf).withColumn("k", F.coalesce(F.unix_micros("published_date"), F.lit(-(2**62))))
+    return ordered.row_numbers(n.select("item_id", "k"), [], ["k", "item_id"], "place").select("place", "item_id")
+
+
+@query(
+    "o3_archive_reversal",
+    f"WITH {LINKS} SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) AS place FROM links",
+)
+def o3(spark, sf):
+    back = links(spark, sf).select("page_id", "href", (-F.col("pos")).alias("back"))
+    return ordered.row_numbers(back, ["page_id"], ["back"], "place").select("page_id", "href", "place")
+
+
+@query(
+    "o4_sort_target",
+    f"""WITH {PAGE_ITEMS}, t AS (SELECT page_id, CASE WHEN category = 'en' THEN '' ELSE url END AS date_published FROM page_items)
+    SELECT date_published FROM t ORDER BY nullif(date_published, '') DESC NULLS LAST""",
+)
+def o4(spark, sf):
+    t = page_items(spark, sf).select(F.when(F.col("category") == "en", "").otherwise(F.col("url")).alias("date_published"))
+    return load.sort_target(t)
+
+
+@query("o5_fetch_limit", f"WITH {NEWS} SELECT item_id FROM news ORDER BY published_date DESC NULLS LAST, item_id LIMIT 25")
+def o5(spark, sf):
+    return news(spark, sf).orderBy(F.col("published_date").desc_nulls_last(), "item_id").limit(25).select("item_id")
+
+
+@query(
+    "o6_top_subjects",
+    """WITH k AS (SELECT doc_id, regexp_extract_all(text, '\\b([A-Z][a-z]{3,})\\b', 1) AS n FROM documents)
+    SELECT doc_id, array_to_string(n[1:3], ', ') || CASE WHEN len(n) > 3 THEN ' (+' || (len(n) - 3) || ' more)' ELSE '' END AS subjects FROM k""",
+)
+def o6(spark, sf):
+    from newsmill.functions.patterns import bounded
+
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.regexp_extract_all("text", F.lit(bounded(r"\b([A-Z][a-z]{3,})\b", True)), F.lit(1)).alias("n")
+    )
+    return d.select("doc_id", en.top_subjects(F.col("n")).alias("subjects"))
+
+
+@query("o7_newest_media", "SELECT 'audio_' || o_orderkey || '.mp3' AS name FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
+def o7(spark, sf):
+    from newsmill.suite.predicates import media
+
+    return media(spark, sf).orderBy(F.desc("modified"), F.desc("o_orderkey")).limit(10).select("name")
+
+
+@query(
+    "o8_ranked_candidates",
+    f"WITH {MATCHES} SELECT doc_id, string_agg(name, ', ' ORDER BY score DESC, pos, rank, entity_id) AS names FROM matches GROUP BY doc_id",
+)
+def o8(spark, sf):
+    return en.match_summary(doc_matches(spark, sf), ["doc_id"]).select("doc_id", F.col("grid_subjects").alias("names"))
+
+
+@query("u1_concatenate", f"WITH {LINKS}, {PAGE_ITEMS} SELECT page_id, url FROM links UNION ALL SELECT page_id, url FROM page_items")
+def u1(spark, sf):
+    return links(spark, sf).select("page_id", "url").unionByName(page_items(spark, sf).select("page_id", "url"))
+
+
+@query(
+    "u2_union_distinct",
+    f"""WITH {LINKS}, u AS (SELECT href AS u, page_id, pos FROM links UNION ALL SELECT url, page_id, -1 FROM pages)
+    SELECT u AS url, page_id FROM u QUALIFY row_number() OVER (PARTITION BY u ORDER BY page_id, pos) = 1""",
+)
+def u2(spark, sf):
+    a = links(spark, sf).select(F.col("href").alias("url"), "page_id", "pos")
+    b = table(spark, sf, "pages").select("url", "page_id", F.lit(-1).alias("pos"))
+    return dedup.keep_first(a.unionByName(b), ["url"], ["page_id", "pos"]).select("url", "page_id")
+
+
+@query("u3_column_plan", "SELECT n_nationkey, 'FALSE' AS \"Added\", n_name AS title, '' AS zone FROM nation")
+def u3(spark, sf):
+    # The plan puts canonical columns first, then extras by name, then what a file already has.
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("title"))
+    columns = load.output_columns(["title"], ["Added", "zone"])
+    assert columns[-2:] == ["Added", "zone"] and columns[:2] == ["title", "url"]
+    aligned = load.align_keep(n, columns, "n_nationkey")
+    return aligned.select("n_nationkey", "Added", "title", "zone")
+
+
+@query(
+    "u4_domain_union",
+    "SELECT l.doc_id, CASE WHEN quality = 1 THEN 'a.com,b.com,c.com' ELSE 'b.com,c.com' END AS domains FROM labels l",
+)
+def u4(spark, sf):
+    mine = F.when(F.col("quality") == 1, strings(["a.com", "b.com"])).otherwise(strings(["b.com"]))
+    return table(spark, sf, "labels").select(
+        "doc_id", F.array_join(rl.add_domains(mine, strings(["b.com", "c.com"])), ",").alias("domains")
+    )
+
+
+@query(
+    "u5_word_difference",
+    """SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(p_name || ' of the ' || p_type, ' ')), lambda w: NOT list_contains(['the', 'of', 'red'], w))), ' ') AS extra FROM part""",
+)
+def u5(spark, sf):
+    w = F.split(F.concat("p_name", F.lit(" of the "), "p_type"), " ")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.array_join(F.array_sort(F.array_except(w, strings(["the", "of", "red"]))), " ").alias("extra")
+    )
+
+
+@query(
+    "u6_override_merge",
+    "SELECT doc_id, CASE WHEN toxic = 1 THEN 'over' ELSE 'base' END AS a, 'base' AS b, CASE WHEN toxic = 1 THEN 'over' END AS c FROM labels",
+)
+def u6(spark, sf):
+    base = F.create_map(F.lit("a"), F.lit("base"), F.lit("b"), F.lit("base"))
+    over = F.map_filter(F.create_map(F.lit("a"), F.lit("over"), F.lit("c"), F.lit("over")), lambda k, v: F.col("toxic") == 1)
+    m = rl.merge_maps(base, over)
+    return table(spark, sf, "labels").select("doc_id", *[F.try_element_at(m, F.lit(k)).alias(k) for k in "abc"])
+
+
+_ = (AS_OF, CLEAN, TASKS, dg, has_any, lst, q, schedule, stamp, stamp_sql, tasks)

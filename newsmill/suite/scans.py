@@ -1 +1,434 @@
-"""Queries."""
+"""S rows of the inventory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsmill import fixed
+from newsmill.functions import markup, urls
+from newsmill.operators import digest as dg, load, schedule
+from newsmill.session import scratch
+from newsmill.sources import feeds as fd, pages as pg, registry, state
+from newsmill.suite.base import (
+    LINKS, NEWS, absolute_sql, clean_url_sql, links, netloc_sql, news, path_sql, q, query, squeeze_sql, table, title_sql,
+)
+from newsmill.suite.predicates import PAGE_ITEMS, SHEET, media, page_items, sheet
+
+
+@query(
+    "s1_source_registry",
+    f"""SELECT page_id, url, page_id % 3 <> 0 AS enabled, CASE WHEN page_id % 2 = 0 THEN 'newsletter' ELSE 'article_archive' END AS type,
+      CASE WHEN page_id % 2 = 0 THEN {netloc_sql('url')} END AS name FROM pages""",
+)
+def s1(spark, sf):
+    # One registry document per page: objects for even numbers, bare URLs or typeless objects else.
+    pid = F.col("page_id")
+    entry = F.when(
+        pid % 2 == 0,
+        F.to_json(F.struct("url", (pid % 3 != 0).alias("enabled"), F.lit("newsletter").alias("type"), urls.netloc("url").alias("name"))),
+    ).otherwise(F.to_json(F.struct("url", (pid % 3 != 0).alias("enabled"))))
+    doc = F.when(pid % 4 < 2, F.concat(F.lit("["), entry, F.lit("]"))).otherwise(
+        F.concat(F.lit('{"sources": ['), entry, F.lit("]}"))
+    )
+    texts = table(spark, sf, "pages").select("page_id", doc.alias("value"))
+    found = registry.parse_registry(texts).select("url", "enabled", "type", "name")
+    return table(spark, sf, "pages").select("page_id", "url").join(found, "url")
+
+
+@query("s3_landed_pages", "SELECT page_id, url, length(html[1:10485760]) AS chars FROM pages")
+def s3(spark, sf):
+    return pg.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
+
+
+# One feed document per source, holding an entry per document of it.
+def feed_documents(spark, sf, kind):
+    n = news(spark, sf).where(F.col("category") == ("en" if kind == "rss" else "fr"))
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title, body = esc(F.col("title")), esc(F.col("content"))
+    if kind == "rss":
+        entry = F.concat(
+            F.lit("<item><title>"), title, F.lit("</title><link>"), "url", F.lit("?utm_source=x</link><description>"), body,
+            F.lit("</description><pubDate>"), F.coalesce(F.date_format("published_date", "EEE, dd MMM yyyy HH:mm:ss '+0000'"), F.lit("")),
+            F.lit("</pubDate><dc:creator>"), "source_name", F.lit("</dc:creator></item>"),
+        )
+        head, tail = '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Feed ', "</channel></rss>"
+    else:
+        entry = F.concat(
+            F.lit('<entry><title type="text">'), title, F.lit('</title><link href="'), "url", F.lit('?utm_source=x"/><summary>'), body,
+            F.lit("</summary><updated>"), F.coalesce(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")),
+            F.lit("</updated><author><name>"), "source_name", F.lit("</name></author></entry>"),
+        )
+        head, tail = '<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed ', "</feed>"
+    # A document per item, so that no feed grows without bound.
+    return n.select(
+        F.concat(F.lit("https://feeds.example.com/"), F.col("item_id").cast("string")).alias("url"),
+        F.concat(F.lit(head), "source_name", F.lit("</title>"), entry, F.lit(tail)).alias("xml"),
+    )
+
+
+def _feed_sql(lang):
+    return f"""WITH {NEWS} SELECT 'https://feeds.example.com/' || item_id AS source_url, {squeeze_sql('title')} AS title, url || '?utm_source=x' AS link,
+      'Feed ' || source_name AS source_name, source_name AS author, strftime(published_date, '%Y-%m-%d') AS day,
+      length({squeeze_sql('content')}) AS chars FROM news WHERE category = '{lang}'"""
+
+
+def _feed_rows(spark, sf, kind):
+    from newsmill.functions.dates import parse_feed_date
+
+    e = fd.feed_entries(feed_documents(spark, sf, kind))
+    return e.select(
+        "source_url", "title", "link", "source_name", "author",
+        F.date_format(parse_feed_date("date_text"), "yyyy-MM-dd").alias("day"),
+        F.length(fd.feed_content("body")).alias("chars"),
+    )
+
+
+@query("s4_rss_feed", _feed_sql("en"))
+def s4(spark, sf):
+    return _feed_rows(spark, sf, "rss")
+
+
+@query("s4_atom_feed", _feed_sql("fr"))
+def s4b(spark, sf):
+    return _feed_rows(spark, sf, "atom")
+
+
+@query(
+    "s5_video_feed",
+    f"""WITH {NEWS} SELECT source_name AS channel, 'v' || item_id AS video_id, {squeeze_sql('title')} AS title, strftime(published_date, '%Y-%m-%d') AS day
+      FROM news WHERE published_date IS NOT NULL""",
+)
+def s5(spark, sf):
+    n = news(spark, sf).where("published_date is not null")
+    esc = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:yt="http://www.youtube.com/xml/schemas/2015"><entry><yt:videoId>v'),
+        F.col("item_id").cast("string"), F.lit("</yt:videoId><title>"), esc, F.lit("</title><published>"),
+        F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published><author><name>"), "source_name",
+        F.lit("</name></author></entry></feed>"),
+    )
+    docs = n.select(F.col("source_name").alias("channel"), xml.alias("xml"))
+    from newsmill.functions.arrays import squeeze
+
+    return fd.video_entries(docs).select(
+        "channel", "video_id", squeeze("title").alias("title"), F.date_format("published", "yyyy-MM-dd").alias("day")
+    )
+
+
+# Archive pages made from landed pages: each holds its post, dated by the order of its number.
+def archive_pages(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("page_id"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("d")
+    )
+    p = table(spark, sf, "pages").join(o, "page_id")
+    pid = F.col("page_id").cast("string")
+    slug = F.concat(F.lit("/p/post-"), pid)
+    html = F.concat(
+        F.lit('<div><a href="/subscribe">s</a><div><a href="'), slug, F.lit('"><img></a><a href="'), slug,
+        F.lit('?x=1">Title</a><time>'), "d", F.lit('</time></div><div><a href="https://o.example.com'), slug, F.lit('-b">B</a></div></div>'),
+    )
+    return p.select(
+        F.regexp_extract(urls.path("url"), "^/([^/]*)", 1).alias("archive"), F.col("page_id").alias("page_no"), "url", html.alias("html")
+    )
+
+
+@query(
+    "s6_archive_posts",
+    f"""WITH d AS (SELECT p.page_id, p.url, o.o_orderdate FROM pages p JOIN orders o ON o.o_orderkey = p.page_id)
+    SELECT regexp_extract({path_sql('url')}, '^/([^/]*)', 1) AS archive, regexp_extract(url, '^https?://[^/]*') || '/p/post-' || page_id AS url,
+      strftime(o_orderdate, '%Y-%m-%d') AS date FROM d
+    UNION ALL SELECT regexp_extract({path_sql('url')}, '^/([^/]*)', 1), 'https://o.example.com/p/post-' || page_id || '-b', strftime(o_orderdate, '%Y-%m-%d') FROM d""",
+)
+def s6(spark, sf):
+    return pg.archive_posts(archive_pages(spark, sf)).select("archive", "url", "date")
+
+
+@query(
+    "s6_archive_since",
+    f"""WITH d AS (SELECT p.page_id, regexp_extract({path_sql('p.url')}, '^/([^/]*)', 1) AS archive, o.o_orderdate FROM pages p JOIN orders o ON o.o_orderkey = p.page_id),
+     stop AS (SELECT archive, min(page_id) AS stop_page FROM d WHERE o_orderdate < TIMESTAMP '1993-06-01' GROUP BY archive)
+    SELECT d.archive, count(*) * 2 AS posts FROM d LEFT JOIN stop USING (archive) WHERE stop_page IS NULL OR page_id < stop_page GROUP BY d.archive""",
+)
+def s6b(spark, sf):
+    posts = pg.archive_posts(archive_pages(spark, sf), since="1993-06-01")
+    return posts.groupBy("archive").agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query(
+    "s6_latest_and_listing",
+    f"""WITH d AS (SELECT p.url FROM pages p JOIN orders o ON o.o_orderkey = p.page_id) SELECT count(*) AS latest, (SELECT count(*) * 2 FROM d) AS listed FROM d""",
+)
+def s6c(spark, sf):
+    pages = archive_pages(spark, sf)
+    n = pg.latest_post(pages).select(F.lit(1).alias("latest"), F.lit(0).alias("listed"))
+    m = pg.post_links(pages).select(F.lit(0).alias("latest"), F.lit(1).alias("listed"))
+    return n.unionByName(m).agg(F.sum("latest").alias("latest"), F.sum("listed").alias("listed"))
+
+
+@query(
+    "s7_archive_links",
+    f"""WITH {PAGE_ITEMS}, u AS (SELECT page_id, url FROM page_items)
+    SELECT url AS page_url, regexp_extract(url, '^https?://[^/]*') || '/articles/piece-' || page_id AS url, 'Piece ' || page_id AS title FROM u""",
+)
+def s7(spark, sf):
+    pid = F.col("page_id").cast("string")
+    html = F.concat(
+        F.col("html"), F.lit('<a href="/articles/piece-'), pid, F.lit('">read</a>')
+    )
+    pages = table(spark, sf, "pages").select("url", html.alias("html"))
+    return pg.archive_links(pages).select("page_url", "url", "title")
+
+
+# Message channels: a message per turn, a page per conversation turn block.
+def channel_pages(spark, sf):
+    c = table(spark, sf, "conversations")
+    cid, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    esc = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    link = F.when(
+        F.col("role") == "user",
+        F.concat(F.lit('<a href="https://a.example.com/x/story-'), cid, F.lit("-"), turn, F.lit('?utm_source=t">s</a><a href="https://b.example.com">home</a>')),
+    ).otherwise("")
+    html = F.concat(
+        F.lit('<div class="tgme_channel_info_header_title">Chan</div><div class="tgme_widget_message_wrap js"><div class="tgme_widget_message_text js">'),
+        esc, link, F.lit('</div><a class="tgme_widget_message_date" href="https://t.me/c/'), (100 - F.col("turn")).cast("string"),
+        F.lit('"><time datetime="2024-01-01T0'), (9 - F.col("turn") % 9).cast("string"), F.lit(':00:00+00:00">x</time></a></div>'),
+    )
+    return c.select(
+        F.concat(F.lit("c"), cid).alias("channel"), F.col("turn").cast("int").alias("page_no"),
+        F.concat(F.lit("https://t.me/s/c"), cid).alias("url"), html.alias("html"),
+    )
+
+
+@query(
+    "s8_channel_messages",
+    """SELECT 'c' || conv_id AS channel, CAST(turn AS INT) AS page_no, CASE WHEN role = 'user' THEN 'https://a.example.com/x/story-' || conv_id || '-' || turn || '?utm_source=t' END AS best_link,
+      'https://t.me/c/' || (100 - turn) AS permalink, 100 - turn AS message_id FROM conversations""",
+)
+def s8(spark, sf):
+    return pg.channel_messages(channel_pages(spark, sf)).select("channel", "page_no", "best_link", "permalink", "message_id")
+
+
+@query(
+    "s9_channel_history",
+    """SELECT 'c' || conv_id AS channel, CAST(turn AS INT) AS page_no FROM conversations c
+     WHERE turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND (9 - x.turn % 9) < 7), turn) AND turn < 25""",
+)
+def s9(spark, sf):
+    # Hours fall by turn; reading stops at the first page with a message before 07:00.
+    messages = pg.channel_messages(channel_pages(spark, sf))
+    return pg.readable_pages(messages, "2024-01-01 07:00:00").select("channel", "page_no")
+
+
+@query(
+    "s10_csv_sink",
+    "SELECT " + ", ".join(
+        {"title": "title", "url": "url", "source_name": "source_name", "category": "category"}.get(c, "CAST(NULL AS VARCHAR)") + f' AS "{c}"'
+        for c in fixed.CANONICAL_COLUMNS
+    )
+    + f""", 'FALSE' AS "Processed", CAST(item_id AS VARCHAR) AS "lang_no" FROM (WITH {NEWS} SELECT item_id, replace({squeeze_sql('title')}, '"', '') AS title, url, source_name, category FROM news) n""",
+)
+def s10(spark, sf):
+    from newsmill.functions.arrays import squeeze
+
+    n = news(spark, sf).select(
+        F.replace(squeeze("title"), F.lit('"'), F.lit("")).alias("title"), "url", "source_name", "category",
+        F.map_from_arrays(F.array(F.lit("lang_no")), F.array(F.col("item_id").cast("string"))).alias("custom_fields"),
+    )
+    path = scratch(spark, "csv")
+    load.write_csv(n, path, existing=["Processed"])
+    return spark.read.option("header", True).csv(path)
+
+
+@query(
+    "s11_schema_evolution",
+    """SELECT CAST(r_regionkey AS VARCHAR) AS "key", r_name AS name, NULL AS extra FROM region
+     UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation""",
+)
+def s11(spark, sf):
+    a, b = scratch(spark, "csv"), scratch(spark, "csv")
+    table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).write.option("header", True).csv(a)
+    table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra")
+    ).write.option("header", True).csv(b)
+    return load.read_evolving(spark, [a, b])
+
+
+@query(
+    "s12_sheet_append",
+    f"""WITH {PAGE_ITEMS}, t AS (SELECT trim(url) AS url FROM page_items WHERE category = 'en')
+     SELECT '' AS notes, i.url, i.title FROM page_items i WHERE trim(i.url) NOT IN (SELECT url FROM t)""",
+)
+def s12(spark, sf):
+    items = page_items(spark, sf)
+    target = items.where("category = 'en'").select(F.lit("").alias("notes"), "url", "title")
+    return load.rows_to_append(items, target, "url", ["title", "url"])
+
+
+@query(
+    "s13_table_headers",
+    "SELECT count(*) AS columns, (SELECT count(*) FROM nation) AS nations FROM (DESCRIBE SELECT * FROM nation) d",
+)
+def s13(spark, sf):
+    n = table(spark, sf, "nation")
+    assert registry.resolve_table(["sheet"], "other") == "sheet"
+    return n.agg(F.lit(len(n.columns)).cast("long").alias("columns"), F.count(F.lit(1)).alias("nations"))
+
+
+@query(
+    "s14_training_csv",
+    f"""WITH {PAGE_ITEMS} SELECT category AS section, replace(title, '"', '""') AS title, url, {netloc_sql('url')} AS source,
+      replace(description, '"', '""')[1:200] AS description, CASE WHEN contains(url, 'example.net') OR contains(lower(title), 'the') THEN 'FALSE' ELSE '' END AS "Track?" FROM page_items""",
+)
+def s14(spark, sf):
+    return load.training_rows(training_input(spark, sf))
+
+
+def training_input(spark, sf):
+    return page_items(spark, sf).select(
+        F.col("category").alias("section"), "title", "url", urls.netloc("url").alias("source"), "description",
+        F.contains("url", F.lit("example.net")).alias("is_blocked"),
+        F.contains(F.lower("title"), F.lit("the")).alias("matches_exclude"),
+    )
+
+
+@query(
+    "s15_digest_files",
+    f"""WITH {NEWS} SELECT 'Week_' || weekofyear(published_date) || '_' || isoyear(published_date) AS week, count(*) AS lines
+     FROM news WHERE published_date IS NOT NULL AND source_type = 'newsletter' GROUP BY ALL""",
+)
+def s15(spark, sf):
+    # Headlines alone, so that every line of a file is one item.
+    from newsmill.plans.report import render_digest
+
+    n = news(spark, sf).where("published_date is not null and source_type = 'newsletter'").select(
+        "item_id", "title", F.lit("").alias("summary"), F.lit("x").alias("content"), "source_name", "source_type", "published_date"
+    )
+    path = scratch(spark, "digest")
+    dg.write_digests(render_digest(n).where("kind = 1"), path)
+    return spark.read.text(path).groupBy("week").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "s16_rule_sets",
+    "SELECT 'nation-' || n_nationkey AS name, n_name AS display_name, 2 AS columns FROM nation",
+)
+def s16(spark, sf):
+    # One JSON rule set per nation, written with the name of the rule set as file name.
+    rows = table(spark, sf, "nation").select(
+        F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("rule_set"),
+        F.to_json(F.struct(F.col("n_name").alias("name"), F.array(F.lit("title"), F.lit("url")).alias("csv_columns"))).alias("value"),
+    )
+    path = scratch(spark, "rules")
+    rows.repartition("rule_set").write.partitionBy("rule_set").text(path)
+    doc = spark.read.option("multiLine", True).schema(registry.RULE).json(f"{path}/*/*.txt")
+    return doc.select(
+        F.regexp_extract(F.col("_metadata.file_path"), "rule_set=([^/]*)/", 1).alias("name"),
+        F.col("name").alias("display_name"), F.size("csv_columns").alias("columns"),
+    )
+
+
+@query(
+    "s18_state_load",
+    """SELECT 'v' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS processed_date, o_orderpriority AS title FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def s18(spark, sf):
+    # A state document per order; those of pending orders are corrupt or of the wrong shape.
+    o = table(spark, sf, "orders")
+    key = F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))
+    entry = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("processed_date"), F.col("o_orderpriority").alias("title"))
+    good = F.to_json(F.struct(F.lit(1).alias("version"), F.create_map(key, entry).alias("videos")))
+    bad = F.when(F.col("o_custkey") % 2 == 0, "{not json").otherwise('["wrong"]')
+    return state.parse_state(o.select(F.when(F.col("o_orderstatus") == "P", bad).otherwise(good).alias("value")))
+
+
+@query(
+    "s19_media_feed",
+    """SELECT week || ': ' || name AS title, 'https://cast.example.com/' || week || '/' || name AS guid, 'audio/mpeg' AS mime, CAST(size AS VARCHAR) AS length FROM
+     (SELECT 'Week_' || weekofyear(o_orderdate) || '_' || isoyear(o_orderdate) AS week, 'audio_' || o_orderkey || '.mp3' AS name, CAST(floor(o_totalprice * 100) AS BIGINT) AS size FROM orders) m""",
+)
+def s19(spark, sf):
+    items = schedule.feed_items(media(spark, sf), "https://cast.example.com/")
+    return items.select("title", "guid", F.col("enclosure._type").alias("mime"), F.col("enclosure._length").alias("length"))
+
+
+@query(
+    "s20_recent_digests",
+    """WITH d AS (SELECT 'Week_' || source AS folder, 'summary_' || doc_id || '.txt' AS name, text AS content, doc_id FROM documents),
+     a AS (SELECT 'Week_' || d.source AS folder, 'audio_quality_' || d.doc_id AS audio FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1),
+     t AS (SELECT * FROM d ORDER BY folder DESC, name DESC LIMIT 10)
+    SELECT t.folder, t.name, CAST(t.doc_id AS VARCHAR) AS date, CASE WHEN length(content) > 200 THEN content[1:200] || '...' ELSE content END AS preview,
+      a.audio IS NOT NULL AS has_audio FROM t LEFT JOIN a ON a.folder = t.folder AND a.audio = 'audio_quality_' || t.doc_id""",
+)
+def s20(spark, sf):
+    d = table(spark, sf, "documents")
+    digests = d.select(
+        F.concat(F.lit("Week_"), "source").alias("folder"),
+        F.concat(F.lit("summary_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content"),
+    )
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    audio = d.join(good, "doc_id").select(
+        F.concat(F.lit("Week_"), "source").alias("folder"),
+        F.concat(F.lit("audio_quality_"), F.col("doc_id").cast("string"), F.lit(".mp3")).alias("name"),
+    )
+    return dg.recent_digests(digests, audio)
+
+
+@query(
+    "s21_sync_plan",
+    """SELECT 'Week_' || weekofyear(o_orderdate) || '_' || isoyear(o_orderdate) AS week, 'audio_' || o_orderkey || '.mp3' AS name,
+      CASE WHEN o_orderstatus = 'F' THEN 'skip' ELSE 'upload' END AS action FROM orders""",
+)
+def s21(spark, sf):
+    m = media(spark, sf)
+    plan = schedule.sync_plan(m.select("week", "name"), m.where("o_orderstatus = 'F'").select("week", "name"))
+    return plan.select("week", "name", "action")
+
+
+@query(
+    "s22_narrow_export",
+    f"""WITH {PAGE_ITEMS} SELECT title, url, category, '' AS source_name, '' AS date_published, '[' || category || '] ' || title || chr(10) || url AS clip FROM page_items""",
+)
+def s22(spark, sf):
+    items = page_items(spark, sf)
+    return load.narrow_export(items).withColumn("clip", load.clipboard_text())
+
+
+@query(
+    "s23_url_list",
+    "SELECT url FROM pages WHERE page_id % 3 <> 1",
+)
+def s23(spark, sf):
+    # A URL file with comments and blank lines between the URLs.
+    pid = F.col("page_id")
+    line = F.when(pid % 3 == 1, F.concat(F.lit("# "), "url")).otherwise(F.concat(F.lit("  "), "url", F.lit(" \n")))
+    path = scratch(spark, "urls")
+    table(spark, sf, "pages").select(line.alias("value")).write.text(path)
+    return registry.read_http_urls(spark, path)
+
+
+@query(
+    "s24_preview",
+    f"WITH {PAGE_ITEMS} SELECT title, url, '' AS date_published, '' AS source_name, description FROM page_items",
+)
+def s24(spark, sf):
+    return load.preview(page_items(spark, sf))
+
+
+@query(
+    "s25_items_json",
+    f"""WITH {PAGE_ITEMS} SELECT page_id, title, url, 'en' AS lang, length(category) AS category_chars FROM page_items""",
+)
+def s25(spark, sf):
+    items = page_items(spark, sf).select(
+        "title", "url", F.lit("").alias("source_name"), "category", "description", F.lit("").alias("author"),
+        F.lit("").alias("date_published"), F.lit("").alias("date_extracted"),
+        F.create_map(F.lit("lang"), F.lit("en"), F.lit("page_id"), F.col("page_id").cast("string")).alias("custom_fields"),
+    )
+    j = lambda k: F.get_json_object("item", f"$.{k}")
+    return load.items_json(items).select(
+        j("page_id").cast("long").alias("page_id"), j("title").alias("title"), j("url").alias("url"), j("lang").alias("lang"),
+        F.length(j("category")).alias("category_chars"),
+    )
+
+
+_ = (LINKS, SHEET, absolute_sql, clean_url_sql, links, markup, q, sheet, title_sql)
