@@ -12,16 +12,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strings(values: Iterable[str]) -> Column:
     """A literal ``array<string>``; typed even when it is empty."""
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"cast(array({', '.join(_quoted(v) for v in values)}) as array<string>)")
 
 
 def lookup(mapping: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.expr(f"map({', '.join(_quoted(x) for kv in mapping.items() for x in kv)})")
 
 
 def let(value: Column, body) -> Column:
@@ -42,8 +43,10 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 def contains_any(text: Column | str, values: Iterable[str]) -> Column:
     """True when ``text`` holds one of the literal substrings."""
-    t = col(text)
-    return any_of(F.contains(t, F.lit(v)) for v in values)
+    values, t = list(values), col(text)
+    if len(values) <= 4:
+        return any_of(F.contains(t, F.lit(v)) for v in values)
+    return let(t, lambda x: F.exists(strings(values), lambda v: F.contains(x, v)))
 
 
 def contains_any_of(text: Column, patterns: Column) -> Column:
@@ -52,8 +55,11 @@ def contains_any_of(text: Column, patterns: Column) -> Column:
 
 
 def ends_with_any(text: Column | str, values: Iterable[str]) -> Column:
-    t = col(text)
-    return any_of(F.endswith(t, F.lit(v)) for v in values)
+    return let(col(text), lambda x: F.exists(strings(values), lambda v: F.endswith(x, v)))
+
+
+def starts_with_any(text: Column | str, values: Iterable[str]) -> Column:
+    return let(col(text), lambda x: F.exists(strings(values), lambda v: F.startswith(x, v)))
 
 
 def first_present(*columns: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
-from newsmill.functions.arrays import col, first_present, let, squeeze
+from newsmill.functions.arrays import col, first_present, let, lookup, squeeze
 from newsmill.functions.urls import netloc, title_case
 
 _OPEN, _SHUT = "\x01", "\x02"
@@ -34,10 +34,12 @@ def drop_comments(html: Column | str) -> Column:
 
 
 def unescape(text: Column | str) -> Column:
-    out = col(text)
-    for name, char in fixed.CHARACTER_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Replace the character entities of the fixed table."""
+    t = col(text)
+    pieces = F.regexp_extract_all(t, F.lit(r"(&#?\w{2,8};|[^&]+|&)"), F.lit(1))
+    table = lookup(dict(fixed.CHARACTER_ENTITIES))
+    decoded = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(decoded, "")).otherwise(t)
 
 
 def plain_text(html: Column | str, separator: str = " ") -> Column:

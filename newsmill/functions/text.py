@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    any_of, col, contains_any, distinct_ignoring_case, ends_with_any, first_present, let,
-    lookup, present, squeeze, strings,
+    col, contains_any, distinct_ignoring_case, ends_with_any, first_present, let,
+    lookup, present, squeeze, starts_with_any, strings,
 )
 from newsmill.functions.patterns import any_word, bounded, has_word
 
@@ -33,10 +33,10 @@ def keywords(text: Column | str, limit: int = fixed.KEYWORD_LIMIT, ascii_boundar
     """
     t = col(text)
     head, opening = F.left(t, F.lit(100)), F.left(t, F.lit(150))
-    stop = strings(sorted({w.lower() for w in fixed.KEYWORD_STOP_WORDS}))
+    stop = strings(w.lower() for w in fixed.KEYWORD_STOP_WORDS)
     phrases = F.filter(
         _all(t, bounded(fixed.PHRASE_PATTERN, ascii_boundary)),
-        lambda p: ~p.isin(fixed.KEYWORD_STOP_PHRASES),
+        lambda p: ~F.array_contains(strings(fixed.KEYWORD_STOP_PHRASES), p),
     )
     not_stop = lambda w: ~F.array_contains(stop, F.lower(w))
     mixed = F.filter(
@@ -70,9 +70,15 @@ def match_score(
     name: Column | str, keyword: Column | str, text: Column | str, ascii_boundary: bool = False
 ) -> Column:
     """how well an entity name fits a keyword and the text it came from, 0 to 2."""
-    n, k, t = F.lower(col(name)), F.lower(col(keyword)), F.lower(col(text))
-    suffix = any_of(
-        F.contains(n, F.lit(s)) & ~F.contains(t, F.lit(s)) for s in fixed.LEGAL_SUFFIXES
+    low = F.struct(
+        F.lower(col(name)).alias("n"), F.lower(col(keyword)).alias("k"), F.lower(col(text)).alias("t")
+    )
+    return let(low, lambda x: _lower_score(x["n"], x["k"], x["t"], ascii_boundary))
+
+
+def _lower_score(n: Column, k: Column, t: Column, ascii_boundary: bool) -> Column:
+    suffix = F.exists(
+        strings(fixed.LEGAL_SUFFIXES), lambda s: F.contains(n, s) & ~F.contains(t, s)
     )
     extra = F.array_except(
         F.array_except(words(n), words(k)), strings(fixed.NAME_FILLER_WORDS)
@@ -273,7 +279,7 @@ def clean_transcript(text: Column | str, joiner: str = " ", ascii_boundary: bool
         lambda x: (x != "")
         & ~F.contains(x, F.lit("-->"))
         & ~x.rlike(r"^\d+$")
-        & ~any_of(F.startswith(x, F.lit(h)) for h in fixed.TRANSCRIPT_HEADERS),
+        & ~starts_with_any(x, fixed.TRANSCRIPT_HEADERS),
     )
     untagged = F.transform(
         drop_repeats(spoken), lambda x: F.regexp_replace(x, r"<[^>]+>", "")
@@ -412,10 +418,10 @@ def is_navigation(text: Column | str) -> Column:
     raw = col(text)
     t = F.trim(F.lower(raw))
     return (
-        t.isin(fixed.NAV_WORDS)
+        F.array_contains(strings(fixed.NAV_WORDS), t)
         | ((F.length(raw) < 15) & ~F.contains(raw, F.lit(" ")))
         | contains_any(t, fixed.PROMO_PHRASES)
-        | any_of(F.startswith(t, F.lit(h)) for h in fixed.SECTION_HEADERS)
+        | starts_with_any(t, fixed.SECTION_HEADERS)
     )
 
 

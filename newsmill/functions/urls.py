@@ -11,7 +11,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
-from newsmill.functions.arrays import any_of, col, contains_any, first_present, lookup, strings
+from newsmill.functions.arrays import (
+    col, contains_any, first_present, lookup, starts_with_any, strings,
+)
 
 
 # --- parts ------------------------------------------------------------------
@@ -105,7 +107,7 @@ def clean_url(
     encodes them again and groups repeated keys.
     """
     u = col(url)
-    dropped = strings(sorted({n.lower() for n in names}))
+    dropped = strings(n.lower() for n in names)
     kept = F.filter(_query_pairs(u), lambda p: ~F.array_contains(dropped, F.lower(_key(p))))
     return F.regexp_replace(_rebuild(u, kept, reencode), r"\?+$", "")
 
@@ -120,7 +122,7 @@ def clean_url_prefixes(
     prefixes = list(prefixes)
     kept = F.filter(
         _query_pairs(u),
-        lambda p: ~any_of(F.startswith(F.lower(_key(p)), F.lit(x)) for x in prefixes),
+        lambda p: ~starts_with_any(F.lower(_key(p)), prefixes),
     )
     return _rebuild(u, kept, reencode)
 

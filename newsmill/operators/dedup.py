@@ -19,22 +19,22 @@ def keep_first(
 
     The ``row_number = 1`` filter becomes a group limit before the shuffle: a
     task sends one row per key however many copies it holds.  Rows with a
-    missing key never enter the window.
+    missing key are dropped, or all kept: each is then a group of its own.
     """
+    types = dict(df.dtypes)
     missing = F.lit(False)
     for k in keys:
         empty = F.col(k).isNull()
-        if dict(df.dtypes)[k] == "string":
-            empty = empty | (F.col(k) == "")
-        missing = missing | empty
-    w = Window.partitionBy(*keys).orderBy(*order)
-    kept = (
-        df.where(~missing)
-        .withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") == 1)
-        .drop("_r")
+        missing = missing | ((empty | (F.col(k) == "")) if types[k] == "string" else empty)
+    if keep_null_keys:
+        alone = F.when(missing, F.monotonically_increasing_id())
+        rows, groups = df.withColumn("_alone", alone), [*keys, "_alone"]
+    else:
+        rows, groups = df.where(~missing), list(keys)
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return (
+        rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_alone")
     )
-    return kept.unionByName(df.where(missing)) if keep_null_keys else kept
 
 
 def keep_first_prefix(

@@ -10,6 +10,8 @@ from newsmill import fixed
 from newsmill.functions import text as tx
 from newsmill.operators.dedup import keep_first
 from newsmill.operators.joins import contains_join, skew_join
+from newsmill.operators.rows import settle, unnest
+from newsmill.session import durable
 
 TYPES = ["profile", "product", "asset", "entity"]
 CATALOGUE = ["entity_id", "type", "name", "description", "ticker"]
@@ -22,8 +24,8 @@ def type_rank(kind: Column | str) -> Column:
 
 def item_keywords(items: DataFrame, key: Sequence[str], text: Column, ascii_boundary: bool = False) -> DataFrame:
     """F8 per item as rows (key, pos, keyword); a repeated keyword counts once."""
-    exploded = items.select(
-        *key, F.posexplode(tx.keywords(text, ascii_boundary=ascii_boundary)).alias("pos", "keyword")
+    exploded = unnest(
+        items, tx.keywords(text, ascii_boundary=ascii_boundary), "keyword", "pos", *key
     )
     return exploded.groupBy(*key, F.lower("keyword").alias("_kw")).agg(
         F.min(F.struct("pos", "keyword")).alias("_first")
@@ -73,10 +75,13 @@ def match_entities(
         " ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit(""))
     )
     texts = items.select(*key, full.alias("_full"))
-    kws = item_keywords(texts, key, F.col("_full"), ascii_boundary)
+    # Both the lookup and the scoring need the keywords; the texts are searched once.
+    kws = durable(item_keywords(texts, key, F.col("_full"), ascii_boundary), "keywords")
     hits = skew_join(kws, keyword_candidates(kws, catalogue), "_kw")
-    scored = hits.join(texts, list(key)).withColumn(
-        "score", tx.match_score("name", "keyword", "_full", ascii_boundary)
+    scored = settle(
+        hits.join(texts, list(key)).withColumn(
+            "score", tx.match_score("name", "keyword", "_full", ascii_boundary)
+        ).drop("_full")
     )
     accepted = scored.where(F.col("score") >= threshold).withColumn("_name", F.lower("name"))
     return keep_first(accepted, [*key, "_name"], ["pos", "_rank", "entity_id"]).select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsmill.functions.arrays import col, let
 from newsmill.functions.patterns import word_pattern
 from newsmill.session import small_rows
+from newsmill.operators.rows import unnest
 
 GRAM = 3
 
@@ -189,12 +190,8 @@ def contains_join(
     sizes = range(1 if short_needles else GRAM, GRAM + 1)
     n = needles.select(F.col(needle).alias("_needle")).where("_needle <> ''").distinct()
     h = hays.select(F.col(hay).alias("_hay")).where("_hay <> ''").distinct()
-    in_hay = h.select(
-        "_hay",
-        F.explode(
-            F.array_distinct(F.concat(*[_grams(F.col("_hay"), s) for s in sizes]))
-        ).alias("_gram"),
-    )
+    grams = F.array_distinct(F.concat(*[_grams(F.col("_hay"), s) for s in sizes]))
+    in_hay = unnest(h, grams, "_gram", "_i", "_hay").drop("_i")
     shares = in_hay.groupBy("_gram").agg(F.count(F.lit(1)).alias("_hays"))
     own = F.array_distinct(_grams(F.col("_needle"), GRAM))
     if short_needles:
@@ -329,9 +326,9 @@ def term_counts(
     wanted = sorted(r.k for r in sizes if r.k is not None)
     out = None
     if wanted:
-        runs = docs.select(
-            key, F.explode(_shingles(F.lower(text), wanted, ascii_boundary)).alias("_low")
-        )
+        runs = unnest(
+            docs, _shingles(F.lower(text), wanted, ascii_boundary), "_low", "_i", key
+        ).drop("_i")
         hits = skew_join(runs, t.where("_plain").select("_low", "_term"), "_low")
         out = hits.groupBy(key, F.col("_term").alias(term)).agg(F.count(F.lit(1)).alias("n"))
     if any(r.k is None for r in sizes):
@@ -347,9 +344,9 @@ def _counted_by_pattern(
 ) -> DataFrame:
     """Counts by regular expression in the documents that hold the rarest word of a term."""
     words = t.select("_term", F.explode(F.array_distinct("_parts")).alias("_token"))
-    in_docs = docs.select(
-        key, F.explode(F.array_distinct(_tokens(F.lower(text), ascii_boundary))).alias("_token")
-    ).join(words.select("_token").distinct(), "_token", "left_semi")
+    in_docs = unnest(
+        docs, F.array_distinct(_tokens(F.lower(text), ascii_boundary)), "_token", "_i", key
+    ).drop("_i").join(words.select("_token").distinct(), "_token", "left_semi")
     shares = in_docs.groupBy("_token").agg(F.count(F.lit(1)).alias("_docs"))
     chosen = (
         words.join(shares, "_token")

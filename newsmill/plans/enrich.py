@@ -11,6 +11,7 @@ from newsmill import fixed
 from newsmill.functions import text as tx
 from newsmill.operators import entities as en
 from newsmill.operators.joins import update_columns, update_titles
+from newsmill.operators.rows import unnest
 
 
 def match_items(
@@ -37,9 +38,9 @@ def article_match(
     as_probe = lambda arr, least: F.transform(
         arr, lambda w: F.struct(w.alias("title"), F.lit(least).alias("least"))
     )
-    probes = articles.select(
+    probes = unnest(
+        articles, F.concat(as_probe(hits, 0.7), as_probe(openers, 0.8)), "p", "probe",
         *key, F.left("article", F.lit(200)).alias("description"),
-        F.posexplode(F.concat(as_probe(hits, 0.7), as_probe(openers, 0.8))).alias("probe", "p"),
     ).select(*key, "probe", "description", F.col("p.title").alias("title"), F.col("p.least").alias("least"))
     found = en.match_entities(probes, catalogue, [*key, "probe"], ascii_boundary=ascii_boundary)
     best = found.groupBy(*key, "probe").agg(F.max("score").alias("_top"))

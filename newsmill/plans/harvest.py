@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
-from newsmill.functions.arrays import first_present, squeeze
+from newsmill.functions.arrays import first_present, let, squeeze
 from newsmill.operators import rules as rl
 from newsmill.operators.dedup import drop_contained, keep_first
 from newsmill.operators.joins import resolve_redirects
 from newsmill.operators.ordered import last_rows
 from newsmill.sources import feeds as fd, pages as pg
+from newsmill.operators.rows import settle, unnest
 
 ITEM_COLUMNS = [
     "title", "url", "original_url", "source_name", "source_url", "category", "description",
@@ -23,6 +24,9 @@ ITEM_COLUMNS = [
 ]
 
 
+POST_CONTENT = r"""(?is)<div\b[^>]*\sclass\s*=\s*["']?[^"'>]*\bpost-content\b[^>]*>(.*)$"""
+
+
 def _as_items(df: DataFrame, order: Sequence[str], **values: Column) -> DataFrame:
     return df.select(
         *[values.get(c, F.lit("")).alias(c) for c in ITEM_COLUMNS], *order
@@ -38,7 +42,7 @@ def _follow(df: DataFrame, redirects: DataFrame | None, url: str) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """The minimum slice: every link of every page, absolute and canonical."""
-    rows = pages.select("page_id", "url", F.posexplode(markup.links("html")).alias("pos", "a"))
+    rows = unnest(pages, markup.links("html"), "a", "pos", "page_id", "url")
     return rows.where(~urls.is_skippable("a.href")).select(
         "page_id", F.col("url").alias("source_url"), "pos",
         F.col("a.href").alias("href"),
@@ -49,7 +53,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def link_hosts(pages: DataFrame) -> DataFrame:
     """Distinct links per source host: the flagship query."""
-    first = keep_first(page_links(pages), ["page_id", "url"], ["pos"])
+    first = keep_first(settle(page_links(pages)), ["page_id", "url"], ["pos"])
     return (
         first.groupBy(urls.hostname("source_url").alias("host"))
         .agg(
@@ -76,29 +80,25 @@ def harvest_links(
     content = first_present(
         markup.element(F.col("html"), "article"), markup.element(F.col("html"), "body"), F.col("html")
     )
-    post = F.regexp_extract(
-        "html", r"""(?is)<div\b[^>]*\sclass\s*=\s*["']?[^"'>]*\bpost-content\b[^>]*>(.*)$""", 1
-    )
+    post = F.regexp_extract("html", POST_CONTENT, 1)
     sections = pages.select(
         "page_id", "url",
         markup.site_name("html", "url").alias("source_name"),
         markup.published_day("html", "url").alias("date_published"),
         markup.blocks(first_present(post, content)).alias("_blocks"),
     ).withColumn("_body", markup.with_sections(F.col("_blocks"), markup.is_heading))
-    blocks = sections.select(
-        "page_id", "url", "source_name", "date_published", F.explode("_body").alias("b")
-    )
-    found = blocks.select(
+    blocks = unnest(sections, "_body", "b", "_i", "page_id", "url", "source_name", "date_published")
+    found = unnest(
+        blocks, markup.links("b.body"), "a", "pos",
         "page_id", F.col("url").alias("source_url"), "source_name", "date_published",
         F.col("b.section").alias("category"), F.col("b.pos").alias("block"),
         markup.link_context("b.text").alias("description"),
-        F.posexplode(markup.links("b.body")).alias("pos", "a"),
     )
     usable = found.where(
         ~urls.is_skippable("a.href") & ~urls.is_internal_mark("a.href")
     ).withColumn("_href", urls.unwrap_redirect("a.href"))
     final = _follow(usable, redirects, "_href").withColumn("url", urls.clean_url("_final"))
-    first = keep_first(final, ["page_id", "url"], ["block", "pos"])
+    first = keep_first(settle(final), ["page_id", "url"], ["block", "pos"])
     items = _as_items(
         first, ["page_id", "block", "pos"],
         title=first_present(F.col("a.text"), urls.slug_title("url")),
@@ -131,16 +131,18 @@ def filter_items(
     judged = base.withColumn(
         "reject_reason", rl.reject_reason("url", "title", "description", "category", rule)
     ).select(*items.columns, "reject_reason")
+    if not keep_rejected:
+        judged = settle(judged)
     return judged if keep_rejected else judged.where("reject_reason is null").drop("reject_reason")
 
 
 def harvest_generic(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """All external links of any page."""
-    rows = pages.select(
+    rows = unnest(
+        pages, markup.links("html"), "a", "pos",
         "page_id", "url", markup.page_name("html", "url").alias("source_name"),
-        F.posexplode(markup.links("html")).alias("pos", "a"),
     ).where(~urls.is_skippable("a.href")).withColumn("_abs", urls.absolute_url("a.href", "url"))
-    external = rows.where(urls.netloc("_abs") != urls.netloc("url")).withColumnRenamed("url", "source_url")
+    external = settle(rows).where(urls.netloc("_abs") != urls.netloc("url")).withColumnRenamed("url", "source_url")
     final = _follow(external, redirects, "_abs").withColumn("url", urls.clean_url("_final"))
     return _as_items(
         final, ["page_id", "pos"],
@@ -161,7 +163,7 @@ def harvest_feed(
 ) -> DataFrame:
     """Items of feeds, by day range (undated ones stay) and per-feed limit."""
     entries = fd.feed_entries(feeds).withColumn("published_date", dates.parse_feed_date("date_text"))
-    entries = entries.where(dates.in_day_range("published_date", start, end))
+    entries = settle(entries).where(dates.in_day_range("published_date", start, end))
     if per_feed:
         entries = last_rows(entries, ["source_url"], [F.col("pos")], per_feed)
     items = _as_items(
@@ -183,12 +185,10 @@ def harvest_channel(
     pages: DataFrame, start: str | None = None, end: str | None = None, max_pages: int = 25
 ) -> DataFrame:
     """C4: one item per message of a channel, over its landed history."""
-    messages = pg.channel_messages(pages)
-    taken = pg.readable_pages(messages, start, max_pages).select("channel", "page_no")
-    rows = messages.join(taken, ["channel", "page_no"], "left_semi")
+    rows = pg.channel_history(pages, start, max_pages)
     url = F.when(F.col("best_link").isNotNull(), urls.clean_url("best_link")).otherwise(F.col("permalink"))
-    keyed = rows.withColumn("_url", url)
-    first = keep_first(keyed, ["channel", "_url"], ["page_no", "pos"], keep_null_keys=True)
+    keyed = settle(rows.withColumn("_url", url))
+    first = keep_first(keyed, ["channel", "_url"], ["page_no", "pos"])
     items = _as_items(
         first, ["channel", "page_no", "pos"],
         title=F.col("text"),
@@ -199,7 +199,9 @@ def harvest_channel(
         category=F.lit("Telegram"),
         date_published=F.coalesce("date_published", F.lit("")),
     )
-    return items.where(dates.in_date_range(dates.parse_item_date("date_published"), start, end))
+    day = dates.parse_item_date("date_published")
+    dated = settle(items.withColumn("_day", day))
+    return dated.where(dates.in_date_range("_day", start, end)).drop("_day")
 
 
 def harvest_headlines(
@@ -218,11 +220,10 @@ def harvest_headlines(
         markup.drop_comments("html"),
         ["script", "style", "nav", "footer", "iframe", "header", "aside"],
     )
-    post = F.regexp_extract(
-        body, r"""(?is)<div\b[^>]*\sclass\s*=\s*["']?[^"'>]*\bpost-content\b[^>]*>(.*)$""", 1
-    )
-    content = first_present(
-        post, markup.element(body, "article"), markup.element(body, "main"), markup.element(body, "body"), body
+    content_of = lambda h: first_present(
+        F.regexp_extract(h, POST_CONTENT, 1),
+        *[markup.element(h, t) for t in ("article", "main", "body")],
+        h,
     )
     strong = lambda b: markup.plain_text(markup.element(b["body"], "strong"), "")
     is_strong = lambda b: (
@@ -230,8 +231,8 @@ def harvest_headlines(
     )
     is_header = lambda b: (F.startswith(b["tag"], F.lit("h")) & (b["text"] != "")) | is_strong(b)
     header_text = lambda b: F.when(F.startswith(b["tag"], F.lit("h")), b["text"]).otherwise(strong(b))
-    staged = pages.select(
-        "page_id", "url", markup.blocks(content, ("h2", "h3", "p", "li")).alias("_b")
+    staged = pages.select("page_id", "url", let(body, content_of).alias("_content")).select(
+        "page_id", "url", markup.blocks("_content", ("h2", "h3", "p", "li")).alias("_b")
     )
     headers = F.transform(
         F.filter("_b", is_header), lambda b: F.struct(b["pos"].alias("pos"), header_text(b).alias("text"))
@@ -270,7 +271,7 @@ def harvest_headlines(
 
     kept = placed.withColumn("_k", F.filter("_p", wanted))
     kept = kept.withColumn("_t", drop_contained(F.transform("_k", lambda b: b["text"])))
-    rows = kept.select("page_id", "url", "_k", F.posexplode("_t").alias("pos", "title"))
+    rows = unnest(kept, "_t", "title", "pos", "page_id", "url", "_k")
     section = F.get(F.filter("_k", lambda b: b["text"] == F.col("title")), F.lit(0))["section"]
     return rows.select(
         "page_id", "pos", "title", "url", F.col("title").alias("content"),

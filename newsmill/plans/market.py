@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
-from newsmill.functions.arrays import any_of, let
+from newsmill.functions.arrays import contains_any, let
 from newsmill.operators import rules as rl
 from newsmill.operators.dedup import keep_first, keep_first_prefix
 from newsmill.operators.joins import resolve_redirects
+from newsmill.operators.rows import settle, unnest
 
 SOURCE = "ExecSum"
 
@@ -24,7 +25,7 @@ def _in_section(lines: Column, is_start, ends) -> Column:
     """
     found = F.filter(
         F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-        lambda m: is_start(m["x"]) | any_of(F.contains(m["x"], F.lit(e)) for e in ends),
+        lambda m: is_start(m["x"]) | contains_any(m["x"], ends),
     )
 
     def pick(marks: Column) -> Column:
@@ -61,10 +62,10 @@ def market_lines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
     """Market bullets (P21) and roundup headlines (P22), one per opening of 50 characters."""
     r = rl.rule_columns(rule)
     s = section_lines(pages)
-    bullets = s.select("page_id", "url", F.posexplode("market_lines").alias("pos", "title")).where(
+    bullets = unnest(s, "market_lines", "title", "pos", "page_id", "url").where(
         (F.length("title") >= 15) & tx.is_market_line("title")
     )
-    heads = s.select("page_id", "url", F.posexplode("roundup_lines").alias("pos", "line")).where(
+    heads = unnest(s, "roundup_lines", "line", "pos", "page_id", "url").where(
         tx.is_headline("line")
     ).select("page_id", "url", "pos", tx.strip_suffixes("line").alias("title"))
     label = lambda df, section, text: df.select(
@@ -75,7 +76,7 @@ def market_lines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         parts.append(label(bullets, "Markets", "Markets section bullet point"))
     parts.append(label(heads, "Headline Roundup", "Headline Roundup"))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    first = keep_first_prefix(both, "title", ["pos"], within=["page_id", "section"])
+    first = keep_first_prefix(settle(both), "title", ["pos"], within=["page_id", "section"])
     return first.where(_passes(F.col("title"), rule, r))
 
 
@@ -95,11 +96,12 @@ def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         ),
     )
     staged = staged.withColumn("_n", F.filter(named, lambda n: n["name"].isNotNull()))
-    rows = staged.select("page_id", "url", "_n", F.explode("_b").alias("b")).select(
+    rows = unnest(
+        unnest(staged, "_b", "b", "_i", "page_id", "url", "_n"), markup.links("b.body"), "a", "pos",
         "page_id", F.col("url").alias("page_url"), "_n", F.col("b.pos").alias("block"),
-        F.col("b.text").alias("parent_text"), F.posexplode(markup.links("b.body")).alias("pos", "a"),
+        F.col("b.text").alias("parent_text"),
     ).where(F.startswith("a.href", F.lit("http")))
-    rows = rows.withColumn("url", urls.clean_url_prefixes("a.href"))
+    rows = settle(rows.withColumn("url", urls.clean_url_prefixes("a.href")))
     first = keep_first(rows, ["page_id", "url"], ["block", "pos"])
     section = F.coalesce(
         F.try_element_at(F.filter("_n", lambda n: n["pos"] <= F.col("block")), F.lit(-1))["name"],
@@ -111,7 +113,7 @@ def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         "parent_text", section.alias("section"),
     )
     combined = F.concat_ws(" ", "title", "parent_text")
-    return out.where(
+    return settle(out).where(
         tx.is_linked_headline("title")
         & ~rl.in_sections("section", r["exclude_sections"])
         & _passes(combined, rule, r)
@@ -167,10 +169,9 @@ def training_links(
             lambda h: h["name"] != "Unknown",
         ),
     )
-    rows = staged.select("page_id", "_h", F.explode("_b").alias("b")).select(
-        "page_id", "_h", F.col("b.pos").alias("block"),
-        F.left("b.text", F.lit(300)).alias("parent_text"),
-        F.posexplode(markup.links("b.body")).alias("pos", "a"),
+    rows = unnest(
+        unnest(staged, "_b", "b", "_i", "page_id", "_h"), markup.links("b.body"), "a", "pos",
+        "page_id", "_h", F.col("b.pos").alias("block"), F.left("b.text", F.lit(300)).alias("parent_text"),
     ).where(F.startswith("a.href", F.lit("http")))
     first = keep_first(rows.withColumn("raw_url", F.col("a.href")), ["page_id", "raw_url"], ["block", "pos"])
     section = F.coalesce(

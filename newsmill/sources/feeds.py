@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill.functions import dates, markup, urls
-from newsmill.functions.arrays import first_present, squeeze
+from newsmill.functions.arrays import first_present, let, squeeze
+from newsmill.operators.rows import unnest
 
 _ENTRY = (
     "struct<title:string, link:array<struct<_href:string,_VALUE:string>>, description:string, "
@@ -25,13 +26,20 @@ def feed_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     ``feeds``: url of the feed and its XML.
     """
     doc = F.from_xml(F.col(xml), _FEED, _OPTIONS)
-    parsed = feeds.select("url", doc.alias("d"))
-    items, entries = F.col("d.channel.item"), F.col("d.entry")
-    name = first_present(F.trim("d.channel.title"), F.trim("d.title"), urls.netloc("url"))
-    rows = parsed.select(
-        F.col("url").alias("source_url"),
-        name.alias("source_name"),
-        F.posexplode(F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items).otherwise(entries)).alias("pos", "e"),
+
+    def named(d: Column) -> Column:
+        items, entries = d["channel"]["item"], d["entry"]
+        title = F.trim(F.coalesce(d["channel"]["title"], d["title"]))
+        return F.transform(
+            F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items).otherwise(entries),
+            lambda e: F.struct(title.alias("feed"), e.alias("e")),
+        )
+
+    rows = unnest(
+        feeds, let(doc, named), "x", "pos", F.col("url").alias("source_url")
+    ).select(
+        "source_url", "pos", F.col("x.e").alias("e"),
+        first_present(F.col("x.feed"), urls.netloc("source_url")).alias("source_name"),
     )
     link = F.get("e.link", F.lit(0))
     target = first_present(link["_href"], F.trim(link["_VALUE"]))
@@ -58,9 +66,7 @@ def feed_content(body: Column | str) -> Column:
 def video_entries(feeds: DataFrame, limit: int = 20, xml: str = "xml") -> DataFrame:
     """The first ``limit`` videos of each channel feed (channel, xml)."""
     doc = F.from_xml(F.col(xml), _VIDEO_FEED, _OPTIONS)
-    rows = feeds.select(
-        "channel", F.posexplode(F.slice(doc["entry"], 1, limit)).alias("pos", "v")
-    )
+    rows = unnest(feeds, F.slice(doc["entry"], 1, limit), "v", "pos", "channel")
     return rows.select(
         "channel", "pos",
         F.col("v.videoId").alias("video_id"),

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, urls
-from newsmill.functions.arrays import first_present, squeeze
+from newsmill.functions.arrays import first_present, let, squeeze
 from newsmill.operators.dedup import keep_first
 from newsmill.operators.joins import skew_join
+from newsmill.operators.ordered import last_rows
+from newsmill.operators.rows import settle, unnest
 
 
 def read_pages(spark: SparkSession, path: str, cap: int = fixed.MAX_BODY_CHARS) -> DataFrame:
@@ -129,8 +131,8 @@ def archive_posts(pages: DataFrame, since: str | None = None) -> DataFrame:
     dropped, as a crawl would stop there.
     """
     tokens = pages.select("archive", "page_no", "url", _post_tokens(F.col("html")).alias("_t"))
-    posts = tokens.select(
-        "*", F.explode(F.filter("_t", lambda t: t["href"].isNotNull())).alias("a")
+    posts = unnest(
+        tokens, F.filter("_t", lambda t: t["href"].isNotNull()), "a", "_i", "*"
     ).withColumn("slug", urls.post_slug("a.href"))
     t, a = F.col("_t"), F.col("a")
     other = lambda x: x["href"].isNotNull() & (urls.post_slug(x["href"]) != F.col("slug"))
@@ -151,7 +153,7 @@ def archive_posts(pages: DataFrame, since: str | None = None) -> DataFrame:
         urls.absolute_url(a["href"], "url").alias("post_url"),
         dates.parse_archive_date(found).alias("day"),
     )
-    first = keep_first(rows, ["archive", "slug"], ["page_no", "pos"])
+    first = keep_first(settle(rows), ["archive", "slug"], ["page_no", "pos"])
     if since:
         too_old = first.where(F.col("day") < F.to_date(F.lit(since))).groupBy("archive").agg(
             F.min(F.struct("page_no", "pos")).alias("_stop")
@@ -178,10 +180,10 @@ def latest_post(pages: DataFrame) -> DataFrame:
 
 def post_links(pages: DataFrame) -> DataFrame:
     """S6, listing form: distinct post URLs of the page's own site, in page order."""
-    rows = pages.select("url", F.posexplode(markup.links("html")).alias("pos", "a")).select(
+    rows = unnest(pages, markup.links("html"), "a", "pos", "url").select(
         "url", "pos", urls.absolute_url("a.href", "url").alias("post_url")
     )
-    own = rows.where(
+    own = settle(rows).where(
         F.contains(urls.netloc("post_url"), urls.netloc("url"))
         & F.contains(F.lower(urls.path("post_url")), F.lit("/p/"))
     )
@@ -211,10 +213,8 @@ def archive_links(pages: DataFrame) -> DataFrame:
         F.filter(markup.links("html"), lambda a: a["href"].rlike(fixed.ARCHIVE_PATH_PATTERN)),
         lambda a: F.struct(a.alias("a"), F.lit("").alias("around")),
     )
-    found = pages.select("url", F.col("html"), carded.alias("_c")).select(
-        F.col("url").alias("page_url"),
-        F.posexplode(F.when(F.size("_c") > 0, F.col("_c")).otherwise(by_path)).alias("pos", "x"),
-    )
+    either = let(carded, lambda c: F.when(F.size(c) > 0, c).otherwise(by_path))
+    found = unnest(pages, either, "x", "pos", F.col("url").alias("page_url"))
     href, inner = F.col("x.a.href"), F.col("x.a.inner")
     usable = found.where(href.rlike("^(?:/|http)"))
     heading = lambda c: markup.plain_text(
@@ -245,7 +245,7 @@ def archive_links(pages: DataFrame) -> DataFrame:
         F.left(title, F.lit(200)).alias("title"), date_text.alias("date_str"),
         dates.parse_feed_date(date_text).alias("date"), F.lit(True).alias("selected"),
     )
-    return keep_first(rows, ["page_url", "url"], ["pos"])
+    return keep_first(settle(rows), ["page_url", "url"], ["pos"])
 
 
 # --- S8, S9: message channels -----------------------------------------------
@@ -262,62 +262,87 @@ def best_link(hrefs: Column) -> Column:
     return F.coalesce(F.try_element_at(articles, F.lit(-1)), F.try_element_at(hrefs, F.lit(-1)))
 
 
+def page_messages(html: Column | str) -> Column:
+    """Messages of a channel page as an array, in page order."""
+    wrap = r"""(?i)<div\b[^>]*\btgme_widget_message_wrap\b[^>]*>"""
+    blocks = F.split(markup.drop_comments(html), wrap)
+
+    def message(block: Column, i: Column) -> Column:
+        body = _class_div(block, "tgme_widget_message_text")
+        hrefs = F.transform(markup.links(body), lambda a: a["href"])
+        external = F.filter(
+            hrefs, lambda x: F.startswith(x, F.lit("http")) & ~F.contains(x, F.lit("t.me"))
+        )
+        link = markup.attribute(markup.start_tag(block, "a", r"""\btgme_widget_message_date\b"""), "href")
+        return F.struct(
+            i.alias("pos"),
+            markup.plain_text(body, "").alias("text"),
+            markup.attribute(markup.start_tag(block, "time"), "datetime").alias("date_published"),
+            let(external, best_link).alias("best_link"),
+            F.nullif(link, F.lit("")).alias("permalink"),
+            F.regexp_extract(link, r"/(\d+)$", 1).try_cast("long").alias("message_id"),
+        )
+
+    found = let(
+        blocks, lambda b: F.transform(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), message)
+    )
+    return F.filter(found, lambda m: m["text"] != "")
+
+
+def _named_channel(html: Column | str) -> Column:
+    return first_present(
+        markup.plain_text(_class_div(markup.drop_comments(html), "tgme_channel_info_header_title"), ""),
+        F.lit("Telegram Channel"),
+    )
+
+
+def _message_rows(pages: DataFrame) -> DataFrame:
+    rows = unnest(pages, "_m", "m", "_i", "channel", "page_no", "url", "source_name")
+    return rows.select(
+        "channel", "page_no", "url", "source_name", "m.*",
+    ).withColumn("permalink", F.coalesce("permalink", "url"))
+
+
 def channel_messages(pages: DataFrame) -> DataFrame:
     """One row per message of a channel page: text, time, links, permalink.
 
     ``pages``: channel, page_no, url, html.
     """
-    h = markup.drop_comments("html")
-    blocks = F.split(h, r"""(?i)<div\b[^>]*\btgme_widget_message_wrap\b[^>]*>""")
-    rows = pages.select(
-        "channel", "page_no", "url",
-        first_present(
-            markup.plain_text(_class_div(h, "tgme_channel_info_header_title"), ""), F.lit("Telegram Channel")
-        ).alias("source_name"),
-        F.posexplode(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))).alias("pos", "block"),
+    return _message_rows(
+        pages.select(
+            "channel", "page_no", "url", _named_channel("html").alias("source_name"),
+            page_messages("html").alias("_m"),
+        )
     )
-    body = _class_div(F.col("block"), "tgme_widget_message_text")
-    link_tag = markup.start_tag(F.col("block"), "a", r"""\btgme_widget_message_date\b""")
-    hrefs = F.transform(markup.links(body), lambda a: a["href"])
-    external = F.filter(hrefs, lambda x: F.startswith(x, F.lit("http")) & ~F.contains(x, F.lit("t.me")))
-    permalink = markup.attribute(link_tag, "href")
-    return rows.select(
-        "channel", "page_no", "url", "source_name", "pos",
-        markup.plain_text(body, "").alias("text"),
-        markup.attribute(markup.start_tag(F.col("block"), "time"), "datetime").alias("date_published"),
-        best_link(external).alias("best_link"),
-        first_present(permalink, F.col("url")).alias("permalink"),
-        F.regexp_extract(permalink, r"/(\d+)$", 1).try_cast("long").alias("message_id"),
-    ).where("text <> ''")
 
 
-def readable_pages(messages: DataFrame, start: str | None, max_pages: int = 25) -> DataFrame:
-    """Pages of a channel that a backwards reading takes.
+def channel_history(pages: DataFrame, start: str | None, max_pages: int = 25) -> DataFrame:
+    """Messages of the pages that a backwards reading of a channel takes.
 
     Reading stops after a page whose smallest message id is not below that of the
     page before, or whose messages reach back beyond ``start``; without ``start``
-    only the first page is read.  Only the first ``max_pages`` of a channel are
-    looked at, so the window below holds that many rows per channel.
+    only the first page is read.  A reading never goes beyond ``max_pages``, so that
+    many pages per channel are taken before any of them is parsed, and the windows
+    below run over as many rows.
     """
-    day = dates.parse_item_date("date_published")
-    per_page = messages.groupBy("channel", "page_no").agg(
-        F.min("message_id").alias("oldest_id"), F.min(day).alias("oldest")
-    )
     order = Window.partitionBy("channel").orderBy("page_no")
-    first = per_page.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_pages)
+    first = last_rows(pages, ["channel"], [F.col("page_no")], max_pages if start else 1)
+    parsed = settle(
+        first.select(
+            "channel", "page_no", "url", _named_channel("html").alias("source_name"),
+            page_messages("html").alias("_m"),
+        )
+    )
+    ids = F.transform("_m", lambda m: m["message_id"])
+    days = F.transform("_m", lambda m: dates.parse_item_date(m["date_published"]))
+    stats = parsed.withColumn("oldest_id", F.array_min(ids)).withColumn("oldest", F.array_min(days))
     ends = F.col("oldest_id").isNull() | F.coalesce(
         F.col("oldest_id") >= F.lag("oldest_id").over(order), F.lit(False)
     )
     if start:
         ends = ends | F.coalesce(F.col("oldest") < F.to_timestamp(F.lit(start)), F.lit(False))
-    else:
-        ends = F.lit(True)
-    marked = first.withColumn("_end", ends)
-    ended_before = F.coalesce(
-        F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)
-    )
-    return (
-        marked.withColumn("_done", ended_before)
-        .where(~F.col("_done"))
-        .select("channel", "page_no", "oldest_id", "oldest")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = stats.withColumn("_end", ends).withColumn(
+        "_done", F.coalesce(F.max("_end").over(before), F.lit(False))
     )
+    return _message_rows(marked.where(~F.col("_done")))

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsmill.functions.arrays import first_present
 from newsmill.functions.urls import source_type
 from newsmill.schemas import RULE, SOURCE
+from newsmill.operators.rows import unnest
 
 
 def parse_registry(texts: DataFrame, text: str = "value") -> DataFrame:
     """Sources from registry documents: a list or ``{"sources": [...]}`` of objects or URLs."""
     t = F.trim(F.col(text))
     listed = F.when(F.startswith(t, F.lit("[")), t).otherwise(F.get_json_object(t, "$.sources"))
-    entry = texts.select(F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "entry"))
+    entry = unnest(texts, F.from_json(listed, "array<string>"), "entry", "pos")
     record = F.from_json("entry", SOURCE)
     is_object = F.startswith(F.trim("entry"), F.lit("{"))
     url = F.when(is_object, record["url"]).otherwise(F.col("entry"))

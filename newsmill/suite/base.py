@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsmill.functions import markup, urls
+from newsmill.operators.rows import unnest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,9 +157,7 @@ LINKS = f"""links AS (
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    return pages.select(
-        "page_id", "url", F.posexplode(markup.links("html")).alias("pos", "a")
-    ).select("page_id", "url", "pos", F.col("a.href").alias("href"), F.col("a.text").alias("text"))
+    return unnest(pages, markup.links("html"), "a", "pos", "page_id", "url").select("page_id", "url", "pos", F.col("a.href").alias("href"), F.col("a.text").alias("text"))
 
 
 # News items: the first line of a document is its title, and the order of the same number

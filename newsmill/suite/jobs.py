@@ -1 +1,456 @@
-"""Queries."""
+"""C and X rows of the inventory: composite jobs and extension points."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsmill import fixed
+from newsmill.functions import markup, text as tx, urls
+from newsmill.operators import digest as dg, load, ordered
+from newsmill.plans import enrich, harvest, maintain, market, report
+from newsmill.suite.aggregates import DIGEST, digest_items
+from newsmill.suite.base import (
+    CALLS, LINKS, NEWS, PRICED, absolute_sql, clean_url_sql, has_any, lst, netloc_sql, news, path_sql, plain_sql, priced,
+    q, query, squeeze_sql, table, title_sql,
+)
+from newsmill.suite.dedup_joins import MATCHES, catalogue, doc_items
+from newsmill.suite.functions import _TITLE, cut_sql, strip_fillers_sql, summary_sql
+from newsmill.suite.scans import READ
+from newsmill.suite.predicates import (
+    LINES, PAGE_ITEMS, SHEET, SOURCES, _TYPE_B, _strip, ends_any, media, page_items, sheet, sources, words_sql,
+)
+
+CLEAN = clean_url_sql("url", fixed.TRACKING_NAMES)
+
+
+@query(
+    "links_by_host",
+    f"""WITH {LINKS}, a AS (SELECT page_id, url AS source_url, pos, {absolute_sql('href', 'url')} AS link FROM links
+       WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'mailto:')),
+     c AS (SELECT page_id, source_url, pos, {clean_url_sql('link', fixed.TRACKING_NAMES)} AS u FROM a),
+     f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page_id, u ORDER BY pos) = 1)
+    SELECT lower({netloc_sql('source_url')}) AS host, count(*) AS links, min(u) AS first_url, max(u) AS last_url FROM f GROUP BY 1""",
+)
+def links_by_host(spark, sf):
+    return harvest.link_hosts(table(spark, sf, "pages"))
+
+
+def newsletter_pages(spark, sf):
+    """An issue per landed page: a link to the page, the same behind a redirect, a subscribe link, another link."""
+    p = page_items(spark, sf)
+    pid = F.col("page_id").cast("string")
+    esc = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(
+        F.lit("<html><head><title>Issue "), pid, F.lit(" | News</title></head><body><nav><a href='https://nav.example.com/x'>nav</a></nav><article><h1>"),
+        esc, F.lit('</h1><p>Read <a href="'), "url", F.lit('">'), esc, F.lit('</a> now</p><h2>Markets</h2><ul><li><a href="https://links.beehiiv.com/c?x=1&amp;dest='),
+        F.url_encode("url"), F.lit('">again</a> here</li></ul><p><a href="https://n.example.com/subscribe">S</a> <a href="https://other.example.org/'),
+        pid, F.lit("/story-"), pid, F.lit('?utm_source=q&amp;k=1"></a></p></article></body></html>'),
+    )
+    return p.select("page_id", "url", html.alias("html"))
+
+
+ISSUE = f"""{PAGE_ITEMS}, issue AS (SELECT page_id, url, title, CASE WHEN title <> '' AND length(title) < 100 THEN title ELSE 'General' END AS category FROM page_items)"""
+
+
+# A link whose address holds a "#" counts as internal, so those issues yield it from the redirect instead.
+@query(
+    "c1_harvest_links",
+    f"""WITH {ISSUE} SELECT CASE WHEN contains(url, '#') THEN 'again' ELSE coalesce(nullif(title, ''), {title_sql("replace(replace(string_split(trim(" + path_sql('url') + ", '/'), '/')[-1], '-', ' '), '_', ' ')")}[1:100]) END AS title,
+       {CLEAN} AS url, 'Issue ' || page_id AS source_name, CASE WHEN contains(url, '#') THEN 'Markets' ELSE category END AS category,
+       CASE WHEN contains(url, '#') THEN 'again here' ELSE trim('Read ' || title || CASE WHEN title = '' THEN 'now' ELSE ' now' END) END AS description FROM issue
+     UNION ALL SELECT 'Story ' || page_id, 'https://other.example.org/' || page_id || '/story-' || page_id || '?k=1', 'Issue ' || page_id, 'Markets', 'S' FROM issue""",
+)
+def c1(spark, sf):
+    return harvest.harvest_links(newsletter_pages(spark, sf)).select("title", "url", "source_name", "category", "description")
+
+
+@query(
+    "c1_harvest_with_rules",
+    f"""WITH {ISSUE}, i AS (SELECT {CLEAN} AS url, title, CASE WHEN contains(url, '#') THEN 'Markets' ELSE category END AS category, title || ' Read ' || title || ' now' AS txt FROM issue UNION ALL
+       SELECT 'https://other.example.org/' || page_id || '/story-' || page_id || '?k=1', 'Story', 'Markets', 'Story S' FROM issue)
+    SELECT url, CASE WHEN contains(lower(category), 'market') THEN 'category' WHEN {has_any("lower(url || ' ' || txt)", ['pills'])} THEN 'excluded'
+      WHEN contains({netloc_sql('url')}, 'example.net') THEN 'domain_blocked' END AS reject_reason FROM i""",
+)
+def c1b(spark, sf):
+    rule = {"exclude_categories": ["market"], "exclude_patterns": ["Pills"], "blocked_domains": ["example.net"]}
+    return harvest.harvest_links(newsletter_pages(spark, sf), overrides=rule, keep_rejected=True).select("url", "reject_reason")
+
+
+@query(
+    "c2_harvest_generic",
+    f"""WITH {ISSUE} SELECT page_id, 'nav' AS title, 'https://nav.example.com/x' AS url FROM issue
+     UNION ALL SELECT page_id, 'again', 'https://links.beehiiv.com/c?x=1&dest=' || url_encode(url) FROM issue
+     UNION ALL SELECT page_id, 'S', 'https://n.example.com/subscribe' FROM issue
+     UNION ALL SELECT page_id, 'Story ' || page_id, 'https://other.example.org/' || page_id || '/story-' || page_id || '?k=1' FROM issue""",
+)
+def c2(spark, sf):
+    # The URL under "dest" keeps its encoding: query parts are taken verbatim.
+    return harvest.harvest_generic(newsletter_pages(spark, sf)).select("page_id", "title", "url")
+
+
+@query(
+    "c3_harvest_feed",
+    f"""WITH {NEWS} SELECT {squeeze_sql('title')} AS title, url, 'Feed ' || source_name AS source_name, {plain_sql('content', '')}[1:500] AS description, source_name AS author
+     FROM news WHERE category = 'en' AND (published_date IS NULL OR CAST(published_date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1999-12-31')""",
+)
+def c3(spark, sf):
+    from newsmill.suite.scans import feed_documents
+
+    items = harvest.harvest_feed(feed_documents(spark, sf, "rss"), "1995-01-01", "1999-12-31")
+    return items.select("title", "url", "source_name", "description", "author")
+
+
+@query(
+    "c4_harvest_channel",
+    f"""SELECT CASE WHEN role = 'user' THEN 'https://a.example.com/x/story-' || conv_id || '-' || turn ELSE 'https://t.me/c/' || (100 - turn) END AS url,
+      'c' || conv_id AS channel, 'Chan' AS source_name FROM {READ} r WHERE 28 - turn % 28 >= 26""",
+)
+def c4(spark, sf):
+    from newsmill.suite.scans import channel_pages
+
+    return harvest.harvest_channel(channel_pages(spark, sf), "2024-01-26").select("url", "channel", "source_name")
+
+
+@query("c5_harvest_headlines")
+def c5(spark, sf):
+    rule = {"name": "Pages", "exclude_patterns": ["wonderful spam"]}
+    items = harvest.harvest_headlines(table(spark, sf, "pages"), rule, F.to_timestamp(F.lit("2024-05-01 00:00:00")))
+    return items.select("page_id", "pos", "title", "source_name", "source_type", F.col("metadata.section").alias("section"))
+
+
+def market_pages(spark, sf):
+    """Issues whose markets and roundup sections hold the lines of a document."""
+    d = table(spark, sf, "documents")
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.replace(esc, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    html = F.concat(
+        F.lit("<html><body><p>Opening words of the issue</p><p>Markets</p>"), body, F.lit("<p>Headline Roundup</p>"), body,
+        F.lit("<p>Deal Flow</p><p>This line stands after the sections, 5% up</p></body></html>"),
+    )
+    return d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), html.alias("html"))
+
+
+_SQ = squeeze_sql("line")
+
+
+@query(
+    "c6_market_lines",
+    f"""WITH {LINES}, s AS (SELECT doc_id, pos, {_SQ} AS line FROM lines),
+     m AS (SELECT doc_id, pos, 'Markets' AS section, line AS title FROM s WHERE length(line) > 20 AND NOT {has_any('lower(line)', fixed.MARKET_SKIP_WORDS)} AND {has_any('lower(line)', fixed.MARKET_WORDS)}
+       QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line[1:50]) ORDER BY pos) = 1),
+     h AS (SELECT doc_id, pos, 'Headline Roundup' AS section, {_strip('line', fixed.HEADLINE_SUFFIXES)} AS title FROM s WHERE length(line) >= 20 AND NOT {has_any('lower(line)', fixed.ROUNDUP_SKIP_WORDS)}
+       AND (len({words_sql('line')}) >= 5 OR regexp_matches(line, {q(fixed.HEADLINE_SOURCE_PATTERN)})) AND NOT {ends_any(_strip('line', fixed.HEADLINE_SUFFIXES), fixed.TRUNCATED_ENDINGS)}
+       AND length({_strip('line', fixed.HEADLINE_SUFFIXES)}) >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_strip('line', fixed.HEADLINE_SUFFIXES)}[1:50]) ORDER BY pos) = 1)
+    SELECT doc_id AS page_id, section, title FROM m WHERE NOT {has_any('lower(title)', ['spam'])} UNION ALL SELECT doc_id, section, title FROM h WHERE NOT {has_any('lower(title)', ['spam'])}""",
+)
+def c6(spark, sf):
+    lines = market.market_lines(market_pages(spark, sf), {"exclude_patterns": ["spam"]})
+    return lines.select("page_id", "section", "title")
+
+
+@query("c6_market_digest")
+def c6b(spark, sf):
+    out = market.market_digest(market_pages(spark, sf), {"exclude_patterns": ["spam"]})
+    return market.digest_speech(out).select("page_id", "section", "title", "line", "source")
+
+
+@query(
+    "c7_training_links",
+    f"""WITH {ISSUE} SELECT page_id, url AS raw_url, contains(url, 'example.net') AS is_blocked FROM issue
+     UNION ALL SELECT page_id, 'https://nav.example.com/x', false FROM issue
+     UNION ALL SELECT page_id, 'https://links.beehiiv.com/c?x=1&dest=' || url_encode(url), false FROM issue
+     UNION ALL SELECT page_id, 'https://n.example.com/subscribe', false FROM issue
+     UNION ALL SELECT page_id, 'https://other.example.org/' || page_id || '/story-' || page_id || '?utm_source=q&k=1', false FROM issue""",
+)
+def c7(spark, sf):
+    pages = newsletter_pages(spark, sf).withColumn(
+        "html", F.replace("html", F.lit("<nav>"), F.lit("<div>"))
+    )
+    return market.training_links(pages, {"blocked_domains": ["example.net"]}).select("page_id", "raw_url", "is_blocked")
+
+
+@query(
+    "c8_match_items",
+    f"""WITH {MATCHES}, s AS (SELECT doc_id, count(*) AS n, round(max(score), 2) AS c, string_agg(name, ', ' ORDER BY score DESC, pos, rank, entity_id) AS names FROM matches GROUP BY doc_id)
+    SELECT d.doc_id, s.n IS NOT NULL AS grid_matched, coalesce(c, 0) AS grid_confidence, coalesce(n, 0) AS grid_match_count, coalesce(names, '') AS grid_subjects FROM documents d LEFT JOIN s USING (doc_id)""",
+)
+def c8(spark, sf):
+    out = enrich.match_items(doc_items(spark, sf), catalogue(spark, sf), ["doc_id"], ascii_boundary=True)
+    return out.select("doc_id", "grid_matched", "grid_confidence", "grid_match_count", "grid_subjects")
+
+
+_R_TERMS = ["than", "that", "une", "sch"]
+_R_HITS = f"regexp_extract_all(content, '(?i)\\b({'|'.join(_R_TERMS)})\\b', 1)"
+
+
+@query(
+    "c9_research",
+    f"""WITH {NEWS}, h AS (SELECT item_id, unnest({_R_HITS}) AS h, unnest(range(len({_R_HITS}))) AS pos FROM news WHERE category IN ('en', 'fr') AND length(content) >= 100),
+     c AS (SELECT item_id, upper(h[1:1]) || lower(h[2:]) AS term, count(*) AS n, min(pos) AS pos FROM h GROUP BY ALL),
+     m AS (SELECT item_id, string_agg(term || ' (' || n || 'x)', ', ' ORDER BY n DESC, pos) AS mentions FROM c GROUP BY item_id)
+    SELECT n.item_id, CASE WHEN n.category NOT IN ('en', 'fr') THEN 'kept' WHEN length(content) < 100 THEN 'Parse failed: No article body extracted (got ' || length(content) || ' chars)'
+      ELSE coalesce(mentions, '') END AS mentions FROM news n LEFT JOIN m USING (item_id)""",
+)
+def c9(spark, sf):
+    n = news(spark, sf).withColumn("comments", F.lit("kept"))
+    articles = n.select("item_id", F.col("content").alias("article"))
+    out = enrich.research(
+        n, articles, ["item_id"], terms=_R_TERMS, categories=["EN", "FR"], only_unmatched=False, ascii_boundary=True
+    )
+    c = F.col("comments")
+    shown = F.when((c == "kept") | F.startswith(c, F.lit("Parse failed")), c).otherwise(
+        F.regexp_extract(c, r"^Mentions: ([^|]*?)(?: \||$)", 1)
+    )
+    return out.select("item_id", shown.alias("mentions"))
+
+
+@query("c9_research_entities")
+def c9b(spark, sf):
+    n = news(spark, sf)
+    articles = n.select("item_id", F.col("content").alias("article"))
+    out = enrich.research(
+        n, articles, ["item_id"], catalogue(spark, sf), terms=_R_TERMS, all_items=True, only_unmatched=False, ascii_boundary=True
+    )
+    return out.select("item_id", "comments")
+
+
+@query(
+    "c10_append_new",
+    f"""WITH {SHEET}, t AS (SELECT row_no, url, title, "Processed" FROM sheet WHERE length(title) <> 20),
+     i AS (SELECT p.page_id AS row_no, 'https://x.example.com/new/' || p.page_id // 2 AS url, 'Page ' || p.page_id AS title, 'FALSE' AS "Processed" FROM pages p
+           UNION ALL SELECT 1000000 + row_no, url || ' ', 'again', 'FALSE' FROM sheet WHERE url <> ''),
+     n AS (SELECT * FROM i WHERE trim(url) NOT IN (SELECT trim(url) FROM t WHERE trim(url) <> '')),
+     b AS (SELECT 0 AS new, * FROM t UNION ALL SELECT 1, * FROM n),
+     f AS (SELECT * FROM b WHERE NOT (trim(url) = '' AND (trim(title) = '' OR upper(trim(title)) = 'FALSE') AND upper("Processed") IN ('', 'FALSE')))
+    SELECT row_no, trim(url) AS url, title FROM f WHERE trim(url) = '' UNION ALL (SELECT row_no, trim(url), title FROM f WHERE trim(url) <> '' QUALIFY row_number() OVER (PARTITION BY trim(url) ORDER BY new, row_no) = 1)""",
+)
+def c10(spark, sf):
+    s = sheet(spark, sf)
+    target = s.where(F.length("title") != 20)
+    pages = table(spark, sf, "pages").select(
+        F.col("page_id").alias("row_no"),
+        F.concat(F.lit("https://x.example.com/new/"), F.floor(F.col("page_id") / 2).cast("string")).alias("url"),
+        F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
+    )
+    again = s.where("url <> ''").select(
+        (F.col("row_no") + 1000000).alias("row_no"), F.concat("url", F.lit(" ")).alias("url"), F.lit("again").alias("title")
+    )
+    out = load.append_new(pages.unionByName(again), target)
+    return out.select("row_no", F.trim("url").alias("url"), "title")
+
+
+@query(
+    "c11_backfill_posts",
+    f"""WITH d AS (SELECT p.page_id, p.url, o.o_orderdate FROM pages p JOIN orders o ON o.o_orderkey = p.page_id),
+      c AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT regexp_extract(url, '^https?://[^/]*') || '/p/post-' || page_id AS url FROM d WHERE strftime(o_orderdate, '%Y-%m-%d') NOT IN (SELECT day FROM c)
+    UNION ALL SELECT 'https://o.example.com/p/post-' || page_id || '-b' FROM d WHERE strftime(o_orderdate, '%Y-%m-%d') NOT IN (SELECT day FROM c)""",
+)
+def c11(spark, sf):
+    from newsmill.suite.scans import archive_pages
+
+    target = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date_published")
+    )
+    return maintain.backfill_posts(archive_pages(spark, sf), target).select("url")
+
+
+@query(
+    "c12_reenrich",
+    f"""WITH {MATCHES}, s AS (SELECT doc_id, string_agg(name, ', ' ORDER BY score DESC, pos, rank, entity_id) AS names FROM matches GROUP BY doc_id)
+    SELECT d.doc_id AS row_no, CASE WHEN l.quality = 1 THEN 'TRUE' WHEN s.names IS NULL THEN 'False' ELSE 'True' END AS grid_matched,
+      CASE WHEN l.quality = 1 THEN 'old' ELSE coalesce(s.names, '') END AS grid_subjects FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id""",
+)
+def c12(spark, sf):
+    # Title and description of the items are laid out so that they equal the ones of the match queries.
+    from newsmill.operators.joins import update_columns
+
+    flags = table(spark, sf, "labels").select("doc_id", "quality")
+    d = table(spark, sf, "documents").join(flags, "doc_id", "left")
+    done = F.coalesce(F.col("quality") == 1, F.lit(False))
+    target = d.select(
+        F.col("doc_id").alias("row_no"), F.concat(F.lit("https://x.example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(done, "TRUE").otherwise("").alias("grid_matched"), F.when(done, "old").otherwise("").alias("grid_subjects"),
+        F.col("text").alias("title"), F.col("source").alias("description"),
+    )
+    waiting = target.where(tx.needs_matching(F.lit(""), "grid_matched", "url"))
+    found = enrich.match_items(waiting.select("row_no", "title", "description"), catalogue(spark, sf), ["row_no"], ascii_boundary=True)
+    cells = found.select(
+        "row_no", F.when(F.col("grid_matched"), "True").otherwise("False").alias("grid_matched"), "grid_subjects"
+    )
+    return update_columns(target, cells, "row_no", ["grid_matched", "grid_subjects"]).select("row_no", "grid_matched", "grid_subjects")
+
+
+@query(
+    "c12_reenrich_rows",
+    "SELECT d.doc_id AS row_no, d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS untouched FROM documents d",
+)
+def c12b(spark, sf):
+    flags = table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("done"))
+    target = table(spark, sf, "documents").join(flags, "doc_id", "left").select(
+        F.col("doc_id").alias("row_no"), F.lit("https://x.example.com").alias("url"), F.col("text").alias("description"),
+        F.when(F.col("done"), "TRUE").otherwise("").alias("grid_matched"), F.when(F.col("done"), "old").otherwise("").alias("grid_subjects"),
+    )
+    out = enrich.reenrich(target, catalogue(spark, sf), ascii_boundary=True)
+    return out.select("row_no", (F.col("grid_matched") == "TRUE").alias("untouched"))
+
+
+@query(
+    "c13_retitle",
+    f"""WITH {NEWS} SELECT item_id, CASE WHEN category = 'en' THEN {squeeze_sql('title')} ELSE {squeeze_sql('title')}[1:12] || '...' END AS title FROM news""",
+)
+def c13(spark, sf):
+    from newsmill.functions.arrays import squeeze
+
+    n = news(spark, sf)
+    target = n.select("item_id", "url", F.concat(F.left(squeeze("title"), F.lit(12)), F.lit("...")).alias("title"))
+    posts = n.where("category = 'en'").select("url", squeeze("title").alias("title"), F.col("item_id").alias("pos"))
+    return enrich.retitle(target, posts).select("item_id", "title")
+
+
+VIDEOS = f"""v AS (SELECT n.item_id, n.title, n.source_name, n.published_date, l.doc_id IS NOT NULL AS known,
+     CASE WHEN n.category = 'es' THEN '' ELSE {strip_fillers_sql("array_to_string(list_filter(list_transform(string_split(n.content, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$')), ' ')")} END AS transcript
+   FROM news n LEFT JOIN labels l ON l.doc_id = n.item_id AND l.toxic = 1),
+  j AS (SELECT *, CASE WHEN published_date IS NOT NULL AND CAST(published_date AS DATE) NOT BETWEEN DATE '1994-01-01' AND DATE '1999-12-31' THEN 'date'
+     WHEN known THEN 'cached' WHEN transcript = '' THEN 'no_transcript' END AS reject_reason FROM v)"""
+
+
+def judged_videos(spark, sf):
+    n = news(spark, sf)
+    vid = F.concat(F.lit("v"), F.col("item_id").cast("string"))
+    videos = n.select(
+        vid.alias("video_id"), "item_id", "title", F.col("source_name").alias("channel"), F.lit("").alias("channel_name"), "published_date"
+    )
+    lines = F.filter(
+        F.transform(F.split("content", "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^\d+$")
+    )
+    # Repeated neighbours are kept apart by their cue, so each line is spoken once per cue.
+    vtt = F.when(F.col("category") == "es", "WEBVTT").otherwise(F.array_join(lines, "\n"))
+    transcripts = n.select(vid.alias("video_id"), vtt.alias("vtt"))
+    state = table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("id"))
+    return report.judge_videos(videos, transcripts, state, "1994-01-01", "1999-12-31", ascii_boundary=True)
+
+
+@query(
+    "c14_video_gates",
+    f"WITH {NEWS}, {VIDEOS} SELECT item_id, reject_reason FROM j",
+)
+def c14(spark, sf):
+    return judged_videos(spark, sf).select("item_id", "reject_reason")
+
+
+@query(
+    "c14_video_funnel",
+    f"""WITH {NEWS}, {VIDEOS} SELECT count(*) AS checked, count(*) FILTER (WHERE reject_reason = 'date') AS date, 0 AS chart_topic, 0 AS suppressed_topic,
+     count(*) FILTER (WHERE reject_reason = 'cached') AS cached, count(*) FILTER (WHERE reject_reason = 'no_transcript') AS no_transcript, count(*) FILTER (WHERE reject_reason IS NULL) AS kept FROM j""",
+)
+def c14b(spark, sf):
+    return report.video_funnel(judged_videos(spark, sf))
+
+
+@query("c14_video_items")
+def c14c(spark, sf):
+    items, ids = report.video_items(judged_videos(spark, sf), None)
+    return items.select("title", "url", "source_name", F.length("summary").alias("chars"))
+
+
+@query(
+    "c15_digest_order",
+    f"""WITH {NEWS}, {DIGEST}, k AS (SELECT week, kind, part, coalesce(item_id, 0) AS item_id, source_type, CASE WHEN source_type = 'newsletter' THEN source_name ELSE '' END AS src,
+       list_position({lst(fixed.SOURCE_TYPE_ORDER)}, source_type) AS tr, published_date FROM l WHERE line <> ''),
+     s AS (SELECT *, CASE WHEN source_type = 'newsletter' THEN max(published_date) OVER (PARTITION BY week, source_type, src) END AS newest FROM k)
+    SELECT week, kind, part, item_id, row_number() OVER (PARTITION BY week ORDER BY tr, newest DESC NULLS LAST, src, kind, published_date DESC NULLS LAST, item_id, part) AS place FROM s""",
+)
+def c15(spark, sf):
+    lines = report.render_digest(digest_items(spark, sf))
+    return ordered.row_numbers(lines, ["week"], dg.ORDER, "place").select("week", "kind", "part", "item_id", "place")
+
+
+@query(
+    "c16_usage_report",
+    f"""WITH {PRICED} SELECT 'by_day' AS name, count(DISTINCT CAST(ts AS DATE)) AS n FROM priced UNION ALL SELECT 'by_month', count(DISTINCT strftime(ts, '%Y-%m')) FROM priced
+     UNION ALL SELECT 'history', least(90, count(DISTINCT CAST(ts AS DATE))) FROM priced WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT 'log', least(500, count(*)) FROM priced
+     UNION ALL SELECT 'priced', count(*) FROM priced UNION ALL SELECT 'recent', count(DISTINCT ts) FROM priced UNION ALL SELECT 'running', count(*) FROM priced
+     UNION ALL SELECT 'snapshot', 1 UNION ALL SELECT 'tasks', count(DISTINCT task_id) FROM priced""",
+)
+def c16(spark, sf):
+    from newsmill.suite.base import calls
+
+    tables = report.usage_report(calls(spark, sf), F.to_timestamp(F.lit("2024-01-20 15:00:00")))
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "c17_route_sources",
+    f"WITH {SOURCES} SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'rss' ELSE {_TYPE_B} END AS type FROM sources WHERE page_id % 3 <> 0",
+)
+def c17(spark, sf):
+    s = sources(spark, sf).select(
+        "page_id", "url", (F.col("page_id") % 3 != 0).alias("enabled"),
+        F.when(F.col("page_id") % 5 == 0, "rss").otherwise("").alias("type"),
+    )
+    return harvest.route_sources(s).select("page_id", "url", "type")
+
+
+@query(
+    "c18_storage_plan",
+    """SELECT 'upload' AS plan, count(*) AS files FROM orders WHERE o_orderstatus <> 'F' UNION ALL
+     SELECT 'delete', count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY""",
+)
+def c18(spark, sf):
+    m = media(spark, sf)
+    sync, old = maintain.storage_plan(m, m.where("o_orderstatus = 'F'"), F.to_timestamp(F.lit("1998-01-01 00:00:00")))
+    up = sync.where("action = 'upload'").agg(F.lit("upload").alias("plan"), F.count(F.lit(1)).alias("files"))
+    return up.unionByName(old.agg(F.lit("delete").alias("plan"), F.count(F.lit(1)).alias("files")))
+
+
+# --- extension points -------------------------------------------------------
+
+@query(
+    "x1_custom_extractor",
+    f"""WITH {ISSUE} SELECT 'whole_page' AS extractor, count(*) AS items FROM issue WHERE starts_with(url, 'https') UNION ALL
+     SELECT 'generic', 4 * count(*) FROM issue WHERE NOT starts_with(url, 'https')""",
+)
+def x1(spark, sf):
+    whole = harvest.Extractor(
+        "whole_page",
+        lambda url: F.startswith(url, F.lit("https")),
+        lambda p: p.select(
+            markup.page_title("html").alias("title"), "url",
+            *[F.lit("").alias(c) for c in harvest.ITEM_COLUMNS if c not in ("title", "url")],
+        ),
+    )
+    items = harvest.harvest_all(newsletter_pages(spark, sf), [whole, *harvest.default_extractors()])
+    return items.groupBy("extractor").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(
+    "x2_computed_fields",
+    f"""WITH {PAGE_ITEMS} SELECT page_id, CAST(length(title) AS VARCHAR) AS title_chars, CASE WHEN category = 'en' THEN category END AS lang FROM page_items""",
+)
+def x2(spark, sf):
+    items = load.item_map(
+        page_items(spark, sf),
+        {"title_chars": F.length("title"), "lang": F.when(F.col("category") == "en", F.col("category"))},
+    )
+    return load.flatten_fields(items.select("page_id", "custom_fields"), ["title_chars", "lang"])
+
+
+@query(
+    "x3_model_text",
+    f"""WITH s AS (SELECT doc_id, lang, text, {summary_sql('text')} AS j FROM documents)
+    SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN text[1:5] || ' (' || length(text) || ')' ELSE {cut_sql('j')} END AS told FROM s""",
+)
+def x3(spark, sf):
+    def model(texts):
+        return [f"{t[:5]} ({len(t)})" if len(t) % 2 == 0 else None for t in texts]
+
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return enrich.with_model_text(d, "text", "told", model).select("doc_id", "told")
+
+
+_ = (CALLS, _TITLE, priced, urls)

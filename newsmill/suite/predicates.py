@@ -12,6 +12,7 @@ from newsmill.suite.base import (
     no_comments_sql, page_host_label, pairs_sql, path_sql, q, query, rebuild_sql, scheme_sql, squeeze_sql, stamp,
     stamp_sql, sub, table, unescape_sql,
 )
+from newsmill.operators.rows import unnest
 
 
 @query("p1_clean_url", f"SELECT page_id, {clean_url_sql('url', fixed.TRACKING_NAMES)} AS clean_url FROM pages")
@@ -323,9 +324,8 @@ LINES = """lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, trim(unnest(l)
 
 
 def doc_lines(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).withColumn("line", F.trim("line"))
+    lines = F.transform(F.split("text", "\n"), F.trim)
+    return unnest(table(spark, sf, "documents"), lines, "line", "pos", "doc_id")
 
 
 def spoken_sql(t: str) -> str:

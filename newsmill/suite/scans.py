@@ -191,7 +191,7 @@ def channel_pages(spark, sf):
     html = F.concat(
         F.lit('<div class="tgme_channel_info_header_title">Chan</div><div class="tgme_widget_message_wrap js"><div class="tgme_widget_message_text js">'),
         esc, link, F.lit('</div><a class="tgme_widget_message_date" href="https://t.me/c/'), (100 - F.col("turn")).cast("string"),
-        F.lit('"><time datetime="2024-01-01T0'), (9 - F.col("turn") % 9).cast("string"), F.lit(':00:00+00:00">x</time></a></div>'),
+        F.lit('"><time datetime="2024-01-'), F.lpad((28 - F.col("turn") % 28).cast("string"), 2, "0"), F.lit('T08:00:00+00:00">x</time></a></div>'),
     )
     return c.select(
         F.concat(F.lit("c"), cid).alias("channel"), F.col("turn").cast("int").alias("page_no"),
@@ -208,15 +208,13 @@ def s8(spark, sf):
     return pg.channel_messages(channel_pages(spark, sf)).select("channel", "page_no", "best_link", "permalink", "message_id")
 
 
-@query(
-    "s9_channel_history",
-    """SELECT 'c' || conv_id AS channel, CAST(turn AS INT) AS page_no FROM conversations c
-     WHERE turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND (9 - x.turn % 9) < 7), turn) AND turn < 25""",
-)
+READ = """(SELECT conv_id, turn, role FROM conversations c WHERE turn < 25 AND turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND 28 - x.turn % 28 < 26), turn))"""
+
+
+@query("s9_channel_history", f"SELECT 'c' || conv_id AS channel, CAST(turn AS INT) AS page_no, 100 - turn AS message_id FROM {READ} r")
 def s9(spark, sf):
-    # Hours fall by turn; reading stops at the first page with a message before 07:00.
-    messages = pg.channel_messages(channel_pages(spark, sf))
-    return pg.readable_pages(messages, "2024-01-01 07:00:00").select("channel", "page_no")
+    # Days fall by turn; reading stops at the first page with a message before the 26th.
+    return pg.channel_history(channel_pages(spark, sf), "2024-01-26").select("channel", "page_no", "message_id")
 
 
 @query(

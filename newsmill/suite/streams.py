@@ -1 +1,142 @@
-"""Queries."""
+"""T rows of the inventory: each stream works off the given tables and is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsmill.operators import admission
+from newsmill.plans import maintain
+from newsmill.session import scratch
+from newsmill.streaming import jobs
+from newsmill.suite.base import CALLS, COST, calls, priced, query, stamp, stamp_sql, table
+
+
+def event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # A glob, because a stream wants a folder or a glob and the table may be one file.
+    return jobs.read_stream(spark, f"{sf}/events.parque[t]", schema)
+
+
+def call_stream(spark, sf):
+    """The usage log of the batch queries as a stream."""
+    from newsmill.operators.usage import price_calls
+
+    e = event_stream(spark, sf)
+    model = F.lit("other-model")
+    names = {
+        "click": "gemini-2.5-flash", "view": "models/gemini-2.0-flash", "purchase": "gemini-1.5-pro", "signup": "gemini-2.5-pro",
+    }
+    for kind, name in names.items():
+        model = F.when(F.col("event_type") == kind, name).otherwise(model)
+    return price_calls(
+        e.select(
+            F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), model.alias("model"),
+            F.concat(F.lit("task"), F.col("user_id").cast("string")).alias("task_id"),
+            F.floor(F.col("value") * 1000).alias("input_chars"), F.floor(F.col("value") * 100).alias("output_chars"),
+        )
+    )
+
+
+def written(spark, df, mode="append"):
+    """Run a stream to the end of its input and read what it wrote."""
+    out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
+    if mode == "append":
+        jobs.run_available(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
+    else:
+        # Complete results replace each other, one folder for the latest.
+        jobs.run_available(
+            df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
+                lambda batch, n: batch.write.mode("overwrite").parquet(out)
+            )
+        )
+    return spark.read.parquet(out)
+
+
+@query("t1_append_new", "SELECT DISTINCT 'u' || user_id || '-' || event_type AS url FROM events")
+def t1(spark, sf):
+    e = event_stream(spark, sf).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("url"), F.col("event_id").alias("pos")
+    )
+    target, checkpoint = scratch(spark, "target"), scratch(spark, "checkpoint")
+    jobs.run_available(jobs.append_stream(e, target, checkpoint))
+    return spark.read.option("basePath", target).parquet(target).select("url")
+
+
+@query("t2_unseen_ids", "SELECT DISTINCT user_id FROM events")
+def t2(spark, sf):
+    return written(spark, jobs.unseen_ids(event_stream(spark, sf).select("user_id", "ts"), "user_id", "ts")).select("user_id")
+
+
+@query(
+    "t3_daily_counters",
+    f"WITH {CALLS} SELECT {stamp_sql('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} AS day, count(*) AS calls, round(sum({COST}), 6) AS cost_estimate FROM calls GROUP BY 1",
+)
+def t3(spark, sf):
+    return written(spark, jobs.daily_counters(call_stream(spark, sf)), "complete").withColumn("day", stamp("day"))
+
+
+@query(
+    "t4_sliding_minute",
+    """WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), w AS (SELECT unnest(generate_series(s - s % 10 - 50, s - s % 10, 10)) AS start FROM e)
+     SELECT start, count(*) AS calls FROM w GROUP BY start""",
+)
+def t4(spark, sf):
+    return written(spark, jobs.sliding_minute(call_stream(spark, sf)), "complete").select(
+        F.unix_seconds("start").alias("start"), "calls"
+    )
+
+
+LIMITS = {"daily_max_calls": 12, "monthly_max_calls": 200, "monthly_budget_usd": 0.35}
+
+
+@query("t5_admission_stream")
+def t5(spark, sf):
+    decisions = written(spark, jobs.admission_stream(call_stream(spark, sf), LIMITS))
+    return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("t5_admission")
+def t5b(spark, sf):
+    return admission.admit(priced(spark, sf), LIMITS)
+
+
+@query(
+    "t5_admission_open",
+    f"WITH {CALLS} SELECT call_id, 'accepted' AS decision FROM calls",
+)
+def t5c(spark, sf):
+    # Without limits every call passes.
+    limits = {"enabled": False, "free_tier_only": False}
+    return admission.admit(priced(spark, sf), limits).select("call_id", "decision")
+
+
+@query(
+    "t6_task_totals",
+    f"WITH {CALLS} SELECT task_id, count(*) AS calls, {stamp_sql('max(ts)')} AS last_run FROM calls GROUP BY task_id",
+)
+def t6(spark, sf):
+    return written(spark, jobs.task_totals_stream(call_stream(spark, sf)), "complete").withColumn("last_run", stamp("last_run"))
+
+
+@query("t7_catch_up", "SELECT count(*) AS events FROM events")
+def t7(spark, sf):
+    # A second start after everything has been worked off adds nothing.
+    e = event_stream(spark, sf).select("event_id")
+    out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
+    for _ in range(2):
+        jobs.run_available(
+            e.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+        )
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("t8_resume", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def t8(spark, sf):
+    path = scratch(spark, "stage")
+    build = lambda: table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    maintain.resume(spark, path, build)
+    # The stage is there now, so the second call must not build it again.
+    return maintain.resume(spark, path, lambda: build().withColumn("n", F.lit(-1)))
+
+
+_ = calls
