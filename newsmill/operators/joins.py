@@ -267,32 +267,24 @@ def _tokens(text: Column, ascii_boundary: bool) -> Column:
 def _shingles(text: Column, sizes: Sequence[int], ascii_boundary: bool) -> Column:
     """Runs of 1, 2, ... words of a lower-cased text with what stands between them."""
     w = _word(ascii_boundary)
-    pair = F.arrays_zip(
-        _tokens(text, ascii_boundary).alias("t"),
-        F.regexp_extract_all(text, F.lit(f"[{w}]+([^{w}]*)"), F.lit(1)).alias("s"),
-    )
-
-    def runs(pairs: Column) -> Column:
-        joined = F.transform(pairs, lambda p: F.concat(p["t"], p["s"]))
+    tails = F.regexp_extract_all(text, F.lit(f"[{w}]+([^{w}]*)"), F.lit(1))
 
+    def runs(tokens: Column, joined: Column) -> Column:
         def of_size(k: int) -> Column:
             if k == 1:
-                return F.transform(pairs, lambda p: p["t"])
-            last = lambda i: F.get(pairs, i + (k - 1))["t"]
-            return let(
-                joined,
-                lambda j: F.filter(
-                    F.transform(
-                        pairs,
-                        lambda p, i: F.concat(F.array_join(F.slice(j, i + 1, F.lit(k - 1)), ""), last(i)),
-                    ),
-                    lambda x: x.isNotNull(),
-                ),
+                return tokens
+            head = lambda i: (
+                F.get(joined, i) if k == 2 else F.array_join(F.slice(joined, i + 1, F.lit(k - 1)), "")
             )
+            found = F.transform(tokens, lambda t, i: F.concat(head(i), F.get(tokens, i + (k - 1))))
+            return F.filter(found, lambda x: x.isNotNull())
 
         return F.concat(*[of_size(k) for k in sizes])
 
-    return let(pair, runs)
+    return let(
+        _tokens(text, ascii_boundary),
+        lambda t: let(F.zip_with(t, tails, lambda a, b: F.concat(a, b)), lambda j: runs(t, j)),
+    )
 
 
 def term_counts(
@@ -314,23 +306,37 @@ def term_counts(
         "_parts", _tokens(F.col("_low"), ascii_boundary)
     )
     w = _word(ascii_boundary)
-    # A run starts and ends with a word, and one whose words all differ cannot overlap itself.
-    plain = (
-        F.col("_low").rlike(f"^[{w}](?:.*[{w}])?$")
-        & (F.size("_parts") == F.size(F.array_distinct("_parts")))
-        & (F.size("_parts") <= LONGEST_SHINGLE)
+    # A run starts and ends with a word.
+    plain = F.col("_low").rlike(f"^[{w}](?:.*[{w}])?$") & (F.size("_parts") <= LONGEST_SHINGLE)
+    t = t.withColumn("_plain", plain).withColumn("_k", F.size("_parts")).withColumn(
+        "_repeats", F.col("_k") > F.size(F.array_distinct("_parts"))
     )
-    t = t.withColumn("_plain", plain)
     # At most LONGEST_SHINGLE + 1 rows.
-    sizes = t.select(F.when(F.col("_plain"), F.size("_parts")).alias("k")).distinct().collect()
+    sizes = t.select(F.when(F.col("_plain"), F.col("_k")).alias("k")).distinct().collect()
     wanted = sorted(r.k for r in sizes if r.k is not None)
     out = None
     if wanted:
-        runs = unnest(
-            docs, _shingles(F.lower(text), wanted, ascii_boundary), "_low", "_i", key
-        ).drop("_i")
-        hits = skew_join(runs, t.where("_plain").select("_low", "_term"), "_low")
-        out = hits.groupBy(key, F.col("_term").alias(term)).agg(F.count(F.lit(1)).alias("n"))
+        shingles = let(F.lower(text), lambda x: _shingles(x, wanted, ascii_boundary))
+        runs = unnest(docs, shingles, "_low", "_i", key)
+        inline = t.where("_plain").select("_low", "_term", "_k", "_repeats")
+        hits = skew_join(runs, inline, "_low")
+        # Places are kept only for terms with a repeated word: those may overlap themselves.
+        counted = hits.groupBy(key, "_term", "_k", "_repeats").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array_sort(F.collect_list(F.when(F.col("_repeats"), F.col("_i")))).alias("_at"),
+        )
+        start = F.struct(F.lit(-(2**30)).alias("free"), F.lit(0).cast("long").alias("n"))
+        apart = F.reduce(
+            "_at",
+            start,
+            lambda acc, i: F.when(
+                i >= acc["free"], F.struct((i + F.col("_k")).alias("free"), (acc["n"] + 1).alias("n"))
+            ).otherwise(acc),
+            lambda acc: acc["n"],
+        )
+        out = counted.select(
+            key, F.col("_term").alias(term), F.when(F.col("_repeats"), apart).otherwise(F.col("n")).alias("n")
+        )
     if any(r.k is None for r in sizes):
         rest = _counted_by_pattern(docs, t.where("not _plain"), key, text, term, ascii_boundary)
         out = rest if out is None else out.unionByName(rest)

@@ -70,3 +70,13 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
 
 def partitions(df: DataFrame, count: int | None = None) -> int:
     return count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are.
+
+    A file that cannot be split goes to one task, which is slow for text and markup
+    work.  A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
