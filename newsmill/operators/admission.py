@@ -78,8 +78,8 @@ def _run_pieces(limits: Mapping[str, Any]):
                 if (r.tenant, r.day) != piece:
                     piece = (r.tenant, r.day)
                     gate = Gate(
-                        limits, deque(r.s_recent), 0, int(r.s_monthly), float(r.s_spent),
-                        r.day, r.month,
+                        limits, deque(r.s_recent), int(r.s_daily), int(r.s_monthly),
+                        float(r.s_spent), r.day, r.month,
                     )
                 out.append(gate.decide(r.t, r.day, r.month, r.cost, r.rpm, r.rpd))
             yield pdf[["call_id", "tenant", "day", "month", "t", "cost"]].assign(decision=out)
@@ -112,31 +112,72 @@ def _outcomes(decided: DataFrame) -> DataFrame:
     )
 
 
-def _start_states(outcomes: DataFrame) -> DataFrame:
-    in_order = Window.partitionBy("tenant").orderBy("day")
-    in_month = (
-        Window.partitionBy("tenant", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+START = ["s_recent", "s_daily", "s_monthly", "s_spent"]
+
+
+def _start_states(outcomes: DataFrame, initial: DataFrame | None) -> DataFrame:
+    """State at the start of every piece, from what the pieces before it pass on."""
+    pieces = outcomes.select(
+        *PIECE, "month", "calls", "spent", "tail", F.lit(0).cast("long").alias("daily"), F.lit(1).alias("real")
     )
-    adjacent = F.lag("day").over(in_order) == F.date_format(
-        F.date_sub(F.to_date("day"), 1), "yyyy-MM-dd"
+    if initial is not None:
+        # What is known of a tenant beforehand stands in front of its first piece.
+        pieces = pieces.unionByName(
+            initial.select(
+                *PIECE, "month", F.col("monthly").alias("calls"), "spent", F.col("recent").alias("tail"),
+                "daily", F.lit(0).alias("real"),
+            )
+        )
+    in_order = Window.partitionBy("tenant").orderBy("day", "real")
+    in_month = (
+        Window.partitionBy("tenant", "month").orderBy("day", "real")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return outcomes.select(
-        *PIECE, "calls", "spent",
-        F.when(adjacent, F.lag("tail").over(in_order))
+    before = F.lag("day").over(in_order)
+    same = before == F.col("day")
+    adjacent = before == F.date_format(F.date_sub(F.to_date("day"), 1), "yyyy-MM-dd")
+    return pieces.select(
+        *PIECE, "month", "calls", "spent", "real",
+        F.when(same | adjacent, F.lag("tail").over(in_order))
         .otherwise(F.array().cast("array<double>")).alias("s_recent"),
+        F.when(same, F.lag("daily").over(in_order)).otherwise(F.lit(0).cast("long")).alias("s_daily"),
         F.coalesce(F.sum("calls").over(in_month), F.lit(0)).alias("s_monthly"),
         F.coalesce(F.round(F.sum("spent").over(in_month), 6), F.lit(0.0)).alias("s_spent"),
+    ).where("real = 1").drop("real")
+
+
+def _end_states(decided: DataFrame, starts: DataFrame, initial: DataFrame | None) -> DataFrame:
+    """State of every tenant after its last call, for the next batch."""
+    lasts = decided.groupBy("tenant").agg(F.max(F.struct("day", "t")).alias("_last")).select(
+        "tenant", F.col("_last.day").alias("day"), F.col("_last.t").alias("_t")
     )
+    late = (
+        decided.where("decision = 'accepted'").join(lasts, PIECE)
+        .where(F.col("t") > F.col("_t") - MINUTE)
+        .groupBy("tenant").agg(F.collect_list("t").alias("_late"))
+    )
+    none = F.array().cast("array<double>")
+    ended = starts.join(lasts, PIECE).join(late, "tenant", "left").select(
+        "tenant", "day", "month",
+        (F.col("s_daily") + F.col("calls")).alias("daily"),
+        (F.col("s_monthly") + F.col("calls")).alias("monthly"),
+        F.round(F.col("s_spent") + F.col("spent"), 6).alias("spent"),
+        F.array_sort(
+            F.filter(
+                F.concat("s_recent", F.coalesce("_late", none)), lambda x: x > F.col("_t") - MINUTE
+            )
+        ).alias("recent"),
+    )
+    if initial is None:
+        return ended
+    return ended.unionByName(initial.join(ended.select("tenant"), "tenant", "left_anti").select(*ended.columns))
 
 
-def admit(
-    calls: DataFrame, limits: Mapping[str, Any] = fixed.DEFAULT_LIMITS, tenant: str = "task_id"
-) -> DataFrame:
-    """Decision per call (``call_id`` unique); see the module text."""
-    limits = {**fixed.DEFAULT_LIMITS, **limits}
+def prepare(calls: DataFrame, tenant: str = "task_id") -> DataFrame:
+    """The columns that decide: tenant, day, month, time, cost and the model's limits."""
     rpm, rpd = rate_limits("model")
     ts = F.col("ts").cast("timestamp")
-    rows = calls.select(
+    return calls.select(
         F.col("call_id").cast("long").alias("call_id"),
         F.col(tenant).cast("string").alias("tenant"),
         F.date_format(ts, "yyyy-MM-dd").alias("day"),
@@ -146,21 +187,26 @@ def admit(
         rpm.cast("int").alias("rpm"),
         rpd.cast("int").alias("rpd"),
     ).where(F.col("tenant").isNotNull())
-    used = rows.select(*PIECE).distinct().select(
-        *PIECE,
-        F.array().cast("array<double>").alias("s_recent"),
-        F.lit(0).cast("long").alias("s_monthly"),
-        F.lit(0.0).alias("s_spent"),
-    )
-    used = durable(used, "states")
-    decided = _decide(rows, used, limits)
+
+
+def settle_admission(
+    rows: DataFrame, limits: Mapping[str, Any], initial: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Decisions of prepared calls and the state of every tenant after them."""
+    limits = {**fixed.DEFAULT_LIMITS, **limits}
     budget = limits["monthly_budget_usd"] if limits["cooldown_enabled"] else float("inf")
     most = limits["monthly_max_calls"]
     if not limits["enabled"]:
         budget, most = float("inf"), 2**62
+    nothing = rows.groupBy(*PIECE, "month").agg(
+        F.lit(0).cast("long").alias("calls"), F.lit(0.0).alias("spent"),
+        F.array().cast("array<double>").alias("tail"),
+    )
+    used = durable(_start_states(nothing, initial).select(*PIECE, *START), "states")
+    decided = _decide(rows, used, limits)
     while True:
-        true = _start_states(_outcomes(decided))
-        old = used.select(*PIECE, *[F.col(c).alias(f"o_{c}") for c in ("s_recent", "s_monthly", "s_spent")])
+        true = durable(_start_states(_outcomes(decided), initial), "true")
+        old = used.select(*PIECE, *[F.col(c).alias(f"o_{c}") for c in START])
         both = true.join(old, PIECE)
         binds = (
             (F.greatest("s_monthly", "o_s_monthly") + F.col("calls") >= most)
@@ -169,15 +215,23 @@ def admit(
         moved = (F.col("s_monthly") != F.col("o_s_monthly")) | (F.col("s_spent") != F.col("o_s_spent"))
         stale = durable(
             both.where((F.col("s_recent") != F.col("o_s_recent")) | (moved & binds)).select(
-                *PIECE, "s_recent", "s_monthly", "s_spent"
+                *PIECE, *START
             ),
             "stale",
         )
         if stale.isEmpty():
-            return decided.select("call_id", F.col("tenant").alias(tenant), "decision")
+            return decided, _end_states(decided, true, initial)
         again = _decide(rows, stale, limits)
         kept = decided.join(stale.select(*PIECE), PIECE, "left_anti").select(*decided.columns)
         decided = durable(kept.unionByName(again), "decisions")
         used = durable(
             used.join(stale.select(*PIECE), PIECE, "left_anti").unionByName(stale), "states"
         )
+
+
+def admit(
+    calls: DataFrame, limits: Mapping[str, Any] = fixed.DEFAULT_LIMITS, tenant: str = "task_id"
+) -> DataFrame:
+    """Decision per call (``call_id`` unique); see the module text."""
+    decided, _ = settle_admission(prepare(calls, tenant), limits)
+    return decided.select("call_id", F.col("tenant").alias(tenant), "decision")

@@ -44,7 +44,8 @@ def keyword_candidates(keywords: DataFrame, catalogue: DataFrame) -> DataFrame:
     entities = catalogue.select(
         *CATALOGUE, F.lower("name").alias("_name"), type_rank("type").alias("_rank")
     ).where("_name <> ''")
-    first = keep_first(entities, ["_name"], ["_rank", "entity_id"])
+    # Used on both sides of the substring joins, so it is built once.
+    first = durable(keep_first(entities, ["_name"], ["_rank", "entity_id"]), "names")
     kws = keywords.select("_kw").distinct()
     shown = [*CATALOGUE, "_rank"]
     by_name = contains_join(kws, first, "_kw", "_name", short_needles=True)

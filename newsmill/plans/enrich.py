@@ -12,6 +12,7 @@ from newsmill.functions import text as tx
 from newsmill.operators import entities as en
 from newsmill.operators.joins import update_columns, update_titles
 from newsmill.operators.rows import unnest
+from newsmill.session import durable
 
 
 def match_items(
@@ -42,7 +43,9 @@ def article_match(
         articles, F.concat(as_probe(hits, 0.7), as_probe(openers, 0.8)), "p", "probe",
         *key, F.left("article", F.lit(200)).alias("description"),
     ).select(*key, "probe", "description", F.col("p.title").alias("title"), F.col("p.least").alias("least"))
-    found = en.match_entities(probes, catalogue, [*key, "probe"], ascii_boundary=ascii_boundary)
+    found = durable(
+        en.match_entities(probes, catalogue, [*key, "probe"], ascii_boundary=ascii_boundary), "found"
+    )
     best = found.groupBy(*key, "probe").agg(F.max("score").alias("_top"))
     good = (
         best.join(probes.select(*key, "probe", "least"), [*key, "probe"])

@@ -7,20 +7,17 @@ while nothing was up are caught up (T7).
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newsmill import fixed
-from newsmill.operators.admission import Gate
+from newsmill.operators.admission import prepare, settle_admission
 from newsmill.operators.dedup import keep_first
 from newsmill.operators.joins import new_rows
-from newsmill.operators.usage import rate_limits
 
 
 def read_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
@@ -47,13 +44,13 @@ def append_stream(
     compared with leaves that folder out.
     """
     spark = items.sparkSession
-    schema = items.schema
+    stored = StructType([*items.schema.fields, StructField("batch", LongType())])
 
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         folder = f"{target}/batch={number:012d}"
         known = (
-            session.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema)
+            session.read.schema(stored)
             .option("basePath", target)
             .parquet(target)
             .where(F.col("batch") != number)
@@ -108,54 +105,34 @@ def task_totals_stream(calls: DataFrame) -> DataFrame:
 
 # --- T5 ---------------------------------------------------------------------
 
-_STATE = "recent array<double>, daily int, monthly int, spent double, day string, month string"
-_OUT = "call_id long, tenant string, decision string"
-
-
-def _admit_group(limits: Mapping[str, Any]) -> Callable:
-    def admit(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        gate = Gate(limits)
-        if state.exists:
-            recent, gate.daily, gate.monthly, gate.spent, gate.day, gate.month = state.get
-            gate.recent = deque(recent)
-        # One tenant's calls of one micro-batch; the trigger bounds their number.
-        calls = pd.concat(list(batches)).sort_values(["t", "call_id"])
-        decisions = [
-            gate.decide(r.t, r.day, r.month, r.cost, r.rpm, r.rpd) for r in calls.itertuples(index=False)
-        ]
-        state.update(
-            (list(gate.recent), gate.daily, gate.monthly, gate.spent, gate.day, gate.month)
-        )
-        yield pd.DataFrame(
-            {"call_id": calls["call_id"], "tenant": calls["tenant"], "decision": decisions}
-        )
-
-    return admit
+STATE = "tenant string, day string, month string, daily long, monthly long, spent double, recent array<double>"
 
 
 def admission_stream(
-    calls: DataFrame, limits: Mapping[str, Any] = fixed.DEFAULT_LIMITS, tenant: str = "task_id"
-) -> DataFrame:
-    """T5: accept or reject each call as it comes, with state per tenant.
+    calls: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    limits: Mapping[str, Any] = fixed.DEFAULT_LIMITS,
+    tenant: str = "task_id",
+):
+    """T5: accept or reject each call as it comes, with a state of a few numbers per tenant.
 
-    Calls of a tenant must arrive in time order from batch to batch; inside a batch they
-    are sorted.  ``operators.admission`` gives the same decisions over a whole log.
+    Calls of a tenant must come in time order from batch to batch.  A batch is decided
+    by :mod:`newsmill.operators.admission`, which streams a busy tenant day by day and
+    never holds its calls at once.  Batch ``n`` reads the state that batch ``n - 1``
+    wrote and overwrites its own folders, so a repeated batch gives the same result.
     """
     limits = {**fixed.DEFAULT_LIMITS, **limits}
-    rpm, rpd = rate_limits("model")
-    ts = F.col("ts").cast("timestamp")
-    rows = calls.select(
-        F.col("call_id").cast("long").alias("call_id"),
-        F.col(tenant).cast("string").alias("tenant"),
-        F.date_format(ts, "yyyy-MM-dd").alias("day"),
-        F.date_format(ts, "yyyy-MM").alias("month"),
-        (F.unix_micros(ts) / 1e6).alias("t"),
-        F.col("cost").cast("double").alias("cost"),
-        rpm.cast("int").alias("rpm"),
-        rpd.cast("int").alias("rpd"),
-    ).where(F.col("tenant").isNotNull())
-    return rows.groupBy("tenant").applyInPandasWithState(
-        _admit_group(limits), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+
+    def decide(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = f"{state}/batch={number - 1:012d}"
+        initial = session.read.schema(STATE).parquet(before) if _has_files(session, before) else None
+        decided, ended = settle_admission(prepare(batch, tenant), limits, initial)
+        decided.select("call_id", "tenant", "decision").write.mode("overwrite").parquet(
+            f"{out}/batch={number:012d}"
+        )
+        ended.write.mode("overwrite").parquet(f"{state}/batch={number:012d}")
+
+    return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)

@@ -17,7 +17,7 @@ from newsmill.suite.dedup_joins import MATCHES, catalogue, doc_items
 from newsmill.suite.functions import _TITLE, cut_sql, strip_fillers_sql, summary_sql
 from newsmill.suite.scans import READ
 from newsmill.suite.predicates import (
-    LINES, PAGE_ITEMS, SHEET, SOURCES, _TYPE_B, _strip, ends_any, media, page_items, sheet, sources, words_sql,
+    LINES, PAGE_ITEMS, SHEET, SOURCES, _TYPE_B, _strip, ends_any, media, page_items, sheet, sources, spoken_sql, words_sql,
 )
 
 CLEAN = clean_url_sql("url", fixed.TRACKING_NAMES)
@@ -131,24 +131,27 @@ def market_pages(spark, sf):
 
 
 _SQ = squeeze_sql("line")
-
-
-@query(
-    "c6_market_lines",
-    f"""WITH {LINES}, s AS (SELECT doc_id, pos, {_SQ} AS line FROM lines),
+_HEAD = _strip("line", fixed.HEADLINE_SUFFIXES)
+MARKET = f"""{LINES}, s AS (SELECT doc_id, pos, {_SQ} AS line FROM lines),
      m AS (SELECT doc_id, pos, 'Markets' AS section, line AS title FROM s WHERE length(line) > 20 AND NOT {has_any('lower(line)', fixed.MARKET_SKIP_WORDS)} AND {has_any('lower(line)', fixed.MARKET_WORDS)}
        QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line[1:50]) ORDER BY pos) = 1),
-     h AS (SELECT doc_id, pos, 'Headline Roundup' AS section, {_strip('line', fixed.HEADLINE_SUFFIXES)} AS title FROM s WHERE length(line) >= 20 AND NOT {has_any('lower(line)', fixed.ROUNDUP_SKIP_WORDS)}
-       AND (len({words_sql('line')}) >= 5 OR regexp_matches(line, {q(fixed.HEADLINE_SOURCE_PATTERN)})) AND NOT {ends_any(_strip('line', fixed.HEADLINE_SUFFIXES), fixed.TRUNCATED_ENDINGS)}
-       AND length({_strip('line', fixed.HEADLINE_SUFFIXES)}) >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_strip('line', fixed.HEADLINE_SUFFIXES)}[1:50]) ORDER BY pos) = 1)
-    SELECT doc_id AS page_id, section, title FROM m WHERE NOT {has_any('lower(title)', ['spam'])} UNION ALL SELECT doc_id, section, title FROM h WHERE NOT {has_any('lower(title)', ['spam'])}""",
-)
+     h AS (SELECT doc_id, pos, 'Headline Roundup' AS section, {_HEAD} AS title FROM s WHERE length(line) >= 20 AND NOT {has_any('lower(line)', fixed.ROUNDUP_SKIP_WORDS)}
+       AND (len({words_sql('line')}) >= 5 OR regexp_matches(line, {q(fixed.HEADLINE_SOURCE_PATTERN)})) AND NOT {ends_any(_HEAD, fixed.TRUNCATED_ENDINGS)}
+       AND length({_HEAD}) >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_HEAD}[1:50]) ORDER BY pos) = 1),
+     found AS (SELECT doc_id AS page_id, section, title FROM m WHERE NOT {has_any('lower(title)', ['spam'])} UNION ALL SELECT doc_id, section, title FROM h WHERE NOT {has_any('lower(title)', ['spam'])})"""
+
+
+@query("c6_market_lines", f"WITH {MARKET} SELECT page_id, section, title FROM found")
 def c6(spark, sf):
     lines = market.market_lines(market_pages(spark, sf), {"exclude_patterns": ["spam"]})
     return lines.select("page_id", "section", "title")
 
 
-@query("c6_market_digest")
+@query(
+    "c6_market_digest",
+    f"""WITH {MARKET} SELECT page_id, section, title, {spoken_sql('title')} AS line, 'ExecSum' AS source FROM found WHERE length(title) >= 10
+     AND NOT {has_any('lower(title)', fixed.DIGEST_SKIP_PHRASES)} AND NOT {ends_any('title', fixed.TRUNCATED_ENDINGS_DIGEST)} AND length({spoken_sql('title')}) > 10""",
+)
 def c6b(spark, sf):
     out = market.market_digest(market_pages(spark, sf), {"exclude_patterns": ["spam"]})
     return market.digest_speech(out).select("page_id", "section", "title", "line", "source")
@@ -348,7 +351,11 @@ def c14b(spark, sf):
     return report.video_funnel(judged_videos(spark, sf))
 
 
-@query("c14_video_items")
+@query(
+    "c14_video_items",
+    f"""WITH {NEWS}, {VIDEOS}, k AS (SELECT item_id, title, {summary_sql('transcript')} AS s FROM j WHERE reject_reason IS NULL)
+    SELECT title, 'https://www.youtube.com/watch?v=v' || item_id AS url, 'YouTube' AS source_name, length({cut_sql('s')}) AS chars FROM k WHERE s <> ''""",
+)
 def c14c(spark, sf):
     items, ids = report.video_items(judged_videos(spark, sf), None)
     return items.select("title", "url", "source_name", F.length("summary").alias("chars"))

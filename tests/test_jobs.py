@@ -153,14 +153,13 @@ def test_admission_stream_equals_batch(spark):
 
     rows = admission_rows()
     schema = "call_id int, ts timestamp, model string, task_id string, cost double"
-    source, out, check = (scratch(spark, n) for n in ("in", "out", "check"))
+    source, out, state_dir, check = (scratch(spark, n) for n in ("in", "out", "state", "check"))
     for a in range(0, 1500, 500):
         spark.createDataFrame(rows[a:a + 500], schema).coalesce(1).write.mode("append").parquet(source)
         stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema)
-        writer = jobs.admission_stream(stream, {"monthly_budget_usd": 0.8}).writeStream.format("parquet")
-        jobs.run_available(writer.option("path", out).option("checkpointLocation", check).outputMode("append"))
+        jobs.run_available(jobs.admission_stream(stream, out, state_dir, check, {"monthly_budget_usd": 0.8}))
     batch = admission.admit(spark.createDataFrame(rows, schema), {"monthly_budget_usd": 0.8})
-    assert {r.call_id: r.decision for r in spark.read.parquet(out).collect()} == {r.call_id: r.decision for r in batch.collect()}
+    assert {r.call_id: r.decision for r in spark.read.option("basePath", out).parquet(out).collect()} == {r.call_id: r.decision for r in batch.collect()}
 
 
 def test_backfill(spark):
