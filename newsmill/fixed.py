@@ -197,6 +197,7 @@ MARKET_WORDS = [
     "oil", "copper", "platinum", "palladium", "nickel", "iron", "commodity",
 ]
 MARKET_SKIP_WORDS = ["subscribe", "click", "join", "autopilot", "litquidity", "beehiiv"]
+MARKET_SOURCE = "ExecSum"
 MARKET_STARTS = ["*Markets", "Markets"]
 MARKET_ENDS = [
     "Earnings", "Prediction Markets", "Headline Roundup", "Deal Flow",

@@ -320,5 +320,3 @@ def training_section(text: Column) -> Column:
         test = F.contains(F.lower(text), F.lit(name.lower()))
         hit = F.when(test, name) if hit is None else hit.when(test, name)
     return hit.otherwise("Unknown")
-
-

@@ -15,9 +15,6 @@ from newsmill.operators.dedup import keep_first, keep_first_prefix
 from newsmill.operators.joins import resolve_redirects
 from newsmill.operators.rows import settle, unnest
 
-SOURCE = "ExecSum"
-
-
 def _in_section(lines: Column, is_start, ends) -> Column:
     """Lines between a start line and the next line that holds an end marker.
 
@@ -129,7 +126,7 @@ def market_digest(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
     links = links.join(seen, ["page_id", "_k"], "left_anti")
     plain = lines.select(
         "page_id", F.lit(None).cast("string").alias("url"), "title", "description", "section",
-        F.lit(SOURCE).alias("source"),
+        F.lit(fixed.MARKET_SOURCE).alias("source"),
         F.when(F.col("section") == "Markets", 0).otherwise(1).alias("part"),
         F.lit(0).alias("block"), "pos",
     )
@@ -191,5 +188,3 @@ def training_links(
     target = F.when(F.col("is_blocked"), F.col("raw_url")).otherwise(F.col("_resolved"))
     out = judged.withColumn("url", urls.clean_url_prefixes(target))
     return out.withColumn("source", urls.source_abbreviation("url")).drop("_resolved")
-
-

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsmill import fixed
-from newsmill.functions import dates, text as tx
-from newsmill.functions.patterns import bounded
-from newsmill.operators import dedup, digest as dg, entities as en, load, ordered, schedule, usage
+from newsmill.functions import text as tx
+from newsmill.operators import dedup, digest as dg, entities as en, load, schedule, usage
 from newsmill.suite.base import (
-    CALLS, NEWS, PRICED, lst, news, priced, q, query, squeeze_sql, stamp, stamp_sql, sub, table,
+    CALLS, NEWS, PRICED, lst, news, priced, q, query, stamp, stamp_sql, table,
 )
 from newsmill.suite.dedup_joins import MATCHES, doc_items, doc_matches
 from newsmill.suite.functions import sentences_raw_sql, spoken_title_sql
@@ -259,6 +258,3 @@ def a18(spark, sf):
 )
 def a19(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.digest_seconds("text").alias("seconds"))
-
-
-_ = (bounded, dates, ordered, squeeze_sql, sub)

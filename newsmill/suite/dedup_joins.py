@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from newsmill import fixed
 from newsmill.functions import markup, urls
 from newsmill.functions.arrays import strings
-from newsmill.operators import dedup, digest as dg, entities as en, joins, load, ordered, rules as rl, schedule
+from newsmill.operators import dedup, entities as en, joins, load, ordered, rules as rl
 from newsmill.suite.base import (
-    LINKS, NEWS, case_of, clean_url_sql, has_any, links, lst, netloc_sql, news, no_comments_sql, plain_sql, q, query,
-    stamp, stamp_sql, table, title_sql,
+    LINKS, NEWS, case_of, clean_url_sql, links, netloc_sql, news, no_comments_sql, plain_sql,
+    query, table, title_sql,
 )
 from newsmill.suite.functions import keyword_ctes, score_sql
-from newsmill.suite.predicates import AS_OF, LINES, PAGE_ITEMS, SHEET, TASKS, doc_lines, page_items, sheet, tasks
+from newsmill.suite.predicates import LINES, PAGE_ITEMS, SHEET, doc_lines, page_items, sheet
 
 CLEAN = clean_url_sql("url", fixed.TRACKING_NAMES)
 
@@ -520,6 +520,3 @@ def u6(spark, sf):
     over = F.map_filter(F.create_map(F.lit("a"), F.lit("over"), F.lit("c"), F.lit("over")), lambda k, v: F.col("toxic") == 1)
     m = rl.merge_maps(base, over)
     return table(spark, sf, "labels").select("doc_id", *[F.try_element_at(m, F.lit(k)).alias(k) for k in "abc"])
-
-
-_ = (AS_OF, CLEAN, TASKS, dg, has_any, lst, q, schedule, stamp, stamp_sql, tasks)

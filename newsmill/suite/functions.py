@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
 from newsmill.suite.base import (
-    LINKS, NEWS, PRICED, drop_elements_sql, element_sql, has_any, links, lst, netloc_sql, news, no_comments_sql,
-    path_sql, plain_sql, priced, q, query, squeeze_sql, stamp, stamp_sql, sub, table, title_sql, unescape_sql,
+    LINKS, NEWS, PRICED, drop_elements_sql, element_sql, links, lst, netloc_sql, news,
+    no_comments_sql, path_sql, plain_sql, priced, q, query, squeeze_sql, stamp, stamp_sql, sub,
+    table, title_sql, unescape_sql,
 )
 from newsmill.suite.predicates import AS_OF, DATE_TEXT, LINES, TASKS, date_text, doc_lines, spoken_sql, tasks, words_sql
 
@@ -518,6 +519,3 @@ def f29(spark, sf):
         "item_id",
         tx.linked_headline("source_name", F.concat("title", F.lit(" (Bloomberg)"))).alias("headline"),
     )
-
-
-_ = has_any

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsmill import fixed
-from newsmill.functions import markup, text as tx, urls
+from newsmill.functions import markup, text as tx
 from newsmill.operators import digest as dg, load, ordered
 from newsmill.plans import enrich, harvest, maintain, market, report
 from newsmill.suite.aggregates import DIGEST, digest_items
 from newsmill.suite.base import (
-    CALLS, LINKS, NEWS, PRICED, absolute_sql, clean_url_sql, has_any, lst, netloc_sql, news, path_sql, plain_sql, priced,
-    q, query, squeeze_sql, table, title_sql,
+    LINKS, NEWS, PRICED, absolute_sql, clean_url_sql, has_any, lst, netloc_sql, news, path_sql,
+    plain_sql, q, query, squeeze_sql, table, title_sql,
 )
 from newsmill.suite.dedup_joins import MATCHES, catalogue, doc_items
-from newsmill.suite.functions import _TITLE, cut_sql, strip_fillers_sql, summary_sql
+from newsmill.suite.functions import cut_sql, strip_fillers_sql, summary_sql
 from newsmill.suite.scans import READ
 from newsmill.suite.predicates import (
     LINES, PAGE_ITEMS, SHEET, SOURCES, _TYPE_B, _strip, ends_any, media, page_items, sheet, sources, spoken_sql, words_sql,
@@ -458,6 +458,3 @@ def x3(spark, sf):
 
     d = table(spark, sf, "documents").select("doc_id", "text")
     return enrich.with_model_text(d, "text", "told", model).select("doc_id", "told")
-
-
-_ = (CALLS, _TITLE, priced, urls)

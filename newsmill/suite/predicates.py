@@ -8,9 +8,8 @@ from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
 from newsmill.operators import rules as rl
 from newsmill.suite.base import (
-    LINKS, NEWS, absolute_sql, case_of, clean_url_sql, ends_any, has_any, links, lst, netloc_sql, news,
-    no_comments_sql, page_host_label, pairs_sql, path_sql, q, query, rebuild_sql, scheme_sql, squeeze_sql, stamp,
-    stamp_sql, sub, table, unescape_sql,
+    LINKS, NEWS, absolute_sql, clean_url_sql, ends_any, has_any, links, netloc_sql, news,
+    pairs_sql, path_sql, q, query, rebuild_sql, scheme_sql, squeeze_sql, sub, table, unescape_sql,
 )
 from newsmill.operators.rows import unnest
 
@@ -659,6 +658,3 @@ def p35c(spark, sf):
     )
     kept = live_jobs(jobs, F.to_timestamp(F.lit("2024-01-31 00:00:00")), 432000, 5000)
     return kept.select("job_id", "status")
-
-
-_ = (case_of, lst, no_comments_sql, page_host_label, stamp, stamp_sql)

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsmill import fixed
-from newsmill.functions import markup, urls
+from newsmill.functions import urls
 from newsmill.operators import digest as dg, load, schedule
 from newsmill.session import scratch
 from newsmill.sources import feeds as fd, pages as pg, registry, state
-from newsmill.suite.base import (
-    LINKS, NEWS, absolute_sql, clean_url_sql, links, netloc_sql, news, path_sql, q, query, squeeze_sql, table, title_sql,
-)
-from newsmill.suite.predicates import PAGE_ITEMS, SHEET, media, page_items, sheet
+from newsmill.suite.base import NEWS, netloc_sql, news, path_sql, query, squeeze_sql, table
+from newsmill.suite.predicates import PAGE_ITEMS, media, page_items
 
 
 @query(
@@ -427,6 +425,3 @@ def s25(spark, sf):
         j("page_id").cast("long").alias("page_id"), j("title").alias("title"), j("url").alias("url"), j("lang").alias("lang"),
         F.length(j("category")).alias("category_chars"),
     )
-
-
-_ = (LINKS, SHEET, absolute_sql, clean_url_sql, links, markup, q, sheet, title_sql)

@@ -8,7 +8,7 @@ from newsmill.operators import admission
 from newsmill.plans import maintain
 from newsmill.session import scratch
 from newsmill.streaming import jobs
-from newsmill.suite.base import CALLS, COST, calls, priced, query, stamp, stamp_sql, table
+from newsmill.suite.base import CALLS, COST, priced, query, stamp, stamp_sql, table
 
 
 def event_stream(spark, sf):
@@ -138,6 +138,3 @@ def t8(spark, sf):
     maintain.resume(spark, path, build)
     # The stage is there now, so the second call must not build it again.
     return maintain.resume(spark, path, lambda: build().withColumn("n", F.lit(-1)))
-
-
-_ = calls
