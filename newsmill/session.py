@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,16 @@ def get_spark(app: str = "newsmill", cores: str = "*", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where none is set (tests on one machine) is a temporary one made.
+    Only where none is set and driver and executors are one process is a temporary one
+    made.  On a cluster each executor would write to its own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="spark-newsmill-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", base)
     return base
