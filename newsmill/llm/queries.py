@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsmill.llm import block_names, simhash, token_counts
+from newsmill.llm import block_names, simhash, site_spread, token_counts
 from newsmill.llm.common import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,24 @@ def op9(spark, sf):
     from public_tokenizers import path
 
     return token_counts.token_counts(table(spark, sf, "documents"), path("byte_bpe_50k.json"))
+
+
+LINE = f"trim({LOWERED.replace('text', 'line')}, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
+
+@query(
+    "op2_site_spread",
+    f"""
+    WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+         l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+         k AS (SELECT doc_id, source, line, pos, {LINE} AS same FROM l),
+         b AS (SELECT same FROM k WHERE same <> '' GROUP BY same HAVING count(DISTINCT source) >= 10),
+         f AS (SELECT k.*, b.same IS NOT NULL AS gone FROM k LEFT JOIN b USING (same))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM f GROUP BY doc_id
+    """,
+)
+def op2(spark, sf):
+    kept = site_spread.remove_boilerplate(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
