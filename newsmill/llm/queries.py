@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsmill.llm import block_names, simhash, site_spread, token_counts
+from newsmill.llm import block_names, simhash, site_spread, suffix_repeats, token_counts, toxicity
 from newsmill.llm.common import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,14 @@ LINE = f"trim({LOWERED.replace('text', 'line')}, ' ' || chr(9) || chr(13) || chr
 def op2(spark, sf):
     kept = site_spread.remove_boilerplate(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_toxicity_nnpu")
+def op3(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf, "labels")))
+
+
+@query("op6_suffix_repeats")
+def op6(spark, sf):
+    return suffix_repeats.remove_repeats(table(spark, sf, "documents"), with_kept=False).drop("spans")
