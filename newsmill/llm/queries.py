@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsmill.llm import block_names, simhash, site_spread, suffix_repeats, token_counts, toxicity
+from newsmill.llm import (
+    block_names, simhash, site_spread, suffix_repeats, token_counts, toxicity, window_repeats,
+)
 from newsmill.llm.common import UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +83,8 @@ def op3(spark, sf):
 @query("op6_suffix_repeats")
 def op6(spark, sf):
     return suffix_repeats.remove_repeats(table(spark, sf, "documents"), with_kept=False).drop("spans")
+
+
+@query("op7_window_doubling")
+def op7(spark, sf):
+    return window_repeats.remove_windows(table(spark, sf, "documents"), with_kept=False).drop("spans")
