@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsmill.llm import (
-    block_names, simhash, site_spread, suffix_repeats, token_counts, toxicity, window_repeats,
+    block_names, decontaminate, simhash, site_spread, suffix_repeats, token_counts, toxicity, window_repeats,
 )
 from newsmill.llm.common import UPPER, table
 
@@ -88,3 +88,8 @@ def op6(spark, sf):
 @query("op7_window_doubling")
 def op7(spark, sf):
     return window_repeats.remove_windows(table(spark, sf, "documents"), with_kept=False).drop("spans")
+
+
+@query("op1_cgk_decontamination")
+def op1(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

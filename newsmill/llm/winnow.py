@@ -28,19 +28,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to n, modulo 2^64; those for usual sizes are kept."""
+    size = max(1 << 22, n + 1)
+    if not _powers or len(_powers[0][0]) < size:
+        pair = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+        for p in pair:
+            p[0] = 1
+            np.cumprod(p, out=p)
+        if n >= 1 << 22:  # for one long text
+            return pair
+        _powers[0] = pair
+    return _powers[0]
+
+
 class Hashes:
     """Hashes of any stretches of a sequence of 64-bit codes, from prefix sums modulo 2^64."""
 
     def __init__(self, codes: np.ndarray) -> None:
         n = len(codes)
-        self.power = np.full(n + 1, BASE, np.uint64)
-        self.power[0] = 1
-        np.cumprod(self.power, out=self.power)
-        inverse = np.full(n, INVERSE, np.uint64)
-        inverse[:1] = 1
-        np.cumprod(inverse, out=inverse)
+        self.power, inverse = powers(n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * inverse, out=self.sums[1:])
+        np.cumsum(codes * inverse[:n], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         """Of the stretches [start, end); equal for equal content and length."""
