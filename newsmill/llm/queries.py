@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsmill.llm import (
-    block_names, decontaminate, simhash, site_spread, suffix_repeats, token_counts, toxicity, window_repeats,
+    block_names, decontaminate, mixing, quote_links, simhash, site_spread, suffix_repeats,
+    token_counts, toxicity, window_repeats,
 )
 from newsmill.llm.common import UPPER, table
 
@@ -93,3 +94,117 @@ def op7(spark, sf):
 @query("op1_cgk_decontamination")
 def op1(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+DOMAIN = "coalesce(try_cast(regexp_extract(source, '[0-9]+$', 0) AS int), 0) % 4"
+WEIGHTS = {
+    "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1},
+    "lang": {"en": 3, "de": 2, "fr": 2},
+}
+
+
+def mixture(docs):
+    levels = {
+        "domain": F.concat(F.lit("d"), F.expr(DOMAIN).cast("string")),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
+    }
+    return mixing.mix(docs, levels, WEIGHTS)
+
+
+def _case(level):
+    return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {float(v)}" for k, v in WEIGHTS.get(level, {"": 1}).items()) + " ELSE 1.0 END"
+
+
+def _fill(source, path, budget):
+    parents = ", ".join(path[:-1]) or "1"
+    return f"""
+      (WITH n AS ({source}),
+            o AS (SELECT *, coalesce(sum(capacity) OVER (PARTITION BY {parents} ORDER BY capacity / weight, {path[-1]}
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                            + capacity / weight * sum(weight) OVER (PARTITION BY {parents} ORDER BY capacity / weight, {path[-1]}
+                              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= {budget} AS filled FROM n)
+       SELECT {', '.join(path)}, CAST(CASE WHEN filled THEN capacity ELSE floor(weight *
+              (({budget} - coalesce(sum(capacity) FILTER (filled) OVER (PARTITION BY {parents}), 0))
+               / sum(weight) FILTER (NOT filled) OVER (PARTITION BY {parents}))) END AS BIGINT) AS budget FROM o)"""
+
+
+def _nodes(path, above):
+    names = ", ".join(path)
+    summed = f"SELECT {names}, CAST(sum(tokens) * 2 AS BIGINT) AS capacity, {_case(path[-1])} AS weight FROM leaves GROUP BY ALL"
+    if not above:
+        return f"SELECT *, (SELECT b FROM total) AS budget FROM ({summed})"
+    return f"SELECT * FROM ({summed}) JOIN {above} USING ({', '.join(path[:-1])})"
+
+
+MIX_SQL = f"""
+    WITH d AS (SELECT doc_id, 'd' || ({DOMAIN.replace(", 0) AS", ") AS")}) AS domain, coalesce(lang, '') AS lang,
+                      coalesce(source, '') AS source,
+                      len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+         docs AS (SELECT * FROM d WHERE n_tokens > 0),
+         leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+         total AS (SELECT CAST(floor(sum(tokens) * 0.5) AS BIGINT) AS b FROM leaves),
+         g1 AS {_fill(_nodes(["domain"], None), ["domain"], "budget")},
+         g2 AS {_fill(_nodes(["domain", "lang"], "g1"), ["domain", "lang"], "budget")},
+         g3 AS {_fill(_nodes(["domain", "lang", "source"], "g2"), ["domain", "lang", "source"], "budget")},
+         g AS (SELECT *, CAST(budget // tokens AS BIGINT) AS whole, budget - (budget // tokens) * tokens AS rest
+               FROM leaves JOIN g3 USING (domain, lang, source) WHERE budget > 0),
+         p AS (SELECT docs.*, whole, rest,
+                      coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
+                        ORDER BY md5('42:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+               FROM docs JOIN g USING (domain, lang, source))
+    SELECT doc_id, e.epoch, domain, lang, source, n_tokens, n_tokens AS taken
+    FROM p, LATERAL (SELECT unnest(range(whole)) AS epoch) e
+    UNION ALL
+    SELECT doc_id, whole, domain, lang, source, n_tokens, CAST(least(n_tokens, rest - start) AS BIGINT)
+    FROM p WHERE start < rest
+    """
+
+
+@query("op5_hierarchical_mixing", MIX_SQL)
+def op5(spark, sf):
+    return mixture(table(spark, sf, "documents")).drop("_id", "_hash")
+
+
+NORMAL = "trim(regexp_replace({}, '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'))"
+LOWERED_TEXT = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
+
+QUOTE_SQL = f"""
+    WITH RECURSIVE
+    mail AS (SELECT a.conv_id, a.turn, a.role, concat_ws(chr(10),
+                    '> > ' || replace(c.text, chr(10), chr(10) || '> > '),
+                    '> ' || replace(b.text, chr(10), chr(10) || '> '), '', a.text) AS text
+             FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
+             LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2),
+    s AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM mail),
+    u AS (SELECT conv_id, turn, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM s),
+    lines AS (SELECT conv_id, turn, pos,
+                     len(regexp_replace(regexp_extract(raw, '^([ \\t]*>)+'), '[^>]', '', 'g')) AS level,
+                     regexp_replace(raw, '^([ \\t]*>)+[ \\t]?', '') AS line FROM u),
+    marked AS (SELECT *, {NORMAL.format("line")} = '' AS blank,
+                      lag(level) OVER w AS before, lag({NORMAL.format("line")} = '') OVER w AS gap
+               FROM lines WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+    runs AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> level OR gap THEN 1 ELSE 0 END)
+                       OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM marked),
+    pass AS (SELECT conv_id, turn, level, min(pos) AS pos, string_agg(line, chr(10) ORDER BY pos) AS text
+             FROM runs WHERE NOT blank GROUP BY conv_id, turn, level, run),
+    hashed AS (SELECT *, md5({NORMAL.format(LOWERED_TEXT.format("text"))}) AS h FROM pass),
+    own AS (SELECT conv_id, h, min(turn) AS quoted FROM hashed WHERE level = 0 GROUP BY ALL),
+    par AS (SELECT q.conv_id, q.turn, max(quoted) AS parent FROM hashed q JOIN own USING (conv_id, h)
+            WHERE level = 1 AND quoted < q.turn GROUP BY ALL),
+    tree AS (SELECT conv_id, turn, NULL::BIGINT AS parent_turn, turn AS root_turn, 0 AS depth FROM mail
+             WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM par)
+             UNION ALL
+             SELECT par.conv_id, par.turn, par.parent, root_turn, depth + 1
+             FROM tree JOIN par ON par.conv_id = tree.conv_id AND par.parent = tree.turn),
+    words AS (SELECT conv_id, turn, string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (level = 0) AS text,
+                     count(*) FILTER (level > 0) AS n_quotes, max(level) AS deepest FROM pass GROUP BY ALL)
+    SELECT mail.conv_id, mail.turn, role, coalesce(words.text, '') AS text, coalesce(n_quotes, 0) AS n_quotes,
+           coalesce(deepest, 0) AS deepest, parent_turn, root_turn, CAST(depth AS BIGINT) AS depth
+    FROM mail JOIN tree USING (conv_id, turn) LEFT JOIN words USING (conv_id, turn)
+    """
+
+
+@query("op10_quote_links", QUOTE_SQL)
+def op10(spark, sf):
+    return quote_links.reply_order(quote_links.with_quotes(table(spark, sf, "conversations")))
