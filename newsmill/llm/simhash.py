@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -220,3 +220,36 @@ def near_duplicates(
         "component_id",
         "links",
     )
+
+
+def near_duplicate_groups(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    radius: int = RADIUS,
+    seeds: Sequence[int] = (42, 43, 44),
+) -> DataFrame:
+    """(doc_id, component_id) of documents linked under any of several fingerprints.
+
+    A pair of similar texts may lie just outside the radius under one seed and inside under
+    another, so each further seed finds more of them.  Only documents in a group of two or
+    more ids are returned, with the least id reachable.  Rows without an id are left out.
+    """
+    edges = None
+    texts = df.where(F.col(f"`{id_col}`").isNotNull())
+    for seed in seeds:
+        prints = durable(with_fingerprints(texts, id_col, text_col, words, seed), "prints")
+        least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+        links = durable(fingerprint_links(prints, radius), "links")
+        u, v = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+        found = (
+            prints.join(least, "fp")
+            .where("doc_id != least")
+            .select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+            .unionByName(
+                links.join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+            )
+        )
+        edges = found if edges is None else edges.unionByName(found)
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -119,7 +119,8 @@ def fit_nnpu(
 
     ``rows`` and ``places`` are the ones of a 0/1 matrix, ``positive`` marks its confirmed
     rows; all others are unlabelled.  Where the second term goes below zero, the step climbs
-    out of it instead (the estimator's correction against overfitting).
+    out of it instead (the estimator's correction against overfitting).  In the end the bias
+    is lowered, if need be, until no more than ``prior`` of the unlabelled rows score over 0.5.
     """
     w, b = np.zeros(size), -2.0
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
@@ -141,7 +142,9 @@ def fit_nnpu(
         scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v) + 1e-8)
         b -= scale * mb / (np.sqrt(vb) + 1e-8)
-    return w, b
+    g = b + np.bincount(rows, w[places], minlength=len(positive))
+    most = np.quantile(g[~positive], 1 - prior) if (~positive).any() else 0.0
+    return w, b - max(0.0, most)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
