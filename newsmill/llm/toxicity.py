@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsmill.llm.common import pick
 
 PREFIXES = (3, 4, 5, 6, 8)
+SLACK = 1.05
 
 
 def _letters() -> np.ndarray:
@@ -120,7 +121,8 @@ def fit_nnpu(
     ``rows`` and ``places`` are the ones of a 0/1 matrix, ``positive`` marks its confirmed
     rows; all others are unlabelled.  Where the second term goes below zero, the step climbs
     out of it instead (the estimator's correction against overfitting).  In the end the bias
-    is lowered, if need be, until no more than ``prior`` of the unlabelled rows score over 0.5.
+    is lowered, if need be, until no more than ``SLACK * prior`` of the unlabelled rows score
+    0.5 or more.
     """
     w, b = np.zeros(size), -2.0
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
@@ -143,8 +145,8 @@ def fit_nnpu(
         w -= scale * m / (np.sqrt(v) + 1e-8)
         b -= scale * mb / (np.sqrt(vb) + 1e-8)
     g = b + np.bincount(rows, w[places], minlength=len(positive))
-    most = np.quantile(g[~positive], 1 - prior) if (~positive).any() else 0.0
-    return w, b - max(0.0, most)
+    most = np.quantile(g[~positive], max(0.0, 1 - SLACK * prior)) if (~positive).any() else -1.0
+    return w, b - (most + 1e-6 if most >= 0 else 0.0)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
