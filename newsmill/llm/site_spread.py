@@ -87,14 +87,17 @@ def remove_boilerplate(
         places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed"))
         return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
 
-    text = F.col(f"`{text_col}`")
-    own = [F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")]
-    out = df.select(*key, *own).join(removed, ["_id", "_hash"], "left")
+    # the row travels as one column, so its names cannot clash with the key's
+    whole = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    text = F.col("_row").getField(text_col)
+    out = whole.join(removed, ["_id", "_hash"], "left")
     return out.select(
         *[
-            F.when(F.col("_removed").isNull(), text).otherwise(let(_lines(text), keep)).alias(c)
-            if c == text_col
-            else F.col(f"`{c}`")
+            (
+                F.when(F.col("_removed").isNull(), text).otherwise(let(_lines(text), keep))
+                if c == text_col
+                else F.col("_row").getField(c)
+            ).alias(c)
             for c in df.columns
             if c not in ("n_lines", "n_removed")
         ],

@@ -254,12 +254,10 @@ def tokens_up_to(counts: DataFrame, chars: int, name: str = "tokens") -> DataFra
 
 
 def fits(counts: DataFrame, budget: int, name: str = "chars") -> DataFrame:
-    """The most characters of each text that ``budget`` tokens pay for, with every shorter
-    prefix paid for too, from prefix_tokens alone."""
-    over = F.filter(
+    """The longest prefix of each text, in characters, that ``budget`` tokens pay for, from
+    prefix_tokens alone.  (A longer prefix can have fewer tokens than a shorter one.)"""
+    paid = F.filter(
         F.sequence(F.lit(0), F.size("prefix_tokens") - 1),
-        lambda i: F.get("prefix_tokens", i) > budget,
-    )
-    return counts.withColumn(
-        name, F.when(F.size(over) == 0, F.size("prefix_tokens") - 1).otherwise(F.get(over, F.lit(0)) - 1)
+        lambda i: F.get("prefix_tokens", i) <= budget,
     )
+    return counts.withColumn(name, F.array_max(paid))
