@@ -82,6 +82,11 @@ def present(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
+# Unicode white space; what a shorthand class of the regular expressions leaves out.
+BLANKS = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def squeeze(text: Column | str) -> Column:
-    """Collapse white space to single spaces and trim."""
-    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+    """Collapse white space, non-breaking and other Unicode blanks included, to single
+    spaces and trim."""
+    return F.trim(F.regexp_replace(col(text), BLANKS, " "))

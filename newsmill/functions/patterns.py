@@ -42,7 +42,7 @@ def any_word(terms: Iterable[str], ascii_boundary: bool = False) -> str:
         left = f"(?<!{word})" if t[:1].isalnum() else both
         right = f"(?!{word})" if t[-1:].isalnum() else both
         out.append(left + r"\Q" + t + r"\E" + right)
-    return "(?i)(" + "|".join(out) + ")"
+    return "(?iu)(" + "|".join(out) + ")"
 
 
 def quoted(text: Column) -> Column:
@@ -53,7 +53,7 @@ def quoted(text: Column) -> Column:
 def word_pattern(word: Column, ascii_boundary: bool = False) -> Column:
     """Pattern of a literal whole word given by a column, case ignored."""
     edge = _boundary(ASCII_WORD if ascii_boundary else UNICODE_WORD)
-    return F.concat(F.lit("(?i)" + edge), quoted(word), F.lit(edge))
+    return F.concat(F.lit("(?iu)" + edge), quoted(word), F.lit(edge))
 
 
 def has_word(text: Column, word: Column, ascii_boundary: bool = False) -> Column:

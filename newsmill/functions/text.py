@@ -111,7 +111,7 @@ def main_subject(
     t = col(text) if scan_chars is None else F.left(col(text), F.lit(scan_chars))
     candidates = []
     for p in fixed.SUBJECT_PATTERNS:
-        hit = F.regexp_extract(t, "(?i)" + bounded(p, ascii_boundary), 1)
+        hit = F.regexp_extract(t, "(?iu)" + bounded(p, ascii_boundary), 1)
         candidates.append(
             F.when((F.length(hit) > 2) & ~F.lower(hit).isin(fixed.SUBJECT_REJECTED), hit)
         )
@@ -221,7 +221,7 @@ def contexts(text: Column | str, term_regex: str, around: int = 100) -> Column:
 def support_note(text: Column | str, label: str, terms: Iterable[str], ascii_boundary: bool = False) -> Column:
     """quote the first context that suggests support, else say it is mentioned."""
     pattern = any_word(terms, ascii_boundary)
-    backs = "(?i)" + "|".join(fixed.SUPPORT_PATTERNS)
+    backs = "(?iu)" + "|".join(fixed.SUPPORT_PATTERNS)
 
     def note(found: Column) -> Column:
         first = F.get(F.filter(found, lambda c: c.rlike(backs)), F.lit(0))
@@ -397,7 +397,7 @@ def keep_or_summarise(text: Column | str, summary: Column | str) -> Column:
 def is_chart_topic(title: Column | str, ascii_boundary: bool = False) -> Column:
     """Chart-trading titles."""
     t = col(title)
-    pattern = "(?i)" + "|".join(bounded(p, ascii_boundary) for p in fixed.CHART_TOPIC_PATTERNS)
+    pattern = "(?iu)" + "|".join(bounded(p, ascii_boundary) for p in fixed.CHART_TOPIC_PATTERNS)
     return t.rlike(pattern) | contains_any(F.lower(t), fixed.CHART_TOPIC_KEYWORDS)
 
 
@@ -410,7 +410,7 @@ def is_suppressed_topic(
 ) -> Column:
     """A topic that is not wanted from certain sources."""
     hay = F.replace(F.lower(col(source)), F.lit(" "), F.lit(""))
-    return contains_any(hay, sources) & col(title).rlike("(?i)" + bounded(topic, ascii_boundary))
+    return contains_any(hay, sources) & col(title).rlike("(?iu)" + bounded(topic, ascii_boundary))
 
 
 def is_navigation(text: Column | str) -> Column:

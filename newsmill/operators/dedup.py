@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsmill.functions.arrays import squeeze
 from newsmill.functions.text import is_blank_row
 
 
@@ -38,11 +39,12 @@ def keep_first(
 
 
 def keep_first_prefix(
-    df: DataFrame, text: str, order: Sequence[str | Column], chars: int = 50,
+    df: DataFrame, text: str, order: Sequence[str | Column], chars: int | None = None,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """W1 on the first characters of a text, case ignored."""
-    keyed = df.withColumn("_key", F.lower(F.left(F.col(text), F.lit(chars))))
+    """W1 on a text, case and blanks ignored, or on its first ``chars`` characters."""
+    whole = F.lower(squeeze(text))
+    keyed = df.withColumn("_key", whole if chars is None else F.lower(F.left(F.col(text), F.lit(chars))))
     return keep_first(keyed, [*within, "_key"], order).drop("_key")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsmill.functions.arrays import col, let
 from newsmill.functions.patterns import word_pattern
-from newsmill.session import small_rows
+from newsmill.session import durable
 from newsmill.operators.rows import unnest
 
 GRAM = 3
@@ -98,27 +98,34 @@ def resolve_redirects(
     redirects: DataFrame,
     url: str = "url",
     out: str = "final_url",
-    doublings: int = 3,
 ) -> DataFrame:
-    """Follow redirect chains of up to ``2 ** doublings`` hops.
+    """Follow redirect chains to their ends, however long.
 
     The chains are shortened on the redirect table itself, which halves them with
-    each join, so the items are joined once.  A URL whose chain does not end (a
-    cycle, or too many hops) keeps its own address.
+    each join, so the items are joined once.  Each round leaves fewer chains open; when
+    it does not, those left are cycles, and a URL that leads into one keeps its own
+    address.
     """
     hops = redirects.select(F.col("url").alias("_from"), F.col("target").alias("_to")).where(
         "_from is not null and _to is not null and _from <> _to"
     )
     hops = hops.groupBy("_from").agg(F.min("_to").alias("_to"))
-    ends = hops
-    for _ in range(doublings):
+    hops = durable(hops, "hops")
+    starts = hops.select(F.col("_from").alias("_via"))
+    ends, before = hops, None
+    while True:
+        left = ends.join(starts, F.col("_to") == F.col("_via"), "left_semi").count()
+        if left in (0, before):
+            break
+        before = left
         step = ends.select(F.col("_from").alias("_via"), F.col("_to").alias("_next"))
-        ends = ends.join(step, F.col("_to") == F.col("_via"), "left").select(
-            "_from", F.coalesce("_next", "_to").alias("_to")
+        ends = durable(
+            ends.join(step, F.col("_to") == F.col("_via"), "left").select(
+                "_from", F.coalesce("_next", "_to").alias("_to")
+            ),
+            "hops",
         )
-    finished = ends.join(
-        hops.select(F.col("_from").alias("_open")), F.col("_to") == F.col("_open"), "left_anti"
-    )
+    finished = ends.join(starts, F.col("_to") == F.col("_via"), "left_anti")
     joined = skew_join(
         items.withColumn("_from", F.col(url)), finished.select("_from", "_to"), "_from", "left"
     )
@@ -145,10 +152,16 @@ def update_titles(target: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def update_columns(
-    target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]
+    target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], order: str | None = None
 ) -> DataFrame:
-    """Write new values over old ones where a row has been updated."""
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Write new values over old ones where a row has been updated.
+
+    Of several updates of a row the one with the largest ``order`` counts, or, without an
+    order, the largest values; a row stays one row.
+    """
+    values = F.struct(*[F.col(c).alias(f"_new_{c}") for c in columns])
+    best = F.max(values) if order is None else F.max_by(values, order)
+    new = updates.groupBy(key).agg(best.alias("_new")).select(key, "_new.*")
     joined = target.join(new, key, "left")
     return joined.select(
         *[
@@ -217,35 +230,29 @@ def first_pattern(
     pattern: str = "pattern",
     order: str = "priority",
     values: Sequence[str] = (),
-    inline_rows: int = 200,
 ) -> DataFrame:
-    """Attach the values of the first pattern (by order) contained in a text.
+    """Attach the values of the first pattern contained in a text: by order, then by
+    the pattern; patterns without an order come last.
 
-    Compared in lower case; rows without a match get nulls.
+    Compared in lower case; rows without a match get nulls.  Patterns that are equal in
+    lower case are one before they meet the texts.
     """
-    table = patterns.select(pattern, order, *values).where(F.col(pattern) != "")
-    rows = small_rows(table, inline_rows)
-    types = dict(table.dtypes)
-    t = F.lower(col(text))
-    if rows is not None:
-        ranked = sorted(rows, key=lambda r: r[order])
-        out = df
-        for v in values:
-            hit = None
-            for r in ranked:
-                test = F.contains(t, F.lit(r[pattern].lower()))
-                value = F.lit(r[v]).cast(types[v])
-                hit = F.when(test, value) if hit is None else hit.when(test, value)
-            empty = F.lit(None).cast(types[v])
-            out = out.withColumn(v, empty if hit is None else hit.otherwise(empty))
-        return out
-    keyed = df.withColumn("_text", t)
-    lowered = table.withColumn("_pattern", F.lower(pattern))
-    pairs = contains_join(lowered, keyed, "_pattern", "_text", short_needles=True)
+    place = F.struct(
+        F.col(order).isNull().alias("_last"), F.col(order).alias("_order"), F.col(pattern).alias("_own"),
+        *[F.col(v).alias(f"_by_{i}") for i, v in enumerate(values)],
+    )
+    table = (
+        patterns.where(F.col(pattern) != "")
+        .select(F.lower(pattern).alias("_pattern"), place.alias("_place"), F.struct(*values).alias("_values"))
+        .groupBy("_pattern")
+        .agg(F.min(F.struct("_place", "_values")).alias("_first"))
+    )
+    keyed = df.withColumn("_text", F.lower(col(text)))
+    pairs = contains_join(table, keyed, "_pattern", "_text", short_needles=True)
     best = (
-        pairs.join(lowered, "_pattern")
+        pairs.join(table, "_pattern")
         .groupBy("_text")
-        .agg(F.min_by(F.struct(*values), F.col(order)).alias("_best"))
+        .agg(F.min("_first").getField("_values").alias("_best"))
         .select("_text", *[F.col(f"_best.{v}").alias(v) for v in values])
     )
     return skew_join(keyed, best, "_text", "left").drop("_text")
@@ -348,7 +355,11 @@ def term_counts(
 def _counted_by_pattern(
     docs: DataFrame, t: DataFrame, key: str, text: str, term: str, ascii_boundary: bool
 ) -> DataFrame:
-    """Counts by regular expression in the documents that hold the rarest word of a term."""
+    """Counts by regular expression in the documents that hold the rarest word of a term, or,
+    for terms without words, the term itself."""
+    signs = t.where(F.size("_parts") == 0).select("_term")
+    texts = docs.select(key, F.col(text).alias("_hay"))
+    with_signs = contains_join(signs, texts, "_term", "_hay", short_needles=True)
     words = t.select("_term", F.explode(F.array_distinct("_parts")).alias("_token"))
     in_docs = unnest(
         docs, F.array_distinct(_tokens(F.lower(text), ascii_boundary)), "_token", "_i", key
@@ -364,6 +375,7 @@ def _counted_by_pattern(
         skew_join(in_docs, chosen, "_token")
         .select(key, "_term")
         .join(docs.select(key, text), key)
+        .unionByName(texts.join(with_signs, "_hay").select(key, "_term", F.col("_hay").alias(text)))
         .select(key, F.col("_term").alias(term), F.regexp_count(F.col(text), pattern).cast("long").alias("n"))
         .where("n > 0")
     )

@@ -55,8 +55,10 @@ def live_ids(ids: DataFrame, as_of: Column | str, days: int = fixed.STATE_TTL_DA
     return ids.where(F.coalesce(F.col("processed_date"), F.lit("")) >= cutoff)
 
 
-def live_jobs(jobs: DataFrame, as_of: Column | str, max_age: int = 3600, cap: int = 100) -> DataFrame:
-    """Finished jobs older than an hour go; above ``cap`` jobs the oldest finished go too.
+def live_jobs(
+    jobs: DataFrame, as_of: Column | str, max_age: int = 3600, cap: int | None = None
+) -> DataFrame:
+    """Finished jobs older than an hour go; with a ``cap``, the oldest finished above it too.
 
     Unfinished jobs always stay, so the number of finished ones that may stay is
     the cap less the unfinished.
@@ -65,6 +67,8 @@ def live_jobs(jobs: DataFrame, as_of: Column | str, max_age: int = 3600, cap: in
     at = F.coalesce("completed_at", "created_at")
     old = done & (F.unix_micros(col(as_of)) - F.unix_micros(at) > max_age * 1_000_000)
     kept = jobs.where(~F.coalesce(old, F.lit(False)))
+    if cap is None:
+        return kept
     running = kept.where(~done)
     room = running.agg(F.greatest(F.lit(cap) - F.count(F.lit(1)), F.lit(0)).alias("n")).scalar()
     # At most ``cap`` finished jobs can stay, so the sort is a top-k.

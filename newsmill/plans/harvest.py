@@ -182,7 +182,7 @@ def harvest_feed(
 
 
 def harvest_channel(
-    pages: DataFrame, start: str | None = None, end: str | None = None, max_pages: int = 25
+    pages: DataFrame, start: str | None = None, end: str | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """C4: one item per message of a channel, over its landed history."""
     rows = pg.channel_history(pages, start, max_pages)

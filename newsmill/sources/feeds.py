@@ -63,10 +63,10 @@ def feed_content(body: Column | str) -> Column:
     return markup.plain_text(body, "")
 
 
-def video_entries(feeds: DataFrame, limit: int = 20, xml: str = "xml") -> DataFrame:
-    """The first ``limit`` videos of each channel feed (channel, xml)."""
+def video_entries(feeds: DataFrame, limit: int | None = None, xml: str = "xml") -> DataFrame:
+    """The videos of each channel feed (channel, xml), or its first ``limit``."""
     doc = F.from_xml(F.col(xml), _VIDEO_FEED, _OPTIONS)
-    rows = unnest(feeds, F.slice(doc["entry"], 1, limit), "v", "pos", "channel")
+    rows = unnest(feeds, doc["entry"] if limit is None else F.slice(doc["entry"], 1, limit), "v", "pos", "channel")
     return rows.select(
         "channel", "pos",
         F.col("v.videoId").alias("video_id"),

@@ -84,7 +84,7 @@ def _parse_articles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="html").assign(article=texts)
 
 
-def article_bodies(pages: DataFrame, key: str = "page_id", cap: int | None = 10000) -> DataFrame:
+def article_bodies(pages: DataFrame, key: str = "page_id", cap: int | None = None) -> DataFrame:
     """article text per page.
 
     Only pages whose class or id marks can change the result go through the Python
@@ -316,17 +316,17 @@ def channel_messages(pages: DataFrame) -> DataFrame:
     )
 
 
-def channel_history(pages: DataFrame, start: str | None, max_pages: int = 25) -> DataFrame:
+def channel_history(pages: DataFrame, start: str | None, max_pages: int | None = None) -> DataFrame:
     """Messages of the pages that a backwards reading of a channel takes.
 
     Reading stops after a page whose smallest message id is not below that of the
     page before, or whose messages reach back beyond ``start``; without ``start``
-    only the first page is read.  A reading never goes beyond ``max_pages``, so that
-    many pages per channel are taken before any of them is parsed, and the windows
-    below run over as many rows.
+    only the first page is read.  ``max_pages`` can limit a reading, so that so many pages
+    per channel are taken before any of them is parsed.
     """
     order = Window.partitionBy("channel").orderBy("page_no")
-    first = last_rows(pages, ["channel"], [F.col("page_no")], max_pages if start else 1)
+    most = max_pages if start else 1
+    first = pages if most is None else last_rows(pages, ["channel"], [F.col("page_no")], most)
     parsed = settle(
         first.select(
             "channel", "page_no", "url", _named_channel("html").alias("source_name"),

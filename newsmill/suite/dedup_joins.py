@@ -61,7 +61,7 @@ def j2b(spark, sf):
     # As many rule sets as pages: the substring join runs on grams.
     p = table(spark, sf, "pages")
     patterns = p.select(urls.netloc("url").alias("pattern"), F.col("page_id").alias("priority"), F.col("page_id").alias("rule_page"))
-    return joins.first_pattern(p, "url", patterns, values=["rule_page"], inline_rows=0).select("page_id", "rule_page")
+    return joins.first_pattern(p, "url", patterns, values=["rule_page"]).select("page_id", "rule_page")
 
 
 # A catalogue of entities: the capitalised words of the benchmark passages, with pairs.
@@ -124,9 +124,10 @@ def redirects(spark, sf):
 @query(
     "j4_redirects",
     f"""WITH RECURSIVE {REDIRECTS}, r AS (SELECT url, min(target) AS target FROM redirects WHERE url <> target GROUP BY url),
-     walk(page_id, cur, hops) AS (SELECT page_id, url, 0 FROM pages UNION ALL SELECT w.page_id, r.target, hops + 1 FROM walk w JOIN r ON r.url = w.cur WHERE hops < 30),
-     ends AS (SELECT page_id, arg_max(cur, hops) AS cur, max(hops) AS hops FROM walk GROUP BY page_id)
-    SELECT page_id, CASE WHEN hops <= 8 THEN cur ELSE p.url END AS final_url FROM ends JOIN pages p USING (page_id)""",
+     walk(page_id, cur, path) AS (SELECT page_id, url, [url] FROM pages UNION ALL SELECT w.page_id, r.target, list_append(path, r.target)
+       FROM walk w JOIN r ON r.url = w.cur WHERE NOT list_contains(path, r.target)),
+     ends AS (SELECT page_id, arg_max(cur, len(path)) AS cur FROM walk GROUP BY page_id)
+    SELECT page_id, CASE WHEN cur IN (SELECT url FROM r) THEN p.url ELSE cur END AS final_url FROM ends JOIN pages p USING (page_id)""",
 )
 def j4(spark, sf):
     return joins.resolve_redirects(table(spark, sf, "pages").select("page_id", "url"), redirects(spark, sf)).select(
@@ -275,7 +276,7 @@ def w1(spark, sf):
 
 @query(
     "w1_keep_first_text",
-    "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text[1:50]) ORDER BY doc_id) = 1",
+    "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) = 1",
 )
 def w1b(spark, sf):
     return dedup.keep_first_prefix(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id")

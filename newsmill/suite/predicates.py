@@ -639,11 +639,8 @@ def p35b(spark, sf):
     "p35_retention_jobs",
     """WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'failed' WHEN 'error' THEN 'timeout'
        ELSE 'running' END AS status, ts FROM events WHERE true),
-     k AS (SELECT * FROM j WHERE NOT (status <> 'running' AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) > 432000000000)),
-     r AS (SELECT count(*) AS n FROM k WHERE status = 'running'),
-     f AS (SELECT *, row_number() OVER (ORDER BY ts DESC, job_id DESC) AS rn FROM k WHERE status <> 'running')
-    SELECT job_id, status FROM k WHERE status = 'running'
-    UNION ALL SELECT job_id, status FROM f, r WHERE rn <= greatest(5000 - n, 0)""",
+     k AS (SELECT * FROM j WHERE NOT (status <> 'running' AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) > 432000000000))
+    SELECT job_id, status FROM k""",
 )
 def p35c(spark, sf):
     from newsmill.operators.schedule import live_jobs
@@ -656,5 +653,5 @@ def p35c(spark, sf):
         F.col("ts").cast("timestamp").alias("created_at"),
         F.col("ts").cast("timestamp").alias("completed_at"),
     )
-    kept = live_jobs(jobs, F.to_timestamp(F.lit("2024-01-31 00:00:00")), 432000, 5000)
+    kept = live_jobs(jobs, F.to_timestamp(F.lit("2024-01-31 00:00:00")), 432000)
     return kept.select("job_id", "status")

@@ -206,7 +206,7 @@ def s8(spark, sf):
     return pg.channel_messages(channel_pages(spark, sf)).select("channel", "page_no", "best_link", "permalink", "message_id")
 
 
-READ = """(SELECT conv_id, turn, role FROM conversations c WHERE turn < 25 AND turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND 28 - x.turn % 28 < 26), turn))"""
+READ = """(SELECT conv_id, turn, role FROM conversations c WHERE turn <= coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND 28 - x.turn % 28 < 26), turn))"""
 
 
 @query("s9_channel_history", f"SELECT 'c' || conv_id AS channel, CAST(turn AS INT) AS page_no, 100 - turn AS message_id FROM {READ} r")
