@@ -425,7 +425,6 @@ WORDS_PER_MINUTE = 150
 LONG_MINUTES = 30
 
 # Caps that are part of an output contract, in characters.
-TEXT_CAPS = [50000, 15000, 10000, 8000, 2000, 500, 200, 100]
 
 # --- Dates: fixed values ----------------------------------------------------
 

@@ -25,6 +25,15 @@ def lookup(mapping: Mapping[str, str]) -> Column:
     return F.expr(f"map({', '.join(_quoted(x) for kv in mapping.items() for x in kv)})")
 
 
+def first_chars(text: Column | str, most: int | None) -> Column:
+    """The first ``most`` characters, or all where there is no limit."""
+    return col(text) if most is None else F.left(col(text), F.lit(most))
+
+
+def first_items(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

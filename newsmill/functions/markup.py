@@ -12,7 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
-from newsmill.functions.arrays import col, first_present, let, lookup, squeeze
+from newsmill.functions.arrays import (
+    col, first_chars, first_items, first_present, let, lookup, squeeze,
+)
 from newsmill.functions.urls import netloc, title_case
 
 _OPEN, _SHUT = "\x01", "\x02"
@@ -151,9 +153,9 @@ def is_heading(b: Column) -> Column:
     return F.startswith(b["tag"], F.lit("h")) & (b["text"] != "") & (F.length(b["text"]) < 100)
 
 
-def link_context(block_text: Column | str, cap: int = 200) -> Column:
+def link_context(block_text: Column | str, cap: int | None = None) -> Column:
     """text around a link."""
-    return F.left(squeeze(col(block_text)), F.lit(cap))
+    return first_chars(squeeze(block_text), cap)
 
 
 # --- F2, F3, F4 -------------------------------------------------------------
@@ -162,7 +164,7 @@ def _content(html: Column, tags: Iterable[str]) -> Column:
     return let(html, lambda h: first_present(*[element(h, t) for t in tags], h))
 
 
-def article_text(html: Column | str, cap: int | None = 10000) -> Column:
+def article_text(html: Column | str, cap: int | None = None) -> Column:
     """F2 for pages without class-marked boilerplate (see ``sources.pages.article_bodies``)."""
     body = drop_elements(drop_comments(html))
     text = plain_text(_content(body, ["article", "main", "body"]))
@@ -199,13 +201,13 @@ def text_lines(html: Column | str) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def leading_lines(html: Column | str, lines: int = 100, cap: int = 8000) -> Column:
-    """the first lines of a page as one text."""
+def leading_lines(html: Column | str, lines: int | None = None, cap: int | None = None) -> Column:
+    """the lines of a page, or its first ones, as one text."""
     body = drop_elements(
         html, ["script", "style", "nav", "header", "footer", "aside"]
     )
     content = _content(body, ["article", "body"])
-    return F.left(F.array_join(F.slice(text_lines(content), 1, lines), "\n"), F.lit(cap))
+    return first_chars(F.array_join(first_items(text_lines(content), lines), "\n"), cap)
 
 
 # --- F7, F16 ----------------------------------------------------------------
@@ -228,11 +230,11 @@ def site_name(html: Column | str, url: Column | str) -> Column:
     )
 
 
-def page_name(html: Column | str, url: Column | str) -> Column:
-    """F7, generic: site name tag, else the title (50 characters), else the host."""
+def page_name(html: Column | str, url: Column | str, cap: int | None = None) -> Column:
+    """F7, generic: site name tag, else the title, else the host."""
     h = col(html)
     return first_present(
-        _meta(h, "og:site_name"), F.left(page_title(h), F.lit(50)), netloc(url)
+        _meta(h, "og:site_name"), first_chars(page_title(h), cap), netloc(url)
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    col, contains_any, distinct_ignoring_case, ends_with_any, first_present, let,
+    col, contains_any, distinct_ignoring_case, ends_with_any, first_chars, first_items,
+    first_present, let,
     lookup, present, squeeze, starts_with_any, strings,
 )
 from newsmill.functions.patterns import any_word, bounded, has_word
@@ -24,15 +25,20 @@ def words(text: Column | str) -> Column:
 
 # --- F8: keywords -----------------------------------------------------------
 
-def keywords(text: Column | str, limit: int = fixed.KEYWORD_LIMIT, ascii_boundary: bool = False) -> Column:
+def keywords(
+    text: Column | str,
+    limit: int | None = None,
+    ascii_boundary: bool = False,
+    word_chars: int | None = None,
+    ticker_chars: int | None = None,
+) -> Column:
     """F8: likely entity names, in order of priority.
 
-    Capitalised phrases come from the whole text; mixed-case and leading words
-    only from its first 100 characters and bare tickers from its first 150,
-    because those rules are about what the text opens with.
+    ``word_chars`` and ``ticker_chars`` can confine mixed-case and leading words, and bare
+    tickers, to the opening of the text, ``limit`` the number of names.
     """
     t = col(text)
-    head, opening = F.left(t, F.lit(100)), F.left(t, F.lit(150))
+    head, opening = first_chars(t, word_chars), first_chars(t, ticker_chars)
     stop = strings(w.lower() for w in fixed.KEYWORD_STOP_WORDS)
     phrases = F.filter(
         _all(t, bounded(fixed.PHRASE_PATTERN, ascii_boundary)),
@@ -59,7 +65,7 @@ def keywords(text: Column | str, limit: int = fixed.KEYWORD_LIMIT, ascii_boundar
         fresh = let(
             taken, lambda low: F.filter(later, lambda w: ~F.array_contains(low, F.lower(w)))
         )
-        return F.slice(F.concat(p, fresh), 1, limit)
+        return first_items(F.concat(p, fresh), limit)
 
     return let(phrases, merge)
 
@@ -105,10 +111,10 @@ def _lower_score(n: Column, k: Column, t: Column, ascii_boundary: bool) -> Colum
 # --- F10, A18: subjects and entities ----------------------------------------
 
 def main_subject(
-    text: Column | str, scan_chars: int | None = 500, ascii_boundary: bool = False
+    text: Column | str, scan_chars: int | None = None, ascii_boundary: bool = False
 ) -> Column:
-    """first acceptable hit of the subject patterns; ``scan_chars=None`` reads it all."""
-    t = col(text) if scan_chars is None else F.left(col(text), F.lit(scan_chars))
+    """first acceptable hit of the subject patterns."""
+    t = first_chars(text, scan_chars)
     candidates = []
     for p in fixed.SUBJECT_PATTERNS:
         hit = F.regexp_extract(t, "(?iu)" + bounded(p, ascii_boundary), 1)
@@ -120,25 +126,25 @@ def main_subject(
 
 def mentioned_entities(
     text: Column | str,
-    limit: int | None = 8,
-    scan_chars: int | None = 2000,
+    limit: int | None = None,
+    scan_chars: int | None = None,
     ascii_boundary: bool = False,
 ) -> Column:
     """Distinct capitalised names minus common words, in order of the patterns."""
-    t = col(text) if scan_chars is None else F.left(col(text), F.lit(scan_chars))
+    t = first_chars(text, scan_chars)
     found = F.concat(*[_all(t, bounded(p, ascii_boundary)) for p in fixed.ENTITY_PATTERNS])
     kept = F.array_except(
         F.array_distinct(F.filter(found, lambda x: F.length(x) > 3)), strings(fixed.COMMON_WORDS)
     )
-    return kept if limit is None else F.slice(kept, 1, limit)
+    return first_items(kept, limit)
 
 
-def subject_first(entities: Column, subject: Column, limit: int = 8) -> Column:
+def subject_first(entities: Column, subject: Column, limit: int | None = None) -> Column:
     """Put the main subject at the front of the entity list."""
     def place(s: Column) -> Column:
         rest = F.filter(entities, lambda e: s.isNull() | (e != s))
         front = F.when(s.isNull(), strings([])).otherwise(F.array(s))
-        return F.slice(F.concat(front, rest), 1, limit)
+        return first_items(F.concat(front, rest), limit)
 
     return let(subject, place)
 
@@ -218,14 +224,17 @@ def contexts(text: Column | str, term_regex: str, around: int = 100) -> Column:
     return F.transform(spans, lambda x: F.substr(t, x["s"] + 1, x["e"] + around - x["s"]))
 
 
-def support_note(text: Column | str, label: str, terms: Iterable[str], ascii_boundary: bool = False) -> Column:
+def support_note(
+    text: Column | str, label: str, terms: Iterable[str], ascii_boundary: bool = False,
+    quote_chars: int | None = None,
+) -> Column:
     """quote the first context that suggests support, else say it is mentioned."""
     pattern = any_word(terms, ascii_boundary)
     backs = "(?iu)" + "|".join(fixed.SUPPORT_PATTERNS)
 
     def note(found: Column) -> Column:
         first = F.get(F.filter(found, lambda c: c.rlike(backs)), F.lit(0))
-        quote = F.concat(F.lit(f'{label}: "'), F.left(squeeze(first), F.lit(150)), F.lit('..."'))
+        quote = F.concat(F.lit(f'{label}: "'), first_chars(squeeze(first), quote_chars), F.lit('..."'))
         return F.coalesce(quote, F.lit(f"{label}: mentioned (verify manually)"))
 
     return F.when(
@@ -233,12 +242,12 @@ def support_note(text: Column | str, label: str, terms: Iterable[str], ascii_bou
     )
 
 
-def support_summary(text: Column | str, ascii_boundary: bool = False) -> Column:
+def support_summary(text: Column | str, ascii_boundary: bool = False, limit: int | None = None) -> Column:
     notes = [
         support_note(text, label, terms, ascii_boundary)
         for label, terms in fixed.SUPPORT_TERMS.items()
     ]
-    return F.array_join(F.slice(present(F.array(*notes)), 1, 3), "; ")
+    return F.array_join(first_items(present(F.array(*notes)), limit), "; ")
 
 
 def join_comments(*parts: Column) -> Column:
@@ -343,8 +352,8 @@ def after_marker(text: Column | str) -> Column:
     return F.coalesce(*hits)
 
 
-def extractive_summary(text: Column | str, limit: int = fixed.SUMMARY_SENTENCES) -> Column:
-    """the first sentences that are longer than 20 characters."""
+def extractive_summary(text: Column | str, limit: int | None = None) -> Column:
+    """the sentences, or the first of them, that are longer than 20 characters."""
     t = F.regexp_replace(col(text), r"^\s+|\s+$", "")
     for p in fixed.INTRO_PATTERNS:
         t = F.regexp_replace(t, "(?i)" + p, "")
@@ -358,7 +367,7 @@ def extractive_summary(text: Column | str, limit: int = fixed.SUMMARY_SENTENCES)
             (joined != "") & ~joined.rlike(r"[.!?]$") & cut, F.left(joined, last.cast("int"))
         ).otherwise(joined)
 
-    return let(F.array_join(F.slice(kept, 1, limit), " "), whole)
+    return let(F.array_join(first_items(kept, limit), " "), whole)
 
 
 def digest_seconds(text: Column | str) -> Column:
@@ -385,10 +394,12 @@ def length_class(text: Column | str) -> Column:
     return F.when(minutes > fixed.LONG_MINUTES, "long").otherwise("short")
 
 
-def keep_or_summarise(text: Column | str, summary: Column | str) -> Column:
-    """Short text as it is, else its summary, else a cut form."""
+def keep_or_summarise(text: Column | str, summary: Column | str, most: int | None = None) -> Column:
+    """Short text as it is, else its summary, else the text, cut where there is a limit."""
     t = col(text)
-    cut = F.when(F.length(t) > 2000, F.concat(F.left(t, F.lit(2000)), F.lit("..."))).otherwise(t)
+    cut = t
+    if most is not None:
+        cut = F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("..."))).otherwise(t)
     return F.when(F.length(t) < fixed.SHORT_TEXT_CHARS, t).otherwise(F.coalesce(col(summary), cut))
 
 

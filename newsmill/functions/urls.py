@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    col, contains_any, first_present, lookup, starts_with_any, strings,
+    col, contains_any, first_chars, first_present, lookup, starts_with_any, strings,
 )
 
 
@@ -249,10 +249,10 @@ def _last_segment(url: Column | str) -> Column:
     return F.element_at(F.split(F.trim(path(url), F.lit("/")), "/"), -1)
 
 
-def slug_title(url: Column | str, fall_back_to_host: bool = False) -> Column:
-    """readable title from the last path segment, at most 100 characters."""
+def slug_title(url: Column | str, fall_back_to_host: bool = False, cap: int | None = None) -> Column:
+    """readable title from the last path segment."""
     words = F.regexp_replace(_last_segment(url), "[-_]", " ")
-    title = F.left(title_case(words), F.lit(100))
+    title = first_chars(title_case(words), cap)
     return F.coalesce(F.nullif(title, F.lit("")), netloc(url)) if fall_back_to_host else title
 
 

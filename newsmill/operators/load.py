@@ -83,7 +83,7 @@ def training_rows(links: DataFrame, include_blocked: bool = True) -> DataFrame:
         quoted("title").alias("title"),
         "url",
         "source",
-        F.left(quoted("description"), F.lit(200)).alias("description"),
+        quoted("description").alias("description"),
         F.when(marked, "FALSE").otherwise("").alias("Track?"),
     )
 

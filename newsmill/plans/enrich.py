@@ -27,21 +27,19 @@ def article_match(
     articles: DataFrame, catalogue: DataFrame, key: Sequence[str], terms: Sequence[str],
     ascii_boundary: bool = False,
 ) -> DataFrame:
-    """Best match of an article: its priority terms first, then its opening keywords.
+    """Best match of an article: its priority terms first, then its keywords.
 
     ``articles``: key columns and ``article``.  Each term or keyword is matched as a
-    text of its own next to the opening of the article.
+    text of its own next to the article.
     """
     hits = F.array_distinct(tx.term_hits("article", terms, ascii_boundary))
-    openers = F.slice(
-        tx.keywords(F.left("article", F.lit(500)), ascii_boundary=ascii_boundary), 1, 3
-    )
+    openers = tx.keywords("article", ascii_boundary=ascii_boundary)
     as_probe = lambda arr, least: F.transform(
         arr, lambda w: F.struct(w.alias("title"), F.lit(least).alias("least"))
     )
     probes = unnest(
         articles, F.concat(as_probe(hits, 0.7), as_probe(openers, 0.8)), "p", "probe",
-        *key, F.left("article", F.lit(200)).alias("description"),
+        *key, F.col("article").alias("description"),
     ).select(*key, "probe", "description", F.col("p.title").alias("title"), F.col("p.least").alias("least"))
     found = durable(
         en.match_entities(probes, catalogue, [*key, "probe"], ascii_boundary=ascii_boundary), "found"
@@ -86,7 +84,7 @@ def research(
         tx.mentioned_entities("article", None, ascii_boundary=ascii_boundary),
         tx.main_subject("article", ascii_boundary=ascii_boundary),
     )
-    named = F.when(F.size(names) > 0, F.concat(F.lit("Entities: "), F.array_join(F.slice(names, 1, 6), ", ")))
+    named = F.when(F.size(names) > 0, F.concat(F.lit("Entities: "), F.array_join(names, ", ")))
     noted = read.select(
         *key, "article", mentions.alias("m"), checked.alias("s"), named.alias("e"), "url"
     )
@@ -95,7 +93,7 @@ def research(
     else:
         found = article_match(read, catalogue, key, terms, ascii_boundary)
         subjects = en.match_summary(found, key).select(
-            *key, F.array_join(F.slice(F.split("grid_subjects", ", "), 1, 2), ", ").alias("_subjects")
+            *key, F.col("grid_subjects").alias("_subjects")
         )
         noted = noted.join(subjects, list(key), "left").withColumn(
             "g", F.concat(F.lit("Grid: "), F.col("_subjects"))
@@ -124,7 +122,7 @@ def reenrich(
     """Match the rows that wait for it (P26) and write the columns back."""
     skip = F.col("SKIP") if "SKIP" in target.columns else F.lit("")
     waiting = target.where(tx.needs_matching(skip, "grid_matched", "url")).select(
-        row, F.left("description", F.lit(80)).alias("title"), "description"
+        row, F.col("description").alias("title"), "description"
     )
     done = match_items(waiting, catalogue, [row], ascii_boundary)
     columns = [c for c in en.MATCH_COLUMNS if c in target.columns]

@@ -174,7 +174,7 @@ def harvest_feed(
         source_name=F.col("source_name"),
         source_url=F.col("source_url"),
         category=F.lit("RSS Feed"),
-        description=F.left(fd.feed_content("body"), F.lit(500)),
+        description=fd.feed_content("body"),
         author=F.col("author"),
         date_published=F.col("date_text"),
     )

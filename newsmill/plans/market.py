@@ -87,7 +87,7 @@ def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         lambda b: F.struct(
             b["pos"].alias("pos"),
             F.coalesce(
-                markup.keyword_section(F.left(b["text"], F.lit(100)), None),
+                markup.keyword_section(b["text"], None),
                 F.lit(None).cast("string"),
             ).alias("name"),
         ),
@@ -131,7 +131,7 @@ def market_digest(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         F.lit(0).alias("block"), "pos",
     )
     linked = links.select(
-        "page_id", "url", "title", F.left("parent_text", F.lit(200)).alias("description"), "section",
+        "page_id", "url", "title", F.col("parent_text").alias("description"), "section",
         urls.source_display_name("url").alias("source"), F.lit(2).alias("part"), "block", "pos",
     )
     issue = dated.select("page_id", F.col("url").alias("source_url"), "newsletter_date")
@@ -168,7 +168,7 @@ def training_links(
     )
     rows = unnest(
         unnest(staged, "_b", "b", "_i", "page_id", "_h"), markup.links("b.body"), "a", "pos",
-        "page_id", "_h", F.col("b.pos").alias("block"), F.left("b.text", F.lit(300)).alias("parent_text"),
+        "page_id", "_h", F.col("b.pos").alias("block"), F.col("b.text").alias("parent_text"),
     ).where(F.startswith("a.href", F.lit("http")))
     first = keep_first(rows.withColumn("raw_url", F.col("a.href")), ["page_id", "raw_url"], ["block", "pos"])
     section = F.coalesce(

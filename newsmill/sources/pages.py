@@ -242,7 +242,7 @@ def archive_links(pages: DataFrame) -> DataFrame:
     )
     rows = usable.select(
         "page_url", "pos", urls.absolute_url(href, "page_url").alias("url"),
-        F.left(title, F.lit(200)).alias("title"), date_text.alias("date_str"),
+        title.alias("title"), date_text.alias("date_str"),
         dates.parse_feed_date(date_text).alias("date"), F.lit(True).alias("selected"),
     )
     return keep_first(settle(rows), ["page_url", "url"], ["pos"])

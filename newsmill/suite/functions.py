@@ -70,7 +70,7 @@ def f4(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(markup.text_lines("html")).alias("pos", "line"))
 
 
-@query("f5_link_context", f"SELECT doc_id, {squeeze_sql('text')}[1:200] AS context FROM documents")
+@query("f5_link_context", f"SELECT doc_id, {squeeze_sql('text')} AS context FROM documents")
 def f5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", markup.link_context("text").alias("context"))
 
@@ -81,7 +81,7 @@ _SEG = f"string_split(trim({path_sql('url')}, '/'), '/')[-1]"
 @query(
     "f6_slug_title",
     f"""WITH {LINKS}, a AS (SELECT page_id, pos, regexp_extract(url, '^[^?#]*') || '/' || replace(text, ',', '-') || '_x-y' AS url FROM links)
-    SELECT page_id, pos, {title_sql(sub(_SEG, '[-_]', ' '))}[1:100] AS title FROM a""",
+    SELECT page_id, pos, {title_sql(sub(_SEG, '[-_]', ' '))} AS title FROM a""",
 )
 def f6(spark, sf):
     a = links(spark, sf).withColumn(
@@ -97,7 +97,7 @@ _TITLE = squeeze_sql(unescape_sql(sub("regexp_extract(html, '<title\\b[^>]*>(.*?
     "f7_site_names",
     f"""WITH t AS (SELECT page_id, url, {_TITLE} AS title FROM pages)
     SELECT page_id, coalesce(nullif(trim(split_part(title, '|', 1)), ''), {title_sql("split_part(" + netloc_sql('url') + ", '.', 1)")}) AS site_name,
-      coalesce(nullif(title[1:50], ''), {netloc_sql('url')}) AS page_name,
+      coalesce(nullif(title, ''), {netloc_sql('url')}) AS page_name,
       {title_sql("split_part(replace(" + netloc_sql('url') + ", 'www.', ''), '.', 1)")} AS host_name FROM t""",
 )
 def f7(spark, sf):
@@ -120,13 +120,13 @@ def keyword_ctes(source: str, key: str, text: str) -> str:
     """kw(key, kws): keywords of a text column of a relation."""
     return f"""k1 AS (SELECT {key}, {text} AS t,
       list_filter({all_sql(text, fixed.PHRASE_PATTERN)}, lambda p: NOT list_contains({lst(fixed.KEYWORD_STOP_PHRASES)}, p)) AS phrases,
-      list_filter({all_sql(text + '[1:100]', fixed.MIXED_CASE_PATTERN)}, lambda w: length(w) >= 3 AND NOT list_contains({lst(STOP)}, lower(w))) AS mixed,
+      list_filter({all_sql(text, fixed.MIXED_CASE_PATTERN)}, lambda w: length(w) >= 3 AND NOT list_contains({lst(STOP)}, lower(w))) AS mixed,
       list_transform({all_sql(text, fixed.MARKED_TICKER_PATTERN)}, lambda x: {_ALIAS}[lower(x)]) AS aliases,
-      list_filter({all_sql(text + '[1:100]', fixed.LEADING_WORD_PATTERN)}, lambda w: NOT list_contains({lst(STOP)}, lower(w))) AS leading_words,
-      list_transform({all_sql(text + '[1:150]', fixed.TICKER_PATTERN)}, lambda x: {_TICKER}[x]) AS tickers FROM {source}),
+      list_filter({all_sql(text, fixed.LEADING_WORD_PATTERN)}, lambda w: NOT list_contains({lst(STOP)}, lower(w))) AS leading_words,
+      list_transform({all_sql(text, fixed.TICKER_PATTERN)}, lambda x: {_TICKER}[x]) AS tickers FROM {source}),
     k2 AS (SELECT {key}, t, phrases, list_filter(mixed || aliases || leading_words || tickers, lambda x: x IS NOT NULL AND x <> '') AS later FROM k1),
     k3 AS (SELECT {key}, t, phrases, later, list_transform(later, lambda x: lower(x)) AS low, list_transform(phrases, lambda x: lower(x)) AS taken FROM k2),
-    kw AS (SELECT {key}, t, (phrases || list_filter(later, lambda x, i: list_position(low, lower(x)) = i AND NOT list_contains(taken, lower(x))))[1:7] AS kws FROM k3)"""
+    kw AS (SELECT {key}, t, (phrases || list_filter(later, lambda x, i: list_position(low, lower(x)) = i AND NOT list_contains(taken, lower(x)))) AS kws FROM k3)"""
 
 
 @query("f8_keywords", f"WITH {keyword_ctes('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(kws, '|') AS keywords FROM kw")
@@ -214,7 +214,7 @@ _SUPPORT = "(?i)" + "|".join(fixed.SUPPORT_PATTERNS)
     "f11_support_check",
     f"""WITH c AS (SELECT doc_id, {_context_sql('text', ['than', 'that'])} AS ctx FROM documents),
     b AS (SELECT doc_id, ctx, list_filter(ctx, lambda x: regexp_matches(x, {q(_SUPPORT)})) AS backing FROM c)
-    SELECT doc_id, CASE WHEN len(backing) > 0 THEN 'Than: "' || {squeeze_sql('backing[1]')}[1:150] || '..."'
+    SELECT doc_id, CASE WHEN len(backing) > 0 THEN 'Than: "' || {squeeze_sql('backing[1]')} || '..."'
       WHEN len(ctx) > 0 THEN 'Than: mentioned (verify manually)' END AS note FROM b""",
 )
 def f11(spark, sf):
@@ -402,7 +402,7 @@ def summary_sql(t: str) -> str:
     t = trim_ws_sql(t)
     for p in fixed.INTRO_PATTERNS:
         t = f"regexp_replace({t}, {q(p)}, '', 'gi')"
-    return f"array_to_string(list_filter({sentences_raw_sql(t)}, lambda s: length(s) > 20)[1:{fixed.SUMMARY_SENTENCES}], ' ')"
+    return f"array_to_string(list_filter({sentences_raw_sql(t)}, lambda s: length(s) > 20), ' ')"
 
 
 def cut_sql(j: str) -> str:
@@ -472,16 +472,6 @@ def f26(spark, sf):
     return tasks(spark, sf).select("task_id", stamp(run).alias("next_run"))
 
 
-@query(
-    "f27_text_caps",
-    "SELECT doc_id, " + ", ".join(f"length(text[1:{n}]) AS cap_{n}" for n in fixed.TEXT_CAPS) + " FROM documents",
-)
-def f27(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", *[F.length(F.left("text", F.lit(n))).alias(f"cap_{n}") for n in fixed.TEXT_CAPS]
-    )
-
-
 _SECTIONS = "CASE " + " ".join(
     f"WHEN contains(h, {q(k)}) THEN {q(v)}" for k, v in fixed.SECTION_KEYWORDS.items()
 ) + " ELSE 'General' END"

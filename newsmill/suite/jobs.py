@@ -90,7 +90,7 @@ def c2(spark, sf):
 
 @query(
     "c3_harvest_feed",
-    f"""WITH {NEWS} SELECT {squeeze_sql('title')} AS title, url, 'Feed ' || source_name AS source_name, {plain_sql('content', '')}[1:500] AS description, source_name AS author
+    f"""WITH {NEWS} SELECT {squeeze_sql('title')} AS title, url, 'Feed ' || source_name AS source_name, {plain_sql('content', '')} AS description, source_name AS author
      FROM news WHERE category = 'en' AND (published_date IS NULL OR CAST(published_date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1999-12-31')""",
 )
 def c3(spark, sf):
@@ -134,10 +134,10 @@ _SQ = squeeze_sql("line")
 _HEAD = _strip("line", fixed.HEADLINE_SUFFIXES)
 MARKET = f"""{LINES}, s AS (SELECT doc_id, pos, {_SQ} AS line FROM lines),
      m AS (SELECT doc_id, pos, 'Markets' AS section, line AS title FROM s WHERE length(line) > 20 AND NOT {has_any('lower(line)', fixed.MARKET_SKIP_WORDS)} AND {has_any('lower(line)', fixed.MARKET_WORDS)}
-       QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line[1:50]) ORDER BY pos) = 1),
+       QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) = 1),
      h AS (SELECT doc_id, pos, 'Headline Roundup' AS section, {_HEAD} AS title FROM s WHERE length(line) >= 20 AND NOT {has_any('lower(line)', fixed.ROUNDUP_SKIP_WORDS)}
        AND (len({words_sql('line')}) >= 5 OR regexp_matches(line, {q(fixed.HEADLINE_SOURCE_PATTERN)})) AND NOT {ends_any(_HEAD, fixed.TRUNCATED_ENDINGS)}
-       AND length({_HEAD}) >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_HEAD}[1:50]) ORDER BY pos) = 1),
+       AND length({_HEAD}) >= 15 QUALIFY row_number() OVER (PARTITION BY doc_id, lower({_HEAD}) ORDER BY pos) = 1),
      found AS (SELECT doc_id AS page_id, section, title FROM m WHERE NOT {has_any('lower(title)', ['spam'])} UNION ALL SELECT doc_id, section, title FROM h WHERE NOT {has_any('lower(title)', ['spam'])})"""
 
 

@@ -462,7 +462,7 @@ def p26(spark, sf):
 @query(
     "p27_short_text_gate",
     """SELECT doc_id, length(CASE WHEN length(text) < 1500 THEN text WHEN lang = 'en' THEN source
-     WHEN length(text) > 2000 THEN text[1:2000] || '...' ELSE text END) AS shown FROM documents""",
+     ELSE text END) AS shown FROM documents""",
 )
 def p27(spark, sf):
     summary = F.when(F.col("lang") == "en", F.col("source"))

@@ -273,7 +273,7 @@ def s13(spark, sf):
 @query(
     "s14_training_csv",
     f"""WITH {PAGE_ITEMS} SELECT category AS section, replace(title, '"', '""') AS title, url, {netloc_sql('url')} AS source,
-      replace(description, '"', '""')[1:200] AS description, CASE WHEN contains(url, 'example.net') OR contains(lower(title), 'the') THEN 'FALSE' ELSE '' END AS "Track?" FROM page_items""",
+      replace(description, '"', '""') AS description, CASE WHEN contains(url, 'example.net') OR contains(lower(title), 'the') THEN 'FALSE' ELSE '' END AS "Track?" FROM page_items""",
 )
 def s14(spark, sf):
     return load.training_rows(training_input(spark, sf))
