@@ -45,7 +45,6 @@ NEWSLETTER_ROUTING_HOST = "beehiiv.com"
 CHANNEL_HOST = "t.me"
 
 ARCHIVE_PATH_PATTERN = r"/p/|/posts?/|/articles?/|/\d{4}/\d{2}/"
-ARCHIVE_CONTAINER_PATTERN = r"(?i)post|article|entry|item"
 
 MAX_BODY_CHARS = 10 * 1024 * 1024
 
@@ -424,10 +423,13 @@ ROUTE_TOKENS = 10000
 WORDS_PER_MINUTE = 150
 LONG_MINUTES = 30
 
-# Caps that are part of an output contract, in characters.
-
 # --- Dates: fixed values ----------------------------------------------------
 
+ISSUE_DATE_PATTERN = (
+    r"(?i)((?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?"
+    r"|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
+)
+
 # Formats are Java patterns; a weekday prefix ("Mon, ") is removed beforehand.
 DATE_FORMATS_FILTER = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "MMMM d, yyyy"]
 DATE_FORMATS_ARCHIVE = [
@@ -476,8 +478,8 @@ HISTORY_DAYS = 90
 DEFAULT_LIMITS = {
     "daily_max_calls": 500,
     "monthly_max_calls": 10000,
-    "monthly_budget_usd": 0.0,
     "enabled": True,
+    "monthly_budget_usd": 0.0,
     "cooldown_enabled": True,
     "free_tier_only": True,
 }
@@ -499,7 +501,6 @@ ITEM_JSON_FIELDS = [
     "title", "url", "source_name", "category", "description", "author",
     "date_published", "date_extracted",
 ]
-TRAINING_COLUMNS = ["section", "title", "url", "source", "description", "Track?"]
 SOURCE_TYPE_ORDER = ["youtube", "article_archive", "newsletter", "rss"]
 RESULT_TYPE_ORDER = ["youtube", "newsletter", "rss"]
 STATE_TTL_DAYS = 30

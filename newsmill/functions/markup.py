@@ -287,10 +287,6 @@ def newsletter_date_text(html: Column | str) -> Column:
     """F16, newsletter form: the raw date text of an issue."""
     h = col(html)
     visible = plain_text(drop_elements(h, ["script", "style"]))
-    months = (
-        r"(?i)((?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?"
-        r"|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
-    )
     return first_present(
         attribute(start_tag(h, "time"), "datetime"),
         plain_text(element(h, "time")),
@@ -298,7 +294,7 @@ def newsletter_date_text(html: Column | str) -> Column:
         _meta(h, "date"),
         _meta(h, "og:published_time"),
         *[_class_text(h, m) for m in fixed.DATE_CLASS_MARKS],
-        F.regexp_extract(visible, months, 1),
+        F.regexp_extract(visible, fixed.ISSUE_DATE_PATTERN, 1),
         F.regexp_extract(visible, r"(\d{1,2}/\d{1,2}/\d{4})", 1),
         F.regexp_extract(visible, r"(\d{4}-\d{2}-\d{2})", 1),
     )

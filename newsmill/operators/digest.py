@@ -88,8 +88,7 @@ def digest_lines(items: DataFrame, digest: str = "digest") -> DataFrame:
 
     Items are ordered by type, newsletters also by source in order of first
     appearance, then newest first.  A digest may be larger than a task, so its
-    lines stay rows; :func:`write_digests` sorts them into files and
-    :func:`digest_text` joins those of a digest that is known to be small.
+    lines stay rows; :func:`write_digests` sorts them into files.
     """
     placed = items.where(F.col("source_type").isin(fixed.SOURCE_TYPE_ORDER)).select(
         digest, "item_id", "source_type",
@@ -131,18 +130,6 @@ def digest_lines(items: DataFrame, digest: str = "digest") -> DataFrame:
     return headers.unionByName(lines.where(F.col("line").isNotNull() & (F.col("line") != "")))
 
 
-def digest_text(lines: DataFrame, digest: str = "digest") -> DataFrame:
-    """One text per digest, for digests whose lines fit in a row."""
-    return lines.groupBy(digest).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(*ORDER, "line"))), lambda x: x["line"]
-            ),
-            "\n",
-        ).alias("text")
-    )
-
-
 def write_digests(lines: DataFrame, path: str, digest: str = "week") -> None:
     """Text files in one folder per week, lines in order.
 

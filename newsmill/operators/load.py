@@ -159,7 +159,6 @@ def append_new(
     """
     payload = [c for c in target.columns if c != order]
     fresh = new_rows(items, target, key)
-    old = align(target, payload).withColumn("_new", F.lit(0))
     old = target.select(order, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in payload])
     new = align_keep(fresh, payload, order)
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
