@@ -58,10 +58,10 @@ def keywords(
         _all(opening, bounded(fixed.TICKER_PATTERN, ascii_boundary)),
         lambda x: F.try_element_at(lookup(fixed.TICKER_NAMES), x),
     )
-    later = distinct_ignoring_case(present(F.concat(mixed, aliases, leading, tickers)))
+    later = distinct_ignoring_case(F.array_distinct(present(F.concat(mixed, aliases, leading, tickers))))
 
     def merge(p: Column) -> Column:
-        taken = F.transform(p, F.lower)
+        taken = F.array_distinct(F.transform(p, F.lower))
         fresh = let(
             taken, lambda low: F.filter(later, lambda w: ~F.array_contains(low, F.lower(w)))
         )
