@@ -14,6 +14,7 @@ from newsmill.session import durable
 # bits agree on at least two of them.
 STRETCHES = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 RADIUS = 4
+SEEDS = (42, 43, 44, 45, 46, 47)
 
 
 def fingerprint(text: str | None, words: int, seed: int) -> int:
@@ -228,7 +229,7 @@ def near_duplicate_groups(
     text_col: str = "text",
     words: int = 5,
     radius: int = RADIUS,
-    seeds: Sequence[int] = (42, 43, 44),
+    seeds: Sequence[int] = SEEDS,
 ) -> DataFrame:
     """(doc_id, component_id) of documents linked under any of several fingerprints.
 
