@@ -107,12 +107,24 @@ def repeated_anchors(
     return shared.join(twice, ["gram", "whole"]), kinds.join(several, "gram")
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Touching and overlapping (start, end) as one, in order."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [tuple(x) for x in out]
+def merged_runs(found: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Per row of lists of (start, n): touching and overlapping stretches as one (start, end),
+    in order."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(found))]
+    sizes = np.nan_to_num(found.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = found.flatten()
+    if not len(flat):
+        return out
+    row = np.repeat(np.arange(len(found), dtype=np.int64) << 40, sizes)
+    start = flat.field("start").to_numpy().astype(np.int64) + row
+    end = start + flat.field("n").to_numpy()
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.concatenate((at[1:], [len(start)])) - 1
+    low = (1 << 40) - 1
+    for s, e in zip(start[at].tolist(), reach[last].tolist()):
+        out[s >> 40].append((s & low, e & low))
+    return out

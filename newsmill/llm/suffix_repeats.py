@@ -10,15 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from newsmill.llm.common import partitions
-from newsmill.llm.repeats import KEY, keyed, merge, repeated_anchors
+from newsmill.llm.repeats import KEY, keyed, merged_runs, repeated_anchors
 from newsmill.llm.winnow import BYTE_CODES, Hashes, byte_units
 
 
-def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.zeros((len(strings), width), np.uint8)
-    for i, s in enumerate(strings):
-        m[i, : len(s)] = np.frombuffer(s, np.uint8)
-    return m, np.fromiter(map(len, strings), np.int64, len(strings))
+def _matrix(strings: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of an Arrow binary array as rows padded with 0, and their sizes."""
+    strings = strings.cast(pa.large_binary())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(offsets)
+    step = np.arange(width)
+    at = offsets[1:, None] - 1 - step if backwards else offsets[:-1, None] + step
+    inside = step < sizes[:, None]
+    if not len(data):
+        return np.zeros(inside.shape, np.uint8), sizes
+    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), sizes
 
 
 def _common(m: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,16 +48,18 @@ def prefix_intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def class_groups(lefts: list[bytes], rights: list[bytes], need: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def class_groups(
+    left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray, need: int
+) -> Iterator[tuple[int, int, np.ndarray]]:
     """Maximal repeat groups (left, right, members) of suffixes that start with one gram.
 
-    ``lefts`` is what stands before each gram, last byte first, ``rights`` what stands after.
-    The members share ``left`` bytes before and ``right`` after, at least ``need`` together;
-    not all share another byte on either side, and no other suffix shares these.
+    Rows of ``left`` are what stands before each gram, last byte first, rows of ``right`` what
+    stands after; ``left_n`` and ``right_n`` their sizes.  The members share ``left`` bytes
+    before and ``right`` after, at least ``need`` together; not all share another byte on either
+    side, and no other suffix shares these.
     """
-    width = max(1, max(map(len, lefts)), max(map(len, rights)))
-    right, right_n = _matrix(rights, width)
-    left, left_n = _matrix(lefts, width)
+    rights = [m.tobytes()[:n] for m, n in zip(right, right_n)]
+    lefts = [m.tobytes()[:n] for m, n in zip(left, left_n)]
     order = np.array(sorted(range(len(rights)), key=rights.__getitem__))
     place = np.empty(len(order), np.int64)
     place[sorted(range(len(lefts)), key=lefts.__getitem__)] = np.arange(len(order))
@@ -107,33 +116,59 @@ def repeat_occurrences(
         F.when(F.col("kinds") > class_size, F.substring(data, F.col("pos") + 1, F.lit(gram))).alias("middle"),
     )
 
-    def scan(batches: Iterator) -> Iterator:
-        names = ["group", *KEY, "start", "n"]
-        gram_now, held = None, []
-
-        def groups():
-            rows = [r for r in held]
-            found = class_groups([r["left"][::-1] for r in rows], [r["right"] for r in rows], need)
-            out = []
-            for k, (l, r, members) in enumerate(found):
-                for i in members.tolist():
-                    row = rows[i]
-                    if row["copies"] == 1:
-                        out.append((gram_now ^ k, row["_id"], row["_hash"], row["pos"] - l, l + gram + r))
-            return out
-
-        def batch_of(out):
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.int32()] * 2)], names)
+    def groups(t: pa.Table) -> pa.RecordBatch:
+        gram_of, copies = t.column("gram").to_numpy(), t.column("copies").to_numpy()
+        new = np.ones(len(gram_of), bool)
+        new[1:] = gram_of[1:] != gram_of[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate((starts, [len(gram_of)])))
+        width = max(1, need)
+        left, left_n = _matrix(t.column("left").combine_chunks(), width, backwards=True)
+        right, right_n = _matrix(t.column("right").combine_chunks(), width)
+        # classes of two: one group at most
+        a = starts[sizes == 2]
+        l, r = _common(left, left_n, a, a + 1), _common(right, right_n, a, a + 1)
+        ok = l + r >= need
+        a, l, r = a[ok], l[ok], r[ok]
+        member = [np.concatenate((a, a + 1))]
+        found = [np.tile(l, 2)], [np.tile(r, 2)], [np.zeros(2 * len(a), np.int64)]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            part = slice(s, s + n)
+            for k, (l, r, inside) in enumerate(
+                class_groups(left[part], left_n[part], right[part], right_n[part], need)
+            ):
+                member.append(inside + s)
+                for out, value in zip(found, (l, r, k)):
+                    out.append(np.full(len(inside), value))
+        at = np.concatenate(member)
+        l, r, k = (np.concatenate(x) for x in found)
+        own = copies[at] == 1  # of several copies each is settled already
+        at, l, r, k = at[own], l[own], r[own], k[own]
+        row = pa.array(at)
+        return pa.record_batch(
+            [
+                pa.array(gram_of[at] ^ k),
+                *[t.column(c).combine_chunks().take(row) for c in KEY],
+                pa.array(t.column("pos").to_numpy()[at] - l, pa.int32()),
+                pa.array(l + gram + r, pa.int32()),
+            ],
+            ["group", *KEY, "start", "n"],
+        )
 
+    def scan(batches: Iterator) -> Iterator:
+        held = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["gram"] != gram_now:
-                    if len(held) > 1 and (out := groups()):
-                        yield batch_of(out)
-                    gram_now, held = row["gram"], []
-                held.append(row)
-        if len(held) > 1 and (out := groups()):
-            yield batch_of(out)
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not t.num_rows:
+                continue
+            gram_of = t.column("gram").to_numpy()
+            last = int(np.flatnonzero(gram_of != gram_of[-1])[-1]) + 1 if gram_of[0] != gram_of[-1] else 0
+            if last:
+                yield groups(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield groups(held)
 
     small = (
         around.where(F.col("kinds") <= class_size)
@@ -200,9 +235,8 @@ def remove_repeats(
         for batch in batches:
             ids, texts_, found_ = batch.columns
             out = []
-            for text, spans in zip(texts_, found_.to_pylist()):
+            for text, runs in zip(texts_, merged_runs(found_)):
                 data = text.as_buffer().to_pybytes()
-                runs = merge([(s["start"], s["start"] + s["n"]) for s in spans or ()])
                 kept, at = [], 0
                 for s, e in runs:
                     kept.append(data[at:s])

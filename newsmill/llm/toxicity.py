@@ -26,7 +26,7 @@ def _letters() -> np.ndarray:
     return t
 
 
-def text_buffers(texts, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_buffers(texts, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of stretches of an Arrow string column; about ``size`` bytes
     each, or one text.  Null texts are empty."""
     import pyarrow.compute as pc

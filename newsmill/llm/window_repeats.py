@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from newsmill.llm.common import partitions
-from newsmill.llm.repeats import KEY, keyed, merge, repeated_anchors
+from newsmill.llm.repeats import KEY, keyed, merged_runs, repeated_anchors
 from newsmill.llm.winnow import Hashes, word_units
 
 
@@ -132,9 +132,8 @@ def remove_windows(
         for batch in batches:
             ids, texts_, found_ = batch.columns
             out = []
-            for text, spans in zip(texts_, found_.to_pylist()):
+            for text, runs in zip(texts_, merged_runs(found_)):
                 tokens = text.as_buffer().to_pybytes().split()
-                runs = merge([(s["start"], s["start"] + s["n"]) for s in spans or ()])
                 kept, at = [], 0
                 for s, e in runs:
                     kept += tokens[at:s]

@@ -28,18 +28,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)))
 
 
+KEPT = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 to n, modulo 2^64; those for usual sizes are kept."""
-    size = max(1 << 22, n + 1)
+    size = max(KEPT, n + 1)
     if not _powers or len(_powers[0][0]) < size:
         pair = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
         for p in pair:
             p[0] = 1
             np.cumprod(p, out=p)
-        if n >= 1 << 22:  # for one long text
+        if size > KEPT:  # for one long text
             return pair
         _powers[0] = pair
     return _powers[0]
