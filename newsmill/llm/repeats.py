@@ -49,8 +49,8 @@ def anchors_with(
     """(_id, _hash, pos, gram, whole, before, after, ...) of each anchor.
 
     before and after are the units around it that a window with it can reach, whole the hash
-    of all of these with their numbers, and ``stretches`` names more hashes: functions of the
-    anchors that give first and last + 1 unit.
+    of all of these with their numbers, and ``stretches`` names more hashes, of 32 bits and so
+    only fit to rule out: functions of the anchors that give first and last + 1 unit.
     """
     names = [*KEY, "pos", "gram", "whole", "before", "after", *stretches]
 
@@ -63,7 +63,7 @@ def anchors_with(
                     whole = a.hashes.of(a.at - before, a.at + after) ^ (
                         before.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
                     )
-                    of = [a.hashes.of(*f(a)).view(np.int64) for f in stretches.values()]
+                    of = [(a.hashes.of(*f(a)) >> np.uint64(32)).astype(np.int64) for f in stretches.values()]
                     row = pa.array(a.row + first)
                     yield pa.record_batch(
                         [

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsmill.llm.common import partitions
 from newsmill.llm.repeats import KEY, keyed, merged_runs, repeated_anchors
-from newsmill.llm.winnow import Hashes, word_units
+from newsmill.llm.winnow import Hashes, owners, word_units
 
 
 def repeat_windows(texts: DataFrame, words: int = 35, first: int = 9) -> DataFrame:
@@ -78,6 +78,11 @@ def repeat_windows(texts: DataFrame, words: int = 35, first: int = 9) -> DataFra
                 ok &= right[:, None] | (words - k < double)
                 at, k = np.nonzero(ok)
                 start = pos[at] - k
+                # a window comes from its own anchor only; without owners, from each it holds
+                owner = owners(hashes, len(codes), words, first)
+                if owner is not None:
+                    own = owner[start] == pos[at]
+                    at, k, start = at[own], k[own], start[own]
                 n = len(at)
                 if n:
                     yield pa.record_batch(

@@ -106,6 +106,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
+def owners(hashes: Hashes, n: int, window: int, gram: int) -> np.ndarray | None:
+    """The anchor of each window of one text of ``n`` units; None for texts of many millions."""
+    if n > STRETCH:
+        return None
+    places = np.arange(n - gram + 1)
+    keys = (hashes.of(places, places + gram) & ~PLACE) | places.astype(np.uint64)
+    return (_least(keys, window - gram + 1) & PLACE).astype(np.int64)
+
+
 def find_anchors(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Iterator[Anchors]:
     """Anchors of the texts whose units are codes[bounds[i]:bounds[i + 1]]."""
     if len(codes) > STRETCH + 4 * window and len(bounds) == 2:  # one long text, in overlapping stretches
