@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill.llm.common import pick
+from newsmill.session import durable
 
 PREFIXES = (3, 4, 5, 6, 8)
 SLACK = 1.05
@@ -190,7 +191,8 @@ def train(
     chosen = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(
         free.select("doc_id", F.lit(False).alias("positive"))
     )
-    sample = texts.join(chosen, "doc_id").select("positive", "text")
+    # at most most_positive + most_unlabelled ids
+    sample = durable(texts.join(F.broadcast(chosen), "doc_id").select("positive", "text"), "sample")
 
     def grams(batches: Iterator) -> Iterator:
         for batch in batches:
