@@ -56,22 +56,35 @@ def quote_links(found: DataFrame) -> DataFrame:
 
 
 def _climb(parents: DataFrame) -> DataFrame:
-    """(conv, turn, parent_turn, root_turn, depth) by pointer doubling."""
-    state = durable(
-        parents.withColumn("root_turn", F.coalesce("parent_turn", "turn")).withColumn(
-            "depth", F.when(F.col("parent_turn").isNull(), 0).otherwise(1)
-        ),
+    """(conv, turn, parent_turn, root_turn, depth) by pointer doubling.
+
+    A round doubles how far up the open turns look; turns that see their root are done and
+    only looked up from then on."""
+    names = ["conv", "turn", "parent_turn"]
+    done = parents.where("parent_turn is null").select(*names, F.col("turn").alias("root_turn"), F.lit(0).alias("depth"))
+    going = durable(
+        parents.where("parent_turn is not null").select(*names, F.col("parent_turn").alias("at"), F.lit(1).alias("steps")),
         "climb",
     )
-    while True:
-        up = state.select("conv", F.col("turn").alias("root_turn"), F.col("root_turn").alias("_r"), F.col("depth").alias("_d"))
-        if state.where("depth > 0").join(up.where("_d > 0"), ["conv", "root_turn"], "left_semi").isEmpty():
-            return state
-        state = durable(
-            state.join(up, ["conv", "root_turn"])
-            .select("conv", "turn", "parent_turn", F.col("_r").alias("root_turn"), (F.col("depth") + F.col("_d")).alias("depth")),
+    while not going.isEmpty():
+        above = done.select(
+            "conv", F.col("turn").alias("at"), F.col("root_turn").alias("_at"), F.col("depth").alias("_steps"), F.lit(True).alias("_end")
+        ).unionByName(
+            going.select(
+                "conv", F.col("turn").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.lit(False).alias("_end")
+            )
+        )
+        moved = durable(
+            going.join(above, ["conv", "at"]).select(
+                *names, F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), "_end"
+            ),
             "climb",
         )
+        done = done.unionByName(
+            moved.where("_end").select(*names, F.col("at").alias("root_turn"), F.col("steps").alias("depth"))
+        )
+        going = moved.where("not _end").drop("_end")
+    return done
 
 
 def reply_order(
@@ -104,7 +117,7 @@ def reply_order(
     found = durable(passages(messages.select("conv", "turn", "message", "text").distinct()), "passages")
     linked = quote_links(found).where("level = 1").groupBy("conv", "turn").agg(F.max("quoted_turn").alias("parent_turn"))
     turns = messages.where("conv is not null and turn is not null").select("conv", "turn").distinct()
-    tree = _climb(turns.join(linked, ["conv", "turn"], "left"))
+    tree = _climb(durable(turns.join(linked, ["conv", "turn"], "left"), "turns"))
     words = found.groupBy("conv", "turn", "message").agg(
         F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("first", "text")))).alias("own"),
         F.count_if(F.col("level") > 0).alias("n_quotes"),
