@@ -13,6 +13,8 @@ from newsmill.llm.common import pick
 from newsmill.session import durable
 
 PREFIXES = (3, 4, 5, 6, 8)
+GRAMS = (4, 6)  # at all positions of runs above LONG bytes
+LONG = 8
 SLACK = 1.05
 
 
@@ -44,8 +46,10 @@ def text_buffers(texts, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray,
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the words' beginnings: 64-bit hashes of the first 3, 4, 5, 6 and 8
-    bytes of each word, and of words of up to 8 bytes as a whole."""
+    """(row, feature) of the words: 64-bit hashes of the first 3, 4, 5, 6 and 8 bytes of each
+    word, and of each word as a whole.  Words of more than 8 bytes (compounds, or text without
+    ASCII blanks) also have the grams of 4 and 6 bytes at all their positions; a gram is the
+    same feature as a word's beginning of that size."""
     x = _letters()[data]
     inside = x > 0
     before = np.concatenate(([False], inside[:-1]))
@@ -67,9 +71,38 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         if j + 1 in PREFIXES:
             rows.append(row[alive])
             found.append(h[alive] * np.uint64(0x9E3779B97F4A7C15))
+    after = np.concatenate((inside[1:] & ~_first(starts, len(x))[1:], [False])) if len(x) else inside
+    ends = np.flatnonzero(inside & ~after) + 1
+    long = ends - starts > LONG
+    starts, sizes, row = starts[long], (ends - starts)[long], row[long]
+    if len(starts):
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        at, left, row_at = np.repeat(starts, sizes) + place, np.repeat(sizes, sizes) - place, np.repeat(row, sizes)
+        power = np.cumprod(np.full(sizes.max(), 0xD6E8FEB86659FD93, np.uint64))
+        whole = np.add.reduceat((x[at].astype(np.uint64) + np.uint64(1)) * power[place], first)
+        rows.append(row)
+        found.append((whole ^ (whole >> np.uint64(29)) ^ np.uint64(0xC4CE)) * np.uint64(0x9E3779B97F4A7C15))
+        within = place > 0  # the first has been counted as the word's beginning
+        at, left, row_at = at[within], left[within], row_at[within]
+        h = np.full(len(at), 0xCBF29CE484222325, np.uint64)
+        for j in range(max(GRAMS)):
+            fits = left > j
+            at, left, row_at, h = at[fits], left[fits], row_at[fits], h[fits]
+            h = (h ^ x[at + j].astype(np.uint64)) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+            if j + 1 in GRAMS:
+                rows.append(row_at)
+                found.append(h * np.uint64(0x9E3779B97F4A7C15))
     return np.concatenate(rows), np.concatenate(found)
 
 
+def _first(starts: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[starts] = True
+    return out
+
+
 @dataclass
 class Model:
     """A sparse linear classifier over the presence of features; ``vocabulary`` is sorted."""
