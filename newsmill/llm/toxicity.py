@@ -147,6 +147,7 @@ def fit_nnpu(
     steps: int = 400,
     rate: float = 0.05,
     l2: float = 1e-4,
+    capped: bool = True,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with the logistic loss:
 
@@ -154,9 +155,9 @@ def fit_nnpu(
 
     ``rows`` and ``places`` are the ones of a 0/1 matrix, ``positive`` marks its confirmed
     rows; all others are unlabelled.  Where the second term goes below zero, the step climbs
-    out of it instead (the estimator's correction against overfitting).  In the end the bias
-    is lowered, if need be, until no more than ``SLACK * prior`` of the unlabelled rows score
-    0.5 or more.
+    out of it instead (the estimator's correction against overfitting).  If ``capped``, the
+    bias is lowered in the end, if need be, until no more than ``SLACK * prior`` of the
+    unlabelled rows score 0.5 or more.
     """
     w, b = np.zeros(size), -2.0
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
@@ -178,11 +179,29 @@ def fit_nnpu(
         scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v) + 1e-8)
         b -= scale * mb / (np.sqrt(vb) + 1e-8)
+    if not capped:
+        return w, b
     g = b + np.bincount(rows, w[places], minlength=len(positive))
     most = np.quantile(g[~positive], max(0.0, 1 - SLACK * prior)) if (~positive).any() else -1.0
     return w, b - (most + 1e-6 if most >= 0 else 0.0)
 
 
+def threshold(toxic: np.ndarray, clean: np.ndarray) -> float | None:
+    """The cut between two sets of margins with the least sum of the shares on the wrong side,
+    in the widest gap where several are as good.  It does not depend on how many there are of
+    either.  None where no cut tells them apart."""
+    values = np.unique(np.concatenate((toxic, clean)))
+    if len(values) < 2 or not len(toxic) or not len(clean):
+        return None
+    cuts = (values[1:] + values[:-1]) / 2
+    wrong = np.searchsorted(np.sort(toxic), cuts) / len(toxic)
+    wrong += 1 - np.searchsorted(np.sort(clean), cuts) / len(clean)
+    best = wrong.min()
+    if best >= 1:
+        return None
+    return float(max((gap, cut) for gap, cut, w in zip(np.diff(values), cuts, wrong) if w <= best + 1e-12)[1])
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Rows never learnt from: crc32 of the id as text leaves no remainder.  Without an id: true."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
@@ -209,7 +228,10 @@ def train(
     toxic is not looked at.  The prior is the share of 1 among the labels not held out, unless
     given.  The vocabulary is up to ``vocabulary`` features that the confirmed texts have more
     often than the unlabelled ones: in at least ``least_positive`` texts, ``least_lift`` times as
-    often, and by ``least_z`` standard deviations.  Null texts, ids and labels are not learnt
+    often, and by ``least_z`` standard deviations.  A score of 0.5 is where labelled rows, not
+    held out, of label 1 and of label 0 (up to ``most_positive`` of each) part best, so how many
+    documents may be toxic is not bounded by the share among the labels; without a row of label
+    0 it is the fit's own.  Null texts, ids and labels are not learnt
     from.  Without a confirmed text every text scores the prior.
     """
     texts = pick(df, doc_id=id_col, text=text_col).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
@@ -278,7 +300,14 @@ def train(
     rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().to_numpy(), np.int64))
     at = lists.flatten().to_numpy().astype(np.int64)
     positive = kept.column("positive").to_numpy().astype(bool)
-    weights, bias = fit_nnpu(rows, at, positive, len(words), prior)
+    weights, bias = fit_nnpu(rows, at, positive, len(words), prior, capped=False)
+    safe = marks.where("label = 0").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
+    score = toxicity(Model(words, weights, bias, prior))
+    clean = texts.join(F.broadcast(safe), "doc_id").select(score("text").alias("score")).toArrow()
+    clean = clean.column("score").to_numpy()
+    toxic = np.clip(bias + np.bincount(rows, weights[at], minlength=len(positive)), -30, 30)[positive]
+    cut = threshold(toxic, np.log(clean) - np.log1p(-clean))
+    bias -= cut or 0.0
     return Model(words, weights, bias, prior)
 
 
