@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsmill.llm import (
-    block_names, decontaminate, mixing, quote_links, simhash, site_spread, suffix_repeats,
+    block_names, decontaminate, divergence, mixing, quote_links, simhash, site_spread, suffix_repeats,
     token_counts, toxicity, window_repeats,
 )
 from newsmill.llm.common import UPPER, table
@@ -208,3 +208,38 @@ QUOTE_SQL = f"""
 @query("op10_quote_links", QUOTE_SQL)
 def op10(spark, sf):
     return quote_links.reply_order(quote_links.with_quotes(table(spark, sf, "conversations")))
+
+
+SHARE = "1 + 1000000000::HUGEINT * ({} + 2) // ({} + 2 * v)"
+DIFFER = "((p - q) * (p - q)) // (p + q)"
+
+DIVERGENCE_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+         o AS (SELECT row, lang, source, unnest(found) AS term FROM d),
+         kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+         c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+         langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+         g AS (SELECT lang, source, coalesce(total, 0) AS total
+               FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL)
+               USING (lang, source)),
+         p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {SHARE.format("coalesce(c.n, 0)", "g.total")} AS p,
+                      {SHARE.format("kept.n", "langs.total")} AS q
+               FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN c
+               ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+         sums AS (SELECT lang, source, item, sum({DIFFER}) AS value
+                  FROM (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q
+                        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source) GROUP BY ALL),
+         pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+                   FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                   LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+         parts AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+                   UNION ALL SELECT lang, source, 'term', term, CAST({DIFFER} AS BIGINT) FROM p WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts
+    QUALIFY part = 'pair' OR rank <= 10
+    """
+
+
+@query("op13_count_cells", DIVERGENCE_SQL)
+def op13(spark, sf):
+    return divergence.source_audit(table(spark, sf, "documents"))
