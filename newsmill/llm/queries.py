@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsmill.llm import (
     block_names, decontaminate, divergence, mixing, quote_links, simhash, site_spread, suffix_repeats,
-    token_counts, toxicity, window_repeats,
+    token_counts, toxicity, turn_repair, window_repeats,
 )
 from newsmill.llm.common import UPPER, table
 
@@ -243,3 +243,8 @@ DIVERGENCE_SQL = f"""
 @query("op13_count_cells", DIVERGENCE_SQL)
 def op13(spark, sf):
     return divergence.source_audit(table(spark, sf, "documents"))
+
+
+@query("op12_turn_repair")
+def op12(spark, sf):
+    return turn_repair.repair_damaged(table(spark, sf, "conversations"))
