@@ -116,7 +116,8 @@ def _tile(lang, a, b, frame, terms):
         left += [names[i]] * len(js)
         right += names[js].tolist()
         sums += (value + (terms - len(seen)) * empty).tolist()
-    return pd.DataFrame({"lang": lang, "source": left, "item": right, "value": sums})
+    names = {"lang": [lang] * len(left), "source": left, "item": right}
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in names.items()} | {"value": np.array(sums, np.int64)})
 
 
 def source_distances(counts: DataFrame, totals: DataFrame, tile: int = 128, bucket: int = 4096) -> DataFrame:

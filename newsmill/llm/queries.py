@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsmill.llm import (
-    block_names, decontaminate, divergence, mixing, quote_links, simhash, site_spread, suffix_repeats,
+    block_names, decontaminate, divergence, main_text, mixing, quote_links, simhash, site_spread, suffix_repeats,
     token_counts, toxicity, turn_repair, window_repeats,
 )
 from newsmill.llm.common import UPPER, table
@@ -248,3 +248,8 @@ def op13(spark, sf):
 @query("op12_turn_repair")
 def op12(spark, sf):
     return turn_repair.repair_damaged(table(spark, sf, "conversations"))
+
+
+@query("op11_minimum_cut")
+def op11(spark, sf):
+    return main_text.extract(table(spark, sf, "pages"))
