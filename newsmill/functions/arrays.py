@@ -76,17 +76,6 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
-def distinct_ignoring_case(values: Column) -> Column:
-    """Keep the first of the elements that are equal when lower-cased."""
-    both = F.struct(values.alias("v"), F.transform(values, F.lower).alias("low"))
-    return let(
-        both,
-        lambda b: F.filter(
-            b["v"], lambda v, i: F.array_position(b["low"], F.lower(v)) == (i + 1).cast("long")
-        ),
-    )
-
-
 def present(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    col, contains_any, distinct_ignoring_case, ends_with_any, first_chars, first_items,
+    col, contains_any, ends_with_any, first_chars, first_items,
     first_present, let,
     lookup, present, squeeze, starts_with_any, strings,
 )
@@ -58,16 +58,25 @@ def keywords(
         _all(opening, bounded(fixed.TICKER_PATTERN, ascii_boundary)),
         lambda x: F.try_element_at(lookup(fixed.TICKER_NAMES), x),
     )
-    later = distinct_ignoring_case(F.array_distinct(present(F.concat(mixed, aliases, leading, tickers))))
+    rest = present(F.concat(mixed, aliases, leading, tickers))
+    return first_items(_phrases_then_new(phrases, rest), limit)
 
-    def merge(p: Column) -> Column:
-        taken = F.array_distinct(F.transform(p, F.lower))
-        fresh = let(
-            taken, lambda low: F.filter(later, lambda w: ~F.array_contains(low, F.lower(w)))
-        )
-        return first_items(F.concat(p, fresh), limit)
 
-    return let(phrases, merge)
+def _phrases_then_new(phrases: Column, rest: Column) -> Column:
+    """All phrases, then the first of each other name, case ignored, that is no phrase.
+
+    Entries are sorted by (name, phrase or not, place), so an entry is new where its name differs
+    from the one before it; then they go back to their places."""
+
+    def entries(names: Column, later: int) -> Column:
+        return F.transform(names, lambda w, i: F.struct(F.lower(w).alias("low"), F.lit(later).alias("later"), i.alias("at"), w.alias("w")))
+
+    def unseen(s: Column) -> Column:
+        kept = F.filter(s, lambda e, i: (e["later"] == 0) | (i == 0) | (F.get(s, i - 1)["low"] != e["low"]))
+        return F.array_sort(F.transform(kept, lambda e: F.struct(e["later"], e["at"], e["w"])))
+
+    both = F.array_sort(F.concat(entries(phrases, 0), entries(rest, 1)))
+    return F.transform(let(both, unseen), lambda e: e["w"])
 
 
 # --- F9: match score --------------------------------------------------------
@@ -83,29 +92,60 @@ def match_score(
 
 
 def _lower_score(n: Column, k: Column, t: Column, ascii_boundary: bool) -> Column:
+    within = F.when(has_word(t, n, ascii_boundary), True).when(F.contains(t, n), False)
     suffix = F.exists(
         strings(fixed.LEGAL_SUFFIXES), lambda s: F.contains(n, s) & ~F.contains(t, s)
     )
+    parts = score_parts(n, k)
+    return _total(F.when(suffix, parts["cut"]).otherwise(parts["plain"]), within)
+
+
+def suffixes_in(low: Column | str) -> Column:
+    """Which legal suffixes a lower-cased text holds."""
+    return F.filter(strings(fixed.LEGAL_SUFFIXES), lambda s: F.contains(col(low), s))
+
+
+def score_parts(name: Column | str, keyword: Column | str) -> Column:
+    """What a lower-cased name and keyword alone give F9: the score where the text holds all legal
+    suffixes of the name (plain) or lacks one (cut), and these suffixes."""
+    n, k = col(name), col(keyword)
     extra = F.array_except(
         F.array_except(words(n), words(k)), strings(fixed.NAME_FILLER_WORDS)
     )
-    base = (
-        F.when(n == k, 1.0)
-        .when(
-            F.startswith(n, F.concat(k, F.lit(" "))) | F.startswith(n, F.concat(k, F.lit("-"))),
-            F.when(suffix, 0.4).otherwise(0.75),
+
+    def base(cut: bool) -> Column:
+        inside = F.lit(0.3) if cut else F.when(F.size(extra) > 1, 0.3).otherwise(0.5)
+        return (
+            F.when(n == k, 1.0)
+            .when(
+                F.startswith(n, F.concat(k, F.lit(" "))) | F.startswith(n, F.concat(k, F.lit("-"))),
+                0.4 if cut else 0.75,
+            )
+            .when(F.startswith(n, k), 0.3 if cut else 0.7)
+            .when(F.contains(n, k), inside)
+            .when(F.contains(k, n), 0.5)
+            .otherwise(0.0)
         )
-        .when(F.startswith(n, k), F.when(suffix, 0.3).otherwise(0.7))
-        .when(F.contains(n, k), F.when((F.size(extra) > 1) | suffix, 0.3).otherwise(0.5))
-        .when(F.contains(k, n), 0.5)
-        .otherwise(0.0)
-    )
-    bonus = F.when(has_word(t, n, ascii_boundary), 0.6).when(F.contains(t, n), 0.3).otherwise(0.0)
-    penalty = F.when(suffix & (n != k), 0.3).otherwise(0.0)
-    score = F.round(base + bonus - penalty, 6)
-    return F.when(
-        n.isNotNull() & (n != ""), F.greatest(F.lit(0.0), F.least(score, F.lit(2.0)))
-    ).otherwise(0.0)
+
+    return F.when(n.isNotNull() & (n != ""), F.struct(
+        base(False).alias("plain"),
+        (base(True) - F.when(n != k, 0.3).otherwise(0.0)).alias("cut"),
+        suffixes_in(n).alias("suffixes"),
+    ))
+
+
+def score_of_facts(parts: Column | str, word: Column | str, suffixes: Column | str) -> Column:
+    """F9 without the text: ``word`` tells whether the text holds the name as a word (null: not at
+    all), ``suffixes`` which legal suffixes it holds."""
+    p = col(parts)
+    whole = F.size(F.array_except(p["suffixes"], col(suffixes))) == 0
+    return _total(F.when(whole, p["plain"]).otherwise(p["cut"]), col(word))
+
+
+def _total(base: Column, within: Column) -> Column:
+    """``within``: the text holds the name, as a word or only as a part of one; null if it does not."""
+    score = F.round(base + F.when(within, 0.6).when(~within, 0.3).otherwise(0.0), 6)
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(score, F.lit(2.0))), F.lit(0.0))
 
 
 # --- F10, A18: subjects and entities ----------------------------------------

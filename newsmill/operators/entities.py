@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsmill import fixed
 from newsmill.functions import text as tx
+from newsmill.operators.automata import strings_in
 from newsmill.operators.dedup import keep_first
-from newsmill.operators.joins import contains_join, skew_join
+from newsmill.operators.joins import skew_join
 from newsmill.operators.rows import settle, unnest
 from newsmill.session import durable
 
@@ -22,14 +23,13 @@ def type_rank(kind: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(t) for t in TYPES]), k)
 
 
-def item_keywords(items: DataFrame, key: Sequence[str], text: Column, ascii_boundary: bool = False) -> DataFrame:
-    """F8 per item as rows (key, pos, keyword); a repeated keyword counts once."""
-    exploded = unnest(
-        items, tx.keywords(text, ascii_boundary=ascii_boundary), "keyword", "pos", *key
-    )
-    return exploded.groupBy(*key, F.lower("keyword").alias("_kw")).agg(
-        F.min(F.struct("pos", "keyword")).alias("_first")
-    ).select(*key, "_kw", F.col("_first.pos").alias("pos"), F.col("_first.keyword").alias("keyword"))
+def _substrings(names: DataFrame, longest: int) -> DataFrame:
+    """(_name, _kw): every substring of up to ``longest`` characters of each name."""
+    starts = names.select("_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_at"))
+    most = F.least(F.length("_name") - F.col("_at") + 1, F.lit(longest))
+    return starts.select("_name", "_at", F.explode(F.sequence(F.lit(1), most)).alias("_n")).select(
+        "_name", F.substr(F.col("_name"), F.col("_at"), F.col("_n")).alias("_kw")
+    ).distinct()
 
 
 def keyword_candidates(keywords: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -39,23 +39,28 @@ def keyword_candidates(keywords: DataFrame, catalogue: DataFrame) -> DataFrame:
     If only the description does, the score reaches the threshold only when the
     name is a part of the keyword; other such entities are not looked at.
     Entities of one name score the same and only the first of them is kept per
-    item, so the first per name stands for all.
+    item, so the first per name stands for all.  Names that hold a keyword are found by an
+    index of the names' substrings (a name is short, and none is longer than the
+    longest keyword), names within a keyword by an automaton of the names.
     """
     entities = catalogue.select(
         *CATALOGUE, F.lower("name").alias("_name"), type_rank("type").alias("_rank")
     ).where("_name <> ''")
-    # Used on both sides of the substring joins, so it is built once.
+    # Used by both lookups, so it is built once.
     first = durable(keep_first(entities, ["_name"], ["_rank", "entity_id"]), "names")
-    kws = keywords.select("_kw").distinct()
+    kws = durable(keywords.select("_kw").where("_kw <> ''").distinct(), "distinct_keywords")
     shown = [*CATALOGUE, "_rank"]
-    by_name = contains_join(kws, first, "_kw", "_name", short_needles=True)
+    longest = kws.agg(F.max(F.length("_kw"))).first()[0] or 0
+    by_name = kws.join(_substrings(first.select("_name"), longest), "_kw")
     forward = skew_join(by_name, first, "_name").select("_kw", *shown)
-    inside = contains_join(first, kws, "_name", "_kw", short_needles=True).where("_name <> _kw")
+    within = unnest(strings_in(kws, F.col("_kw"), first, "_name", "_found"), "_found", "_hit", "_i", "_kw")
+    inside = within.select("_kw", F.col("_hit.string").alias("_name")).where("_name <> _kw")
     described = skew_join(inside, entities, "_name").where(
         F.contains(F.lower(F.coalesce("description", F.lit(""))), F.col("_kw"))
     )
     backward = keep_first(described, ["_kw", "_name"], ["_rank", "entity_id"]).select("_kw", *shown)
-    return forward.unionByName(backward)
+    pairs = forward.unionByName(backward).withColumn("_name", F.lower("name"))
+    return settle(pairs.withColumn("_parts", tx.score_parts("_name", "_kw")))
 
 
 def match_entities(
@@ -69,22 +74,38 @@ def match_entities(
 ) -> DataFrame:
     """One row per item and matched entity name, with score and place.
 
-    Distinct keywords are joined to the catalogue, not items: a keyword that
-    stands in a third of all items is looked up once.
+    A text is read once: for its keywords, for the catalogue's names in it and for the legal
+    suffixes in it, which is all that a score asks of it.  What is joined are keywords and
+    names.  Distinct keywords are joined to the catalogue, not items: a keyword that stands in
+    a third of all items is looked up once.
     """
     full = F.concat_ws(
         " ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit(""))
     )
-    texts = items.select(*key, full.alias("_full"))
-    # Both the lookup and the scoring need the keywords; the texts are searched once.
-    kws = durable(item_keywords(texts, key, F.col("_full"), ascii_boundary), "keywords")
+    texts = settle(items.select(*key, full.alias("_full"))).withColumn("_low", F.lower("_full"))
+    names = catalogue.select(F.lower("name").alias("_name"))
+    read = strings_in(texts, F.col("_low"), names, "_name", "_names", ascii_boundary)
+    # Keywords and names are used several times; the texts are read once.
+    read = durable(
+        read.select(
+            *key, tx.keywords("_full", ascii_boundary=ascii_boundary).alias("_keywords"), "_names",
+            tx.suffixes_in("_low").alias("_suffixes"),
+        ),
+        "keywords",
+    )
+    exploded = unnest(read, "_keywords", "keyword", "pos", *key, "_suffixes")
+    # a repeated keyword counts once
+    kws = exploded.groupBy(*key, F.lower("keyword").alias("_kw")).agg(
+        F.min(F.struct("pos", "keyword", "_suffixes")).alias("_first")
+    ).select(*key, "_kw", "_first.*")
+    in_text = unnest(read, "_names", "_found", "_i", *key).select(
+        *key, F.col("_found.string").alias("_name"), F.col("_found.word").alias("_word")
+    )
     hits = skew_join(kws, keyword_candidates(kws, catalogue), "_kw")
-    scored = settle(
-        hits.join(texts, list(key)).withColumn(
-            "score", tx.match_score("name", "keyword", "_full", ascii_boundary)
-        ).drop("_full")
+    scored = hits.join(in_text, [*key, "_name"], "left").withColumn(
+        "score", tx.score_of_facts("_parts", "_word", "_suffixes")
     )
-    accepted = scored.where(F.col("score") >= threshold).withColumn("_name", F.lower("name"))
+    accepted = settle(scored).where(F.col("score") >= threshold)
     return keep_first(accepted, [*key, "_name"], ["pos", "_rank", "entity_id"]).select(
         *key, "keyword", "pos", *CATALOGUE, "score", F.col("_rank").alias("type_rank")
     )

@@ -1,7 +1,7 @@
 """Joins: J1, J2, J4-J13.
 
-Substring joins never run as a cross join.  A small pattern table (its size is
-checked) becomes an expression; a larger one is joined on character grams.
+Substring joins never run as a cross join: literal patterns go over the texts as automata
+(:mod:`newsmill.operators.automata`), short strings are joined on character grams.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsmill.functions.arrays import col, let
-from newsmill.functions.patterns import word_pattern
-from newsmill.session import durable
+from newsmill.functions.arrays import col
+from newsmill.operators.automata import first_string, string_counts
 from newsmill.operators.rows import unnest
+from newsmill.session import durable
 
 GRAM = 3
 
@@ -241,59 +241,21 @@ def first_pattern(
         F.col(order).isNull().alias("_last"), F.col(order).alias("_order"), F.col(pattern).alias("_own"),
         *[F.col(v).alias(f"_by_{i}") for i, v in enumerate(values)],
     )
-    table = (
+    table = durable(
         patterns.where(F.col(pattern) != "")
-        .select(F.lower(pattern).alias("_pattern"), place.alias("_place"), F.struct(*values).alias("_values"))
-        .groupBy("_pattern")
+        .select(F.lower(pattern).alias("_string"), place.alias("_place"), F.struct(*values).alias("_values"))
+        .groupBy("_string")
         .agg(F.min(F.struct("_place", "_values")).alias("_first"))
+        .select("_string", "_first._place._last", "_first._place._order", "_first._place._own", "_first._values"),
+        "patterns",
     )
-    keyed = df.withColumn("_text", F.lower(col(text)))
-    pairs = contains_join(table, keyed, "_pattern", "_text", short_needles=True)
-    best = (
-        pairs.join(table, "_pattern")
-        .groupBy("_text")
-        .agg(F.min("_first").getField("_values").alias("_best"))
-        .select("_text", *[F.col(f"_best.{v}").alias(v) for v in values])
-    )
-    return skew_join(keyed, best, "_text", "left").drop("_text")
+    found = first_string(df, F.lower(col(text)), table, "_found").withColumn("_string", F.col("_found._string"))
+    best = table.select("_string", "_values.*")
+    return skew_join(found, best, "_string", "left").drop("_found", "_string")
 
 
 # --- terms in documents -----------------------------------------------------
 
-LONGEST_SHINGLE = 8
-
-
-def _word(ascii_boundary: bool) -> str:
-    return "A-Za-z0-9_" if ascii_boundary else r"\p{L}\p{N}_"
-
-
-def _tokens(text: Column, ascii_boundary: bool) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"([{_word(ascii_boundary)}]+)"), F.lit(1))
-
-
-def _shingles(text: Column, sizes: Sequence[int], ascii_boundary: bool) -> Column:
-    """Runs of 1, 2, ... words of a lower-cased text with what stands between them."""
-    w = _word(ascii_boundary)
-    tails = F.regexp_extract_all(text, F.lit(f"[{w}]+([^{w}]*)"), F.lit(1))
-
-    def runs(tokens: Column, joined: Column) -> Column:
-        def of_size(k: int) -> Column:
-            if k == 1:
-                return tokens
-            head = lambda i: (
-                F.get(joined, i) if k == 2 else F.array_join(F.slice(joined, i + 1, F.lit(k - 1)), "")
-            )
-            found = F.transform(tokens, lambda t, i: F.concat(head(i), F.get(tokens, i + (k - 1))))
-            return F.filter(found, lambda x: x.isNotNull())
-
-        return F.concat(*[of_size(k) for k in sizes])
-
-    return let(
-        _tokens(text, ascii_boundary),
-        lambda t: let(F.zip_with(t, tails, lambda a, b: F.concat(a, b)), lambda j: runs(t, j)),
-    )
-
-
 def term_counts(
     docs: DataFrame,
     terms: DataFrame,
@@ -304,78 +266,11 @@ def term_counts(
 ) -> DataFrame:
     """How often each term stands in each document as whole words, case ignored.
 
-    Documents and terms may both be large: runs of words are joined to the terms by
-    equality and counted.  Terms that this cannot count right go another way, see
-    :func:`_counted_by_pattern`.
+    Terms of any length, with or without words in them, are looked for at once where the
+    documents lie; only hits move.  A term does not overlap itself.
     """
-    t = terms.select(F.col(term).alias("_term")).where("_term <> ''").distinct()
-    t = t.withColumn("_low", F.lower("_term")).withColumn(
-        "_parts", _tokens(F.col("_low"), ascii_boundary)
-    )
-    w = _word(ascii_boundary)
-    # A run starts and ends with a word.
-    plain = F.col("_low").rlike(f"^[{w}](?:.*[{w}])?$") & (F.size("_parts") <= LONGEST_SHINGLE)
-    t = t.withColumn("_plain", plain).withColumn("_k", F.size("_parts")).withColumn(
-        "_repeats", F.col("_k") > F.size(F.array_distinct("_parts"))
-    )
-    # At most LONGEST_SHINGLE + 1 rows.
-    sizes = t.select(F.when(F.col("_plain"), F.col("_k")).alias("k")).distinct().collect()
-    wanted = sorted(r.k for r in sizes if r.k is not None)
-    out = None
-    if wanted:
-        shingles = let(F.lower(text), lambda x: _shingles(x, wanted, ascii_boundary))
-        runs = unnest(docs, shingles, "_low", "_i", key)
-        inline = t.where("_plain").select("_low", "_term", "_k", "_repeats")
-        hits = skew_join(runs, inline, "_low")
-        # Places are kept only for terms with a repeated word: those may overlap themselves.
-        counted = hits.groupBy(key, "_term", "_k", "_repeats").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array_sort(F.collect_list(F.when(F.col("_repeats"), F.col("_i")))).alias("_at"),
-        )
-        start = F.struct(F.lit(-(2**30)).alias("free"), F.lit(0).cast("long").alias("n"))
-        apart = F.reduce(
-            "_at",
-            start,
-            lambda acc, i: F.when(
-                i >= acc["free"], F.struct((i + F.col("_k")).alias("free"), (acc["n"] + 1).alias("n"))
-            ).otherwise(acc),
-            lambda acc: acc["n"],
-        )
-        out = counted.select(
-            key, F.col("_term").alias(term), F.when(F.col("_repeats"), apart).otherwise(F.col("n")).alias("n")
-        )
-    if any(r.k is None for r in sizes):
-        rest = _counted_by_pattern(docs, t.where("not _plain"), key, text, term, ascii_boundary)
-        out = rest if out is None else out.unionByName(rest)
-    if out is None:
-        out = docs.select(key, F.lit("").alias(term), F.lit(0).cast("long").alias("n")).where("false")
-    return out
-
-
-def _counted_by_pattern(
-    docs: DataFrame, t: DataFrame, key: str, text: str, term: str, ascii_boundary: bool
-) -> DataFrame:
-    """Counts by regular expression in the documents that hold the rarest word of a term, or,
-    for terms without words, the term itself."""
-    signs = t.where(F.size("_parts") == 0).select("_term")
-    texts = docs.select(key, F.col(text).alias("_hay"))
-    with_signs = contains_join(signs, texts, "_term", "_hay", short_needles=True)
-    words = t.select("_term", F.explode(F.array_distinct("_parts")).alias("_token"))
-    in_docs = unnest(
-        docs, F.array_distinct(_tokens(F.lower(text), ascii_boundary)), "_token", "_i", key
-    ).drop("_i").join(words.select("_token").distinct(), "_token", "left_semi")
-    shares = in_docs.groupBy("_token").agg(F.count(F.lit(1)).alias("_docs"))
-    chosen = (
-        words.join(shares, "_token")
-        .groupBy("_term")
-        .agg(F.min_by("_token", F.struct("_docs", "_token")).alias("_token"))
-    )
-    pattern = word_pattern(F.col("_term"), ascii_boundary)
-    return (
-        skew_join(in_docs, chosen, "_token")
-        .select(key, "_term")
-        .join(docs.select(key, text), key)
-        .unionByName(texts.join(with_signs, "_hay").select(key, "_term", F.col("_hay").alias(text)))
-        .select(key, F.col("_term").alias(term), F.regexp_count(F.col(text), pattern).cast("long").alias("n"))
-        .where("n > 0")
-    )
+    wanted = terms.select(F.col(term).alias("_term"), F.lower(term).alias("_low")).where("_term <> ''").distinct()
+    texts = docs.select(key, F.col(text).alias("_text"))
+    counted = string_counts(texts, F.lower("_text"), wanted, "_low", "_found", ascii_boundary)
+    hits = unnest(counted, "_found", "_hit", "_i", key).select(key, F.col("_hit.string").alias("_low"), F.col("_hit.n").alias("n"))
+    return skew_join(hits, wanted, "_low").select(key, F.col("_term").alias(term), "n")
