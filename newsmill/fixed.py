@@ -46,7 +46,6 @@ CHANNEL_HOST = "t.me"
 
 ARCHIVE_PATH_PATTERN = r"/p/|/posts?/|/articles?/|/\d{4}/\d{2}/"
 
-MAX_BODY_CHARS = 10 * 1024 * 1024
 
 SOURCE_NAMES = {
     "reuters.com": "Reuters",
@@ -89,6 +88,10 @@ HOST_RULE_SETS = {
 
 # --- Markup: fixed values ---------------------------------------------------
 
+VOID_TAGS = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
+    "track", "wbr",
+]
 BOILERPLATE_TAGS = [
     "script", "style", "nav", "footer", "header", "aside", "iframe", "noscript", "form",
 ]

@@ -8,6 +8,7 @@ header a link stands under.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -20,9 +21,9 @@ from newsmill.functions.urls import netloc, title_case
 _OPEN, _SHUT = "\x01", "\x02"
 
 
-def landed(html: Column | str, cap: int = fixed.MAX_BODY_CHARS) -> Column:
-    """S3: body of a landed page; the landing contract ends at ``cap`` characters."""
-    return F.left(col(html), F.lit(cap))
+def landed(html: Column | str, cap: int | None = None) -> Column:
+    """S3: body of a landed page, or its first ``cap`` characters."""
+    return first_chars(html, cap)
 
 
 def drop_elements(html: Column | str, tags: Iterable[str] = fixed.BOILERPLATE_TAGS) -> Column:
@@ -35,12 +36,37 @@ def drop_comments(html: Column | str) -> Column:
     return F.regexp_replace(col(html), r"(?s)<!--.*?-->", " ")
 
 
+# All names of the standard, as one literal; those of the fixed table come first.
+_NAMES = {f"&{name}": chars for name, chars in html5.items()}
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_REFERENCE = rf"(&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;|&(?:{_BARE})|[^&]+|&)"
+# Numbers 128 to 159 mean the characters of an older code page.
+_OLD = {chr(n): bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+_OLD = {old: new for old, new in _OLD.items() if new}
+
+
+def _by_number(reference: Column) -> Column:
+    """The character of a decimal or hexadecimal reference."""
+    hexed = F.regexp_extract(reference, "^&#[xX]([0-9A-Fa-f]+)", 1)
+    number = F.when(hexed == "", F.regexp_extract(reference, "^&#([0-9]+)", 1)).otherwise(F.conv(hexed, 16, 10)).try_cast("long")
+    known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    code = F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0"))
+    return F.translate(F.decode(code, "UTF-32"), "".join(_OLD), "".join(_OLD.values()))
+
+
 def unescape(text: Column | str) -> Column:
-    """Replace the character entities of the fixed table."""
+    """Decode character references, by name, with or without the semicolon where the standard has
+    both, and by decimal or hexadecimal number; each is read once.  Unknown ones stay."""
     t = col(text)
-    pieces = F.regexp_extract_all(t, F.lit(r"(&#?\w{2,8};|[^&]+|&)"), F.lit(1))
-    table = lookup(dict(fixed.CHARACTER_ENTITIES))
-    decoded = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p))
+    pieces = F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(1))
+    common = lookup(dict(fixed.CHARACTER_ENTITIES))
+    every = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _NAMES.items())), F.lit("\x01"), F.lit("\x02"))
+    decoded = F.transform(
+        pieces,
+        lambda p: F.when(~F.startswith(p, F.lit("&")) | (F.length(p) == 1), p)
+        .when(F.startswith(p, F.lit("&#")), _by_number(p))
+        .otherwise(F.coalesce(F.try_element_at(common, p), F.try_element_at(every, p), p)),
+    )
     return F.when(F.contains(t, F.lit("&")), F.array_join(decoded, "")).otherwise(t)
 
 
@@ -164,17 +190,114 @@ def _content(html: Column, tags: Iterable[str]) -> Column:
     return let(html, lambda h: first_present(*[element(h, t) for t in tags], h))
 
 
-def article_text(html: Column | str, cap: int | None = None) -> Column:
-    """F2 for pages without class-marked boilerplate (see ``sources.pages.article_bodies``)."""
-    body = drop_elements(drop_comments(html))
-    text = plain_text(_content(body, ["article", "main", "body"]))
-    return text if cap is None else F.left(text, F.lit(cap))
+_CONTAINERS = ["article", *fixed.CONTENT_CLASSES, "main", "body"]
+_TOKEN = r"(?s)(</?[A-Za-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|[^<]+|<)"
+# tokens folded at a time; what they add to the text is appended once
+_FOLDED = 256
+
+
+def _class_test(tag: Column, attributes: str, names: Iterable[str]) -> Column:
+    any_name = "|".join(names)
+    return tag.rlike(
+        rf"""(?is)\s(?:{attributes})\s*=\s*(?:"[^"]*(?:{any_name})[^"]*"|'[^']*(?:{any_name})[^']*'|[^\s"'>]*(?:{any_name}))"""
+    )
+
+
+def _page_token(t: Column) -> Column:
+    """(name, opens, shuts, removed, rank, text) of a tag or a stretch of text; rank: the place of a
+    container in the order of preference."""
+    name = F.lower(F.regexp_extract(t, "^</?([A-Za-z][^\\s/>]*)", 1))
+    none = F.lit(len(_CONTAINERS))
+
+    def of_tag(n: Column) -> Column:
+        shuts = F.startswith(t, F.lit("</"))
+        opens = ~shuts & (n != "") & ~n.isin(fixed.VOID_TAGS) & ~F.endswith(t, F.lit("/>"))
+        marked = F.when(opens, _class_test(t, "class|id", fixed.RELATED_MARKS)).otherwise(False)
+        rank = F.when(n == "article", 0)
+        with_class = F.when(opens & _class_test(t, "class", fixed.CONTENT_CLASSES), t)
+        for i, c in enumerate(fixed.CONTENT_CLASSES):
+            rank = rank.when(_class_test(with_class, "class", [c]), i + 1)
+        for other in ("main", "body"):
+            rank = rank.when(n == other, _CONTAINERS.index(other))
+        return F.struct(
+            n.alias("name"), opens.alias("opens"), shuts.alias("shuts"),
+            (n.isin(fixed.BOILERPLATE_TAGS) | marked).alias("removed"), rank.otherwise(none).alias("rank"),
+            F.lit("").alias("text"),
+        )
+
+    words = F.struct(
+        F.lit("").alias("name"), F.lit(False).alias("opens"), F.lit(False).alias("shuts"), F.lit(False).alias("removed"),
+        none.alias("rank"), t.alias("text"),
+    )
+    return F.when(F.startswith(t, F.lit("<")) & (F.length(t) > 1), let(name, of_tag)).otherwise(words)
+
 
+def _folded(tokens: Column) -> Column:
+    """Text of the first container of the best kind, outside removed elements.
 
-def has_related_marks(html: Column | str) -> Column:
-    """True when class-based removal or selection can change the article text of a page."""
-    names = "|".join(fixed.RELATED_MARKS + fixed.CONTENT_CLASSES)
-    return col(html).rlike(rf"""(?is)<[a-z][^>]*\s(?:class|id)\s*=\s*["']?[^"'>]*(?:{names})""")
+    One pass with the stack of open elements: ``hidden`` of them are removed ones, ``best`` is the
+    rank of the container that is read, ``floor`` the height of the stack inside it (0: the
+    whole page, -1: it has ended)."""
+    kinds = "array<struct<name: string, removed: boolean>>"
+
+    def state(stack, hidden, best, floor, text, fresh) -> Column:
+        return F.struct(
+            stack.cast(kinds).alias("stack"), hidden.cast("int").alias("hidden"), best.cast("int").alias("best"),
+            floor.cast("int").alias("floor"), text.alias("text"), fresh.alias("fresh"),
+        )
+
+    def step(s: Column, t: Column) -> Column:
+        hidden = s["hidden"] + t["removed"].cast("int")
+        begins = (t["rank"] < s["best"]) & (hidden == 0)
+        opened = state(
+            F.concat(s["stack"], F.array(F.struct(t["name"].alias("name"), t["removed"].alias("removed")))), hidden,
+            F.when(begins, t["rank"]).otherwise(s["best"]), F.when(begins, F.size(s["stack"]) + 1).otherwise(s["floor"]),
+            F.when(begins, F.lit("")).otherwise(s["text"]), begins | s["fresh"],
+        )
+
+        def shut(at: Column) -> Column:
+            left = F.slice(s["stack"], F.lit(1), at)
+            ended = s["floor"] > at
+            return state(
+                left, F.size(F.filter(left, lambda e: e["removed"])), s["best"],
+                F.when(ended, -1).otherwise(s["floor"]), s["text"], s["fresh"],
+            )
+
+        # the innermost open element of the name; 0 where there is none
+        at = F.size(s["stack"]) - F.array_position(F.reverse(s["stack"]["name"]), t["name"])
+        has = F.array_contains(s["stack"]["name"], t["name"])
+        shown = (s["hidden"] == 0) & (s["floor"] >= 0)
+        said = state(
+            s["stack"], s["hidden"], s["best"], s["floor"],
+            F.when(shown, F.concat(s["text"], F.lit(" "), t["text"])).otherwise(s["text"]), s["fresh"],
+        )
+        return (
+            F.when(t["opens"], opened).when(t["shuts"] & has, let(at.cast("int"), shut)).when(t["text"] != "", said).otherwise(s)
+        )
+
+    start = state(F.array(), F.lit(0), F.lit(len(_CONTAINERS)), F.lit(0), F.lit(""), F.lit(False))
+
+    def stretch(s: Column, block: Column) -> Column:
+        empty = state(s["stack"], s["hidden"], s["best"], s["floor"], F.lit(""), F.lit(False))
+        return let(
+            F.aggregate(block, empty, step),
+            lambda e: state(
+                e["stack"], e["hidden"], e["best"], e["floor"],
+                F.when(e["fresh"], e["text"]).otherwise(F.concat(s["text"], e["text"])), F.lit(False),
+            ),
+        )
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(_FOLDED))
+    return F.aggregate(F.transform(starts, lambda i: F.slice(tokens, i, F.lit(_FOLDED))), start, stretch, lambda s: s["text"])
+
+
+def article_text(html: Column | str, cap: int | None = None) -> Column:
+    """the text of the article, else of the first element with a content class, of ``main``, of
+    the body, of the page; without navigation, forms and the like, and without elements that a
+    class or id marks as related matter.  Every page goes the same way."""
+    clean = drop_elements(drop_comments(html), ["script", "style"])
+    tokens = F.transform(F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(1)), _page_token)
+    return first_chars(squeeze(unescape(let(tokens, _folded))), cap)
 
 
 def paragraphs(html: Column | str, min_chars: int = 50) -> Column:

@@ -145,7 +145,7 @@ def score_of_facts(parts: Column | str, word: Column | str, suffixes: Column | s
 def _total(base: Column, within: Column) -> Column:
     """``within``: the text holds the name, as a word or only as a part of one; null if it does not."""
     score = F.round(base + F.when(within, 0.6).when(~within, 0.3).otherwise(0.0), 6)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(score, F.lit(2.0))), F.lit(0.0))
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(score, F.lit(2.0)))).otherwise(0.0)
 
 
 # --- F10, A18: subjects and entities ----------------------------------------

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsmill import fixed
@@ -17,86 +13,14 @@ from newsmill.operators.ordered import last_rows
 from newsmill.operators.rows import settle, unnest
 
 
-def read_pages(spark: SparkSession, path: str, cap: int = fixed.MAX_BODY_CHARS) -> DataFrame:
-    """S3: landed pages with the body cap of the landing contract."""
+def read_pages(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """S3: landed pages with their whole bodies, or the first ``cap`` characters."""
     return spark.read.parquet(path).withColumn("html", markup.landed("html", cap))
 
 
-# --- F2 with class marks ----------------------------------------------------
-
-VOID_TAGS = {
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
-    "track", "wbr",
-}
-
-
-class _ArticleText(HTMLParser):
-    """Collects the text under each candidate container, outside removed elements."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, list[str]]] = []
-        self.texts: dict[str, list[str]] = {"": []}
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID_TAGS:
-            return
-        marks = {k: (v or "").lower() for k, v in attrs if k in ("class", "id")}
-        removed = tag in fixed.BOILERPLATE_TAGS or any(
-            m in v for v in marks.values() for m in fixed.RELATED_MARKS
-        )
-        names = [tag] if tag in ("article", "main", "body") else []
-        names += [c for c in fixed.CONTENT_CLASSES if c in marks.get("class", "")]
-        # The first container of a kind takes the text, unless it was removed.
-        hidden = removed or any(o[1] for o in self.open)
-        names = [n for n in names if n not in self.texts and not hidden]
-        for n in names:
-            self.texts[n] = []
-        self.open.append((tag, removed, names))
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        if any(removed for _, removed, _ in self.open):
-            return
-        for name in [""] + [n for _, _, names in self.open for n in names]:
-            self.texts[name].append(data)
-
-    def text(self) -> str:
-        for name in ["article", *fixed.CONTENT_CLASSES, "main", "body", ""]:
-            if name in self.texts:
-                return " ".join(" ".join(self.texts[name]).split())
-        return ""
-
-
-def _parse_articles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = []
-        for html in pdf["html"]:
-            parser = _ArticleText()
-            parser.feed(html or "")
-            parser.close()
-            texts.append(parser.text())
-        yield pdf.drop(columns="html").assign(article=texts)
-
-
 def article_bodies(pages: DataFrame, key: str = "page_id", cap: int | None = None) -> DataFrame:
-    """article text per page.
-
-    Only pages whose class or id marks can change the result go through the Python
-    parser; the others stay in the JVM.
-    """
-    slim = pages.select(key, "html")
-    marked = markup.has_related_marks("html")
-    native = slim.where(~marked).select(key, markup.article_text("html", None).alias("article"))
-    schema = f"{key} {dict(pages.dtypes)[key]}, article string"
-    parsed = slim.where(marked).mapInPandas(_parse_articles, schema)
-    both = native.unionByName(parsed)
-    return both if cap is None else both.withColumn("article", F.left("article", F.lit(cap)))
+    """article text per page."""
+    return pages.select(key, markup.article_text("html", cap).alias("article"))
 
 
 # --- S6: post archives ------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
+from newsmill.operators.rows import unnest
 from newsmill.suite.base import (
     LINKS, NEWS, PRICED, drop_elements_sql, element_sql, links, lst, netloc_sql, news,
     no_comments_sql, path_sql, plain_sql, priced, q, query, squeeze_sql, stamp, stamp_sql, sub,
@@ -70,6 +71,46 @@ def f4(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(markup.text_lines("html")).alias("pos", "line"))
 
 
+# The same pages with character references by name and number, and with their article told by a
+# class, next to matter that a class marks as related.
+CODED, DECODED = "Caf&eacute; &#8230; &#x2014; &euro;5 &amp;lt; ", "Café … — €5 &lt; "
+
+
+@query(
+    "f1_links_references",
+    f"""WITH coded AS (SELECT page_id, url, replace(html, '<a href="/', '<a href="/caf&#233;&sol;x/') AS html FROM pages),
+    {LINKS.replace("FROM pages", "FROM coded")} SELECT page_id, pos, replace(href, 'caf&#233;&sol;x', 'café/x') AS href, text FROM links""",
+)
+def f1_references(spark, sf):
+    pages = table(spark, sf, "pages")
+    coded = pages.withColumn("html", F.replace("html", F.lit('<a href="/'), F.lit('<a href="/caf&#233;&sol;x/')))
+    return unnest(coded, markup.links("html"), "a", "pos", "page_id").select("page_id", "pos", "a.href", "a.text")
+
+
+@query(
+    "f4_text_lines_references",
+    f"""SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT page_id, {_LINES.replace("html", "plain")} AS l
+    FROM (SELECT page_id, replace(html, '<p>', '<p>{DECODED.replace("&lt;", "@@")}') AS plain FROM pages)) s""",
+)
+def f4_references(spark, sf):
+    lines = markup.text_lines(F.replace("html", F.lit("<p>"), F.lit(f"<p>{CODED}")))
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(lines).alias("pos", "line"))
+    return rows.withColumn("line", F.replace("line", F.lit("&lt;"), F.lit("@@")))
+
+
+@query(
+    "f2_article_marked",
+    f"""WITH b AS (SELECT page_id, {_BODY} AS body FROM pages)
+    SELECT page_id, {plain_sql(element_sql("body", "article"))} || ' ' || '{DECODED.strip()}' AS article FROM b""",
+)
+def f2_marked(spark, sf):
+    from newsmill.sources.pages import article_bodies
+
+    tail = f'<div class="box subscribe-box"><p>Join us <b>now</b></p></div><p>{CODED}</p><div id="related-2"><article>Other</article></div></div>'
+    marked = F.replace(F.replace("html", F.lit("<article>"), F.lit('<div class="wide post-content">')), F.lit("</article>"), F.lit(tail))
+    return article_bodies(table(spark, sf, "pages").withColumn("html", marked))
+
+
 @query("f5_link_context", f"SELECT doc_id, {squeeze_sql('text')} AS context FROM documents")
 def f5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", markup.link_context("text").alias("context"))

@@ -33,7 +33,7 @@ def s1(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url").join(found, "url")
 
 
-@query("s3_landed_pages", "SELECT page_id, url, length(html[1:10485760]) AS chars FROM pages")
+@query("s3_landed_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
 def s3(spark, sf):
     return pg.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
 

@@ -128,3 +128,32 @@ def test_contained_headlines_are_greedy(spark):
             kept.append(h)
     df = spark.createDataFrame([(heads,)], "h array<string>")
     assert df.select(drop_contained(F.col("h"))).first()[0] == kept
+
+
+def test_character_references(spark):
+    import html
+
+    texts = [
+        "caf&eacute; &#8230; &#x2014; &euro;5", "&amp;lt; &amp;eacute; &amp&lt", "&copy 2020 &notit &nosuch; & &; &#; &#x; &",
+        "&#128; &#x97; &#0; &#xD800; &#1114112; &#99999999999999999999; &#x1F600;&#128512;", "&NotEqualTilde; &fjlig; &amp;amp;", "none", "",
+    ]
+    got = values(spark, texts, markup.unescape("t"))
+    assert got == [html.unescape(t) for t in texts]
+    assert values(spark, ["&nbsp;a", None], markup.unescape("t")) == ["\xa0a", None]
+
+
+def test_article_text_of_any_mark_up(spark):
+    inner = "<h1>One</h1><p>Two<br>three &amp; four<p>five"
+    same = [
+        f"<body><nav>x</nav><article>{inner}</article><p>out</body>",
+        f"<body><div class='Main-Content'>no</div><article class=a>{inner}<aside>x</aside></article>",
+        f"<div id=top><DIV CLASS='wide post-content'>{inner}<div class='x related-box'>no<p>no</div></div>out</div>",
+        f"<main>{inner}<form>no</form><script>var t = '</main>';</script></main><article class=newsletter>no</article>",
+        f"<body>{inner}<!-- no --></body>out",
+        f"<i>{inner}</i><footer>no</footer>",
+        f"<article><section></b>{inner}</section><div class=widget><article>no</article></div></article>out</article>",
+    ]
+    assert values(spark, same, markup.article_text("t")) == ["One Two three & four five"] * len(same)
+    assert values(spark, ["", None, "<p", "a < b"], markup.article_text("t")) == ["", None, "", "a < b"]
+    long = "<article>" + "<p>word</p>" * 40_000 + "</article>"
+    assert values(spark, [long], markup.article_text("t")) == [" ".join(["word"] * 40_000)]
