@@ -103,13 +103,15 @@ WEIGHTS = {
 }
 
 
+LEVELS = {
+    "domain": lambda: F.concat(F.lit("d"), F.expr(DOMAIN).cast("string")),
+    "lang": lambda: F.col("lang"),
+    "source": lambda: F.col("source"),
+}
+
+
 def mixture(docs):
-    levels = {
-        "domain": F.concat(F.lit("d"), F.expr(DOMAIN).cast("string")),
-        "lang": F.col("lang"),
-        "source": F.col("source"),
-    }
-    return mixing.mix(docs, levels, WEIGHTS)
+    return mixing.mix(docs, {name: level() for name, level in LEVELS.items()}, WEIGHTS)
 
 
 def _case(level):

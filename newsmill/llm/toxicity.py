@@ -224,7 +224,8 @@ def train(
     """A model from confirmed toxic texts (label 1) and unlabelled ones.
 
     The fit uses a sample bounded by ``most_positive`` and ``most_unlabelled`` rows, the ones
-    with the least hashes of their ids, never held-out ones.  Whether an unlabelled row is
+    with the least hashes of their ids, never held-out ones.  An id that stands on several rows
+    gives one of its texts, that of the least hash.  Whether an unlabelled row is
     toxic is not looked at.  The prior is the share of 1 among the labels not held out, unless
     given.  The vocabulary is up to ``vocabulary`` features that the confirmed texts have more
     often than the unlabelled ones: in at least ``least_positive`` texts, ``least_lift`` times as
@@ -242,12 +243,18 @@ def train(
         prior = marks.agg(F.avg(F.when(F.col("label") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
     order = F.xxhash64(F.lit("sample"), "doc_id")
     confirmed = marks.where("label = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
-    free = texts.select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled)
+    free = texts.select("doc_id").distinct().orderBy(order, "doc_id").limit(most_unlabelled)
     chosen = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(
         free.select("doc_id", F.lit(False).alias("positive"))
     )
-    # at most most_positive + most_unlabelled ids
-    sample = durable(texts.join(F.broadcast(chosen), "doc_id").select("positive", "text"), "sample")
+    # at most most_positive + most_unlabelled ids, and a row each however often an id stands
+    sample = durable(
+        texts.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "positive")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .select("positive", "text"),
+        "sample",
+    )
 
     def grams(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -303,7 +310,8 @@ def train(
     weights, bias = fit_nnpu(rows, at, positive, len(words), prior, capped=False)
     safe = marks.where("label = 0").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
     score = toxicity(Model(words, weights, bias, prior))
-    clean = texts.join(F.broadcast(safe), "doc_id").select(score("text").alias("score")).toArrow()
+    bodies = texts.join(F.broadcast(safe), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    clean = bodies.select(score("text").alias("score")).toArrow()
     clean = clean.column("score").to_numpy()
     toxic = np.clip(bias + np.bincount(rows, weights[at], minlength=len(positive)), -30, 30)[positive]
     cut = threshold(toxic, np.log(clean) - np.log1p(-clean))

@@ -1,16 +1,18 @@
 """Each stage of the pipeline against a plain version of it, on its own input."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as pipeline
-from newsmill.llm import decontaminate, simhash, toxicity
+from newsmill.llm import decontaminate, toxicity
 from newsmill.llm.common import table
+from newsmill.llm.queries import mixture
 from newsmill.session import durable
 
-from .test_operators import WORD, lowered, plain_groups
+from .test_near_copies import kept
+from .test_operators import WORD, lowered
 
 
 @pytest.fixture(scope="module")
@@ -55,29 +57,9 @@ def test_lines(tables):
 
 
 def test_near_copies(tables):
-    import xxhash
-
+    """Against brute-force similarity of the stage's own input."""
     _, steps = tables
-    before = texts(steps[2])
-    ids = sorted(before)
-    groups = list(range(len(ids)))
-
-    def find(x):
-        while groups[x] != x:
-            x = groups[x]
-        return x
-
-    for seed in simhash.SEEDS:
-        prints = []
-        for d in ids:
-            w = WORD.findall(lowered(before[d]))
-            shingles = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-            h = [xxhash.xxh64_intdigest(s.encode(), seed) for s in shingles]
-            prints.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
-        for i, root in enumerate(plain_groups(prints)):
-            a, b = find(i), find(root)
-            groups[max(a, b)] = min(a, b)
-    assert set(texts(steps[3])) == {ids[i] for i in range(len(ids)) if find(i) == i}
+    assert sorted(texts(steps[3])) == kept([(r.doc_id, r.text) for r in steps[2].collect()])
 
 
 def test_contamination(spark, tables):
@@ -107,3 +89,54 @@ def test_stages_on_empty_tables(spark, tables):
     none = steps[0].limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+EXTRA = "doc_id long, text string, lang string, source string, domain string, epoch string, n_tokens string, taken string"
+
+
+def repeated_rows(spark):
+    """A third of the table is one row; columns have the names that the mixture adds."""
+    rows = [(i, f"word{i} " * 10, "en", f"s{i % 3}", "a", "b", "c", "d") for i in range(20)]
+    rows += [(7, "word7 " * 10, "en", "s1", "a", "b", "c", "d")] * 9
+    rows += [(7, "other words of seven", "en", "s1", "a", "b", "c", "d"), (None, "no id", None, None, None, None, None, None)]
+    return spark.createDataFrame([*rows, rows[-1]], EXTRA)
+
+
+def test_repeated_rows_in_near_dedup(spark):
+    out = pipeline.drop_near_copies(spark, repeated_rows(spark), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in out if r.doc_id is not None) == sorted(
+        [(False, i, f"word{i} " * 10) for i in range(20)] + [(False, 7, "other words of seven")]
+    )
+    assert [r.text for r in out if r.doc_id is None] == ["no id"]
+
+
+def test_repeated_rows_in_mixing(spark):
+    docs = repeated_rows(spark)
+    plain = docs.drop("domain", "epoch", "n_tokens", "taken")
+    want = Counter((r.doc_id, r.epoch, r.n_tokens, r.taken) for r in mixture(plain).collect())
+    out = pipeline.weigh(spark, docs, "")
+    assert Counter((r.doc_id, r.epoch, r.n_tokens, r.taken) for r in out.collect()) == want
+    assert len(set(out.columns)) == len(out.columns)
+    three = spark.createDataFrame([(1, "ten words " * 5, "en", "s1")] * 3, "doc_id long, text string, lang string, source string")
+    rows = pipeline.weigh(spark, three, "").collect()
+    assert sum(r.taken for r in rows) == 15 and len(rows) == 2
+
+
+def test_sample_is_bounded_by_ids(spark, monkeypatch):
+    """An id on 400 of 438 rows gives one row of the sample."""
+    sizes = []
+    durable = toxicity.durable
+
+    def counted(df, name="stage"):
+        out = durable(df, name)
+        if name == "sample":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(toxicity, "durable", counted)
+    rows = [(3, "same words here")] * 400 + [(i, f"text number {i} bad" if i % 2 else f"text number {i} good") for i in range(100, 138)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 138)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert sizes and sizes[0] <= 39 + 19
+    assert toxicity.score_documents(docs, model).count() == 438
