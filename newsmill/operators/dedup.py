@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsmill.functions.arrays import squeeze
+from newsmill.functions.arrays import let, squeeze
 from newsmill.functions.text import is_blank_row
 
 
@@ -42,9 +43,13 @@ def keep_first_prefix(
     df: DataFrame, text: str, order: Sequence[str | Column], chars: int | None = None,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """W1 on a text, case and blanks ignored, or on its first ``chars`` characters."""
-    whole = F.lower(squeeze(text))
-    keyed = df.withColumn("_key", whole if chars is None else F.lower(F.left(F.col(text), F.lit(chars))))
+    """W1 on a text, case and blanks ignored, or on its first ``chars`` characters.
+
+    The key is the text's digest, so what is sorted and grouped is short however long the texts
+    are.  Blank texts are dropped.
+    """
+    whole = F.lower(squeeze(text)) if chars is None else F.lower(F.left(F.col(text), F.lit(chars)))
+    keyed = df.withColumn("_key", F.sha2(F.nullif(whole, F.lit("")), 256))
     return keep_first(keyed, [*within, "_key"], order).drop("_key")
 
 
@@ -77,20 +82,51 @@ def dedup_report(df: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
     )
 
 
+def _uncontained(texts: list[str | None]) -> list[int]:
+    """Places of the texts that neither contain nor are contained in one kept before.
+
+    An automaton of the page's texts tells which of them a text contains.  A kept text marks
+    those; so each text is read at most once, whatever is kept."""
+    import ahocorasick
+
+    places: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            places.setdefault(t, i)
+    automaton = ahocorasick.Automaton()
+    for t, i in places.items():
+        if t:
+            automaton.add_word(t, i)
+    automaton.make_automaton()
+    kept, marked, out, full = set(), set(), [], False
+    for i, t in enumerate(texts):
+        if t is None:
+            out.append(i)
+            continue
+        if full or places[t] != i or i in marked or (t == "" and kept):
+            continue
+        inside = {j for _, j in automaton.iter(t)} if t else set()
+        if kept.isdisjoint(inside):
+            kept.add(i)
+            marked |= inside
+            out.append(i)
+            full = t == ""  # every text contains the empty one
+    return out
+
+
+def _kept_places(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _uncontained(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+
 def drop_contained(texts: Column) -> Column:
-    """Drop a text that contains, or is contained in, one kept before it.
+    """Drop a text that contains, or is contained in, one kept before it, case and blanks
+    ignored; nulls stay.
 
     Greedy in array order, so it works on the headlines of one post, which are
-    one bounded array value.
+    one bounded array value; the work is linear in their characters and in the texts found
+    within others.
     """
     flat = F.transform(texts, lambda t: F.lower(F.array_join(F.split(F.trim(t), r"\s+"), " ")))
-    entries = F.arrays_zip(texts.alias("t"), flat.alias("f"))
-    empty = F.filter(entries, lambda e: F.lit(False))
-    kept = F.reduce(
-        entries,
-        empty,
-        lambda acc, e: F.when(
-            F.exists(acc, lambda k: F.contains(k["f"], e["f"]) | F.contains(e["f"], k["f"])), acc
-        ).otherwise(F.concat(acc, F.array(e))),
-    )
-    return F.transform(kept, lambda e: e["t"])
+    places = F.arrow_udf(_kept_places, "array<int>")
+    both = F.struct(texts.alias("t"), places(flat).alias("at"))
+    return let(both, lambda b: F.transform(b["at"], lambda i: F.get(b["t"], i)))

@@ -12,7 +12,7 @@ from newsmill.suite.base import (
     LINKS, NEWS, case_of, clean_url_sql, links, netloc_sql, news, no_comments_sql, plain_sql,
     query, table, title_sql,
 )
-from newsmill.suite.functions import keyword_ctes, score_sql
+from newsmill.suite.functions import _LINES, keyword_ctes, score_sql
 from newsmill.suite.predicates import LINES, PAGE_ITEMS, SHEET, doc_lines, page_items, sheet
 
 CLEAN = clean_url_sql("url", fixed.TRACKING_NAMES)
@@ -247,9 +247,22 @@ def j13(spark, sf):
     return joins.term_counts(table(spark, sf, "documents"), terms(spark, sf), ascii_boundary=True)
 
 
-@query("j14_contained_headlines")
+def uncontained_sql(texts: str) -> str:
+    """Greedy containment over a list of texts."""
+    return (
+        f"list_reduce(list_transform({texts}, lambda x: [x]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: "
+        "contains(lower(k), lower(e[1])) OR contains(lower(e[1]), lower(k)))) > 0 THEN acc ELSE list_concat(acc, e) END)"
+    )
+
+
+@query(
+    "j14_contained_headlines",
+    f"""WITH h AS (SELECT page_id, list_filter({_LINES}, lambda x: length(x) >= 15) AS l FROM pages),
+     k AS (SELECT page_id, {uncontained_sql('l')} AS l FROM h WHERE len(l) > 0)
+    SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS headline FROM k""",
+)
 def j14(spark, sf):
-    heads = F.transform(F.filter(markup.text_lines("html"), lambda x: F.length(x) >= 15), lambda x: x)
+    heads = F.filter(markup.text_lines("html"), lambda x: F.length(x) >= 15)
     p = table(spark, sf, "pages").select("page_id", dedup.drop_contained(heads).alias("h"))
     return p.select("page_id", F.posexplode("h").alias("pos", "headline"))
 

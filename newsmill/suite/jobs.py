@@ -10,11 +10,11 @@ from newsmill.operators import digest as dg, load, ordered
 from newsmill.plans import enrich, harvest, maintain, market, report
 from newsmill.suite.aggregates import DIGEST, digest_items
 from newsmill.suite.base import (
-    LINKS, NEWS, PRICED, absolute_sql, clean_url_sql, has_any, lst, netloc_sql, news, path_sql,
-    plain_sql, q, query, squeeze_sql, table, title_sql,
+    LINKS, NEWS, PRICED, absolute_sql, clean_url_sql, drop_elements_sql, element_sql, has_any, lst, netloc_sql, news,
+    no_comments_sql, path_sql, plain_sql, q, query, squeeze_sql, table, title_sql,
 )
-from newsmill.suite.dedup_joins import MATCHES, catalogue, doc_items
-from newsmill.suite.functions import cut_sql, strip_fillers_sql, summary_sql
+from newsmill.suite.dedup_joins import MATCHES, catalogue, doc_items, uncontained_sql
+from newsmill.suite.functions import blocks_sql, cut_sql, strip_fillers_sql, summary_sql
 from newsmill.suite.scans import READ
 from newsmill.suite.predicates import (
     LINES, PAGE_ITEMS, SHEET, SOURCES, _TYPE_B, _strip, ends_any, media, page_items, sheet, sources, spoken_sql, words_sql,
@@ -111,7 +111,28 @@ def c4(spark, sf):
     return harvest.harvest_channel(channel_pages(spark, sf), "2024-01-26").select("url", "channel", "source_name")
 
 
-@query("c5_harvest_headlines")
+def navigation_sql(text: str) -> str:
+    low = f"trim(lower({text}))"
+    starts = " OR ".join(f"starts_with({low}, {q(h)})" for h in fixed.SECTION_HEADERS)
+    return (
+        f"({low} IN ({', '.join(q(w) for w in fixed.NAV_WORDS)}) OR (length({text}) < 15 AND NOT contains({text}, ' ')) "
+        f"OR {has_any(low, fixed.PROMO_PHRASES)} OR {starts})"
+    )
+
+
+_ISSUE = element_sql(
+    drop_elements_sql(no_comments_sql("html"), ["script", "style", "nav", "footer", "iframe", "header", "aside"]), "article"
+)
+_TEXT = plain_sql("regexp_replace(split_part(x, chr(2), 2), '</(?:h2|h3|p|li)\\s*>.*$', '', 'is')")
+
+
+@query(
+    "c5_harvest_headlines",
+    f"""WITH b AS (SELECT page_id, list_transform(list_filter({blocks_sql(_ISSUE, "h2|h3|p|li")}, lambda x: starts_with(x, 'p')), lambda x: {_TEXT}) AS l FROM pages),
+     w AS (SELECT page_id, list_filter(l, lambda t: length(t) >= 30 AND NOT {navigation_sql("t")} AND NOT contains(lower(t), 'wonderful spam')) AS l FROM b),
+     k AS (SELECT page_id, {uncontained_sql("l")} AS l FROM w WHERE len(l) > 0)
+    SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS title, 'Pages' AS source_name, 'newsletter' AS source_type, 'General' AS section FROM k""",
+)
 def c5(spark, sf):
     rule = {"name": "Pages", "exclude_patterns": ["wonderful spam"]}
     items = harvest.harvest_headlines(table(spark, sf, "pages"), rule, F.to_timestamp(F.lit("2024-05-01 00:00:00")))

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from datetime import datetime
 from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
 
@@ -130,6 +132,32 @@ def test_contained_headlines_are_greedy(spark):
     assert df.select(drop_contained(F.col("h"))).first()[0] == kept
 
 
+def test_contained_headlines_against_loops(spark):
+    rng = random.Random(8)
+    pages = [[rng.choice(["", "a", "ab", "A  b", "b", "ba b", None, "aba", "bb", "abab a"]) for _ in range(rng.randrange(0, 12))] for _ in range(300)]
+    pages = [[h for i, h in enumerate(p) if h != "" or rng.random() < 0.2] for p in pages]
+
+    def kept(heads):
+        out, flat = [], []
+        for h in heads:
+            f = None if h is None else " ".join(h.lower().split())
+            if f is None or not any(f in k or k in f for k in flat):
+                out.append(h)
+                flat += [f] if f is not None else []
+        return out
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*pages, None])], "i int, h array<string>")
+    got = {r.i: r.k for r in df.select("i", drop_contained(F.col("h")).alias("k")).collect()}
+    assert got == {i: kept(p) for i, p in enumerate(pages)} | {len(pages): None}
+
+
+def test_ten_thousand_headlines_on_a_page(spark):
+    heads = [f"Headline number {i} of a long page {i * 7919 % 10_007}" for i in range(10_000)] + ["number 77 of"]
+    start = time.time()
+    assert len(spark.createDataFrame([(heads,)], "h array<string>").select(drop_contained(F.col("h"))).first()[0]) == 10_000
+    assert time.time() - start < 20
+
+
 def test_character_references(spark):
     import html
 
