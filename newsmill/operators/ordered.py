@@ -3,7 +3,9 @@
 A window function keeps each of its groups in one task, and one group may hold a
 third of all rows.  Here the rows are range-partitioned by (keys, order) first, so
 a large group spreads over many chunks; the window runs inside a chunk, and a
-small table with one row per (key, chunk) carries the state over the borders.
+small table with one row per (key, chunk) carries the state over the borders.  The
+number of chunks follows the stored bytes of the input, so a chunk stays as large as
+it is whatever the table; a key in a million chunks (64 TB) carries a million short rows.
 """
 
 from __future__ import annotations

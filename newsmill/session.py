@@ -73,8 +73,24 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+# Stored bytes that a range partition is meant to hold; read and decoded they are a few times as many.
+CHUNK_BYTES = 64 << 20
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that ``df`` reads, None where one is not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
+
+
 def partitions(df: DataFrame, count: int | None = None) -> int:
-    return count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many partitions ``df`` is cut into: no fewer than shuffles have, and more for large
+    input, so that a partition does not grow with it."""
+    if count:
+        return count
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(stored_bytes(df) or 0) // CHUNK_BYTES))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -91,7 +91,7 @@ def c2(spark, sf):
 @query(
     "c3_harvest_feed",
     f"""WITH {NEWS} SELECT {squeeze_sql('title')} AS title, url, 'Feed ' || source_name AS source_name, {plain_sql('content', '')} AS description, source_name AS author
-     FROM news WHERE category = 'en' AND (published_date IS NULL OR CAST(published_date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1999-12-31')""",
+     FROM news WHERE (published_date IS NULL OR CAST(published_date AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1999-12-31')""",
 )
 def c3(spark, sf):
     from newsmill.suite.scans import feed_documents

@@ -40,7 +40,7 @@ def s3(spark, sf):
 
 # One feed document per source, holding an entry per document of it.
 def feed_documents(spark, sf, kind):
-    n = news(spark, sf).where(F.col("category") == ("en" if kind == "rss" else "fr"))
+    n = news(spark, sf)
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     title, body = esc(F.col("title")), esc(F.col("content"))
     if kind == "rss":
@@ -64,10 +64,9 @@ def feed_documents(spark, sf, kind):
     )
 
 
-def _feed_sql(lang):
-    return f"""WITH {NEWS} SELECT 'https://feeds.example.com/' || item_id AS source_url, {squeeze_sql('title')} AS title, url || '?utm_source=x' AS link,
+_FEED = f"""WITH {NEWS} SELECT 'https://feeds.example.com/' || item_id AS source_url, {squeeze_sql('title')} AS title, url || '?utm_source=x' AS link,
       'Feed ' || source_name AS source_name, source_name AS author, strftime(published_date, '%Y-%m-%d') AS day,
-      length({squeeze_sql('content')}) AS chars FROM news WHERE category = '{lang}'"""
+      length({squeeze_sql('content')}) AS chars FROM news"""
 
 
 def _feed_rows(spark, sf, kind):
@@ -81,12 +80,12 @@ def _feed_rows(spark, sf, kind):
     )
 
 
-@query("s4_rss_feed", _feed_sql("en"))
+@query("s4_rss_feed", _FEED)
 def s4(spark, sf):
     return _feed_rows(spark, sf, "rss")
 
 
-@query("s4_atom_feed", _feed_sql("fr"))
+@query("s4_atom_feed", _FEED)
 def s4b(spark, sf):
     return _feed_rows(spark, sf, "atom")
 
@@ -94,15 +93,15 @@ def s4b(spark, sf):
 @query(
     "s5_video_feed",
     f"""WITH {NEWS} SELECT source_name AS channel, 'v' || item_id AS video_id, {squeeze_sql('title')} AS title, strftime(published_date, '%Y-%m-%d') AS day
-      FROM news WHERE published_date IS NOT NULL""",
+      FROM news""",
 )
 def s5(spark, sf):
-    n = news(spark, sf).where("published_date is not null")
+    n = news(spark, sf)
     esc = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     xml = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:yt="http://www.youtube.com/xml/schemas/2015"><entry><yt:videoId>v'),
         F.col("item_id").cast("string"), F.lit("</yt:videoId><title>"), esc, F.lit("</title><published>"),
-        F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</published><author><name>"), "source_name",
+        F.coalesce(F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")), F.lit("</published><author><name>"), "source_name",
         F.lit("</name></author></entry></feed>"),
     )
     docs = n.select(F.col("source_name").alias("channel"), xml.alias("xml"))
@@ -289,15 +288,15 @@ def training_input(spark, sf):
 
 @query(
     "s15_digest_files",
-    f"""WITH {NEWS} SELECT 'Week_' || weekofyear(published_date) || '_' || isoyear(published_date) AS week, count(*) AS lines
-     FROM news WHERE published_date IS NOT NULL AND source_type = 'newsletter' GROUP BY ALL""",
+    f"""WITH {NEWS} SELECT coalesce('Week_' || weekofyear(published_date) || '_' || isoyear(published_date), 'recent') AS week, count(*) AS lines
+     FROM news GROUP BY ALL""",
 )
 def s15(spark, sf):
     # Headlines alone, so that every line of a file is one item.
     from newsmill.plans.report import render_digest
 
-    n = news(spark, sf).where("published_date is not null and source_type = 'newsletter'").select(
-        "item_id", "title", F.lit("").alias("summary"), F.lit("x").alias("content"), "source_name", "source_type", "published_date"
+    n = news(spark, sf).select(
+        "item_id", "title", F.lit("").alias("summary"), F.lit("x").alias("content"), "source_name", F.lit("newsletter").alias("source_type"), "published_date"
     )
     path = scratch(spark, "digest")
     dg.write_digests(render_digest(n).where("kind = 1"), path)

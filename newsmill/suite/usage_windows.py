@@ -71,11 +71,11 @@ def w8(spark, sf):
 
 @query(
     "w8_shared_context",
-    """SELECT doc_id, coalesce(string_agg(source || ':' || n_chars, ' ') OVER (ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context FROM documents WHERE lang = 'en'""",
+    """SELECT doc_id, coalesce(string_agg(source || ':' || n_chars, ' ') OVER (ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context FROM documents""",
 )
 def w8b(spark, sf):
     # One context shared by everything: a single key, spread over chunks.
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     label = F.concat("source", F.lit(":"), F.col("n_chars").cast("string"))
     out = ordered.lookback(d, [], ["doc_id"], label, 5, "ctx")
     return out.select("doc_id", F.array_join("ctx", " ").alias("context"))

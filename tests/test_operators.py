@@ -158,3 +158,16 @@ def test_admission_equals_one_pass(spark):
     for limits in ({"monthly_budget_usd": 1.0}, {"monthly_budget_usd": 0.5, "daily_max_calls": 120}, {"monthly_budget_usd": 9.0, "monthly_max_calls": 150}, {}):
         got = {r.call_id: r.decision for r in admission.admit(df, limits).collect()}
         assert got == expected(rows, limits)
+
+
+def test_chunks_follow_the_input(spark, sf, monkeypatch):
+    """A tenth of the bytes a chunk, ten times the chunks; results are the same."""
+    from newsmill import session
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit(1).alias("k"), "doc_id", "n_chars")
+    few = session.partitions(docs)
+    plain = {r.doc_id: r.s for r in ordered.running_totals(docs, ["k"], ["doc_id"], {"s": F.col("n_chars")}).collect()}
+    monkeypatch.setattr(session, "CHUNK_BYTES", session.stored_bytes(docs) // 40)
+    assert session.partitions(docs) >= 40 > few
+    assert session.partitions(spark.createDataFrame([(1,)], "a int")) >= few
+    assert {r.doc_id: r.s for r in ordered.running_totals(docs, ["k"], ["doc_id"], {"s": F.col("n_chars")}).collect()} == plain
