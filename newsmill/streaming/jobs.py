@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -79,7 +79,8 @@ def unseen_ids(
 
 
 def daily_counters(calls: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Calls and cost per day; with the watermark a day is final once it has passed."""
+    """Calls and cost per day, for append mode: a day is put out once the watermark has
+    passed its end, and then its state goes."""
     timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return timed.groupBy(F.window("ts", "1 day")).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost_estimate")
@@ -89,17 +90,61 @@ def daily_counters(calls: DataFrame, lateness: str = "1 day") -> DataFrame:
 def sliding_minute(
     calls: DataFrame, keys: Sequence[str] = (), slide: str = "10 seconds", lateness: str = "1 minute"
 ) -> DataFrame:
-    """T4: calls per 60-second window that moves by ``slide``."""
+    """T4: calls per 60-second window that moves by ``slide``, for append mode: windows are put
+    out, and forgotten, as the watermark passes them."""
     timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return timed.groupBy(*keys, F.window("ts", "60 seconds", slide)).agg(
         F.count(F.lit(1)).alias("calls")
     ).select(*keys, F.col("window.start").alias("start"), "calls")
 
 
-def task_totals_stream(calls: DataFrame) -> DataFrame:
-    """Running totals per task, for update or complete mode."""
-    return calls.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("calls"), F.max("ts").alias("last_run")
+def merged_totals(
+    rows: DataFrame,
+    keys: Sequence[str],
+    totals: Mapping[str, tuple[str, Column]],
+    out: str,
+    checkpoint: str,
+):
+    """Totals per key that go on from batch to batch, kept as a table and not as state.
+
+    ``totals`` names each column with its way of adding up (sum, min or max) and the value of a
+    row.  A batch is aggregated on its own, added to the totals that the batch before it left,
+    and written to its own folder; repeated after a failure it reads and writes the same.
+    :func:`latest_totals` reads the newest."""
+    ways = {"sum": F.sum, "min": F.min, "max": F.max}
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        new = batch.groupBy(*keys).agg(*[ways[way](value).alias(name) for name, (way, value) in totals.items()])
+        before = f"{out}/batch={number - 1:012d}"
+        if _has_files(session, before):
+            both = session.read.schema(new.schema).parquet(before).unionByName(new)
+            new = both.groupBy(*keys).agg(*[ways[way](name).alias(name) for name, (way, _) in totals.items()])
+        new.write.mode("overwrite").parquet(f"{out}/batch={number:012d}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The totals after the last batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(out)
+    folders = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return spark.read.parquet(max(f.getPath().toString() for f in folders))
+
+
+def monthly_counters(calls: DataFrame, out: str, checkpoint: str):
+    """Calls and cost per calendar month; a new month begins its own row at zero and the one
+    before it stays as it ended."""
+    month = calls.withColumn("month", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM"))
+    cost = F.col("cost").cast("decimal(38,10)")
+    return merged_totals(month, ["month"], {"calls": ("sum", F.lit(1).cast("long")), "cost": ("sum", cost)}, out, checkpoint)
+
+
+def task_totals_stream(calls: DataFrame, out: str, checkpoint: str):
+    """Running totals per task with the last run."""
+    last = F.col("ts").cast("timestamp")
+    return merged_totals(
+        calls, ["task_id"], {"calls": ("sum", F.lit(1).cast("long")), "last_run": ("max", last)}, out, checkpoint
     )
 
 

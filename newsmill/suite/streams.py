@@ -11,17 +11,33 @@ from newsmill.streaming import jobs
 from newsmill.suite.base import CALLS, COST, priced, query, stamp, stamp_sql, table
 
 
+def event_files(spark, sf, part=None):
+    """The events in three files, one after the other in time, in a folder of their own; with
+    ``part`` the folder takes only these of them."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    low, high = (F.lit(x) for x in events.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.3, 0.7]).alias("p")).first().p)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    thirds = [events.where(at < low), events.where((at >= low) & (at < high)), events.where(at >= high)]
+    folder = scratch(spark, "events")
+    for third in thirds[: part or 3]:
+        third.coalesce(1).write.mode("append").parquet(folder)
+    return folder, events.schema, thirds
+
+
 def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # A glob, because a stream wants a folder or a glob and the table may be one file.
-    return jobs.read_stream(spark, f"{sf}/events.parque[t]", schema)
+    """A file a batch."""
+    folder, schema, _ = event_files(spark, sf)
+    return jobs.read_stream(spark, folder, schema, 1)
 
 
 def call_stream(spark, sf):
     """The usage log of the batch queries as a stream."""
+    return priced_calls(event_stream(spark, sf))
+
+
+def priced_calls(e):
     from newsmill.operators.usage import price_calls
 
-    e = event_stream(spark, sf)
     model = F.lit("other-model")
     names = {
         "click": "gemini-2.5-flash", "view": "models/gemini-2.0-flash", "purchase": "gemini-1.5-pro", "signup": "gemini-2.5-pro",
@@ -37,21 +53,20 @@ def call_stream(spark, sf):
     )
 
 
-def written(spark, df, mode="append"):
-    """Run a stream to the end of its input and read what it wrote."""
+def written(spark, df):
+    """Run a stream to the end of its input and read what it appended."""
     out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
-    if mode == "append":
-        jobs.run_available(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
-    else:
-        # Complete results replace each other, one folder for the latest.
-        jobs.run_available(
-            df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
-                lambda batch, n: batch.write.mode("overwrite").parquet(out)
-            )
-        )
+    jobs.run_available(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
     return spark.read.parquet(out)
 
 
+def totals(spark, job, *args):
+    """Run a job of merged totals to the end of its input and read the newest."""
+    out, checkpoint = scratch(spark, "totals"), scratch(spark, "checkpoint")
+    jobs.run_available(job(*args, out, checkpoint))
+    return jobs.latest_totals(spark, out)
+
+
 @query("t1_append_new", "SELECT DISTINCT 'u' || user_id || '-' || event_type AS url FROM events")
 def t1(spark, sf):
     e = event_stream(spark, sf).select(
@@ -67,21 +82,31 @@ def t2(spark, sf):
     return written(spark, jobs.unseen_ids(event_stream(spark, sf).select("user_id", "ts"), "user_id", "ts")).select("user_id")
 
 
+# What has ended when all has been read: the watermark is the last time less the lateness.
 @query(
     "t3_daily_counters",
-    f"WITH {CALLS} SELECT {stamp_sql('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} AS day, count(*) AS calls, round(sum({COST}), 6) AS cost_estimate FROM calls GROUP BY 1",
+    f"""WITH {CALLS} SELECT {stamp_sql('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} AS day, count(*) AS calls, round(sum({COST}), 6) AS cost_estimate FROM calls
+     GROUP BY date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) - INTERVAL 1 DAY""",
 )
 def t3(spark, sf):
-    return written(spark, jobs.daily_counters(call_stream(spark, sf)), "complete").withColumn("day", stamp("day"))
+    return written(spark, jobs.daily_counters(call_stream(spark, sf))).withColumn("day", stamp("day"))
+
+
+@query(
+    "t3_monthly_counters",
+    f"WITH {CALLS} SELECT strftime(ts, '%Y-%m') AS month, count(*) AS calls, CAST(sum(CAST({COST} AS DECIMAL(38,10))) AS DOUBLE) AS cost FROM calls GROUP BY 1",
+)
+def t3_months(spark, sf):
+    return totals(spark, jobs.monthly_counters, call_stream(spark, sf)).withColumn("cost", F.col("cost").cast("double"))
 
 
 @query(
     "t4_sliding_minute",
     """WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), w AS (SELECT unnest(generate_series(s - s % 10 - 50, s - s % 10, 10)) AS start FROM e)
-     SELECT start, count(*) AS calls FROM w GROUP BY start""",
+     SELECT start, count(*) AS calls FROM w GROUP BY start HAVING start + 60 <= (SELECT floor(epoch(max(ts)) * 1000) / 1000 FROM events) - 60""",
 )
 def t4(spark, sf):
-    return written(spark, jobs.sliding_minute(call_stream(spark, sf)), "complete").select(
+    return written(spark, jobs.sliding_minute(call_stream(spark, sf))).select(
         F.unix_seconds("start").alias("start"), "calls"
     )
 
@@ -116,19 +141,23 @@ def t5c(spark, sf):
     f"WITH {CALLS} SELECT task_id, count(*) AS calls, {stamp_sql('max(ts)')} AS last_run FROM calls GROUP BY task_id",
 )
 def t6(spark, sf):
-    return written(spark, jobs.task_totals_stream(call_stream(spark, sf)), "complete").withColumn("last_run", stamp("last_run"))
+    return totals(spark, jobs.task_totals_stream, call_stream(spark, sf)).withColumn("last_run", stamp("last_run"))
 
 
-@query("t7_catch_up", "SELECT count(*) AS events FROM events")
+@query(
+    "t7_catch_up",
+    f"WITH {CALLS} SELECT task_id, count(*) AS calls, {stamp_sql('max(ts)')} AS last_run FROM calls GROUP BY task_id",
+)
 def t7(spark, sf):
-    # A second start after everything has been worked off adds nothing.
-    e = event_stream(spark, sf).select("event_id")
-    out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
-    for _ in range(2):
-        jobs.run_available(
-            e.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-        )
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("events"))
+    # The totals are stopped after two of the files; the third came while nothing was up.
+    folder, schema, thirds = event_files(spark, sf, 2)
+    out, checkpoint = scratch(spark, "totals"), scratch(spark, "checkpoint")
+    for late in ([], thirds[2:], []):
+        for third in late:
+            third.coalesce(1).write.mode("append").parquet(folder)
+        calls = priced_calls(jobs.read_stream(spark, folder, schema, 1))
+        jobs.run_available(jobs.task_totals_stream(calls, out, checkpoint))
+    return jobs.latest_totals(spark, out).withColumn("last_run", stamp("last_run"))
 
 
 @query("t8_resume", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")

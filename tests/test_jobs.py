@@ -172,3 +172,21 @@ def test_backfill(spark):
     result, totals = maintain.backfill(posts, landed, target, extract)
     assert totals.first().asDict() == {"posts": 2, "items": 3, "new_rows": 2, "errors": 1}
     assert {r.url for r in result.collect()} == {"https://acme.com/a", "https://b.com/long-story", "https://ads.com/x"}
+
+
+def test_monthly_counters_roll_over_and_batches_repeat(spark):
+    """Three files, one a batch; a month begins in the middle of one and ends in the next."""
+
+    folder, out, checkpoint = (scratch(spark, n) for n in ("calls", "totals", "checkpoint"))
+    files = [
+        [("2024-01-30 10:00:00", 0.1), ("2024-01-31 23:59:59", 0.2)],
+        [("2024-01-31 23:59:58", 0.3), ("2024-02-01 00:00:00", 0.4)],
+        [("2024-02-29 12:00:00", 0.5), ("2024-03-01 00:00:00", 0.6)],
+    ]
+    schema = "ts timestamp, cost double"
+    for rows in files:
+        df = spark.createDataFrame(rows, "t string, cost double").select(F.to_timestamp("t").alias("ts"), "cost")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        jobs.run_available(jobs.monthly_counters(jobs.read_stream(spark, folder, schema, 1), out, checkpoint))
+    got = {r.month: (r.calls, float(r.cost)) for r in jobs.latest_totals(spark, out).collect()}
+    assert got == {"2024-01": (3, 0.6), "2024-02": (2, 0.9), "2024-03": (1, 0.6)}
