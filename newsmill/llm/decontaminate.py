@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsmill.llm.common import pick
 from newsmill.llm.toxicity import text_buffers
-from newsmill.llm.winnow import BYTE_CODES, Hashes
+from newsmill.session import durable
 
 FOUND = "array<struct<item: long, start: int, end: int, edits: int>>"
 
@@ -61,137 +61,221 @@ class Walks:
 
     At step t a walk writes the letter it stands on, and steps on or not by a random bit that
     depends on t and the letter.  Strings a few edits apart meet again after each edit, so
-    their embeddings differ in few places.  ``tables`` repeats of sampling ``letters`` places
-    give the LSH keys.
+    their embeddings differ in few places.  ``tables`` repeats of sampling ``letters`` places,
+    spread over ``walks`` walks, give the LSH keys.
     """
 
     def __init__(self, tables: int, letters: int, walks: int, seed: int) -> None:
-        self.tables, self.letters, self.walks = tables, letters, walks
+        self.walks = walks
+        self.shape = ceil(tables / walks), letters
         self.seed = seed
-        self.steps: list[np.ndarray] = []
-
-    def embed(self, strings: list[bytes], walk: int, width: int) -> np.ndarray:
-        """A row of letters per string of up to ``width`` bytes, two steps for each of these."""
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        m = np.zeros((len(strings), width + 1), np.uint8)
-        for i, s in enumerate(strings):
-            m[i, : len(s)] = np.frombuffer(s, np.uint8)
+
+    def embed(self, strings: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
+        """A column of letters per row of ``strings`` (padded with zeros), two steps a byte."""
+        count, width = strings.shape
         rng = np.random.default_rng((self.seed, walk))
-        out = np.zeros((2 * width, len(strings)), np.uint8)
-        at, each = np.zeros(len(strings), np.int64), np.arange(len(strings))
+        out = np.zeros((2 * width, count), np.uint8)
+        flat = np.concatenate((strings, np.zeros((count, 1), np.uint8)), axis=1).reshape(-1)
+        first = np.arange(count) * (width + 1)
+        at, last = first.copy(), first + sizes
         for t in range(2 * width):
             step = rng.integers(0, 2, 256, dtype=np.int64)
-            letter = m[each, at]
+            letter = flat[at]
             out[t] = letter
-            at = np.minimum(at + step[letter], sizes)
-        return out.T
+            at = np.minimum(at + step[letter], last)
+        return out
+
+    def places(self, walk: int) -> np.ndarray:
+        """The sampled steps, as shares of all steps: a row per table."""
+        return np.random.default_rng((self.seed, walk, 1)).random(self.shape)
+
+
+def stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray, way: int, width: int) -> np.ndarray:
+    """A row per start: ``size`` bytes from there on, forward or (way -1) backward, then zeros."""
+    j = np.arange(width)
+    inside = j < size[:, None]
+    return np.where(inside, data[np.where(inside, start[:, None] + way * j, 0)], 0).astype(np.uint8)
+
 
-    def places(self, size: int, walk: int) -> np.ndarray:
-        """The sampled steps for strings of ``size`` bytes: a row per table."""
-        rng = np.random.default_rng((self.seed, walk, size))
-        return rng.integers(0, 2 * size, (ceil(self.tables / self.walks), self.letters))
+def runs(same: np.ndarray) -> np.ndarray:
+    """How many columns hold from the first on, by row."""
+    return np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1)) if same.shape[1] else np.zeros(len(same), np.int64)
+
+
+SEED_BYTES = (8, 5, 3, 2, 1)
+PAIRS = 1 << 18
+CELLS = 1 << 23
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Benchmark:
-    """The items of one block, ready to be looked for."""
+    """The items of one block, ready to be looked for.
+
+    An item with room for e edits is cut into e // 2 + 1 parts.  However e edits fall, a part
+    has at most one, so one of its halves stands in the text as it is and the other next to it
+    with at most one edit.  Such places are where an item can stand; none is missed.
+    """
 
-    def __init__(
-        self, items: list[tuple[int, bytes]], share: float, gram: int, walks: Walks
-    ) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], share: float, walks: Walks) -> None:
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.edits = [int(len(t) * share) for t in self.texts]
-        self.gram, self.walks = gram, walks
-        self.short = [k for k, t in enumerate(self.texts) if len(t) < gram]
-        hashes, item, offset = [], [], []
+        self.walks = walks
+        self.data = np.frombuffer(b"".join(self.texts) + bytes(8), np.uint8)
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(self.sizes)))
+        kinds: dict[tuple[bytes, bytes, int], int] = {}
+        places: list[tuple[int, ...]] = []
+        uses: list[tuple[int, int, int]] = []
         for k, t in enumerate(self.texts):
-            starts = np.arange(max(0, len(t) - gram + 1))
-            hashes.append(Hashes(BYTE_CODES[np.frombuffer(t, np.uint8)]).of(starts, starts + gram))
-            item.append(np.full(len(starts), k))
-            offset.append(starts)
-        none = [np.zeros(0, np.int64)]
-        hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item, self.offset = (np.concatenate(none + x)[order] for x in (item, offset))
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.keys: dict[int, list[np.ndarray]] = {}
-
-    def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, item, start) of item-sized windows that share a gram with the item in its place."""
-        n = len(data) - self.gram + 1
-        if n <= 0 or not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
-        starts = np.arange(n)
-        h = Hashes(BYTE_CODES[data]).of(starts, starts + self.gram)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
-        lo = np.searchsorted(self.hashes, h[at], "left")
-        hi = np.searchsorted(self.hashes, h[at], "right")
-        row = np.searchsorted(offsets, at, "right") - 1
-        ok = (hi > lo) & (at + self.gram <= offsets[row + 1])
-        at, lo, hi, row = at[ok], lo[ok], hi[ok], row[ok]
-        n = hi - lo
-        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        at, row = np.repeat(at, n), np.repeat(row, n)
-        found = np.unique(np.stack([row, self.item[entry], at - self.offset[entry]]), axis=1)
-        return found[0], found[1], found[2]
-
-    def item_keys(self, walk: int) -> list[np.ndarray]:
-        """The LSH keys of each item under one walk: a row of letters per table."""
-        if walk not in self.keys:
-            out: list[np.ndarray] = []
-            for part in range(0, len(self.texts), 4096):
-                texts = self.texts[part : part + 4096]
-                letters = self.walks.embed(texts, walk, max(1, max(map(len, texts))))
-                out += [
-                    row[self.walks.places(len(t), walk)] if t else row[:0] for row, t in zip(letters, texts)
-                ]
-            self.keys[walk] = out
-        return self.keys[walk]
-
-    def collide(self, windows: list[bytes], items: np.ndarray) -> np.ndarray:
-        """Does a window share an LSH key with its item?"""
-        w = self.walks
-        hit = np.zeros(len(windows), bool)
-        for walk in range(w.walks):
-            open_ = np.flatnonzero(~hit)
-            if not len(open_):
+            parts = self.edits[k] // 2 + 1
+            cuts = [len(t) * i // parts for i in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                c = (a + b + 1) // 2
+                for lo, hi, x, y, way in ((a, c, c, b, 1), (c, b, a, c, -1)):
+                    if lo == hi:
+                        continue
+                    kind = kinds.setdefault((t[lo:hi], t[x:y], way), len(kinds))
+                    if kind == len(places):
+                        places.append((self.base[k] + lo, hi - lo, self.base[k] + x, y - x, way))
+                    uses.append((kind, k, lo))
+        self.own, self.own_size, self.other, self.other_size, self.way = (
+            np.array(places, np.int64).reshape(-1, 5).T
+        )
+        used = np.array(sorted(uses), np.int64).reshape(-1, 3)
+        self.first_use = np.searchsorted(used[:, 0], np.arange(len(places) + 1))
+        self.item, self.offset = used[:, 1], used[:, 2]
+        self.seeds = []
+        left = np.ones(len(places), bool)
+        for q in SEED_BYTES:
+            mine = np.flatnonzero(left & (self.own_size >= q))
+            left[mine] = False
+            if len(mine):
+                grams = self.grams(self.data, q)[self.own[mine]]
+                order = np.argsort(grams, kind="stable")
+                maybe = np.zeros(1 << 20, bool)
+                maybe[self.slot(grams)] = True
+                self.seeds.append((q, grams[order], mine[order], maybe))
+
+    @staticmethod
+    def grams(data: np.ndarray, q: int) -> np.ndarray:
+        """The q bytes from each byte on, as numbers; the last 8 bytes of the data start none."""
+        grams = np.ndarray(max(0, len(data) - 8), "<u8", np.ascontiguousarray(data), strides=(1,))
+        return grams & np.uint64((1 << 8 * q) - 1)
+
+    @staticmethod
+    def slot(grams: np.ndarray) -> np.ndarray:
+        return (grams * ODD >> np.uint64(44)).astype(np.int64)
+
+    def near(self, data: np.ndarray, at: np.ndarray, kind: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which places have the kind's own half at ``at`` and the other, within one edit, next to it."""
+        size = self.own_size[kind]
+        fits = np.flatnonzero(at + size <= hi)
+        j = np.arange(size[fits].max(initial=0))
+        cell = j < size[fits, None]
+        mine, theirs = self.own[kind[fits], None] + j, at[fits, None] + j
+        same = self.data[np.where(cell, mine, 0)] == data[np.where(cell, theirs, 0)]
+        fits = fits[(same | ~cell).all(axis=1)]
+
+        kind, lo, hi, way = kind[fits], lo[fits, None], hi[fits, None], self.way[kind[fits], None]
+        size = self.other_size[kind]
+        width = int(size.max(initial=0))
+        j = np.arange(width)
+        cell = j < size[:, None]
+        from_item = self.other[kind, None] + np.where(way > 0, 0, size[:, None] - 1)
+        from_text = at[fits, None] + np.where(way > 0, self.own_size[kind, None], -1)
+        letters = self.data[np.where(cell, from_item + way * j, 0)]
+
+        def same_at(shift: int) -> np.ndarray:
+            place = from_text + way * (j + shift)
+            inside = cell & (place >= lo) & (place < hi)
+            return (inside & (letters == data[np.where(inside, place, 0)])) | ~cell
+
+        straight = same_at(0)
+        head, spare = runs(straight), width - size
+        replaced = head + runs(straight[:, ::-1]) - spare >= size - 1
+        longer = head + runs(same_at(1)[:, ::-1]) - spare >= size
+        shorter = head + runs(same_at(-1)[:, ::-1]) - spare >= size - 1
+        return fits[replaced | longer | shorter]
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item, byte of the item, place of this byte in the data), in bounded batches.
+
+        ``data`` ends with 8 bytes of no text."""
+        for q, grams, kinds, maybe in self.seeds:
+            of_text = self.grams(data, q)
+            at = np.flatnonzero(maybe[self.slot(of_text)])
+            lo = np.searchsorted(grams, of_text[at], "left")
+            n = np.searchsorted(grams, of_text[at], "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            for which, entry in expand(lo, n):
+                place, kind = at[which], kinds[entry]
+                row = np.searchsorted(offsets, place, "right") - 1
+                ok = self.near(data, place, kind, offsets[row], offsets[row + 1])
+                place, kind, row = place[ok], kind[ok], row[ok]
+                for which, use in expand(self.first_use[kind], self.first_use[kind + 1] - self.first_use[kind]):
+                    yield row[which], self.item[use], self.offset[use], place[which]
+
+    def collide(
+        self, data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, offset: np.ndarray
+    ) -> np.ndarray:
+        """Does the item-sized window whose byte ``at`` is the item's byte ``offset`` share an LSH
+        key with the item?  Walks start at this byte, one to the end and one to the beginning."""
+        after, mine = self.sizes[item] - offset, self.base[item] + offset
+        hit = np.zeros(len(at), bool)
+        for walk in range(self.walks.walks):
+            i = np.flatnonzero(~hit)
+            if not len(i):
                 break
-            width = max(len(self.texts[k]) for k in items[open_].tolist())
-            letters = w.embed([windows[i] for i in open_], walk, width)
-            for k in np.unique(items[open_]).tolist():
-                mine = np.flatnonzero(items[open_] == k)
-                places = w.places(len(self.texts[k]), walk)
-                same = (letters[mine][:, places] == self.item_keys(walk)[k]).all(axis=2).any(axis=1)
-                hit[open_[mine[same]]] = True
+            right, left = int(after[i].max()), int(offset[i].max())
+            text, own = [], []
+            for start, shift, way, size, width in ((at, 0, 1, after, right), (at, -1, -1, offset, left)):
+                room = hi - at if way > 0 else at - lo
+                for out, source, first, n in (
+                    (text, data, start + shift, np.minimum(size, room)), (own, self.data, mine + shift, size)
+                ):
+                    out.append(self.walks.embed(stretches(source, first[i], n[i], way, width), n[i], walk))
+            steps = (self.walks.places(walk)[..., None] * (2 * self.sizes[item[i]])).astype(np.int64)
+            turn = 2 * after[i]
+            rows = np.where(steps < turn, steps, steps - turn + 2 * right)
+            each = np.arange(len(i))
+            same = np.concatenate(text)[rows, each] == np.concatenate(own)[rows, each]
+            hit[i] = same.all(axis=1).any(axis=0)
         return hit
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits), each item once a text, where it fits best."""
-        rows, items, starts = self.windows(data, offsets)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for part in range(0, len(rows), 4096):
-            r, k, s = (x[part : part + 4096] for x in (rows, items, starts))
-            size = np.array([len(self.texts[i]) for i in k], np.int64)
-            lo, hi = np.maximum(s, offsets[r]), np.minimum(s + size, offsets[r + 1])
-            hit = self.collide([data[a:b].tobytes() for a, b in zip(lo, hi)], k)
-            for i in np.flatnonzero(hit).tolist():
-                row, item, room = int(r[i]), int(k[i]), self.edits[int(k[i])]
-                a = max(int(s[i]) - room, int(offsets[row]))
-                b = min(int(s[i] + size[i]) + room, int(offsets[row + 1]))
-                edits, end = edit_distance_within(self.texts[item], data[a:b].tobytes())
-                if edits <= room and edits < best.get((row, item), (room + 1,))[0]:
-                    end += a - int(offsets[row])
-                    best[row, item] = edits, max(0, end - len(self.texts[item])), end
-        for k in self.short:
-            text = self.texts[k]
-            for row in range(len(offsets) - 1) if text else ():
-                at = data[offsets[row] : offsets[row + 1]].tobytes().find(text)
-                if at >= 0:
-                    best[row, k] = 0, at, at + len(text)
-        for (row, item), (edits, start, end) in best.items():
-            yield row, self.ids[item], start, end, edits
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        for batch in self.candidates(padded, offsets):
+            longest = int(self.sizes[batch[1]].max(initial=1))
+            size = max(1, CELLS // longest)
+            for part in range(0, len(batch[0]), size):
+                row, item, offset, at = (x[part : part + size] for x in batch)
+                lo, hi = offsets[row], offsets[row + 1]
+                hit = self.collide(padded, at, lo, hi, item, offset)
+                found = np.unique(np.stack([row, item, at - offset])[:, hit], axis=1)
+                for r, k, s in found.T.tolist():
+                    room = self.edits[k]
+                    a = max(s - room, int(offsets[r]))
+                    b = min(s + len(self.texts[k]) + room, int(offsets[r + 1]))
+                    edits, end = edit_distance_within(self.texts[k], data[a:b].tobytes())
+                    fit = edits, end + a - int(offsets[r])
+                    if edits <= room and fit < best.get((r, k), (room + 1, 0)):
+                        best[r, k] = fit
+        for (row, k), (edits, end) in best.items():
+            yield row, self.ids[k], max(0, end - len(self.texts[k])), end, edits
+
+
+def expand(lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, entry) for each entry lo[i] to lo[i] + n[i], in batches of about ``PAIRS``."""
+    total = np.concatenate(([0], np.cumsum(n)))
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, "right")) - 1)
+        which = np.repeat(np.arange(first, last), n[first:last])
+        yield which, lo[which] + np.arange(len(which)) - (total[which] - total[first])
+        first = last
 
 
 def tables_for(recall: float, agreement: float, letters: int) -> int:
@@ -208,34 +292,35 @@ def passage_finders(
     recall: float = 0.99,
     agreement: float = 0.35,
     letters: int = 3,
-    gram: int = 16,
     block_bytes: int = 4 << 20,
     seed: int = 42,
-) -> list:
-    """Functions of a text column, one a block of the benchmark: the passages found in a text.
+) -> Iterator[tuple[int, object]]:
+    """(blocks, function of a text column) for each block of the benchmark: the passages found.
 
-    A passage is a stretch at most ``share`` of the item's length in edits from the item,
-    both in UTF-8 bytes with A-Z lower-cased and blanks as single spaces.  Windows of an item's
-    size that have ``gram`` bytes of it in place are embedded by CGK walks; those that meet the
+    A passage is a stretch at most ``share`` (under a half) of the item's length in edits from
+    the item, both in UTF-8 bytes with A-Z lower-cased and blanks as single spaces.  Windows of
+    an item's size are looked at where a part of the item stands with at most one edit, which
+    misses no passage (see ``Benchmark``).  They are embedded by CGK walks; those that meet the
     item in one of the sampled LSH tables are verified by exact edit distance with the text
     around.  ``tables_for`` sets the number of tables from ``recall`` and the ``agreement`` that
-    embeddings ``share`` edits apart still have.  Items shorter than ``gram`` bytes are only
-    found whole; empty and null items never.
+    embeddings ``share`` edits apart still have.  Items of all lengths go the same way; empty
+    and null items are never found.
 
     The benchmark goes to the executors in blocks of about ``block_bytes``, each scanned
-    against all texts; its size does not matter otherwise.
+    against all texts; its size does not matter otherwise.  A block is fetched when it is asked
+    for.
     """
+    if not 0 <= share < 0.5:
+        raise ValueError("share must be at least 0 and under 0.5")
     items = pick(benchmark, item=id_col, text=text_col).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_bytes))
-    tables = tables_for(recall, agreement, letters)
-    return [
-        _finder(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), share, gram, tables, letters, seed)
-        for b in range(blocks)
-    ]
+    walks = Walks(tables_for(recall, agreement, letters), letters, 4, seed)
+    for b in range(blocks):
+        yield blocks, _finder(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), share, walks)
 
 
-def _finder(items: DataFrame, share: float, gram: int, tables: int, letters: int, seed: int):
+def _finder(items: DataFrame, share: float, walks: Walks):
     rows = [(int(r.item), r.text) for r in items.collect()]
     sent = items.sparkSession.sparkContext.broadcast(rows)
     kept: list[Benchmark] = []
@@ -246,7 +331,7 @@ def _finder(items: DataFrame, share: float, gram: int, tables: int, letters: int
             for item, text in sent.value:
                 data = np.frombuffer(text.encode(), np.uint8)
                 plain.append((item, normalised(data, np.array([0, len(data)]))[0].tobytes().strip()))
-            kept.append(Benchmark(plain, share, gram, Walks(tables, letters, 4, seed)))
+            kept.append(Benchmark(plain, share, walks))
         return kept[0]
 
     kind = pa.list_(
@@ -274,17 +359,20 @@ def contaminated(
     Repeated rows are reported each; repeated items once per row of the benchmark.
     """
     texts = pick(df, doc_id=id_col, text=text_col)
-    parts = []
-    for find in passage_finders(benchmark, **options):
-        parts.append(texts.select("doc_id", F.explode(find("text")).alias("f")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", F.col("f.item").alias("item_id"), "f.start", "f.end", "f.edits")
+    out = None
+    for blocks, find in passage_finders(benchmark, **options):
+        part = texts.select("doc_id", F.explode(find("text")).alias("f"))
+        part = part.select("doc_id", F.col("f.item").alias("item_id"), "f.start", "f.end", "f.edits")
+        if blocks > 1:
+            part = durable(part, "passages")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows, columns as they are, whose text holds no passage of the benchmark."""
-    for find in passage_finders(benchmark, **options):
+    for blocks, find in passage_finders(benchmark, **options):
         df = df.where(F.coalesce(F.size(find(F.col(f"`{text_col}`"))), F.lit(0)) == 0)
+        if blocks > 1:
+            df = durable(df, "clean")
     return df
