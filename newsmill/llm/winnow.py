@@ -17,6 +17,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE = np.uint64((1 << 24) - 1)
 STRETCH = 1 << 23
+LONG_WORD = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,8 +81,15 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code per word.  Words over ``LONG_WORD`` bytes are digested one by one: modulo 2^64
+    there are words of about a thousand letters whose polynomials are equal."""
+    from xxhash import xxh3_64_intdigest
+
     starts, ends, bounds = words_of(data, offsets)
-    return Hashes(BYTE_CODES[data]).of(starts, ends), bounds
+    codes = Hashes(BYTE_CODES[data]).of(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        codes[i] = xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(BASE))
+    return codes, bounds
 
 
 @dataclass
