@@ -80,6 +80,12 @@ def present(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
+def trimmed(values: Column) -> Column:
+    """The elements trimmed; ``F.trim`` itself as the function of a transform would take the place
+    of an element for the characters to cut off."""
+    return F.transform(values, lambda v: F.trim(v))
+
+
 # Unicode white space; what a shorthand class of the regular expressions leaves out.
 BLANKS = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
