@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
+from newsmill.functions.arrays import trimmed
 from newsmill.operators import rules as rl
 from newsmill.suite.base import (
     LINKS, NEWS, absolute_sql, clean_url_sql, ends_any, has_any, links, netloc_sql, news,
@@ -323,7 +324,7 @@ LINES = """lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, trim(unnest(l)
 
 
 def doc_lines(spark, sf):
-    lines = F.transform(F.split("text", "\n"), F.trim)
+    lines = trimmed(F.split("text", "\n"))
     return unnest(table(spark, sf, "documents"), lines, "line", "pos", "doc_id")
 
 
