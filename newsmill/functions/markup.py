@@ -47,8 +47,9 @@ _OLD = {old: new for old, new in _OLD.items() if new}
 
 def _by_number(reference: Column) -> Column:
     """The character of a decimal or hexadecimal reference."""
-    hexed = F.regexp_extract(reference, "^&#[xX]([0-9A-Fa-f]+)", 1)
-    number = F.when(hexed == "", F.regexp_extract(reference, "^&#([0-9]+)", 1)).otherwise(F.conv(hexed, 16, 10)).try_cast("long")
+    hexed = F.regexp_extract(reference, "^&#[xX]0*([0-9A-Fa-f]+)", 1)
+    # A number of more than eight digits is no character, and conv fails beyond 64 bits.
+    number = F.when(hexed == "", F.regexp_extract(reference, "^&#([0-9]+)", 1)).when(F.length(hexed) <= 8, F.conv(hexed, 16, 10)).try_cast("long")
     known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     code = F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0"))
     return F.translate(F.decode(code, "UTF-32"), "".join(_OLD), "".join(_OLD.values()))

@@ -120,12 +120,26 @@ def absolute_sql(h: str, b: str) -> str:
     )
 
 
+def _map_sql(names: dict[str, str]) -> str:
+    keys, values = (f"string_split({q(chr(1).join(side))}, chr(1))" for side in (names, names.values()))
+    return f"MAP({keys}, {values})"
+
+
 def unescape_sql(text: str) -> str:
+    """All references of the standard, each read once: by name, with or without the semicolon where
+    the standard has both, and by number."""
     from newsmill import fixed
 
-    for name, char in fixed.CHARACTER_ENTITIES:
-        text = f"replace({text}, {q(name)}, {q(char)})"
-    return text
+    hexed = "'0x' || nullif(regexp_extract(r, '^&#[xX]0*([0-9A-Fa-f]+)', 1), '')"
+    number = f"coalesce(TRY_CAST({hexed} AS BIGINT), TRY_CAST(regexp_extract(r, '^&#([0-9]+)', 1) AS BIGINT), 0)"
+    known = f"CASE WHEN {number} BETWEEN 1 AND 1114111 AND {number} NOT BETWEEN 55296 AND 57343 THEN {number} ELSE 65533 END"
+    by_number = f"translate(chr(CAST({known} AS INTEGER)), {q(''.join(markup._OLD))}, {q(''.join(markup._OLD.values()))})"
+    common, every = _map_sql(dict(fixed.CHARACTER_ENTITIES)), _map_sql(markup._NAMES)
+    char = (
+        f"CASE WHEN NOT starts_with(r, '&') OR r = '&' THEN r WHEN starts_with(r, '&#') THEN {by_number} "
+        f"ELSE coalesce({common}[r], {every}[r], r) END"
+    )
+    return f"array_to_string(list_transform(regexp_extract_all({text}, {q(markup._REFERENCE)}, 1), lambda r: {char}), '')"
 
 
 def plain_sql(html: str, sep: str = " ") -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsmill import fixed
 from newsmill.functions import dates, markup, text as tx, urls
+from newsmill.functions.arrays import trimmed
 from newsmill.functions.patterns import any_word
 from newsmill.operators.dedup import drop_contained
 
@@ -185,3 +186,25 @@ def test_article_text_of_any_mark_up(spark):
     assert values(spark, ["", None, "<p", "a < b"], markup.article_text("t")) == ["", None, "", "a < b"]
     long = "<article>" + "<p>word</p>" * 40_000 + "</article>"
     assert values(spark, [long], markup.article_text("t")) == [" ".join(["word"] * 40_000)]
+
+
+def test_trimmed_takes_blanks_not_places(spark):
+    lines = ["048 a ", " 1x1", " 22 b2 "]
+    text = "\n".join(lines)
+    assert values(spark, [text], trimmed(F.split("t", "\n"))) == [["048 a", "1x1", "22 b2"]]
+    assert values(spark, ["0 One two. 148.9 is it!  22 of 2"], tx.sentences("t")) == [["0 One two.", "148.9 is it!", "22 of 2"]]
+
+
+def test_references_in_sql(spark):
+    """The SQL next to the queries reads character references as the expression does."""
+    import duckdb
+
+    from newsmill.suite.base import q, unescape_sql
+
+    texts = [
+        "a&ampb &amp;lt; &amp &a &am &notit; &notx &quot", "&#233;&#x2014 &#150; &#0; &#xD800; &#x0000000041;",
+        "&#xFFFFFFFFFFFFFFFFFFFF; &#99999999999999999999; &#; &#x;", "&NewLine;|&Tab;|&nbsp;|&nbsp| & &&;", "", "no\nreference",
+    ]
+    sql = duckdb.connect().sql(" UNION ALL ".join(f"SELECT {unescape_sql(q(t))}" for t in texts)).fetchall()
+    assert values(spark, texts, markup.unescape("t")) == [r[0] for r in sql]
+    assert sql[0][0] == 'a&b &lt; & &a &am &notit; ¬x "'
