@@ -190,3 +190,28 @@ def test_monthly_counters_roll_over_and_batches_repeat(spark):
         jobs.run_available(jobs.monthly_counters(jobs.read_stream(spark, folder, schema, 1), out, checkpoint))
     got = {r.month: (r.calls, float(r.cost)) for r in jobs.latest_totals(spark, out).collect()}
     assert got == {"2024-01": (3, 0.6), "2024-02": (2, 0.9), "2024-03": (1, 0.6)}
+
+
+def test_video_lines_are_trimmed_and_spoken_once(spark, tmp_path):
+    """C14: digits at the ends of a line stay, and of equal neighbours one is spoken, in the SQL too."""
+    from newsmill.suite import ORACLES, QUERIES
+    from newsmill.suite.check import compare
+
+    text = "0 A title of sixteen words, more or less.\n19.7 is spoken here, but only once.\n 19.7 is spoken here, but only once. \n7\nLast of all stands 33 and 3"
+    spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, schema in (("orders", "o_orderkey long, o_orderstatus string, o_orderdate timestamp"), ("labels", "doc_id long, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    chars = QUERIES["c14_video_items"](spark, str(tmp_path)).first().chars
+    spoken = "0 A title of sixteen words, more or less. 19.7 is spoken here, but only once. Last of all stands 33 and 3"
+    assert chars == spoken.rindex(".") + 1
+    con = duck_of(tmp_path, "documents", "orders", "labels")
+    assert compare(spark, con, "c14_video_items", QUERIES["c14_video_items"], ORACLES["c14_video_items"], str(tmp_path))[0]
+
+
+def duck_of(folder, *tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con
