@@ -105,7 +105,7 @@ def merged_totals(
     out: str,
     checkpoint: str,
 ):
-    """Totals per key that go on from batch to batch, kept as a table and not as state.
+    """Totals per key that go on from batch to batch, kept as a table and not as state.
 
     ``totals`` names each column with its way of adding up (sum, min or max) and the value of a
     row.  A batch is aggregated on its own, added to the totals that the batch before it left,
@@ -140,6 +140,24 @@ def monthly_counters(calls: DataFrame, out: str, checkpoint: str):
     return merged_totals(month, ["month"], {"calls": ("sum", F.lit(1).cast("long")), "cost": ("sum", cost)}, out, checkpoint)
 
 
+def daily_totals(calls: DataFrame, out: str, checkpoint: str):
+    """Calls and cost of every day that has calls, the last one included; late calls count too."""
+    day = calls.withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    cost = F.col("cost").cast("decimal(38,10)")
+    return merged_totals(
+        day, ["day"], {"calls": ("sum", F.lit(1).cast("long")), "cost_estimate": ("sum", cost)}, out, checkpoint
+    )
+
+
+def sliding_totals(
+    calls: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = (), slide: str = "10 seconds"
+):
+    """T4: calls per 60-second window that moves by ``slide``, for every window that has calls."""
+    rows = calls.select(*keys, F.window(F.col("ts").cast("timestamp"), "60 seconds", slide).alias("window"))
+    starts = rows.select(*keys, F.col("window.start").alias("start"))
+    return merged_totals(starts, [*keys, "start"], {"calls": ("sum", F.lit(1).cast("long"))}, out, checkpoint)
+
+
 def task_totals_stream(calls: DataFrame, out: str, checkpoint: str):
     """Running totals per task with the last run."""
     last = F.col("ts").cast("timestamp")

@@ -215,3 +215,13 @@ def duck_of(folder, *tables):
     for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     return con
+
+
+def test_totals_of_days_and_windows_leave_no_call_out(spark, sf):
+    """Every call is in a day and in six windows, those of the last day and minute too."""
+    from newsmill.suite import QUERIES
+
+    n, last = spark.read.parquet(f"{sf}/events.parquet").agg(F.count("*"), F.date_format(F.max("ts"), "yyyy-MM-dd 00:00:00")).first()
+    days = {r.day: r.calls for r in QUERIES["t3_daily_counters"](spark, sf).collect()}
+    assert sum(days.values()) == n and last in days
+    assert QUERIES["t4_sliding_minute"](spark, sf).agg(F.sum("calls")).first()[0] == 6 * n
