@@ -49,6 +49,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five-word shingles at similarity 0.8 or more) the document
     with the least id, and of rows with equal id and text one.
 
+    SimHashes are linked through BK-trees first, as in op4; MinHash buckets find the pairs at 0.8
+    whose SimHashes lie further apart.  Every link is verified on the whole texts.
+
     Rows of one id with different texts stay or go together.  Rows without an id are compared
     with nothing but each other, and only whole: of those with one text, one stays."""
     groups = near_copies.near_copies(docs)

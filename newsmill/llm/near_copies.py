@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, exact verification."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links through BK-trees, MinHash
+buckets for what they leave apart, exact verification of both."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsmill.llm.common import components, pick
+from newsmill.llm.simhash import fingerprint, fingerprint_links
 from newsmill.session import durable
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,8 +63,8 @@ def _apart(a: Column, b: Column) -> Column:
 
 
 def with_buckets(texts: DataFrame, words: int, bands: int, rows: int, seed: int = 42) -> DataFrame:
-    """(doc_id, key, size, buckets, w0, ...): the shingle set's hash and size, a bucket per band of
-    ``rows`` MinHashes, and four bits of each MinHash in longs w0, w1, ..."""
+    """(doc_id, key, size, fp, buckets, w0, ...): the shingle set's hash and size, the text's SimHash,
+    a bucket per band of ``rows`` MinHashes, and four bits of each MinHash in longs w0, w1, ..."""
 
     longs = sketch_longs(bands, rows)
 
@@ -74,12 +76,13 @@ def with_buckets(texts: DataFrame, words: int, bands: int, rows: int, seed: int
         factors, terms = (rng.integers(0, 1 << 64, bands * rows, dtype=np.uint64) for _ in range(2))
         factors |= np.uint64(1)
         for batch in batches:
-            keys, sizes, buckets, bits = [], [], [], []
+            keys, sizes, prints, buckets, bits = [], [], [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), words)
                 low = minima(shingles, factors, terms)
                 keys.append(set_key(shingles))
                 sizes.append(len(shingles))
+                prints.append(fingerprint(text.as_py(), words, seed))
                 found = np.array([xxh64_intdigest(b.tobytes(), seed) for b in low.reshape(bands, rows)], np.uint64)
                 buckets.append(found.view(np.int64))
                 nibbles = np.zeros((longs, 16), np.uint64)
@@ -87,14 +90,14 @@ def with_buckets(texts: DataFrame, words: int, bands: int, rows: int, seed: int
                 bits.append((nibbles << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1).view(np.int64))
             yield pa.record_batch(
                 [
-                    batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+                    batch.column(0), *(pa.array(c, pa.int64()) for c in (keys, sizes, prints)),
                     pa.array(buckets, pa.list_(pa.int64())), *map(pa.array, np.array(bits, np.int64).reshape(-1, longs).T),
                 ],
-                ["doc_id", "key", "size", "buckets", *(f"w{i}" for i in range(longs))],
+                ["doc_id", "key", "size", "fp", "buckets", *(f"w{i}" for i in range(longs))],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(each, f"doc_id {kind}, key long, size long, buckets array<long>" + "".join(f", w{i} long" for i in range(longs)))
+    return texts.mapInArrow(each, f"doc_id {kind}, key long, size long, fp long, buckets array<long>" + "".join(f", w{i} long" for i in range(longs)))
 
 
 def _own_bodies(bodies: DataFrame, words: int) -> DataFrame:
@@ -128,6 +131,15 @@ def _verified(pairs: DataFrame, words: int, threshold: float) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(each, "u long, v long")
 
 
+def _print_pairs(heads: DataFrame) -> DataFrame:
+    """(u, v): keys whose SimHashes are equal or linked, a tree of pairs per group."""
+    least = durable(heads.where("size > 0").groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    equal = heads.join(least, "fp").where("key != least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+    near = fingerprint_links(least).join(a, "u").join(b, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return equal.unionByName(near)
+
+
 def near_copies(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -140,7 +152,9 @@ def near_copies(
     """(doc_id, component_id) of documents linked by pairs whose sets of word shingles have a
     Jaccard similarity of ``threshold`` or more.
 
-    Texts with equal sets are one node.  Pairs are looked for in buckets of ``rows`` equal
+    Texts with equal sets are one node.  SimHashes at most four bits apart are linked through
+    BK-trees, shard by shard; of a group of them a tree of pairs is verified, and what is similar
+    enough starts as one component.  Other pairs are looked for in buckets of ``rows`` equal
     MinHashes, ``bands`` of them a text: a pair of similarity s meets with probability
     1 - (1 - s^rows)^bands, 99.96 % at 0.8.  Each is verified on the whole shingle sets before
     it links.  In a bucket all are compared with its first members, then those still apart from
@@ -160,6 +174,7 @@ def near_copies(
         prints.groupBy("key").agg(
             F.min("doc_id").alias("head"),
             *[F.any_value(c).alias(c) for c in ("size", *sketch, "buckets")],
+            F.min("fp").alias("fp"),
         ),
         "heads",
     )
@@ -168,18 +183,20 @@ def near_copies(
     seats = durable(seats.join(crowded, ["band", "bucket"]), "seats")
     crowd = seats.groupBy("key").agg(F.sum("count").alias("crowd"))
     seats = durable(seats.drop("count").join(crowd, "key"), "ranked")
-    wanted = seats.select("key").distinct().join(heads.select("key", F.col("head").alias("doc_id")), "key")
+    by_print = durable(_print_pairs(heads), "print_pairs")
+    asked = seats.select("key").unionByName(by_print.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    wanted = asked.join(heads.select("key", F.col("head").alias("doc_id")), "key")
     bodies = durable(
         _own_bodies(texts.join(wanted, "doc_id").select("key", "text"), words).dropDuplicates(["key"]), "bodies"
     )
-    links, roots, centres = None, None, 1
+    u, v = (bodies.select(F.col("key").alias(c), F.col("text").alias(f"t{c}")) for c in ("u", "v"))
+    links = durable(_verified(by_print.join(u, "u").join(v, "v"), words, threshold), "print_links")
+    roots, centres = durable(components(links).select(F.col("node").alias("key"), "root"), "roots"), 1
     # four bits of a MinHash differ in 15 / 16 (1 - s) of cases; five standard deviations more are let pass
     p = (1 - threshold) * 15 / 16
     most = int(bands * rows * p + 5 * (bands * rows * p * (1 - p)) ** 0.5)
     while True:
-        seats = seats.withColumn("root", F.col("key")) if roots is None else (
-            seats.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        )
+        seats = seats.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = seats.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
         seats = durable(seats.join(mixed.where("a != b").select("band", "bucket"), ["band", "bucket"]), "seats")
         if seats.isEmpty():
@@ -199,16 +216,12 @@ def near_copies(
             .distinct(),
             "pairs",
         )
-        u, v = (bodies.select(F.col("key").alias(c), F.col("text").alias(f"t{c}")) for c in ("u", "v"))
         found = durable(_verified(pairs.join(u, "u").join(v, "v"), words, threshold), "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots = durable(components(links).select(F.col("node").alias("key"), "root"), "roots")
         seats = seats.drop("root").join(heart.select("band", "bucket", "key"), ["band", "bucket", "key"], "left_anti")
         centres *= 16
-    nodes = heads.select("key", "head") if roots is None else (
-        heads.select("key", "head").join(roots, "key", "left")
-    )
-    nodes = nodes.withColumn("root", F.col("key") if roots is None else F.coalesce("root", "key"))
+    nodes = heads.select("key", "head").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = nodes.groupBy("root").agg(F.min("head").alias("component_id"))
     placed = durable(nodes.join(least, "root").select("key", "component_id"), "placed")
     members = prints.select("doc_id", "key").distinct().join(placed, "key")

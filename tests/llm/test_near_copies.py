@@ -58,3 +58,20 @@ def test_near_copies_by_brute_force(spark):
     out = [r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()]
     assert out.count(None) == 1
     assert sorted(d for d in out if d is not None) == kept(rows)
+
+
+def test_prints_link_before_buckets(spark):
+    """Texts whose SimHashes lie within four bits are linked through the BK-trees, one pair of them
+    beside those with equal prints, and only where they are similar enough."""
+    from newsmill.llm.near_copies import _print_pairs, near_copies
+    from newsmill.llm.simhash import fingerprint
+
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[:i] + ["x"] + words[i + 1 :]) for i in (5, 200, 390)} | {1: "other text of few words here", 2: " ".join(reversed(words))}
+    prints = {i: fingerprint(t, 5, 42) for i, t in texts.items()}
+    heads = spark.createDataFrame([(i, 9, p) for i, p in prints.items()], "key long, size long, fp long")
+    near = {(a, b) for a in texts for b in texts if a < b and bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 4}
+    got = {tuple(sorted(r)) for r in _print_pairs(heads).collect()}
+    assert near and got <= near and {x for p in got for x in p} == {x for p in near for x in p}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies(df).collect()} == {5: 5, 200: 5, 390: 5}
