@@ -9,6 +9,7 @@ never shuffled, and never repeated per candidate.  The driver and a task hold at
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -99,20 +100,46 @@ def _all_in(rows: list[Row], ascii_boundary: bool) -> Callable[[], Scan]:
     return build
 
 
+_EDGE = "\x00"
+
+
+def _edged(text: str, boundary: re.Pattern) -> str:
+    """The text with a mark at every word boundary."""
+    return _EDGE.join(boundary.split(text))
+
+
 def _counts(rows: list[Row], ascii_boundary: bool) -> Callable[[], Scan]:
-    """How often each string stands as a word; a string does not overlap itself."""
+    """How often each string stands as a word; a string does not overlap itself.
+
+    Texts and strings get a mark at every word boundary, and strings one at both ends, so the
+    automaton stops at whole words only, not at every place where their letters stand."""
     strings = [r["_string"] for r in rows]
 
     def build() -> Scan:
-        automaton = _automaton(strings)
+        boundary = re.compile(r"\b", re.ASCII if ascii_boundary else 0)
+        edged = [_EDGE + _edged(s, boundary).removeprefix(_EDGE).removesuffix(_EDGE) + _EDGE for s in strings]
+        whole = _automaton(edged)
+        sizes = [len(e) for e in edged]
+        plain: list = []  # for texts that hold the mark itself; built when there is one
+
+        def scan_plain(text: str):
+            if not plain:
+                plain.append(_automaton(strings))
+            for last, i in plain[0].iter(text):
+                start = last + 1 - len(strings[i])
+                if _bounded(text, start, last + 1, ascii_boundary):
+                    yield start, last + 1, i
+
+        def scan_edged(text: str):
+            for last, i in whole.iter(_edged(text, boundary)):
+                yield last + 1 - sizes[i], last, i  # the mark at the end may begin the next
 
         def scan(text: str):
             free: dict[int, int] = {}
             counts: dict[int, int] = {}
-            for last, i in automaton.iter(text):
-                start = last + 1 - len(strings[i])
-                if start >= free.get(i, 0) and _bounded(text, start, last + 1, ascii_boundary):
-                    free[i] = last + 1
+            for start, stop, i in (scan_plain if _EDGE in text else scan_edged)(text):
+                if start >= free.get(i, 0):
+                    free[i] = stop
                     counts[i] = counts.get(i, 0) + 1
             return [{"string": strings[i], "n": n} for i, n in counts.items()]
 
