@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from newsmill import fixed
 from newsmill.functions.arrays import (
-    col, contains_any, ends_with_any, first_chars, first_items,
+    BLANK, any_of, col, contains_any, ends_with_any, first_chars, first_items,
     first_present, let,
     lookup, present, squeeze, starts_with_any, strings, trimmed,
 )
@@ -446,8 +448,33 @@ def keep_or_summarise(text: Column | str, summary: Column | str, most: int | Non
 def is_chart_topic(title: Column | str, ascii_boundary: bool = False) -> Column:
     """Chart-trading titles."""
     t = col(title)
-    pattern = "(?iu)" + "|".join(bounded(p, ascii_boundary) for p in fixed.CHART_TOPIC_PATTERNS)
-    return t.rlike(pattern) | contains_any(F.lower(t), fixed.CHART_TOPIC_KEYWORDS)
+
+    def named(low: Column) -> Column:
+        # A pattern is only tried on texts that hold all its letters.
+        return any_of(
+            reduce(lambda a, b: a & b, [F.contains(low, F.lit(part)) for part in _literals(p)])
+            & t.rlike("(?iu)" + bounded(p, ascii_boundary))
+            for p in fixed.CHART_TOPIC_PATTERNS
+        )
+
+    return contains_any(F.lower(t), fixed.CHART_TOPIC_KEYWORDS) | let(_folded(t), named)
+
+
+def _literals(pattern: str) -> list[str]:
+    """Stretches of lower-cased letters and blanks that every match of a simple pattern holds,
+    longest first."""
+    always = re.sub(r"\([^)]*\)\?", "|", pattern).replace(r"\b", "|")
+    return sorted((p.lower() for p in re.findall("[A-Za-z ]+", always)), key=len, reverse=True)
+
+
+# Letters that equal ASCII ones when case is ignored by Unicode, but not in lower case.
+_FOLDS = {"\u017f": "s", "\u0131": "i", "\u0130": "i", "\u212a": "k"}
+
+
+def _folded(text: Column) -> Column:
+    """Lower case in which ASCII letters stand wherever a pattern without case would match them."""
+    odd = any_of(F.contains(text, F.lit(c)) for c in _FOLDS)
+    return F.lower(F.when(odd, F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values()))).otherwise(text))
 
 
 def is_suppressed_topic(
