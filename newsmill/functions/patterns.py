@@ -30,7 +30,14 @@ def bounded(pattern: str, ascii_boundary: bool = False) -> str:
     """
     word = ASCII_WORD if ascii_boundary else UNICODE_WORD
     opened = re.sub(r"\\b(?=[A-Za-z(\[])", lambda m: f"(?<!{word})", pattern)
-    return opened.replace(r"\b", f"(?!{word})")
+    return _ahead(pattern) + opened.replace(r"\b", f"(?!{word})")
+
+
+def _ahead(pattern: str) -> str:
+    """A look at the first character of a match, cheaper than the look back at the boundary."""
+    first = re.match(r"\\b\(?(\[[A-Za-z-]+\])(?![*?]|\\{0)", pattern)
+    alone = first and not re.search(r"\|", re.sub(r"\(\?:[^()]*\)", "", pattern))
+    return f"(?={first[1]})" if alone else ""
 
 
 def any_word(terms: Iterable[str], ascii_boundary: bool = False) -> str:

@@ -94,14 +94,16 @@ def match_entities(
         "keywords",
     )
     exploded = unnest(read, "_keywords", "keyword", "pos", *key, "_suffixes")
-    # a repeated keyword counts once
-    kws = exploded.groupBy(*key, F.lower("keyword").alias("_kw")).agg(
+    exploded = exploded.withColumn("_kw", F.lower("keyword"))
+    candidates = durable(keyword_candidates(exploded, catalogue), "candidates")
+    # Most keywords name nothing, and go before anything is grouped; a repeated one counts once.
+    kws = exploded.join(candidates.select("_kw").distinct(), "_kw", "left_semi").groupBy(*key, "_kw").agg(
         F.min(F.struct("pos", "keyword", "_suffixes")).alias("_first")
     ).select(*key, "_kw", "_first.*")
     in_text = unnest(read, "_names", "_found", "_i", *key).select(
         *key, F.col("_found.string").alias("_name"), F.col("_found.word").alias("_word")
     )
-    hits = skew_join(kws, keyword_candidates(kws, catalogue), "_kw")
+    hits = skew_join(kws, candidates, "_kw")
     scored = hits.join(in_text, [*key, "_name"], "left").withColumn(
         "score", tx.score_of_facts("_parts", "_word", "_suffixes")
     )
