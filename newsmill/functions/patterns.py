@@ -44,12 +44,16 @@ def any_word(terms: Iterable[str], ascii_boundary: bool = False) -> str:
     """Alternation of literal terms as whole words, case ignored, in their order."""
     word = ASCII_WORD if ascii_boundary else UNICODE_WORD
     both = _boundary(word)
+    terms = list(terms)
+    plain = all(t[:1].isalnum() for t in terms)
     out = []
     for t in terms:
-        left = f"(?<!{word})" if t[:1].isalnum() else both
+        left = "" if plain else f"(?<!{word})" if t[:1].isalnum() else both
         right = f"(?!{word})" if t[-1:].isalnum() else both
         out.append(left + r"\Q" + t + r"\E" + right)
-    return "(?iu)(" + "|".join(out) + ")"
+    # Where all terms begin with a word character, that is looked at once, before the boundary.
+    ahead = f"(?=[{''.join(sorted({t[0] for t in terms}))}])(?<!{word})" if plain and terms else ""
+    return f"(?iu){ahead}(" + "|".join(out) + ")"
 
 
 def quoted(text: Column) -> Column:

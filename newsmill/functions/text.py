@@ -169,9 +169,8 @@ def main_subject(
     candidates = []
     for p in fixed.SUBJECT_PATTERNS:
         hit = F.regexp_extract(t, "(?iu)" + bounded(p, ascii_boundary), 1)
-        candidates.append(
-            F.when((F.length(hit) > 2) & ~F.lower(hit).isin(fixed.SUBJECT_REJECTED), hit)
-        )
+        fits = lambda h: F.when((F.length(h) > 2) & ~F.lower(h).isin(fixed.SUBJECT_REJECTED), h)
+        candidates.append(let(hit, fits))
     return F.coalesce(*candidates)
 
 
