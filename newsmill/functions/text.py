@@ -537,7 +537,7 @@ def is_headline(line: Column | str) -> Column:
     return (
         (F.length(t) >= 20)
         & ~contains_any(F.lower(t), fixed.ROUNDUP_SKIP_WORDS)
-        & ((F.size(words(t)) >= 5) | t.rlike(fixed.HEADLINE_SOURCE_PATTERN))
+        & (has_words(t, 5) | t.rlike(fixed.HEADLINE_SOURCE_PATTERN))
         & ~is_truncated(clean)
         & (F.length(clean) >= 15)
     )
@@ -564,7 +564,7 @@ def is_linked_headline(text: Column | str) -> Column:
         & ~contains_any(low, fixed.LINKED_SKIP_PHRASES)
         & ~is_truncated(t)
         & ~F.trim(low).isin(fixed.SOURCE_ONLY_HEADLINES)
-        & (F.size(words(t)) >= 4)
+        & has_words(t, 4)
     )
 
 

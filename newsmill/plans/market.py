@@ -14,6 +14,7 @@ from newsmill.operators import rules as rl
 from newsmill.operators.dedup import keep_first, keep_first_prefix
 from newsmill.operators.joins import resolve_redirects
 from newsmill.operators.rows import settle, unnest
+from newsmill.session import durable
 
 def _in_section(lines: Column, is_start, ends) -> Column:
     """Lines between a start line and the next line that holds an end marker.
@@ -26,11 +27,12 @@ def _in_section(lines: Column, is_start, ends) -> Column:
     )
 
     def pick(marks: Column) -> Column:
-        def inside(x: Column, i: Column) -> Column:
-            last = F.try_element_at(F.filter(marks, lambda m: m["i"] <= i), F.lit(-1))
-            return ~is_start(x) & (last["i"] < i) & F.coalesce(is_start(last["x"]), F.lit(False))
+        def stretch(m: Column, i: Column) -> Column:
+            # lines between a marker and the next; Spark counts a slice from 1
+            after = F.coalesce(F.get(marks, i + 1)["i"], F.size(lines))
+            return F.when(is_start(m["x"]), F.slice(lines, m["i"] + 2, after - m["i"] - 1)).otherwise(F.array())
 
-        return F.filter(lines, inside)
+        return F.flatten(F.transform(marks, stretch))
 
     return let(found, pick)
 
@@ -59,22 +61,25 @@ def market_lines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
     """Market bullets (P21) and roundup headlines (P22), one per opening of 50 characters."""
     r = rl.rule_columns(rule)
     s = section_lines(pages)
-    bullets = unnest(s, "market_lines", "title", "pos", "page_id", "url").where(
-        (F.length("title") >= 15) & tx.is_market_line("title")
+    label = lambda lines, section: F.transform(
+        F.col(lines), lambda x, i: F.struct(F.lit(section).alias("section"), i.alias("pos"), x.alias("line"))
     )
-    heads = unnest(s, "roundup_lines", "line", "pos", "page_id", "url").where(
-        tx.is_headline("line")
-    ).select("page_id", "url", "pos", tx.strip_suffixes("line").alias("title"))
-    label = lambda df, section, text: df.select(
-        "page_id", "url", "pos", "title", F.lit(section).alias("section"), F.lit(text).alias("description")
-    )
-    parts = []
+    parts = [label("roundup_lines", "Headline Roundup")]
     if rule.get("extract_markets_section", True):
-        parts.append(label(bullets, "Markets", "Markets section bullet point"))
-    parts.append(label(heads, "Headline Roundup", "Headline Roundup"))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    first = keep_first_prefix(settle(both), "title", ["pos"], within=["page_id", "section"])
-    return first.where(_passes(F.col("title"), rule, r))
+        parts.insert(0, label("market_lines", "Markets"))
+    # The lines of a page are read once, for both sections.
+    rows = unnest(s, F.concat(*parts), "x", "_i", "page_id", "url").select("page_id", "url", "x.*")
+    line, market = F.col("line"), F.col("section") == "Markets"
+    judged = settle(
+        rows.select(
+            "page_id", "url", "pos", "section",
+            F.when(market, F.when((F.length(line) >= 15) & tx.is_market_line(line), line))
+            .when(tx.is_headline(line), tx.strip_suffixes(line)).alias("title"),
+        )
+    ).where("title is not null")
+    first = keep_first_prefix(judged, "title", ["pos"], within=["page_id", "section"])
+    text = F.when(market, "Markets section bullet point").otherwise("Headline Roundup")
+    return first.where(_passes(F.col("title"), rule, r)).select("page_id", "url", "pos", "title", "section", text.alias("description"))
 
 
 def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
@@ -92,22 +97,29 @@ def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
             ).alias("name"),
         ),
     )
-    staged = staged.withColumn("_n", F.filter(named, lambda n: n["name"].isNotNull()))
+    names = F.filter(named, lambda n: n["name"].isNotNull())
+
+    def placed(heads: Column) -> Column:
+        # each block under the last heading up to it: as often as there are blocks to the next
+        stretch = lambda n, i: F.array_repeat(
+            n["name"], F.coalesce(F.get(heads, i + 1)["pos"], F.size("_b")) - n["pos"]
+        )
+        before = F.array_repeat(F.lit("General"), F.coalesce(F.get(heads, F.lit(0))["pos"], F.size("_b")))
+        return F.concat(before, F.flatten(F.transform(heads, stretch)))
+
+    under = F.arrays_zip(F.col("_b").alias("b"), let(names, placed).alias("section"))
+    linked = F.filter(under, lambda x: F.contains(F.lower(x["b"]["body"]), F.lit("<a")))
     rows = unnest(
-        unnest(staged, "_b", "b", "_i", "page_id", "url", "_n"), markup.links("b.body"), "a", "pos",
-        "page_id", F.col("url").alias("page_url"), "_n", F.col("b.pos").alias("block"),
-        F.col("b.text").alias("parent_text"),
+        unnest(staged, linked, "x", "_i", "page_id", "url"), markup.links("x.b.body"), "a", "pos",
+        "page_id", F.col("url").alias("page_url"), "x.section", F.col("x.b.pos").alias("block"),
+        F.col("x.b.text").alias("parent_text"),
     ).where(F.startswith("a.href", F.lit("http")))
     rows = settle(rows.withColumn("url", urls.clean_url_prefixes("a.href")))
     first = keep_first(rows, ["page_id", "url"], ["block", "pos"])
-    section = F.coalesce(
-        F.try_element_at(F.filter("_n", lambda n: n["pos"] <= F.col("block")), F.lit(-1))["name"],
-        F.lit("General"),
-    )
     out = first.where(~rl.is_blocked("url", r["blocked_domains"])).select(
         "page_id", "page_url", "url", "block", "pos",
         tx.linked_headline("a.text", "parent_text").alias("title"),
-        "parent_text", section.alias("section"),
+        "parent_text", "section",
     )
     combined = F.concat_ws(" ", "title", "parent_text")
     return settle(out).where(
@@ -119,8 +131,8 @@ def linked_headlines(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
 
 def market_digest(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
     """All headlines of the issues, oldest issue first, undated issues before all."""
-    dated = pages.withColumn("newsletter_date", markup.newsletter_date_text("html"))
-    lines = market_lines(pages, rule)
+    # Read for the digest and for what its links repeat.
+    lines = durable(market_lines(pages, rule), "market_lines")
     seen = lines.select("page_id", F.lower(F.left("title", F.lit(50))).alias("_k")).distinct()
     links = linked_headlines(pages, rule).withColumn("_k", F.lower(F.left("title", F.lit(50))))
     links = links.join(seen, ["page_id", "_k"], "left_anti")
@@ -134,14 +146,14 @@ def market_digest(pages: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
         "page_id", "url", "title", F.col("parent_text").alias("description"), "section",
         urls.source_display_name("url").alias("source"), F.lit(2).alias("part"), "block", "pos",
     )
-    issue = dated.select("page_id", F.col("url").alias("source_url"), "newsletter_date")
+    issue = settle(
+        pages.select("page_id", F.col("url").alias("source_url"), markup.newsletter_date_text("html").alias("newsletter_date"))
+    )
+    issue = settle(issue.withColumn("issue_date", dates.parse_newsletter_date("newsletter_date")))
     out = plain.unionByName(linked).join(issue, "page_id").withColumn(
         "newsletter_date", F.when(F.col("part") == 2, F.col("newsletter_date"))
     )
-    when = issue.select("page_id", dates.parse_newsletter_date("newsletter_date").alias("issue_date"))
-    return out.join(when, "page_id").orderBy(
-        F.col("issue_date").asc_nulls_first(), "page_id", "part", "block", "pos"
-    )
+    return out.orderBy(F.col("issue_date").asc_nulls_first(), "page_id", "part", "block", "pos")
 
 
 def digest_speech(items: DataFrame) -> DataFrame:
