@@ -14,9 +14,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsmill import fixed
@@ -68,21 +69,26 @@ class Gate:
 
 
 def _run_pieces(limits: Mapping[str, Any]):
-    """Batches of calls sorted by (tenant, day, t) in, decisions out."""
+    """Batches of calls sorted by (tenant, day, t) in, decisions out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Start states are on every call; they are read on the first of a piece only."""
+    shown = ["call_id", "tenant", "day", "month", "t", "cost"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate, piece = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if (r.tenant, r.day) != piece:
-                    piece = (r.tenant, r.day)
-                    gate = Gate(
-                        limits, deque(r.s_recent), int(r.s_daily), int(r.s_monthly),
-                        float(r.s_spent), r.day, r.month,
-                    )
-                out.append(gate.decide(r.t, r.day, r.month, r.cost, r.rpm, r.rpd))
-            yield pdf[["call_id", "tenant", "day", "month", "t", "cost"]].assign(decision=out)
+            calls = [batch[c].to_pylist() for c in ("tenant", "day", "month", "t", "cost", "rpm", "rpd")]
+            for i, (tenant, day, month, t, cost, rpm, rpd) in enumerate(zip(*calls)):
+                if (tenant, day) != piece:
+                    piece = (tenant, day)
+                    recent, daily, monthly, spent = (batch[c][i].as_py() for c in START)
+                    gate = Gate(limits, deque(recent), daily, monthly, spent, day, month)
+                cost = float("nan") if cost is None else cost
+                out.append(gate.decide(t, day, month, cost, rpm, rpd))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in shown), pa.array(out, pa.string())], names=[*shown, "decision"]
+            )
 
     return run
 
@@ -96,7 +102,7 @@ def _decide(rows: DataFrame, states: DataFrame, limits: Mapping[str, Any]) -> Da
         .repartition(*PIECE)
         .sortWithinPartitions(*PIECE, "t", "call_id")
     )
-    return durable(ready.mapInPandas(_run_pieces(limits), _DECISIONS), "decisions")
+    return durable(ready.mapInArrow(_run_pieces(limits), _DECISIONS), "decisions")
 
 
 def _outcomes(decided: DataFrame) -> DataFrame:
@@ -173,6 +179,15 @@ def _end_states(decided: DataFrame, starts: DataFrame, initial: DataFrame | None
     return ended.unionByName(initial.join(ended.select("tenant"), "tenant", "left_anti").select(*ended.columns))
 
 
+def _last_round(rounds: list[DataFrame], outcomes: DataFrame) -> DataFrame:
+    """The decisions of each piece in the last round that ran it."""
+    if len(rounds) == 1:
+        return rounds[0]
+    every = reduce(DataFrame.unionByName, [d.withColumn("_round", F.lit(i)) for i, d in enumerate(rounds)])
+    last = outcomes.select(*PIECE, "_round")
+    return every.join(last, [*PIECE, "_round"], "left_semi").select(*rounds[0].columns)
+
+
 def prepare(calls: DataFrame, tenant: str = "task_id") -> DataFrame:
     """The columns that decide: tenant, day, month, time, cost and the model's limits."""
     rpm, rpd = rate_limits("model")
@@ -198,14 +213,18 @@ def settle_admission(
     most = limits["monthly_max_calls"]
     if not limits["enabled"]:
         budget, most = float("inf"), 2**62
+    # Priced and dated once, not in every round.
+    rows = durable(rows, "calls")
     nothing = rows.groupBy(*PIECE, "month").agg(
         F.lit(0).cast("long").alias("calls"), F.lit(0.0).alias("spent"),
         F.array().cast("array<double>").alias("tail"),
     )
     used = durable(_start_states(nothing, initial).select(*PIECE, *START), "states")
-    decided = _decide(rows, used, limits)
+    # A round writes its own pieces only; which round of a piece counts stands with its outcome.
+    rounds = [_decide(rows, used, limits)]
+    outcomes = durable(_outcomes(rounds[0]).withColumn("_round", F.lit(0)), "outcomes")
     while True:
-        true = durable(_start_states(_outcomes(decided), initial), "true")
+        true = durable(_start_states(outcomes, initial), "true")
         old = used.select(*PIECE, *[F.col(c).alias(f"o_{c}") for c in START])
         both = true.join(old, PIECE)
         binds = (
@@ -220,10 +239,12 @@ def settle_admission(
             "stale",
         )
         if stale.isEmpty():
+            decided = _last_round(rounds, outcomes)
             return decided, _end_states(decided, true, initial)
-        again = _decide(rows, stale, limits)
-        kept = decided.join(stale.select(*PIECE), PIECE, "left_anti").select(*decided.columns)
-        decided = durable(kept.unionByName(again), "decisions")
+        rounds.append(_decide(rows, stale, limits))
+        redone = _outcomes(rounds[-1]).withColumn("_round", F.lit(len(rounds) - 1))
+        kept = outcomes.join(stale.select(*PIECE), PIECE, "left_anti").select(*outcomes.columns)
+        outcomes = durable(kept.unionByName(redone), "outcomes")
         used = durable(
             used.join(stale.select(*PIECE), PIECE, "left_anti").unionByName(stale), "states"
         )
