@@ -92,7 +92,25 @@ BLANK = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 BLANKS = f"(?:[[^ -~]&&{BLANK}]| (?=[[^!-~]&&{BLANK}]))[[^!-~]&&{BLANK}]*"
 
 
-def squeeze(text: Column | str) -> Column:
+# The same with the five blanks of ASCII-only expressions.
+ASCII_BLANKS = "[\t\n\f\r][\t\n\f\r ]*| [\t\n\f\r ]+"
+# Space separators, which a trim in SQL takes for spaces.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def squeeze(text: Column | str, ascii_blanks: bool = False) -> Column:
     """Collapse white space, non-breaking and other Unicode blanks included, to single
-    spaces and trim."""
-    return F.trim(F.regexp_replace(col(text), BLANKS, " "))
+    spaces and trim.
+
+    With ``ascii_blanks`` as SQL does it: runs of ASCII blanks are collapsed, space separators of
+    any kind are trimmed."""
+    if not ascii_blanks:
+        return F.trim(F.regexp_replace(col(text), BLANKS, " "))
+    at_an_end = lambda t: F.substring(t, 1, 1).isin(*SPACES) | F.substring(t, -1, 1).isin(*SPACES)
+    single = F.regexp_replace(col(text), ASCII_BLANKS, " ")
+    return let(single, lambda t: F.when(at_an_end(t), F.trim(t, F.lit(SPACES))).otherwise(t))
+
+
+def lower_letters(text: Column) -> Column:
+    """Lower case letter by letter, as SQL does it: none becomes two, none depends on its place."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsmill.functions.arrays import let, squeeze
+from newsmill.functions.arrays import let, lower_letters, squeeze
 from newsmill.functions.text import is_blank_row
 
 
@@ -41,16 +41,21 @@ def keep_first(
 
 def keep_first_prefix(
     df: DataFrame, text: str, order: Sequence[str | Column], chars: int | None = None,
-    within: Sequence[str] = (),
+    within: Sequence[str] = (), every_text: bool = False,
 ) -> DataFrame:
     """W1 on a text, case and blanks ignored, or on its first ``chars`` characters.
 
     The key is the text's digest, so what is sorted and grouped is short however long the texts
-    are.  Blank texts are dropped.
+    are.  Blank texts are dropped.  With ``every_text`` they are not, the first blank text and the
+    first missing one stay, and case and blanks are those of SQL.
     """
-    whole = F.lower(squeeze(text)) if chars is None else F.lower(F.left(F.col(text), F.lit(chars)))
-    keyed = df.withColumn("_key", F.sha2(F.nullif(whole, F.lit("")), 256))
-    return keep_first(keyed, [*within, "_key"], order).drop("_key")
+    cut = F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
+    if every_text:
+        whole = lower_letters(squeeze(cut, ascii_blanks=True) if chars is None else cut)
+        key = F.coalesce(F.sha2(whole, 256), F.lit("missing"))
+    else:
+        key = F.sha2(F.nullif(F.lower(squeeze(cut) if chars is None else cut), F.lit("")), 256)
+    return keep_first(df.withColumn("_key", key), [*within, "_key"], order).drop("_key")
 
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:
