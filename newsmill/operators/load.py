@@ -20,14 +20,14 @@ def output_columns(extra: Sequence[str], existing: Sequence[str] = ()) -> list[s
     return out + [c for c in existing if c not in out]
 
 
-def align(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Project to these columns as strings; a missing one is empty, a checkbox ``FALSE``."""
+def align(df: DataFrame, columns: Sequence[str], missing: str | None = "") -> DataFrame:
+    """Project to these columns as strings; a missing one is empty (``missing``), a checkbox ``FALSE``."""
     cells = []
     for c in columns:
-        default = F.lit("FALSE" if c in fixed.CHECKBOX_COLUMNS else "")
+        default = F.lit("FALSE" if c in fixed.CHECKBOX_COLUMNS else missing).cast("string")
         if c in df.columns:
             value = F.col(f"`{c}`").cast("string")
-            value = F.coalesce(value, F.lit(""))
+            value = F.coalesce(value, F.lit(missing).cast("string"))
         else:
             value = default
         cells.append(value.alias(c))
@@ -51,14 +51,26 @@ def field_names(items: DataFrame, fields: str = "custom_fields") -> list[str]:
 # --- files ------------------------------------------------------------------
 
 def write_csv(items: DataFrame, path: str, existing: Sequence[str] = (), mode: str = "append") -> list[str]:
-    """Append items in canonical order; returns the columns written."""
+    """Append items in canonical order; returns the columns written.
+
+    A missing cell is empty, an empty text a pair of quotes; blanks at the ends of a cell and
+    backslashes stand as they are, quotes are doubled.
+    """
     if "custom_fields" in items.columns:
         items = flatten_fields(items, field_names(items))
     columns = output_columns(items.columns, existing)
-    align(items, columns).write.mode(mode).option("header", True).csv(path)
+    align(items, columns, missing=None).write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return columns
 
 
+def read_csv(spark, path: str) -> DataFrame:
+    """What :func:`write_csv` has written: an empty cell is null, a pair of quotes an empty text."""
+    # No cell is a line break, so no text is taken for the null.
+    return spark.read.options(header=True, escape='"', nullValue="\n", emptyValue="").csv(path)
+
+
 def csv_columns(spark, path: str) -> list[str]:
     """Header of a CSV table, read from its files alone."""
     return spark.read.option("header", True).csv(path).columns
