@@ -12,15 +12,18 @@ from newsmill.schemas import RULE, SOURCE
 from newsmill.operators.rows import unnest
 
 
-def parse_registry(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Sources from registry documents: a list or ``{"sources": [...]}`` of objects or URLs."""
+def parse_registry(texts: DataFrame, text: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Sources from registry documents: a list or ``{"sources": [...]}`` of objects or URLs.
+
+    ``keep``: columns that tell which document a source is from."""
     t = F.trim(F.col(text))
     listed = F.when(F.startswith(t, F.lit("[")), t).otherwise(F.get_json_object(t, "$.sources"))
-    entry = unnest(texts, F.from_json(listed, "array<string>"), "entry", "pos")
+    entry = unnest(texts, F.from_json(listed, "array<string>"), "entry", "pos", *keep)
     record = F.from_json("entry", SOURCE)
     is_object = F.startswith(F.trim("entry"), F.lit("{"))
     url = F.when(is_object, record["url"]).otherwise(F.col("entry"))
     return entry.select(
+        *keep,
         "pos",
         url.alias("url"),
         F.coalesce(record["enabled"], F.lit(True)).alias("enabled"),
