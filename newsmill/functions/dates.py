@@ -52,15 +52,17 @@ def relative_date(text: Column | str, as_of: Column | str) -> Column:
     t = F.lower(F.trim(col(text)))
     for prefix in fixed.VIDEO_DATE_PREFIXES:
         t = F.regexp_replace(t, f"^{prefix.lower()}", "")
-    n = F.try_to_number(F.nullif(F.regexp_extract(t, r"^(\d{1,6})\s+\w+", 1), F.lit("")), F.lit("999999")).cast("int")
-    unit = F.regexp_extract(t, r"^\d{1,6}\s+(\w+)", 1)
+    n = F.regexp_extract(t, r"^(\d+)\s+\w+", 1).try_cast("bigint")
+    unit = F.regexp_extract(t, r"^\d+\s+(\w+)", 1)
     hours = (
-        F.when(F.contains(unit, F.lit("hour")), n)
-        .when(F.contains(unit, F.lit("day")), n * 24)
-        .when(F.contains(unit, F.lit("week")), n * 24 * 7)
-        .when(F.contains(unit, F.lit("month")), n * 24 * 30)
+        F.when(F.contains(unit, F.lit("hour")), F.lit(1))
+        .when(F.contains(unit, F.lit("day")), F.lit(24))
+        .when(F.contains(unit, F.lit("week")), F.lit(24 * 7))
+        .when(F.contains(unit, F.lit("month")), F.lit(24 * 30))
     )
-    moved = col(as_of) - F.make_interval(hours=hours)
+    # An age before all timestamps gives none.
+    micros = F.try_multiply(n, hours.cast("bigint") * 3_600_000_000)
+    moved = F.timestamp_micros(F.try_subtract(F.unix_micros(col(as_of)), micros))
     return F.when(F.contains(t, F.lit("ago")), moved)
 
 

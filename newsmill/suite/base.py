@@ -263,7 +263,8 @@ def priced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stamp(c: Column | str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    # Years before 0 have no leading zeros in SQL.
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "^-0+(?=[0-9]+-)", "-")
 
 
 def stamp_sql(c: str) -> str:
