@@ -98,14 +98,15 @@ ASCII_BLANKS = "[\t\n\f\r][\t\n\f\r ]*| [\t\n\f\r ]+"
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
-def squeeze(text: Column | str, ascii_blanks: bool = False) -> Column:
+def squeeze(text: Column | str) -> Column:
     """Collapse white space, non-breaking and other Unicode blanks included, to single
-    spaces and trim.
+    spaces and trim."""
+    return F.trim(F.regexp_replace(col(text), BLANKS, " "))
 
-    With ``ascii_blanks`` as SQL does it: runs of ASCII blanks are collapsed, space separators of
-    any kind are trimmed."""
-    if not ascii_blanks:
-        return F.trim(F.regexp_replace(col(text), BLANKS, " "))
+
+def squeeze_ascii(text: Column | str) -> Column:
+    """The same as SQL does it: runs of ASCII blanks are collapsed, space separators of any kind
+    are trimmed."""
     at_an_end = lambda t: F.substring(t, 1, 1).isin(*SPACES) | F.substring(t, -1, 1).isin(*SPACES)
     single = F.regexp_replace(col(text), ASCII_BLANKS, " ")
     return let(single, lambda t: F.when(at_an_end(t), F.trim(t, F.lit(SPACES))).otherwise(t))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsmill.functions.arrays import let, lower_letters, squeeze
+from newsmill.functions.arrays import let, lower_letters, squeeze, squeeze_ascii
 from newsmill.functions.text import is_blank_row
 
 
@@ -51,7 +51,7 @@ def keep_first_prefix(
     """
     cut = F.col(text) if chars is None else F.left(F.col(text), F.lit(chars))
     if every_text:
-        whole = lower_letters(squeeze(cut, ascii_blanks=True) if chars is None else cut)
+        whole = lower_letters(squeeze_ascii(cut) if chars is None else cut)
         key = F.coalesce(F.sha2(whole, 256), F.lit("missing"))
     else:
         key = F.sha2(F.nullif(F.lower(squeeze(cut) if chars is None else cut), F.lit("")), 256)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.functions import dates
-from newsmill.functions.arrays import squeeze
+from newsmill.functions.arrays import squeeze, squeeze_ascii
 from newsmill.operators import load
 from newsmill.session import scratch
 from newsmill.suite import ORACLES, QUERIES
@@ -52,7 +52,7 @@ def test_first_texts(spark, odd):
 
 def test_ascii_blanks(spark):
     df = spark.createDataFrame([("a  b",), ("  a \t\r\n b ",), ("a\x0b b",)], "t string")
-    assert [r[0] for r in df.select(squeeze("t", ascii_blanks=True)).collect()] == ["a  b", "a b", "a\x0b b"]
+    assert [r[0] for r in df.select(squeeze_ascii("t")).collect()] == ["a  b", "a b", "a\x0b b"]
     assert [r[0] for r in df.select(squeeze("t")).collect()] == ["a b"] * 3
 
 
