@@ -29,10 +29,19 @@ def bounded(pattern: str, ascii_boundary: bool = False) -> str:
     single look at the other side is enough.
     """
     word = ASCII_WORD if ascii_boundary else UNICODE_WORD
-    opened = re.sub(r"\\b(?=[A-Za-z(\[])", lambda m: f"(?<!{word})", pattern)
+    opened = re.sub(r"\\b(?=[A-Za-z(\[])", lambda m: f"(?<!{word})", _flat(pattern))
     return _ahead(pattern) + opened.replace(r"\b", f"(?!{word})")
 
 
+def _flat(pattern: str) -> str:
+    """The pattern with the same matches, without loops over groups that can be left by the way
+    they came: these take stack for every turn, so a long run of names would end the executor.
+
+    Of a run of capitalised words only the last can miss its boundary, so each is tested when it
+    is read; humps of a mixed-case word are letters of either case."""
+    return pattern.replace(r"(?:\s+[A-Z][a-z]+)+)\b", r"(?:\s++[A-Z][a-z]++\b)++)").replace("[a-z]+(?:[A-Z][a-z]*)*", "[a-z][A-Za-z]*")
+
+
 def _ahead(pattern: str) -> str:
     """A look at the first character of a match, cheaper than the look back at the boundary."""
     first = re.match(r"\\b\(?(\[[A-Za-z-]+\])(?![*?]|\\{0)", pattern)
