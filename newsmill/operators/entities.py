@@ -82,35 +82,58 @@ def match_entities(
     full = F.concat_ws(
         " ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(description), F.lit(""))
     )
-    texts = settle(items.select(*key, full.alias("_full"))).withColumn("_low", F.lower("_full"))
+    read = text_facts(items.select(*key, full.alias("_full")), catalogue, "_full", key, ascii_boundary)
+    scored = scored_keywords(keywords_of(read, key), catalogue, names_in(read, key), key)
+    accepted = settle(scored).where(F.col("score") >= threshold)
+    return keep_first(accepted, [*key, "_name"], ["pos", "_rank", "entity_id"]).select(
+        *key, "keyword", "pos", *CATALOGUE, "score", F.col("_rank").alias("type_rank")
+    )
+
+
+def text_facts(
+    items: DataFrame, catalogue: DataFrame, text: str, key: Sequence[str], ascii_boundary: bool = False, **more: Column
+) -> DataFrame:
+    """What matching asks of a text: its keywords, the catalogue's names and the legal suffixes in it.
+
+    ``more``: columns of the items that go along.  Keywords and names are used several times; the
+    texts are read once.
+    """
+    texts = settle(items.select(*key, text)).withColumn("_low", F.lower(text))
     names = catalogue.select(F.lower("name").alias("_name"))
     read = strings_in(texts, F.col("_low"), names, "_name", "_names", ascii_boundary)
-    # Keywords and names are used several times; the texts are read once.
-    read = durable(
+    return durable(
         read.select(
-            *key, tx.keywords("_full", ascii_boundary=ascii_boundary).alias("_keywords"), "_names",
-            tx.suffixes_in("_low").alias("_suffixes"),
+            *key, tx.keywords(text, ascii_boundary=ascii_boundary).alias("_keywords"), "_names",
+            tx.suffixes_in("_low").alias("_suffixes"), *[c.alias(name) for name, c in more.items()],
         ),
         "keywords",
     )
-    exploded = unnest(read, "_keywords", "keyword", "pos", *key, "_suffixes")
-    exploded = exploded.withColumn("_kw", F.lower("keyword"))
-    candidates = durable(keyword_candidates(exploded, catalogue), "candidates")
+
+
+def keywords_of(read: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A row per keyword of :func:`text_facts`."""
+    rows = unnest(read, "_keywords", "keyword", "pos", *key, "_suffixes")
+    return rows.withColumn("_kw", F.lower("keyword"))
+
+
+def names_in(read: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A row per catalogue name in a text, and whether it stands there as a word."""
+    return unnest(read, "_names", "_found", "_i", *key).select(
+        *key, F.col("_found.string").alias("_name"), F.col("_found.word").alias("_word")
+    )
+
+
+def scored_keywords(keywords: DataFrame, catalogue: DataFrame, in_text: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Every keyword of an item with every entity that it may name, and the score."""
+    candidates = durable(keyword_candidates(keywords, catalogue), "candidates")
     # Most keywords name nothing, and go before anything is grouped; a repeated one counts once.
-    kws = exploded.join(candidates.select("_kw").distinct(), "_kw", "left_semi").groupBy(*key, "_kw").agg(
+    kws = keywords.join(candidates.select("_kw").distinct(), "_kw", "left_semi").groupBy(*key, "_kw").agg(
         F.min(F.struct("pos", "keyword", "_suffixes")).alias("_first")
     ).select(*key, "_kw", "_first.*")
-    in_text = unnest(read, "_names", "_found", "_i", *key).select(
-        *key, F.col("_found.string").alias("_name"), F.col("_found.word").alias("_word")
-    )
     hits = skew_join(kws, candidates, "_kw")
-    scored = hits.join(in_text, [*key, "_name"], "left").withColumn(
+    return hits.join(in_text, [c for c in key if c in in_text.columns] + ["_name"], "left").withColumn(
         "score", tx.score_of_facts("_parts", "_word", "_suffixes")
     )
-    accepted = settle(scored).where(F.col("score") >= threshold)
-    return keep_first(accepted, [*key, "_name"], ["pos", "_rank", "entity_id"]).select(
-        *key, "keyword", "pos", *CATALOGUE, "score", F.col("_rank").alias("type_rank")
-    )
 
 
 def match_summary(matches: DataFrame, key: Sequence[str]) -> DataFrame:
